@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import langid, mixing, packing, tokens
+from quernstone.llm import langid, mixing, ngram_join, packing, substring, tokens
 from quernstone.llm.common import materialize
 from quernstone.llm.queries import MODEL, RANKS, table
 
@@ -20,6 +20,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).where(~F.col("rejected")).select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each component of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    found = ngram_join.jaccard_components(docs, k=5, num=8, den=10)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words or more that stand in an earlier document; drop documents of which nothing is left."""
+    found = substring.remove_repeats(docs, span=50).where("n_removed > 0").select("doc_id", "kept_text", F.lit(True).alias("cut"))
+    text = F.when(F.col("cut"), F.col("kept_text")).otherwise(F.col("text"))
+    joined = docs.join(found, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.where("cut is null or text <> ''").select(docs.columns)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as its source's target asks, or drop it."""
     taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
@@ -33,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("language ID", language), ("mixing", mixture), ("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages), ("mixing", mixture), ("packing", packed)]
 ORACLE_SQL = None
 
 

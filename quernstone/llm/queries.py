@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, packing, sharding, tokens
+from . import langid, media, mixing, near_vectors, ngram_join, packing, sharding, substring, suffix, tokens
 
 MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir), k=3, num=90, den=100)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -24,6 +32,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(table(spark, sf_dir), span=20))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir), tokens.public_path(MODEL), tokens.public_path(RANKS), window=1024, end_id=0)
 
@@ -38,13 +50,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(table(spark, sf_dir), span=200))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_media, op6_packing, op7_token_counts, op8_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_mixing, op4_media, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_suffix_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {
+        "op1_ngram_join": ngram_join.ORACLE,
+        "op2_embedding_dedup": near_vectors.ORACLE,
+        "op3_mixing": mixing.ORACLE,
+        "op5_substring_dedup": substring.ORACLE,
+    }
