@@ -387,10 +387,10 @@ def _residuals(words: np.ndarray, bit: np.ndarray, coded: np.ndarray, order: np.
         p, kk = pos[:live], k[:live]
         window = words[(p >> three).view(np.int64)] << (p & seven)
         quotient = LEAD[(window >> U(48)).view(np.int64)]
-        if int(quotient.max()) == 16:
-            _long_codes(words, p, window, quotient, kk)
         used = quotient + one
         zig = (quotient << kk) | (((window << used) >> one) >> (top - kk))
+        if int(quotient.max()) == 16:
+            _long_codes(words, p, quotient, kk, used, zig)
         value = (zig >> one).view(np.int64) ^ -((zig & one).view(np.int64))
         moved = p + used + kk
         if plain[:live].any():
@@ -409,18 +409,19 @@ def _residuals(words: np.ndarray, bit: np.ndarray, coded: np.ndarray, order: np.
     bit[coded] = pos.astype(np.int64)
 
 
-def _long_codes(words: np.ndarray, p: np.ndarray, window: np.ndarray, quotient: np.ndarray, k: np.ndarray) -> None:
-    """Codes with 16 zeros or more: count them all, and line the window up so that the rest of the code follows."""
+def _long_codes(words: np.ndarray, p: np.ndarray, quotient: np.ndarray, k: np.ndarray, used: np.ndarray, zig: np.ndarray) -> None:
+    """Codes with 16 zeros or more, one by one: sets how long their unary part is and what they stand for."""
+    end = 8 * (len(words) - 8)
     for i in np.flatnonzero(quotient == 16).tolist():
         at = int(p[i])
-        while at < 8 * (len(words) - 8) and not int(words[at >> 3]) << (at & 7) >> 63 & 1:
-            at += 1
-        zeros = at - int(p[i])
-        rest = int(words[(at + 1) >> 3]) << ((at + 1) & 7) & (1 << 64) - 1
-        quotient[i] = zeros
-        window[i] = rest >> (zeros + 1) if zeros < 63 else 0
-        if zeros + 1 + int(k[i]) > 63:
-            raise ValueError("a Rice code is too long for 8-bit samples")
+        while at < end and not (word := int(words[at >> 3]) << (at & 7) & (1 << 64) - 1) >> 8:
+            at += 56
+        at = min(at + 64 - word.bit_length(), end) if at < end else end
+        zeros, shift = at - int(p[i]), int(k[i])
+        if zeros << shift >= 1 << 16:
+            zeros = 0  # damaged data, or a row that isn't at its first code yet
+        used[i] = zeros + 1
+        zig[i] = zeros << shift | (int(_bits(words, np.array([min(at + 1, end)]), shift)[0]) if shift else 0)
 
 
 def payload(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
