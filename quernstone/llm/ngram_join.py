@@ -7,9 +7,10 @@ a group. Groups meet in the lists of their prefix shingles, where size and
 position rule out most pairs.
 
 Not every pair of a list is written down. In a first round each group is
-verified against the list's leader, and what links becomes a component. Only
-lists that still hold several components are compared in full, in blocks, inside
-tasks that return one row per document. Copies therefore never expand into pairs.
+verified against the list's leader, and what links becomes a component. Lists
+that still hold several components are compared in full, in blocks, by parity
+bitmaps: where two bitmaps differ the sets do, so that pairs with too many
+differences go before any set is moved. The few that remain are verified.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_MIX, U, binary_column, discard, from_binary, gather, local_components, longs, materialize, mix64, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
+from .common import SHINGLE_MIX, U, binary_column, discard, from_binary, gather, longs, materialize, mix64, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
 from .components import connected_components
 from .seeds import group_starts, sizes_of
 
@@ -119,6 +120,31 @@ def overlaps(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np
     return np.bincount((twin & U(0xFFFFF)).view(np.int64), minlength=len(na))
 
 
+def bitmaps(h: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): a bitmap of one to two bits per item of each set, 256 at least; a bit is the parity of its items.
+
+    Sizes are powers of two, and folding one in half gives the smaller bitmap.
+    """
+    n = np.diff(upto)
+    size = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(first[:-1], n) + (mix64(h ^ SHINGLE_MIX[62]) & np.repeat(size - 1, n).astype(np.uint64)).view(np.int64)
+    return np.packbits(np.bincount(at, minlength=int(first[-1])).astype(np.uint8) & 1), first // 8
+
+
+def fold(raw: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) folded to ``size`` bytes."""
+    while raw.shape[1] > size:
+        half = raw.shape[1] // 2
+        raw = raw[:, :half] ^ raw[:, half:]
+    return raw
+
+
+def at_most_apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Items that only one of two linked sets may hold."""
+    return n + m - 2 * least_overlap(n, m, num, den)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -151,9 +177,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
                 sums[1][some] = np.add.reduceat(mix64(h ^ SHINGLE_MIX[61]), upto[some])
                 place = ranges(np.zeros(len(p), np.int64), p).astype(np.uint64)
                 sums[2][some] = np.add.reduceat(mix64(first + place), cuts[some])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), binary_column(first, cuts)], ["doc_id", "n", "s1", "s2", "p", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), binary_column(first, cuts), binary_column(*bitmaps(h, upto))], ["doc_id", "n", "s1", "s2", "p", "prefix", "bits"])
 
-    all_ = materialize(texts.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p long, prefix binary"), "prefixes")
+    all_ = materialize(texts.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p long, prefix binary, bits binary"), "prefixes")
     real = all_.where("n > 0 and doc_id is not null")
     classes = materialize(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("p").alias("p")), "classes")
     groups = classes.groupBy("n", "p").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
@@ -161,20 +187,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     members = materialize(classes.join(groups, ["n", "p"]).select("rep", "group", "n"), "members")
     lists = materialize(_lists(leads, num, den), "lists")
 
+    bits = real.select("doc_id", "bits").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    bits = materialize(members.join(bits.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "group", "n", "bits"), "bits")
+
     heads = lists.where("leader <> group").select("leader", "group").distinct()
     ask = heads.join(members.select("group", "rep"), "group").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    ask = materialize(ask.union(members.where("rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))).distinct(), "ask")
-    wanted = lists.select("group").distinct().join(members.select("group", "rep"), "group").select(F.col("rep").alias("doc_id"))
-    sets = materialize(_sets(texts.join(wanted, "doc_id"), k), "sets")
-    linked = materialize(_verify(ask, sets, num, den), "linked")
+    ask = ask.union(members.where("rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))).distinct()
+    linked = _verify(materialize(_close(ask, bits, num, den), "ask"), texts, k, num, den)
     known = connected_components(linked)
 
-    more = _rest(lists, members, sets, known, num, den)
+    more = _verify(materialize(_rest(lists, bits, known, num, den), "ask"), texts, k, num, den)
     found = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     by_class = classes.join(found, classes.rep == found.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     by_class = materialize(by_class, "by-class")
-    for df in (lists, ask, sets, linked):
-        discard(df)
+    discard(lists)
+    discard(bits)
     mine = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return all_.select("doc_id", "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
@@ -227,17 +254,36 @@ def _lists(leads: DataFrame, num: int, den: int) -> DataFrame:
     return flat.repartition("token").mapInArrow(meet, "token long, group long, n long, at int, leader long, list long")
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
+def _close(ask: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = longs(batch, "n"), longs(batch, "m")
+            (x, xs), (y, ys) = from_binary(batch.column(4), np.uint8), from_binary(batch.column(5), np.uint8)
+            keep = np.zeros(len(n), bool)
+            wide = np.stack([np.diff(xs), np.diff(ys)], axis=1)
+            for p, q in np.unique(wide, axis=0).tolist():
+                rows = np.flatnonzero((wide == (p, q)).all(axis=1))
+                one = x[ranges(xs[:-1][rows], np.full(len(rows), p))].reshape(-1, p)
+                two = y[ranges(ys[:-1][rows], np.full(len(rows), q))].reshape(-1, q)
+                apart = np.bitwise_count(fold(one, min(p, q)) ^ fold(two, min(p, q))).sum(axis=1, dtype=np.int64)
+                keep[rows] = apart <= at_most_apart(n[rows], m[rows], num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one = ask.join(bits.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right")), "b")
+    two = one.join(bits.select(F.col("rep").alias("a"), "n", F.col("bits").alias("left")), "a")
+    sized = two.where(F.least("n", "m") * den >= F.greatest("n", "m") * num)
+    return sized.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def _verify(ask: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(u, v): those of the asked pairs (a, b) that link, by their whole sets of shingles."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, upto in _each(batches, k):
             yield pa.RecordBatch.from_arrays([ids, binary_column(h, upto)], ["id", "items"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, items binary")
-
-
-def _verify(ask: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): those of the asked pairs (a, b) that link."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
@@ -247,65 +293,60 @@ def _verify(ask: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 both = overlaps(a, na, b, nb)
                 yield part.select(["u", "v"]).filter(pa.array(den * both >= num * (na + nb - both)))
 
+    wanted = materialize(ask.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = materialize(texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(shingle, "id long, items binary"), "sets")
     one = ask.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
-    return two.select(F.col("b").alias("u"), F.col("a").alias("v"), "left", "right").mapInArrow(run, "u long, v long")
+    linked = materialize(two.select(F.col("b").alias("u"), F.col("a").alias("v"), "left", "right").mapInArrow(run, "u long, v long"), "linked")
+    discard(sets)
+    return linked
 
 
-def _rest(lists: DataFrame, members: DataFrame, sets: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links between members of one list that lie in different components so far."""
-    whose = members.join(known, members.rep == known.node, "left").select("rep", "group", F.coalesce("component", "rep").alias("component"))
+def _rest(lists: DataFrame, bits: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of one list in different components so far whose bitmaps allow a link."""
+    whose = bits.join(known, bits.rep == known.node, "left").select("rep", "group", "n", "bits", F.coalesce("component", "rep").alias("component"))
     whose = materialize(whose, "whose")
     spread = whose.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
     open_ = lists.join(spread, "group").groupBy("token", "list").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("size")).where("low <> high")
     open_ = open_.groupBy("list").agg(F.min_by("token", "token").alias("token"), F.min_by("size", "token").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rows = lists.join(open_.select("token", blocks.alias("blocks")), "token").join(whose, "group")
+    rows = lists.select("token", "group").join(open_.select("token", blocks.alias("blocks")), "token").join(whose, "group")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep", "component", "n", "at")
-    rows = rows.join(sets, rows.rep == sets.id).drop("id")
+    rows = rows.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "component", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = gather(batches)
         if found is None:
             return
-        token, x, y, mine, rep, comp, n, at = (longs(found, c) for c in ("token", "x", "y", "mine", "rep", "component", "n", "at"))
-        items, upto = from_binary(found["items"].combine_chunks(), np.uint64)
+        token, x, y, rep, comp, n = (longs(found, c) for c in ("token", "x", "y", "rep", "component", "n"))
+        raw, upto = from_binary(found["bits"].combine_chunks(), np.uint8)
+        width = np.diff(upto)
         key = mix64(token.astype(np.uint64)) + x.astype(np.uint64) * SHINGLE_MIX[1] + y.astype(np.uint64) * SHINGLE_MIX[2]
         order = np.argsort(key, kind="stable")
         starts = group_starts(key[order])
+        seen: set[tuple[int, int]] = set()
         for s, m in zip(starts.tolist(), sizes_of(starts, len(order)).tolist(), strict=True):
-            rows = order[s : s + m]
-            if len(np.unique(comp[rows])) < 2:
+            own = order[s : s + m]
+            if m < 2 or comp[own].min() == comp[own].max():
                 continue
-            size = np.diff(upto)[rows]
-            own = items[ranges(upto[:-1][rows], size)]
-            common = cross_counts(own, size)
-            need = least_overlap(n[rows][:, None], n[rows][None, :], num, den)
-            link = (common >= need) & (comp[rows][:, None] != comp[rows][None, :])
-            i, j = np.nonzero(np.triu(link, 1))
-            if len(i):
-                u, v = local_components(rep[rows][i], rep[rows][j])
-                far = u != v
-                yield pa.RecordBatch.from_arrays([pa.array(u[far]), pa.array(v[far])], ["u", "v"])
-
-    return rows.repartition("token", "x", "y").mapInArrow(run, "u long, v long")
-
-
-def cross_counts(items: np.ndarray, size: np.ndarray, columns: int = 4096) -> np.ndarray:
-    """Common items of every two sets, by products of 0/1 matrices of a few columns at a time."""
-    names, at = np.unique(items, return_inverse=True)
-    row = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(at, kind="stable")
-    at, row = at[order], row[order]
-    out = np.zeros((len(size), len(size)), np.int64)
-    for low in range(0, len(names), columns):
-        a, b = np.searchsorted(at, (low, low + columns))
-        part = np.zeros((len(size), min(columns, len(names) - low)), np.float32)
-        part[row[a:b], at[a:b] - low] = 1
-        out += (part @ part.T).astype(np.int64)
-    return out
+            for size in np.unique(width[own]).tolist():  # sets that may link differ by less than twice
+                rows = own[(width[own] == size) | (width[own] == 2 * size)]
+                if len(rows) < 2 or comp[rows].min() == comp[rows].max():
+                    continue
+                maps = np.concatenate([fold(raw[upto[r] : upto[r + 1]][None, :], size) for r in rows])
+                signs = np.unpackbits(maps, axis=1).astype(np.float32) * 2 - 1
+                apart = (8 * size - signs @ signs.T) / 2
+                near = apart <= at_most_apart(n[rows][:, None], n[rows][None, :], num, den)
+                near &= (comp[rows][:, None] != comp[rows][None, :]) & ((width[rows] == size)[:, None] | (width[rows] == size)[None, :])
+                near &= den * np.minimum(n[rows][:, None], n[rows][None, :]) >= num * np.maximum(n[rows][:, None], n[rows][None, :])
+                i, j = np.nonzero(np.triu(near, 1))
+                seen.update(zip(np.minimum(rep[rows][i], rep[rows][j]).tolist(), np.maximum(rep[rows][i], rep[rows][j]).tolist(), strict=True))
+        if seen:
+            a, b = np.array(sorted(seen), np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.repartition("token", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 ORACLE = """
