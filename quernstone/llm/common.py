@@ -7,7 +7,6 @@ partition size, never by the table.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..session import ship  # noqa: F401
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_117)
@@ -31,14 +30,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the cluster has not installed it on their path."""
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -188,6 +179,11 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
+def known_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows whose first column is not null. Filtering here rather than in the plan lets all reads share one exchange."""
+    return batch.filter(batch.column(0).is_valid()) if batch.column(0).null_count else batch
+
+
 def binary_column(values: np.ndarray, firsts: np.ndarray) -> pa.Array:
     """A binary column: row i holds the raw little-endian items firsts[i]..firsts[i+1]-1."""
     raw = np.ascontiguousarray(values)

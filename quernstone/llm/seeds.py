@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, gather, longs, mix64, ranges
+from .common import U, gather, known_ids, longs, mix64, ranges
 
 #: Items that a task holds before it combines and sends them on.
 HELD = 4_000_000
@@ -103,7 +103,7 @@ def repeated_anchors(dealt: DataFrame, find: Finder, limit: int) -> DataFrame:
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in map(known_ids, batches):
             ids = longs(batch, "doc_id")
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets, limit):
@@ -131,7 +131,7 @@ def repeated_anchors(dealt: DataFrame, find: Finder, limit: int) -> DataFrame:
         rows = np.concatenate([np.flatnonzero(known), open_[order[np.repeat(n > 1, n)]]])
         yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(at[rows].astype(np.int32))], ["doc_id", "at"])
 
-    sent = dealt.where("doc_id is not null").mapInArrow(seed, "route long, doc_id long, at int, known boolean")
+    sent = dealt.mapInArrow(seed, "route long, doc_id long, at int, known boolean")
     return sent.repartition("route").mapInArrow(match, "doc_id long, at int").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
 
 

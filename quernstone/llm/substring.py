@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, from_binary, gather, longs, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
+from .common import binary_column, from_binary, gather, known_ids, longs, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
 from .seeds import HELD, anchors, covered, list_column, place_route, repeated_anchors, runs
 
 SLICE = 4 << 20
@@ -68,7 +68,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in map(known_ids, batches):
             ids = longs(batch, "doc_id")
             data, offsets = text_bytes(batch.column(1))
             places, upto = list_column(batch.column(2))
@@ -130,7 +130,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(firsts)), pa.array(np.diff(lost)), text, batch.column(2).slice(a, b - a)], ["doc_id", "text", "n_words", "n_removed", "kept_text", "spans"])
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
-    windows = dealt.join(places, "doc_id").mapInArrow(extend, "route long, doc_id long, start long, n long, windows binary")
+    windows = dealt.join(places, "doc_id", "left").mapInArrow(extend, "route long, doc_id long, start long, n long, windows binary")
     gone = windows.repartition("route").mapInArrow(decide, "doc_id long, start long, n long")
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
     return dealt.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, kept_text string, spans array<struct<start:long,n:long>>")

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_MIX, U, binary_column, from_binary, gather, longs, materialize, mix64, ranges, ship, slices, text_bytes
-from .seeds import HELD, anchors, covered, group_starts, list_column, place_route, repeated_anchors, runs, sizes_of
+from .common import BYTE_MIX, U, binary_column, from_binary, gather, known_ids, longs, mix64, ranges, ship, slices, text_bytes
+from .seeds import anchors, covered, group_starts, list_column, place_route, repeated_anchors, runs, sizes_of
 
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Entries that queues join into one chunk when they are read, and stretch bytes that a task holds.
+JOINED, HELD_BYTES = 1 << 20, 16 << 20
 
 
 class Queues:
@@ -48,17 +50,43 @@ class Queues:
             self.chunks[byte].append((positions, shared))
 
     def take(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Remove and yield what is queued now; entries that arrive meanwhile stay for the next call."""
+        """Remove and yield what is queued now, small chunks joined; entries that arrive meanwhile stay for the next call."""
         now, self.chunks[byte] = self.chunks[byte], []
+        held, size = [], 0
         for chunk in now:
             if isinstance(chunk, str):
                 with np.load(chunk) as f:
-                    found = f["p"], f["s"]
+                    chunk_ = f["p"], f["s"]
                 os.remove(chunk)
-                yield found
             else:
+                chunk_ = chunk
                 self.used -= chunk[0].nbytes + chunk[1].nbytes
-                yield chunk
+            held.append(chunk_)
+            size += len(chunk_[0])
+            if size >= JOINED:
+                yield self._join(held)
+                held, size = [], 0
+        if held:
+            yield self._join(held)
+
+    @staticmethod
+    def _join(held: list) -> tuple[np.ndarray, np.ndarray]:
+        return held[0] if len(held) == 1 else (np.concatenate([p for p, _ in held]), np.concatenate([s for _, s in held]))
+
+    def take_backwards(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Like ``take``, last entry first."""
+        parts: list[list] = [[]]
+        size = 0
+        for chunk in reversed(self.chunks[byte]):
+            parts[-1].append(chunk)
+            size += 0 if isinstance(chunk, str) else len(chunk[0])
+            if isinstance(chunk, str) or size >= JOINED:
+                parts.append([])
+                size = 0
+        for part in parts:
+            self.chunks[byte] = part[::-1]
+            for positions, own in reversed(list(self.take(byte))):
+                yield positions[::-1], own[::-1]
 
     def close(self) -> None:
         if self.folder and os.path.isdir(self.folder):
@@ -77,23 +105,42 @@ def rising(text: np.ndarray) -> np.ndarray:
     return np.append(np.append(up, False)[at], False)
 
 
-def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a[i] and b[i], at most ``most``."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        room = np.minimum(n - np.maximum(x, y), most - out[live])
-        equal = np.ones(len(live), bool)
-        step = np.zeros(len(live), np.int64)
-        for k in range(8):
-            equal &= (k < room) & (padded[np.minimum(x + k, n)] == padded[np.minimum(y + k, n)])
-            step += equal
-        out[live] += step
-        live = live[equal & (room > 8)]
-    return out
+class Prefixes:
+    """Lengths of common prefixes of suffixes, eight bytes a step."""
+
+    def __init__(self, text: np.ndarray):
+        padded = np.concatenate([text, np.zeros(16, np.uint8)])
+        self.n = len(text)
+        self.words = np.zeros(len(text) + 8, np.uint64)
+        for i in range(8):
+            self.words |= padded[i : i + len(self.words)].astype(np.uint64) << U(56 - 8 * i)
+
+    def shared(self, a: np.ndarray, b: np.ndarray, most: int | np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes a[i] and b[i], at most ``most``."""
+        out = np.zeros(len(a), np.int64)
+        live = np.arange(len(a))
+        room = np.minimum(self.n - np.maximum(a, b), most)
+        done = 0
+        while len(live):
+            x = self.words[a[live] + done] ^ self.words[b[live] + done]
+            same = x == 0
+            stop = live[~same]
+            out[stop] = np.minimum(done + _zero_bytes(x[~same]), room[stop])
+            live, done = live[same], done + 8
+            end = room[live] <= done
+            out[live[end]] = room[live[end]]
+            live = live[~end]
+        return out
+
+
+def _zero_bytes(x: np.ndarray) -> np.ndarray:
+    """Zero bytes before the first other one of nonzero words."""
+    n = np.zeros(len(x), np.int64)
+    for shift in (32, 16, 8):
+        zero = x >> U(64 - shift) == 0
+        n += zero * (shift // 8)
+        x = np.where(zero, x << U(shift), x)
+    return n
 
 
 def _induced(text: np.ndarray, shared: np.ndarray, positions: np.ndarray, pending: np.ndarray, carry: bool, take: np.ndarray):
@@ -105,7 +152,7 @@ def _induced(text: np.ndarray, shared: np.ndarray, positions: np.ndarray, pendin
     at = np.flatnonzero(take)
     before = positions[at] - 1
     byte = text[before]
-    order = np.argsort(byte, kind="stable")
+    order = np.argsort(byte, kind="stable")  # a radix sort
     at, before, byte = at[order], before[order], byte[order]
     if not carry:
         return byte, before, np.zeros(len(at), np.uint8)
@@ -139,7 +186,7 @@ def _send(queues: Queues, seen: np.ndarray, byte: np.ndarray, positions: np.ndar
         queues.put(c, positions[s : s + m], part)
 
 
-def induce(text: np.ndarray, up: np.ndarray, lms: np.ndarray, shared: np.ndarray, carry: bool, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def induce(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, lms: np.ndarray, shared: np.ndarray, carry: bool, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Sort all suffixes from LMS suffixes in order (and their shared prefixes).
 
     Yields (byte, positions, shared) from the largest byte down, each chunk in
@@ -172,7 +219,7 @@ def induce(text: np.ndarray, up: np.ndarray, lms: np.ndarray, shared: np.ndarray
             if b > a:
                 positions, own = lms[a:b], shared[a:b].astype(np.int64)
                 if carry:
-                    own[0] = 0 if tail is None else shared_prefix(text, np.array([tail]), positions[:1], 255)[0]
+                    own[0] = 0 if tail is None else prefixes.shared(np.array([tail]), positions[:1], 255)[0]
                 _send(queues, seen, *_induced(text, own, positions, pending, carry, positions > 0))
         seen, pending = np.zeros(256, bool), np.full(256, 255, np.int64)
         for c in range(255, -1, -1):
@@ -184,7 +231,7 @@ def induce(text: np.ndarray, up: np.ndarray, lms: np.ndarray, shared: np.ndarray
                     take = positions > 0
                     take[take] = up[positions[take] - 1] & (text[positions[take] - 1] <= c)
                     _send(rises, seen, *_induced(text, own.astype(np.int64), positions, pending, carry, take))
-            for positions, own in _backwards(done, c, text, tail, carry):
+            for positions, own in _backwards(done, c, prefixes, tail, carry):
                 yield c, positions, own
                 take = positions > 0
                 take[take] = up[positions[take] - 1]
@@ -194,22 +241,18 @@ def induce(text: np.ndarray, up: np.ndarray, lms: np.ndarray, shared: np.ndarray
             q.close()
 
 
-def _backwards(done: Queues, c: int, text: np.ndarray, tail: int | None, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _backwards(done: Queues, c: int, prefixes: Prefixes, tail: int | None, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A bucket's falling suffixes, largest first; shared prefixes move to the neighbour now met before."""
-    chunks, done.chunks[c] = done.chunks[c], []
-    link = 0
-    for i, chunk in enumerate(reversed(chunks)):
-        done.chunks[c] = [chunk]
-        for positions, own in done.take(c):
-            positions, own = positions[::-1], own[::-1]
-            if i == 0:
-                link = int(shared_prefix(text, np.array([tail]), positions[:1], 255)[0]) if carry and tail is not None else 0
-            moved = np.concatenate([[link], own[:-1]]).astype(np.uint8)
-            link = int(own[-1])
-            yield positions, moved
-
-
-def sort_lms(text: np.ndarray, up: np.ndarray, most: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    link = None
+    for positions, own in done.take_backwards(c):
+        if link is None:
+            link = int(prefixes.shared(np.array([tail]), positions[:1], 255)[0]) if carry and tail is not None else 0
+        moved = np.concatenate([[link], own[:-1]]).astype(np.uint8)
+        link = int(own[-1])
+        yield positions, moved
+
+
+def sort_lms(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, most: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """LMS suffixes in order (as far as their first ``most`` bytes tell) and the prefix each shares with the one before.
 
     LMS substrings are sorted by an induction of their own and named; if names
@@ -222,41 +265,47 @@ def sort_lms(text: np.ndarray, up: np.ndarray, most: int, budget: int) -> tuple[
         return lms, np.zeros(0, np.uint8)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
-    found = [p[is_lms[p]] for _, p, _ in induce(text, up, lms, np.zeros(len(lms), np.uint8), False, budget)]
+    found = [p[is_lms[p]] for _, p, _ in induce(text, prefixes, up, lms, np.zeros(len(lms), np.uint8), False, budget)]
     order = np.concatenate(found)[::-1]
-    rank_of = np.searchsorted(lms, order)
+    number = np.zeros(len(text), np.int32)
+    number[lms] = np.arange(len(lms))
+    rank_of = number[order]
     length = np.append(np.diff(lms) + 1, len(text) - lms[-1])[rank_of]
     same = length[1:] == length[:-1]
     close = np.flatnonzero(same)
     # Two LMS substrings of one length are equal if they agree on all of it; the last one ends with the text and is alone.
-    same[close] = shared_prefix(text, order[close], order[close + 1], int(length.max()) + 1) >= length[close]
+    same[close] = prefixes.shared(order[close], order[close + 1], length[close]) >= length[close]
     alone = rank_of == len(lms) - 1
     same &= ~(alone[1:] | alone[:-1])
     rank = np.zeros(len(lms), np.int64)
     rank[rank_of] = np.concatenate([[0], np.cumsum(~same)])
     rank = by_doubling(rank, most)
     order = lms[np.argsort(rank, kind="stable")]
-    shared = np.concatenate([[0], shared_prefix(text, order[1:], order[:-1], most)])
+    shared = np.concatenate([[0], prefixes.shared(order[1:], order[:-1], most)])
     return order, shared.astype(np.uint8)
 
 
 def by_doubling(rank: np.ndarray, most: int) -> np.ndarray:
-    """Ranks of the suffixes of a string of names, by 1, 2, 4, ... names until all differ or ``most`` bytes are compared."""
+    """Ranks of the suffixes of a string of names, by 1, 2, 4, ... names until all differ or ``most`` bytes are compared.
+
+    A rank is the number of smaller suffixes, so that a round only touches what
+    is still tied. A name stands for two bytes at least.
+    """
     span, n = 1, len(rank)
-    while span <= most and int(rank.max()) + 1 < n:
-        crowd = np.bincount(rank)
-        tied = np.flatnonzero(crowd[rank] > 1)
+    crowd = np.bincount(rank)
+    rank = (np.cumsum(crowd) - crowd)[rank]
+    tied = np.flatnonzero(crowd[crowd > 0].repeat(crowd[crowd > 0])[rank] > 1)
+    while len(tied) and 2 * span <= most + 2:
         after = tied + span
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank[tied] * (n + 1) + second
+        key = rank[tied].astype(np.uint64) << U(32) | second.astype(np.uint64)
         order = np.argsort(key)
-        fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) > 0)])
-        settled = np.flatnonzero(crowd[rank] == 1)
-        joint = np.concatenate([rank[settled] * (n + 1), key])
-        names, again = np.unique(joint, return_inverse=True)
-        del fresh, order
-        rank = rank.copy()
-        rank[np.concatenate([settled, tied])] = again
+        key, tied = key[order], tied[order]
+        group, new = group_starts(key >> U(32)), group_starts(key)
+        size = sizes_of(new, len(key))
+        offset = new - np.repeat(group, np.diff(np.append(np.searchsorted(new, group), len(new))))
+        rank[tied] = rank[tied] + np.repeat(offset, size)
+        tied = tied[np.repeat(size > 1, size)]
         span *= 2
     return rank
 
@@ -272,8 +321,9 @@ def suffixes(text: np.ndarray, most: int = 255, budget: int = 1 << 28) -> Iterat
     if most > 255:
         raise ValueError("shared prefixes are kept in a byte")
     up = rising(text)
-    lms, shared = sort_lms(text, up, most, budget)
-    for _, positions, own in induce(text, up, lms, shared, True, budget):
+    prefixes = Prefixes(text)
+    lms, shared = sort_lms(text, prefixes, up, most, budget)
+    for _, positions, own in induce(text, prefixes, up, lms, shared, True, budget):
         yield positions, own
 
 
@@ -381,7 +431,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in map(known_ids, batches):
             ids = longs(batch, "doc_id")
             data, offsets = text_bytes(batch.column(1))
             places, upto = list_column(batch.column(2))
@@ -397,7 +447,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
                 name = stretch_hashes(part, first[use], size)
                 held.append((ids[a + row[use]], first[use] - cuts[row[use]], size, grams[at[use]].view(np.int64), name, part[ranges(first[use], size)]))
                 n += int(size.sum())
-                if n >= 8 * HELD:
+                if n >= HELD_BYTES:
                     yield emit(held)
                     held, n = [], 0
         if held:
@@ -444,7 +494,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
     form = "route long, doc_id long, start long, n long, weight long, name long, bytes binary"
-    gone = dealt.join(places, "doc_id").mapInArrow(send, form).repartition("route").mapInArrow(sort, "doc_id long, start long, n long")
+    gone = dealt.join(places, "doc_id", "left").mapInArrow(send, form).repartition("route").mapInArrow(sort, "doc_id long, start long, n long")
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
     return dealt.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,n:long>>")
 
