@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import answers as A
 from ..plugins import LanguageModel, ModelError, with_retries
@@ -44,7 +45,7 @@ def ask(rows: DataFrame, prompts: str, reply: str, model: LanguageModel, attempt
 
     A failed call raises ModelError, or goes to the column ``errors`` if one is named.
     """
-    schema = rows.schema.add(reply, "string")
+    schema = StructType(list(rows.schema.fields)).add(reply, "string")
     if errors:
         schema = schema.add(errors, "string")
 
