@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import numbers, strip, token_set
+from .text import let, numbers, strip, token_set
 
 
 def type_scores(question: Column) -> Column:
@@ -16,13 +16,11 @@ def type_scores(question: Column) -> Column:
 
 
 def classify(question: Column) -> Column:
-    """The type with most matching patterns; ties in the order of the types, none: fact extraction."""
-    scores = type_scores(question)
-    best = F.greatest(*(scores[n] for n in P.QUESTION_PATTERNS))
-    pick = F.when(best == 0, P.DEFAULT_TYPE)
-    for name in P.QUESTION_PATTERNS:
-        pick = pick.when(scores[name] == best, name)
-    return pick
+    """The type with most matching patterns; ties in the order of the types, none: fact extraction, the first."""
+    names = F.array(*map(F.lit, P.QUESTION_PATTERNS))
+    ordered = lambda s: F.array(*(s[n] for n in P.QUESTION_PATTERNS))
+    best = lambda s: F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))
+    return let(let(type_scores(question), ordered), best)
 
 
 def citations(answer: Column) -> Column:
@@ -63,9 +61,8 @@ def handle_empty(answer: Column) -> Column:
 
 def control_length(x: Column, low: int = 10, high: int = 500) -> Column:
     """Cut past ``high`` characters: at the last full stop if that keeps more than 80 %, else with dots."""
-    head = F.substring(x, 1, high)
-    upto = F.length(F.regexp_extract(head, r"(?s)^(.*[。.])", 1))
-    cut = F.when(upto - 1 > high * 0.8, F.substring(head, F.lit(1), upto)).otherwise(F.concat(head, F.lit("...")))
+    upto = lambda h: F.length(F.regexp_extract(h, r"(?s)^(.*[。.])", 1))
+    cut = let(F.substring(x, 1, high), lambda h: F.when(upto(h) - 1 > high * 0.8, F.substring(h, F.lit(1), upto(h))).otherwise(F.concat(h, F.lit("..."))))
     return F.when(F.length(x) < low, x).when(F.length(x) > high, cut).otherwise(x)
 
 
@@ -73,38 +70,50 @@ def postprocess(answer: Column, context: Column, low: int = 10, high: int = 500)
     """struct(answer, unsupported_numbers, was_truncated, was_empty)."""
     settled = handle_empty(answer)
     empty = ~settled.eqNullSafe(answer)
-    tidy = normalize_format(answer)
-    cut = control_length(tidy, low, high)
-    return F.struct(
-        F.when(empty, settled).otherwise(cut).alias("answer"),
-        F.when(empty, F.array().cast("array<string>")).otherwise(unsupported_numbers(answer, context)).alias("unsupported_numbers"),
-        (~empty & (F.length(cut) < F.length(tidy))).alias("was_truncated"),
-        empty.alias("was_empty"),
+    tidy = lambda x: F.struct(x.alias("tidy"), control_length(x, low, high).alias("cut"))
+    parts = F.struct(settled.alias("settled"), empty.alias("empty"), let(normalize_format(answer), tidy).alias("t"), unsupported_numbers(answer, context).alias("lost"))
+    return let(
+        parts,
+        lambda s: F.struct(
+            F.when(s["empty"], s["settled"]).otherwise(s["t"]["cut"]).alias("answer"),
+            F.when(s["empty"], F.array().cast("array<string>")).otherwise(s["lost"]).alias("unsupported_numbers"),
+            (~s["empty"] & (F.length(s["t"]["cut"]) < F.length(s["t"]["tidy"]))).alias("was_truncated"),
+            s["empty"].alias("was_empty"),
+        ),
     )
 
 
-def _ratios(answer: Column, context: Column) -> tuple[Column, Column, Column, Column]:
-    nums = F.array_distinct(numbers(answer, P.NUMBER_PLAIN))
-    found = F.size(F.array_intersect(nums, numbers(context, P.NUMBER_PLAIN)))
-    words = token_set(answer, P.STOP_WORDS)
-    shared = F.size(F.array_intersect(words, token_set(context, P.STOP_WORDS)))
-    return F.size(nums), found, F.size(words), shared
+def _facts(answer: Column, context: Column) -> Column:
+    """What checks compare: texts, numbers and words of both, and the sizes of what they share."""
+    answer, context = F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit(""))
+    found = lambda x: F.array_distinct(numbers(x, P.NUMBER_PLAIN))
+    raw = F.struct(
+        answer.alias("a"), context.alias("c"), found(answer).alias("an"), found(context).alias("cn"),
+        token_set(answer, P.STOP_WORDS).alias("aw"), token_set(context, P.STOP_WORDS).alias("cw"),
+    )
+    size = lambda s: F.struct(
+        s["a"].alias("a"), s["c"].alias("c"), F.array_sort(s["an"]).alias("an"), F.array_sort(s["cn"]).alias("cn"), F.size(s["an"]).alias("n"), F.size(F.array_intersect(s["an"], s["cn"])).alias("hit"),
+        F.size(s["aw"]).alias("w"), F.size(s["cw"]).alias("cw"), F.size(F.array_intersect(s["aw"], s["cw"])).alias("shared"),
+    )
+    return let(raw, size)
+
+
+def _verdict(s: Column) -> Column:
+    hits, overlap = s["hit"] / F.nullif(s["n"], F.lit(0)), s["shared"] / F.nullif(s["w"], F.lit(0))
+    comparable = (s["w"] > 0) & (s["cw"] > 0)
+    return (
+        F.when((s["a"] == "") | (s["c"] == "") | s["a"].rlike(P.NO_INFORMATION), "Neutral")
+        .when((s["n"] > 0) & (hits >= 0.8), "Support")
+        .when((s["n"] >= 3) & ((s["n"] - s["hit"]) / F.nullif(s["n"], F.lit(0)) >= 0.75), "Contradict")
+        .when(comparable & (overlap >= 0.5), "Support")
+        .when(comparable & (overlap <= 0.15), "Contradict")
+        .otherwise("Neutral")
+    )
 
 
 def check_support(answer: Column, context: Column) -> Column:
     """Support, Contradict or Neutral: numbers first, then shared words."""
-    a, c = F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit(""))
-    n, found, words, shared = _ratios(a, c)
-    ratio = shared / F.nullif(words, F.lit(0))
-    comparable = (words > 0) & (F.size(token_set(c, P.STOP_WORDS)) > 0)
-    return (
-        F.when((a == "") | (c == "") | a.rlike(P.NO_INFORMATION), "Neutral")
-        .when((n > 0) & (found / F.nullif(n, F.lit(0)) >= 0.8), "Support")
-        .when((n >= 3) & ((n - found) / F.nullif(n, F.lit(0)) >= 0.75), "Contradict")
-        .when(comparable & (ratio >= 0.5), "Support")
-        .when(comparable & (ratio <= 0.15), "Contradict")
-        .otherwise("Neutral")
-    )
+    return let(_facts(answer, context), _verdict)
 
 
 def feedback(verdict: Column) -> Column:
@@ -115,18 +124,12 @@ def feedback(verdict: Column) -> Column:
 
 def self_check(answer: Column, context: Column) -> Column:
     """struct(verdict, feedback, num_support_ratio, keyword_overlap_ratio, answer_numbers, context_numbers)."""
-    a, c = F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit(""))
-    n, found, words, shared = _ratios(a, c)
-    verdict = check_support(a, c)
-    listed = lambda x: F.array_sort(F.array_distinct(numbers(x, P.NUMBER_PLAIN)))
-    return F.struct(
-        verdict.alias("verdict"),
-        feedback(verdict).alias("feedback"),
-        F.round(F.coalesce(found / F.nullif(n, F.lit(0)), F.lit(1.0)), 4).alias("num_support_ratio"),
-        F.round(F.coalesce(shared / F.nullif(words, F.lit(0)), F.lit(0.0)), 4).alias("keyword_overlap_ratio"),
-        listed(a).alias("answer_numbers"),
-        listed(c).alias("context_numbers"),
+    share = lambda part, whole, none: F.round(F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(none)), 4)
+    report = lambda s: F.struct(
+        _verdict(s).alias("verdict"), share(s["hit"], s["n"], 1.0).alias("num_support_ratio"), share(s["shared"], s["w"], 0.0).alias("keyword_overlap_ratio"), s["an"].alias("answer_numbers"), s["cn"].alias("context_numbers")
     )
+    advised = lambda s: F.struct(s["verdict"].alias("verdict"), feedback(s["verdict"]).alias("feedback"), *(s[n].alias(n) for n in ("num_support_ratio", "keyword_overlap_ratio", "answer_numbers", "context_numbers")))
+    return let(let(_facts(answer, context), report), advised)
 
 
 def reply_lines(reply: Column) -> Column:

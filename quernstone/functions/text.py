@@ -5,7 +5,7 @@ Java patterns carry (?U) where digits, spaces and word characters are Unicode on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +19,11 @@ TOKEN = r"([\p{L}\p{N}]+)"
 CJK = r"([㐀-鿿]+)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -47,7 +52,8 @@ def numbers(x: Column, pattern: str = P.NUMBER_SIGNED) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    ratio = lambda s: F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"])))
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def normalize(x: Column) -> Column:
@@ -61,10 +67,14 @@ def characters(x: Column) -> Column:
 
 def prf(common: Column, pred: Column, gold: Column) -> Column:
     """struct(precision, recall, f1) of sizes; both empty: 1, one empty: 0."""
-    p, r = common / pred, common / gold
-    score = F.struct(p.alias("precision"), r.alias("recall"), F.when(common == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))
-    flat = lambda v: F.struct(*(F.lit(v).alias(n) for n in ("precision", "recall", "f1")))
-    return F.when((pred == 0) & (gold == 0), flat(1.0)).when((pred == 0) | (gold == 0), flat(0.0)).otherwise(score)
+
+    def score(s: Column) -> Column:
+        p, r = s["c"] / s["p"], s["c"] / s["g"]
+        full = F.struct(p.alias("precision"), r.alias("recall"), F.when(s["c"] == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))
+        flat = lambda v: F.struct(*(F.lit(v).alias(n) for n in ("precision", "recall", "f1")))
+        return F.when((s["p"] == 0) & (s["g"] == 0), flat(1.0)).when((s["p"] == 0) | (s["g"] == 0), flat(0.0)).otherwise(full)
+
+    return let(F.struct(common.alias("c"), pred.alias("p"), gold.alias("g")), score)
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
@@ -74,13 +84,15 @@ def bag_overlap(a: Column, b: Column) -> Column:
 
 
 def char_f1(pred: Column, gold: Column) -> Column:
-    a, b = characters(pred), characters(gold)
-    return prf(bag_overlap(a, b), F.size(a), F.size(b))
+    return _bag_f1(characters(pred), characters(gold))
 
 
 def word_f1(pred: Column, gold: Column) -> Column:
-    a, b = tokens(pred), tokens(gold)
-    return prf(bag_overlap(a, b), F.size(a), F.size(b))
+    return _bag_f1(tokens(pred), tokens(gold))
+
+
+def _bag_f1(a: Column, b: Column) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: prf(bag_overlap(s["a"], s["b"]), F.size(s["a"]), F.size(s["b"])))
 
 
 def _lcs(x: str, y: str) -> int:
@@ -109,8 +121,8 @@ def rouge_l(pred: Column, gold: Column) -> Column:
 
 def number_f1(pred: Column, gold: Column) -> Column:
     """Set F1 over numbers of the raw texts; both without numbers: 1."""
-    a, b = F.array_distinct(numbers(pred)), F.array_distinct(numbers(gold))
-    return prf(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))["f1"]
+    pair = F.struct(F.array_distinct(numbers(pred)).alias("a"), F.array_distinct(numbers(gold)).alias("b"))
+    return let(pair, lambda s: prf(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]), F.size(s["b"]))["f1"])
 
 
 def cosine(a: Column, b: Column) -> Column:

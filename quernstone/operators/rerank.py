@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import jaccard, token_set
+from ..functions.text import jaccard, let, token_set
 from ..plugins import Scorer
 
 
@@ -66,8 +66,7 @@ def mmr(hits: DataFrame, k: int = 5, weight: float = 0.7, relevance: str = "scor
     def step(s, _):
         left = F.filter("items", lambda x: ~F.array_contains(s["taken"], x["rank"]))
         valued = F.transform(left, lambda x: F.struct((-value(x, s)).alias("v"), x["rank"].alias("rank"), x["set"].alias("set")))
-        best = F.array_min(valued)
-        return F.struct(F.concat(s["taken"], F.array(best["rank"])).alias("taken"), F.concat(s["sets"], F.array(best["set"])).alias("sets"))
+        return let(F.array_min(valued), lambda best: F.struct(F.concat(s["taken"], F.array(best["rank"])).alias("taken"), F.concat(s["sets"], F.array(best["set"])).alias("sets")))
 
     taken = rows.select("query_id", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(k)), state, step, lambda s: s["taken"])).alias("i", "old"))
     many = hits.join(taken, (hits.query_id == taken.query_id) & (hits["rank"] == taken.old)).drop(taken.query_id).withColumn("rank", (F.col("i") + 1).cast("long")).drop("i", "old")
