@@ -57,7 +57,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.4, quantile: float = 0.001, most: float = 0.4, seed: int = 7) -> Model:
+def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.4, quantile: float = 0.001, most: float = 0.3, seed: int = 7) -> Model:
     """Fit on four fifths of the sample, calibrate on the rest.
 
     Each step takes one document, or as often a short stretch of it, so that
