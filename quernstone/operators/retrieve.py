@@ -83,9 +83,11 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             for batch in batches:
+                length = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(length == q.shape[1]))  # noqa: PLW2901  null and odd vectors match nothing
                 if not batch.num_rows:
                     continue
-                x = _unit(np.array(batch.column(1).to_pylist(), np.float64))
+                x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1]))
                 scores = np.round(q @ x.T, 9)
                 keep = min(k, scores.shape[1])
                 limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
