@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from . import langid, media, mixing, near_vectors, ngram_join, packing, sharding, substring, suffix, tokens
 
 MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -13,7 +14,7 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_dedup": near_vectors.ORACLE,
         "op3_mixing": mixing.ORACLE,
         "op5_substring_dedup": substring.ORACLE,
+        "op9_suffix_dedup": suffix.ORACLE,
     }

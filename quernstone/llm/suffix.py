@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_MIX, U, binary_column, from_binary, gather, known_ids, longs, mix64, ranges, ship, slices, text_bytes
+from .common import BYTE_MIX, U, binary_column, gather, known_ids, longs, mix64, ranges, ship, slices, text_bytes
 from .seeds import anchors, covered, group_starts, list_column, place_route, repeated_anchors, runs, sizes_of
 
 SLICE = 1 << 20
 #: Entries that queues join into one chunk when they are read, and stretch bytes that a task holds.
 JOINED, HELD_BYTES = 1 << 20, 16 << 20
+#: The longest shared prefix that is told apart.
+TOP = np.uint8(255)
 
 
 class Queues:
@@ -109,11 +111,9 @@ class Prefixes:
     """Lengths of common prefixes of suffixes, eight bytes a step."""
 
     def __init__(self, text: np.ndarray):
-        padded = np.concatenate([text, np.zeros(16, np.uint8)])
         self.n = len(text)
-        self.words = np.zeros(len(text) + 8, np.uint64)
-        for i in range(8):
-            self.words |= padded[i : i + len(self.words)].astype(np.uint64) << U(56 - 8 * i)
+        padded = np.concatenate([text, np.zeros(16, np.uint8)])
+        self.words = np.ndarray((self.n + 8,), ">u8", padded, strides=(1,))  # overlapping views: eight bytes from each place
 
     def shared(self, a: np.ndarray, b: np.ndarray, most: int | np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a[i] and b[i], at most ``most``."""
@@ -122,7 +122,7 @@ class Prefixes:
         room = np.minimum(self.n - np.maximum(a, b), most)
         done = 0
         while len(live):
-            x = self.words[a[live] + done] ^ self.words[b[live] + done]
+            x = (self.words[a[live] + done] ^ self.words[b[live] + done]).astype(np.uint64)
             same = x == 0
             stop = live[~same]
             out[stop] = np.minimum(done + _zero_bytes(x[~same]), room[stop])
@@ -156,23 +156,23 @@ def _induced(text: np.ndarray, shared: np.ndarray, positions: np.ndarray, pendin
     at, before, byte = at[order], before[order], byte[order]
     if not carry:
         return byte, before, np.zeros(len(at), np.uint8)
-    whole = shared.min() if len(shared) else 255
+    whole = shared.min() if len(shared) else TOP
     fresh = np.concatenate([[True], byte[1:] != byte[:-1]]) if len(byte) else np.zeros(0, bool)
-    low = np.zeros(len(at), np.int64)
+    low = np.zeros(len(at), np.uint8)
     if len(at):
         later = np.flatnonzero(~fresh)
         if len(later):
             pairs = np.stack([at[later - 1] + 1, at[later] + 1], axis=1).ravel()
-            low[later] = np.minimum.reduceat(np.append(shared, 255), pairs)[::2]
+            low[later] = np.minimum.reduceat(np.append(shared, TOP), pairs)[::2]
         heads = np.flatnonzero(fresh)
         upto = np.minimum.accumulate(shared)
         low[heads] = np.minimum(pending[byte[heads]], upto[at[heads]])
     np.minimum(pending, whole, out=pending)
     if len(at):
         tails = np.append(heads[1:], len(at)) - 1
-        after = np.append(np.minimum.accumulate(shared[::-1])[::-1], 255)
+        after = np.append(np.minimum.accumulate(shared[::-1])[::-1], TOP)
         pending[byte[tails]] = after[at[tails] + 1]
-    return byte, before, np.minimum(low + 1, 255).astype(np.uint8)
+    return byte, before, low + (low < TOP)
 
 
 def _send(queues: Queues, seen: np.ndarray, byte: np.ndarray, positions: np.ndarray, shared: np.ndarray) -> None:
@@ -202,10 +202,10 @@ def induce(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, lms: np.ndarray
             order = np.argsort(first, kind="stable")
             lms, shared = lms[order], shared[order]
             bounds = np.searchsorted(first[order], np.arange(257))
-        seen, pending = np.zeros(256, bool), np.full(256, 255, np.int64)
+        seen, pending = np.zeros(256, bool), np.full(256, TOP)
         queues.put(int(text[n - 1]), np.array([n - 1]), np.zeros(1, np.uint8))
         seen[text[n - 1]] = True
-        pending[text[n - 1]] = 255
+        pending[text[n - 1]] = TOP
         for c in range(256):
             tail = None
             while queues.chunks[c]:
@@ -214,14 +214,14 @@ def induce(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, lms: np.ndarray
                     tail = int(positions[-1])
                     take = positions > 0
                     take[take] = ~up[positions[take] - 1]
-                    _send(queues, seen, *_induced(text, own.astype(np.int64), positions, pending, carry, take))
+                    _send(queues, seen, *_induced(text, own, positions, pending, carry, take))
             a, b = int(bounds[c]), int(bounds[c + 1])
             if b > a:
-                positions, own = lms[a:b], shared[a:b].astype(np.int64)
+                positions, own = lms[a:b], shared[a:b].copy()
                 if carry:
                     own[0] = 0 if tail is None else prefixes.shared(np.array([tail]), positions[:1], 255)[0]
                 _send(queues, seen, *_induced(text, own, positions, pending, carry, positions > 0))
-        seen, pending = np.zeros(256, bool), np.full(256, 255, np.int64)
+        seen, pending = np.zeros(256, bool), np.full(256, TOP)
         for c in range(255, -1, -1):
             tail = None
             while rises.chunks[c]:
@@ -230,12 +230,12 @@ def induce(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, lms: np.ndarray
                     yield c, positions, own
                     take = positions > 0
                     take[take] = up[positions[take] - 1] & (text[positions[take] - 1] <= c)
-                    _send(rises, seen, *_induced(text, own.astype(np.int64), positions, pending, carry, take))
+                    _send(rises, seen, *_induced(text, own, positions, pending, carry, take))
             for positions, own in _backwards(done, c, prefixes, tail, carry):
                 yield c, positions, own
                 take = positions > 0
                 take[take] = up[positions[take] - 1]
-                _send(rises, seen, *_induced(text, own.astype(np.int64), positions, pending, carry, take))
+                _send(rises, seen, *_induced(text, own, positions, pending, carry, take))
     finally:
         for q in (queues, done, rises):
             q.close()
@@ -416,15 +416,14 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
 
     def emit(held: list) -> pa.RecordBatch:
         doc, start, size, route, name = (np.concatenate([h[i] for h in held]) for i in range(5))
-        data = np.concatenate([h[5] for h in held])
-        upto = np.concatenate([[0], np.cumsum(size)])
+        stretch = [x for h in held for x in h[5]]
         order = np.argsort(name)
         starts = group_starts(name[order])
         n = sizes_of(starts, len(name))
         one, weight = order[starts], np.minimum(n, 2)
         twins = order[np.repeat(n > 1, n)]
         known = runs(np.repeat(doc[twins], size[twins] - span + 1), ranges(start[twins], size[twins] - span + 1))
-        stretches = binary_column(data[ranges(upto[one], size[one])], np.concatenate([[0], np.cumsum(size[one])]))
+        stretches = pa.array([stretch[i] for i in one.tolist()], pa.binary())
         none = np.zeros(len(known[0]), np.int64)
         columns = [(route[one], place_route(known[0], known[1])), (doc[one], known[0]), (start[one], known[1]), (size[one] - span + 1, known[2]), (weight, none), (name[one].view(np.int64), none)]
         return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.concat_arrays([stretches, pa.nulls(len(none), pa.binary())])], ["route", "doc_id", "start", "n", "weight", "name", "bytes"])
@@ -445,7 +444,9 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
                     continue
                 size = count[use] + span - 1
                 name = stretch_hashes(part, first[use], size)
-                held.append((ids[a + row[use]], first[use] - cuts[row[use]], size, grams[at[use]].view(np.int64), name, part[ranges(first[use], size)]))
+                raw = part.tobytes()
+                stretch = [raw[p:q] for p, q in zip(first[use].tolist(), (first[use] + size).tolist(), strict=True)]
+                held.append((ids[a + row[use]], first[use] - cuts[row[use]], size, grams[at[use]].view(np.int64), name, stretch))
                 n += int(size.sum())
                 if n >= HELD_BYTES:
                     yield emit(held)
@@ -459,7 +460,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
             return
         weight = longs(found, "weight")
         doc, start, n = longs(found, "doc_id"), longs(found, "start"), longs(found, "n")
-        data, upto = from_binary(found["bytes"].combine_chunks(), np.uint8)
+        stretches = found["bytes"].combine_chunks()
         real, known = np.flatnonzero(weight > 0), np.flatnonzero(weight == 0)
         out = [(doc[known], start[known], n[known])]
         if len(real):
@@ -467,11 +468,11 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
             starts = group_starts(longs(found, "name")[order])
             one = order[starts]
             total = np.add.reduceat(weight[order], starts)
-            size = np.diff(upto)[one]
-            text = data[ranges(upto[one], size)]
+            text, upto = text_bytes(stretches.take(pa.array(one)))
+            size = np.diff(upto)
             place = ranges(np.zeros(len(size), np.int64), size)
-            mark = repeated_windows(text, place <= np.repeat(size, size) - span, np.repeat(total, size), span, budget)
-            first = np.concatenate([[0], np.cumsum(size)])[:-1]
+            mark = repeated_windows(text, place <= np.repeat(size, size) - span, np.repeat(np.minimum(total, 2).astype(np.uint8), size), span, budget)
+            first = upto[:-1]
             which = np.repeat(np.arange(len(starts)), sizes_of(starts, len(order)))  # each row's own stretch
             windows = n[order]
             at = ranges(first[which], windows)
@@ -501,3 +502,28 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS c FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY c) AS n FROM w) WHERE n > 1
+), run AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM hit)
+), gone AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY doc_id, g
+), cuts AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM gone
+  UNION ALL SELECT doc_id, max(b), (SELECT length(h) // 2 FROM d WHERE d.doc_id = gone.doc_id) FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT c.doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS h FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id
+), lost AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(l.n, 0)::BIGINT AS n_removed, coalesce(l.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN lost l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
