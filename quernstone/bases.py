@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import spread
+
 PRICE = "cast(cast(o_totalprice AS decimal(18, 2)) AS string)"
 
 ANSWERS = f"""
@@ -64,7 +66,7 @@ FROM {nation}
 def spark_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the statements above over the tables in ``sf_dir``."""
     names = [n for n in ("orders", "customer", "nation") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: spread(spark.read.parquet(f"{sf_dir}/{n}.parquet")) for n in names})
 
 
 def duck(sql: str) -> str:

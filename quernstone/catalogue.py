@@ -13,7 +13,7 @@ from .functions import patterns as P
 from .functions import text as T
 from .operators import chunk, enrich, evaluate, generate, index, parse, rerank, retrieve
 from .oracles import SQL
-from .session import ship
+from .session import ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("filename"), F.col("doc_id").alias("page"))
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("filename"), F.col("doc_id").alias("page"))
 
 
 def benchmark(spark, d):

@@ -47,7 +47,8 @@ def lexical_index(texts: DataFrame, id_: str, text: str = "text", tokenized: Col
     tokenized = tokens(F.col(text)) if tokenized is None else tokenized
     postings = postings_of(texts, id_, tokenized)
     corpus = texts.agg(F.count("*").alias("n"), F.avg(F.size(F.coalesce(tokenized, F.array().cast("array<string>"))).cast("double")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading tf here too keeps this branch's plan equal to that of the postings, so that one exchange serves both.
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("total > 0")
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
