@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, from_binary, gather, known_ids, longs, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
+from .common import binary_column, gather, known_ids, longs, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
 from .seeds import HELD, anchors, covered, list_column, place_route, repeated_anchors, runs
 
 SLICE = 4 << 20
@@ -35,7 +35,9 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
     Documents are joined on anchors that occur twice. From each shared anchor
     the match is extended both ways, a window at a time, from the window that
     ends at the anchor's last word to the one that starts at its first; runs of
-    matching windows are the maximal repeats. Null texts have no words. Rows with
+    matching windows are the maximal repeats. A window goes to the task of its own
+    hash, once per distinct content and task, so that a passage which stands in
+    very many documents, each time between other words, is spread. Null texts have no words. Rows with
     a null id neither remove nor lose words. Rows of one id and one text count as
     the same place, so they don't remove each other. An empty table gives none.
     """
@@ -47,24 +49,15 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
         return row, grams[at], at - firsts[row]
 
     def emit(held: list) -> pa.RecordBatch:
-        hash_, doc, start, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
+        hash_, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, doc, hash_))
-        same = hash_[order][1:] == hash_[order][:-1]
-        lead = np.concatenate([[True], ~same])
-        head = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        late = np.zeros(len(doc), bool)
-        late[order] = (doc[order] != doc[head]) | (start[order] != start[head])
+        lead = np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]])
+        first = order[lead]
+        head = first[np.cumsum(lead) - 1]
+        late = order[(doc[order] != doc[head]) | (start[order] != start[head])]
         gone = runs(doc[late], start[late])
-        rest = np.flatnonzero(~late)
-        d, s, a = doc[rest], start[rest], anchor[rest]
-        fresh = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])]))
-        hashes = binary_column(hash_[rest], np.append(fresh, len(rest)))
-        n = np.diff(np.append(fresh, len(rest)))
-        arrays = [
-            np.concatenate([a[fresh].view(np.int64), place_route(gone[0], gone[1])]),
-            np.concatenate([d[fresh], gone[0]]), np.concatenate([s[fresh], gone[1]]), np.concatenate([n, gone[2]]),
-        ]
-        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.concat_arrays([hashes, pa.nulls(len(gone[0]), pa.binary())])], ["route", "doc_id", "start", "n", "windows"])
+        arrays = [np.concatenate([hash_[first].view(np.int64), place_route(gone[0], gone[1])]), np.concatenate([doc[first], gone[0]]), np.concatenate([start[first], gone[1]]), np.concatenate([np.zeros(len(first), np.int64), gone[2]])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, arrays[:3]), pa.array(arrays[3].astype(np.int32))], ["route", "doc_id", "start", "n"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -81,7 +74,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
                     continue
                 start = ranges(first[use], count[use])
                 owner = np.repeat(row[use], count[use])
-                held.append((window_hashes(h, span)[start], ids[a + owner], start - firsts[owner], np.repeat(grams[at[use]], count[use])))
+                held.append((window_hashes(h, span)[start], ids[a + owner], start - firsts[owner]))
                 n += len(start)
                 if n >= HELD:
                     yield emit(held)
@@ -93,18 +86,13 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
         found = gather(batches)
         if found is None:
             return
-        column = found["windows"].combine_chunks()
-        doc, start, n = longs(found, "doc_id"), longs(found, "start"), longs(found, "n")
-        hash_, upto = from_binary(column, np.uint64)
-        size = np.diff(upto)
-        d, s = np.repeat(doc, size), ranges(start, size)
-        order = np.lexsort((s, d, hash_))
-        hash_, d, s = hash_[order], d[order], s[order]
-        lead = np.concatenate([[True], hash_[1:] != hash_[:-1]]) if len(hash_) else np.zeros(0, bool)
-        head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        late = (d != d[head]) | (s != s[head])
-        known = size == 0
-        out = [np.concatenate(x) for x in zip(runs(d[late], s[late]), (doc[known], start[known], n[known]), strict=True)]
+        route, doc, start, n = (longs(found, c) for c in ("route", "doc_id", "start", "n"))
+        known, open_ = np.flatnonzero(n > 0), np.flatnonzero(n == 0)
+        order = open_[np.lexsort((start[open_], doc[open_], route[open_]))]
+        lead = np.concatenate([[True], route[order][1:] != route[order][:-1]]) if len(order) else np.zeros(0, bool)
+        head = order[lead][np.cumsum(lead) - 1]
+        late = order[(doc[order] != doc[head]) | (start[order] != start[head])]
+        out = [np.concatenate(x) for x in zip(runs(doc[late], start[late]), (doc[known], start[known], n[known]), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "start", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +118,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(firsts)), pa.array(np.diff(lost)), text, batch.column(2).slice(a, b - a)], ["doc_id", "text", "n_words", "n_removed", "kept_text", "spans"])
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
-    windows = dealt.join(places, "doc_id", "left").mapInArrow(extend, "route long, doc_id long, start long, n long, windows binary")
+    windows = dealt.join(places, "doc_id", "left").mapInArrow(extend, "route long, doc_id long, start long, n int")
     gone = windows.repartition("route").mapInArrow(decide, "doc_id long, start long, n long")
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
     return dealt.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, kept_text string, spans array<struct<start:long,n:long>>")
