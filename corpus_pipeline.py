@@ -35,10 +35,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as its source's target asks, or drop it."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    again = F.explode(F.expr("sequence(1, copies)"))
-    return docs.join(taken.where("copies > 0"), "doc_id").select(*docs.columns, again.alias("copy")).select(docs.columns)
+    """Repeat each document as often as its source's target asks, or drop it; rows with a null id are dealt like others."""
+    return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return sizes.join(found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it.
+
+    A row finds its copies by its own source and hash, not by its id: rows with a
+    null id and repeated ids come out as often as they are counted.
+    """
+    sizes = materialize(docs.select("source", word_count().alias("size"), key_hash().alias("hash")), "mix-sizes")
+    found = thresholds(sizes, source_targets(sizes, weights, share, cap)).select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("below").alias("_below"))
+    copies = F.col("_times") + (key_hash() < F.col("_below")).cast("long")
+    joined = docs.join(found, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), copies.cast("int"))).alias("_copy")).select(docs.columns)
+
+
 ORACLE = """
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

@@ -255,3 +255,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen["mixing"]) <= set(cut)
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(final.columns) and final.count() > 0
+
+
+def pipeline_rows(seed):
+    r = random.Random(seed)
+    words = ["bado", "gorth", "dugo", "thba"]
+    prose = lambda n: " ".join(r.choice(words) + str(r.randrange(10**6)) for _ in range(n))
+    return prose, [(i, prose(100), "xx", f"s{i % 3}", 1) for i in range(60)]
+
+
+def test_pipeline_keeps_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    prose, rows = pipeline_rows(9)
+    rows += [(None, prose(100), "xx", "s1", 1), (None, prose(100), "xx", "null ids", 1), (None, prose(100), "xx", None, 1)]
+    after = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-2]:
+        after = stage(spark, after, str(tmp_path)).cache()
+        assert sorted(x["text"] for x in after.collect()) == sorted(x[1] for x in rows), name
+    want = {}
+    for x in mixing.mix(after).collect():
+        key = (x["doc_id"], x["source"])
+        want[key] = want.get(key, 0) + x["copies"]
+    mixed = corpus_pipeline.STAGES[3][1](spark, after, str(tmp_path)).cache()
+    got = {}
+    for x in mixed.collect():
+        key = (x["doc_id"], x["source"])
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and got[None, "null ids"] == 2 and mixed.columns == after.columns
+    pieces = corpus_pipeline.STAGES[4][1](spark, mixed, str(tmp_path))
+    assert pieces.where("doc_id is null and start = 0").count() == sum(n for (d, _), n in want.items() if d is None)
