@@ -20,17 +20,44 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).where(~F.col("rejected")).select(docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a number for each distinct (doc_id, text) in the order of ids, as ``_row``, and whether an id repeats.
+
+    Operators know rows by their id. Where ids repeat, numbers keep rows of one id
+    and different texts apart; equal rows share theirs. A null id has none.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), False
+    marked = docs.withColumn("_text", F.coalesce(F.sha2("text", 256), F.lit("")))
+    keys = marked.where("doc_id is not null").select("doc_id", "_text").distinct().orderBy("doc_id", "_text").withColumn("_row", F.monotonically_increasing_id())
+    return materialize(marked.join(materialize(keys, "row-numbers"), ["doc_id", "_text"], "left").select(*docs.columns, "_row"), "numbered"), True
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each component of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
-    found = ngram_join.jaccard_components(docs, k=5, num=8, den=10)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each component of near-duplicates, of its smallest id: five-word shingles, Jaccard 0.8 or more.
+
+    Of rows with one id and one text one stays, with words or without. Rows with a null id all stay.
+    """
+    rows, repeats = numbered(docs)
+    found = ngram_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=8, den=10)
+    kept = rows.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "_row", "left_anti")
+    if not repeats:
+        return kept.select(docs.columns)
+    once = kept.where("_row is not null").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return once.unionByName(kept.where("_row is null").select(docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words or more that stand in an earlier document; drop documents of which nothing is left."""
-    found = substring.remove_repeats(docs, span=50).where("n_removed > 0").select("doc_id", "kept_text", F.lit(True).alias("cut"))
+    """Cut passages of 50 words or more that stand in an earlier document; drop documents of which nothing is left.
+
+    Rows of one id and one text are one place and come out alike; of rows of one
+    id and different texts, each loses its own passages alone.
+    """
+    rows, repeats = numbered(docs)
+    found = substring.remove_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), span=50).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept_text", F.lit(True).alias("cut"))
+    found = found.dropDuplicates(["_row"]) if repeats else found
     text = F.when(F.col("cut"), F.col("kept_text")).otherwise(F.col("text"))
-    joined = docs.join(found, "doc_id", "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    joined = rows.join(found, "_row", "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.where("cut is null or text <> ''").select(docs.columns)
 
 

@@ -285,3 +285,31 @@ def test_pipeline_keeps_null_ids(spark, tmp_path):
     assert got == {k: n for k, n in want.items() if n} and got[None, "null ids"] == 2 and mixed.columns == after.columns
     pieces = corpus_pipeline.STAGES[4][1](spark, mixed, str(tmp_path))
     assert pieces.where("doc_id is null and start = 0").count() == sum(n for (d, _), n in want.items() if d is None)
+
+
+def test_pipeline_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    prose, rows = pipeline_rows(10)
+    passage, long_passage, own, twin = prose(70), prose(200), prose(150), prose(100)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    put = lambda d, t: (d, t, "xx", "s1", 1)
+    rows += [put(-1, passage + " " + own)]
+    rows += [put(100, prose(90) + "\n" + passage)] * 3  # one row, repeated, that loses words
+    rows += [put(200, long_passage + " " + prose(5)), put(200, "short words only"), put(200, prose(60) + " " + passage)]  # one id, three texts
+    rows += [put(300, twin), put(300, twin + " more"), put(301, twin), put(302, None), put(302, None)]
+    deduped = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows, schema), str(tmp_path)).cache()
+    got = sorted((x["doc_id"], x["text"] or "") for x in deduped.collect())
+    left = set(rows) - {put(300, twin), put(300, twin + " more"), put(301, twin)}
+    first = [x for x in got if x[0] >= 300 and x[1]]
+    assert len(first) == 1 and first[0] in {(300, twin), (300, twin + " more")}
+    assert [x for x in got if x not in first] == sorted((d, t or "") for d, t, *_ in left)
+
+    for again in (1, 3):  # also where the stage itself is given repeated rows
+        given = spark.createDataFrame([x for x in sorted(left, key=str) for _ in range(again)], schema)
+        cut = sorted((x["doc_id"], x["text"] or "", x["n_chars"]) for x in corpus_pipeline.STAGES[2][1](spark, given, str(tmp_path)).collect())
+        want = []
+        for d, t, _, _, n in left:
+            kept = " ".join(t.replace(passage, "").split()) if d in (100, 200) and passage in t else t or ""
+            want += [(d, kept, n if kept == (t or "") else len(kept))] * again
+        assert cut == sorted(want)
