@@ -32,16 +32,17 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten()
         bad = flat.is_null().to_numpy(zero_copy_only=False)
-        values = np.nan_to_num(flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0, nan=np.inf)  # +0.0: one zero
+        raw = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+        bad = bad | ~np.isfinite(raw)
+        values = np.where(bad, 0.0, raw) + 0.0  # +0.0: one zero
         upto = np.concatenate([[0], np.cumsum(size)])
-        bad = bad | ~np.isfinite(values)
         wrong = np.concatenate([[0], np.cumsum(bad)])[upto]
         some = np.concatenate([[0], np.cumsum(values != 0)])[upto]
         ok = (np.diff(wrong) == 0) & (np.diff(some) > 0)
         place = ranges(np.zeros(len(size), np.int64), size).astype(np.uint64)
-        raw = mix64(values.view(np.uint64) + place * SHINGLE_MIX[3])
-        other = mix64(raw + SHINGLE_MIX[4])
-        hashes = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[upto] for x in (raw, other)]
+        one = mix64(values.view(np.uint64) + place * SHINGLE_MIX[3])
+        other = mix64(one + SHINGLE_MIX[4])
+        hashes = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[upto] for x in (one, other)]
         keep = np.flatnonzero(ok)
         offsets = np.concatenate([[0], np.cumsum(size[keep])])
         body = values[ranges(upto[keep], size[keep])]

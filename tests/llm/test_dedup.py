@@ -215,3 +215,10 @@ def test_near_vectors(spark, monkeypatch, block):
     assert {tuple(r) for r in got} == brute_vectors(rows, 0.98)
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert near_vectors.near_vectors(empty).count() == 0
+
+
+def test_near_vectors_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(i, [x] + [1.0] * 3, 1) for i, x in enumerate([inf, inf, -inf, -inf, nan, nan, 1.0, 1.0])]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()
+    assert sorted(map(tuple, got)) == [(i, 0, i, True) for i in range(6)] + [(6, 1, 6, True), (7, 1, 6, False)]
