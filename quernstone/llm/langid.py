@@ -57,12 +57,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.4, quantile: float = 0.001, most: float = 0.3, seed: int = 7) -> Model:
+def low_score(scores: np.ndarray, quantile: float) -> float:
+    """The score that right answers fall below with chance ``quantile``, from their ``scores`` alone.
+
+    That is their own quantile; but a rare one lies under the least of few
+    scores. So the lowest tenth (ten at least) sets the scale of an exponential
+    tail of the log odds, with one more unit, the tail of a logistic, where there
+    are few. The lower of the two counts.
+    """
+    p = np.clip(np.asarray(scores, np.float64), 1e-9, 1 - 1e-9)
+    odds = np.sort(np.log(p / (1 - p)))
+    k = min(len(odds), max(10, -(-len(odds) // 10)))
+    scale = (1 + (odds[k - 1] - odds[:k]).sum()) / (k + 1)
+    tail = odds[k - 1] - scale * np.log(k / (len(odds) * quantile))
+    return float(1 / (1 + np.exp(-min(tail, np.quantile(odds, quantile)))))
+
+
+def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.4, quantile: float = 0.001, seed: int = 7) -> Model:
     """Fit on four fifths of the sample, calibrate on the rest.
 
     Each step takes one document, or as often a short stretch of it, so that
     short texts are scored as soberly as long ones. A text is rejected if its
-    score is under the ``quantile`` of right calibration answers, and under ``most``.
+    score is under the ``quantile`` of right calibration answers, see ``low_score``.
     """
     labels = sorted(set(langs))
     if not labels:
@@ -102,7 +118,7 @@ def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1
         temperature = float(grid[int(np.argmin(loss))])
         p = softmax(logits / temperature)
         good = p.max(axis=1)[p.argmax(axis=1) == right]
-        threshold = min(most, float(np.quantile(good, quantile))) if len(good) else 0.0
+        threshold = low_score(good, quantile) if len(good) else 0.0
     return Model(labels, table, bias, temperature, threshold)
 
 

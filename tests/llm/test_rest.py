@@ -313,3 +313,18 @@ def test_pipeline_repeated_ids(spark, tmp_path):
             kept = " ".join(t.replace(passage, "").split()) if d in (100, 200) and passage in t else t or ""
             want += [(d, kept, n if kept == (t or "") else len(kept))] * again
         assert cut == sorted(want)
+
+
+@pytest.mark.parametrize("labels", [2, 4])
+def test_language_id_rejects_unlearned_languages(spark, labels):
+    r = random.Random(12)
+    syllables = {"ww": ["pri", "no", "ska", "vel"], "xx": ["ba", "du", "gor", "th"], "yy": ["çi", "lé", "oux", "que"], "zz": ["sch", "ung", "keit", "zu"]}
+    learned = sorted(syllables)[:labels]
+    write = lambda parts: " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(30))
+    rows = [(i, write(syllables[lang]), lang) for i, lang in enumerate(learned * (800 // labels))]
+    other = [(10_000 + i, write(parts), None) for i, parts in enumerate([["при", "вет", "мир", "ска"], ["日", "本", "語", "文"], ["jjq", "wkx", "ymf", "xwj"]] * 20)]
+    df = spark.createDataFrame(rows + other, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.fit(df)).withColumn("held", langid.held_out()).collect()
+    held = [x["rejected"] for x in got if x["held"] and x["lang"]]
+    assert len(held) > 150 and sum(held) <= 0.02 * len(held)
+    assert all(x["rejected"] for x in got if x["lang"] is None)
