@@ -122,14 +122,19 @@ def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1
     return Model(labels, table, bias, temperature, threshold)
 
 
-def sample(labelled: DataFrame, per_label: int, text_bytes_most: int, seed: int) -> tuple[list[bytes], list[str]]:
-    """About ``per_label`` rows of each label, by hash; texts cut to ``text_bytes_most`` bytes for training alone."""
+def sample(labelled: DataFrame, per_label: int, training_chars: int, seed: int) -> tuple[list[bytes], list[str]]:
+    """About ``per_label`` rows of each label, by hash.
+
+    Of a longer text, ``training_chars`` characters are read, for training alone;
+    they start at a hashed place, so that any part of a text may be among them.
+    """
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
     draw = F.expr(f"pmod(xxhash64(doc_id, {seed}), 1000003) / 1000003.0D")
-    rows = labelled.where(draw < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.substring("text", 1, text_bytes_most).alias("text")).collect()
+    at = F.expr(f"pmod(xxhash64(doc_id, {seed + 1}), greatest(length(text) - {training_chars}, 0) + 1) + 1")
+    rows = labelled.where(draw < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.col("text").substr(at.cast("int"), F.lit(training_chars)).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 

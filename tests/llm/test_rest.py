@@ -328,3 +328,14 @@ def test_language_id_rejects_unlearned_languages(spark, labels):
     held = [x["rejected"] for x in got if x["held"] and x["lang"]]
     assert len(held) > 150 and sum(held) <= 0.02 * len(held)
     assert all(x["rejected"] for x in got if x["lang"] is None)
+
+
+def test_language_id_learns_from_whole_texts(spark):
+    rows = [(i, "header " * 1000 + "".join(f"<{k}>" for k in range(1000)), "xx") for i in range(200)] + [(200, "short text", "xx"), (201, "é" * 4000, "xx")]
+    texts, _ = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1000, 4000, 7)
+    whole = rows[0][1]
+    long_ones = [t.decode() for t in texts if t[:1] != b"s" and t[:2] != "é".encode()]
+    assert len(texts) == 202 and all(len(t) == 4000 and t in whole for t in long_ones)
+    starts = [whole.index(t) for t in long_ones if "<" in t]
+    assert len(starts) > 50 and max(starts) > len(whole) - 4000 - 1000
+    assert b"short text" in texts and ("é" * 4000).encode() in texts
