@@ -1,4 +1,4 @@
-"""Substring deduplication on words: seed with winnowed anchors, extend both ways, keep maximal repeats."""
+"""Substring deduplication on words: winnowed anchors choose windows, which are grouped by the hash of all their words."""
 
 from __future__ import annotations
 
@@ -32,12 +32,12 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
     in a smaller doc_id, or in the same document further left. Windows are judged
     on the input.
 
-    Documents are joined on anchors that occur twice. From each shared anchor
-    the match is extended both ways, a window at a time, from the window that
-    ends at the anchor's last word to the one that starts at its first; runs of
-    matching windows are the maximal repeats. A window goes to the task of its own
-    hash, once per distinct content and task, so that a passage which stands in
-    very many documents, each time between other words, is spread. Null texts have no words. Rows with
+    Documents are not joined and no match is extended: anchors that occur once
+    rule windows out, and every window of a repeated anchor is grouped by a 64-bit
+    hash of all its words, on which equality rests. A window goes to the task of
+    its own hash, once per distinct content and task, so that a passage which
+    stands in very many documents, each time between other words, is spread.
+    Consecutive repeated windows are joined into runs. Null texts have no words. Rows with
     a null id neither remove nor lose words. Rows of one id and one text count as
     the same place, so they don't remove each other. An empty table gives none.
     """
