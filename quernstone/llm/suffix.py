@@ -6,7 +6,9 @@ bucket. Buckets are first-in-first-out queues keyed by first byte, which is the
 order a priority queue over (byte, arrival) would give; each entry carries its
 position and the prefix it shares with the entry before it. Queues hold numpy
 chunks and spill them to files past a budget, and the sorted suffixes leave as a
-stream, so that only the text and the ranks of LMS suffixes stay in memory.
+stream. A shard must still fit in memory: its rows are gathered first, and its
+text, masks and weights, the order, names and ranks of its LMS suffixes and an
+index over its bytes are arrays.
 """
 
 from __future__ import annotations
