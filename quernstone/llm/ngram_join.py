@@ -150,7 +150,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
 
     Documents link when den * |common| >= num * |union| over their sets of
     distinct k-word shingles, A-Z lower-cased; fewer words make one shingle.
-    component_id is the smallest doc_id that links reach. Rows without words
+    component_id is the smallest doc_id that links reach. Links themselves, and
+    their number, are not offered: pairs already in one component are not
+    verified. Rows without words
     (or text) have no shingles and link with nothing, nor do rows with a null
     id. Repeated rows have one set. An empty table gives no rows.
     """
