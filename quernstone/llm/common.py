@@ -179,11 +179,6 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
-def known_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows whose first column is not null. Filtering here rather than in the plan lets all reads share one exchange."""
-    return batch.filter(batch.column(0).is_valid()) if batch.column(0).null_count else batch
-
-
 def binary_column(values: np.ndarray, firsts: np.ndarray) -> pa.Array:
     """A binary column: row i holds the raw little-endian items firsts[i]..firsts[i+1]-1."""
     raw = np.ascontiguousarray(values)

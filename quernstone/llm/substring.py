@@ -1,4 +1,4 @@
-"""Substring deduplication on words: winnowed anchors choose windows, which are grouped by the hash of all their words."""
+"""Substring deduplication on words by seed and extend: joined on winnowed anchors, extended both ways word by word."""
 
 from __future__ import annotations
 
@@ -8,77 +8,179 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import binary_column, gather, known_ids, longs, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
-from .seeds import HELD, anchors, covered, list_column, place_route, repeated_anchors, runs
+from .common import SHINGLE_MIX, binary_column, gather, longs, mix64, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
+from .seeds import anchors, covered, gathered, group_starts, keyed, list_column, marked, nullable, own_spans, place_route, place_runs, repeated_anchors, sizes_of, span_column
 
 SLICE = 4 << 20
+#: Bytes of stretches that a task holds before it combines and sends them on.
+HELD_BYTES = 32 << 20
+SPANS = T.ArrayType(T.StructType().add("start", "long").add("n", "long"))
+FORM = "route long, row long, doc_id long, start long, before int, n int, stretch binary"
 
 
 def _sequences(data: np.ndarray, offsets: np.ndarray, k: int, span: int):
-    """Word hashes of a slice and its anchors."""
+    """Words of a slice, their hashes and its anchors."""
     starts, ends, firsts = words(data, offsets)
     h = word_hashes(data, starts, ends)
     grams = window_hashes(h, k)
-    return h, firsts, grams, anchors(grams, firsts, k, span)
+    return (starts, ends, firsts), h, grams, anchors(grams, firsts, k, span)
 
 
-def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
+def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words, each with one space behind it, and where each begins (and the end)."""
+    size = ends - starts
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    out[ranges(begin[:-1], size)] = data[ranges(starts, size)]
+    return out.tobytes(), begin
+
+
+def _refined(classes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct pairs (classes[i], by[i])."""
+    return np.unique(classes * (int(by.max(initial=0)) + 1) + by, return_inverse=True)[1]
+
+
+def extended(stretches: pa.Array, route: np.ndarray, before: np.ndarray, place: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(item, words before its anchor) of every window of ``span`` words that an item with a smaller place has too.
+
+    Items are stretches of words that hold one anchor each, ``before`` words
+    from their start; those of one route may match. All are extended together:
+    one more word to the right, or to the left, parts the items whose words
+    differ. A window is a match if its words left of the anchor and from the
+    anchor on are. So a frequent anchor costs its items times the span, and no
+    pairs are formed. Items come in the order of their places.
+    """
+    data, offsets = text_bytes(stretches)
+    ends = np.flatnonzero(data == 32) + 1
+    upto = np.concatenate([[0], ends])
+    first = np.searchsorted(ends, offsets, "right")  # each item's first word, and the total
+    spelled = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    word = spelled.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    anchor = first[:-1] + before
+    right = first[1:] - anchor  # words from the anchor on
+
+    def widen(classes: np.ndarray, live: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.full(len(classes), -1)
+        out[live] = _refined(classes[live], word[at[live]])
+        return out
+
+    ahead = {0: np.unique(route, return_inverse=True)[1]}
+    for m in range(1, span + 1):
+        ahead[m] = widen(ahead[m - 1], np.flatnonzero(right >= m), anchor + m - 1)
+        if m - 1 < k:
+            del ahead[m - 1]
+    behind = np.zeros(len(route), np.int64)
+    items, offs = [], []
+    for j in range(span - k + 1):
+        if j:
+            behind = widen(behind, np.flatnonzero(before >= j), anchor - j)
+        live = np.flatnonzero((before >= j) & (right >= span - j))
+        if len(live) < 2:
+            continue
+        both = behind[live] * len(route) + ahead[span - j][live]
+        order = np.argsort(both, kind="stable")
+        starts = group_starts(both[order])
+        order = live[order]
+        head = np.repeat(order[starts], sizes_of(starts, len(order)))
+        late = order[place[order] != place[head]]
+        items.append(late)
+        offs.append(np.full(len(late), j))
+    return (np.concatenate(items), np.concatenate(offs)) if items else (np.zeros(0, np.int64),) * 2
+
+
+def _places(key: np.ndarray, doc: np.ndarray, nul: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number): items by (id, nulls last, row, start), and a number for each distinct place, in that order."""
+    order = np.lexsort((start, key, doc, nul))
+    fresh = np.ones(len(order), bool)
+    for x in (key, doc, nul, start):
+        fresh[1:] &= x[order][1:] == x[order][:-1]
+    fresh[1:] = ~fresh[1:]
+    number = np.zeros(len(order), np.int64)
+    number[order] = np.cumsum(fresh)
+    return order, number
+
+
+def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5, carry: list[str] | None = None) -> DataFrame:
     """Remove repeated passages of ``span`` words or more, all but where they stand first.
 
     Returns doc_id, text, n_words, n_removed, kept_text (the kept words joined
-    by one space) and spans (removed runs of words: start, n, width in windows).
-    A word goes if a window of ``span`` words covers it that also starts earlier:
-    in a smaller doc_id, or in the same document further left. Windows are judged
-    on the input.
-
-    Documents are not joined and no match is extended: anchors that occur once
-    rule windows out, and every window of a repeated anchor is grouped by a 64-bit
-    hash of all its words, on which equality rests. A window goes to the task of
-    its own hash, once per distinct content and task, so that a passage which
-    stands in very many documents, each time between other words, is spread.
-    Consecutive repeated windows are joined into runs. Null texts have no words. Rows with
-    a null id neither remove nor lose words. Rows of one id and one text count as
-    the same place, so they don't remove each other. An empty table gives none.
+    by one space), spans (removed runs of words: start, n, width in windows) and
+    carried (the columns that ``carry`` names). A word goes if a window of
+    ``span`` words covers it that also starts earlier: in a smaller doc_id, or in
+    the same row further left. Windows are judged on the input.
+
+    Rows are joined on winnowed anchors that occur more than once. Each brings
+    the stretch of words whose windows the anchor stands for; matches are
+    extended from the anchor both ways, comparing words, and the runs of
+    neighbouring anchors join into maximal repeats. Copies of one stretch within a
+    task are settled there. A hot anchor (see seeds) is split: each of its
+    windows goes by its own content, so that the edges of a passage which stands
+    in very many texts, each time between other words, are spread.
+
+    Null texts have no words. Null ids count as the largest; rows of one id and
+    different texts stand in the order of a hash of their texts. Rows of one id
+    and one text count as the same place, so they don't remove each other. An
+    empty table gives none.
     """
     ship(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id")
+    dealt = keyed(docs, carry)
 
     def find(data: np.ndarray, offsets: np.ndarray):
-        _, firsts, grams, (row, at, _, _) = _sequences(data, offsets, k, span)
+        (_, _, firsts), _, grams, (row, at, _, _) = _sequences(data, offsets, k, span)
         return row, grams[at], at - firsts[row]
 
+    def batch_of(open_: tuple, gone: tuple) -> pa.RecordBatch:
+        route, key, doc, start, before, stretch = open_
+        gone_key, gone_doc, gone_start, gone_n = gone
+        m, n = len(route), len(gone_key)
+        columns = [
+            pa.array(np.concatenate([route, place_route(gone_key, gone_start)])), pa.array(np.concatenate([key, gone_key])), pa.concat_arrays([doc, gone_doc]), pa.array(np.concatenate([start, gone_start])),
+            pa.array(np.concatenate([before, np.full(n, -1)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(m, np.int64), gone_n]).astype(np.int32)), pa.concat_arrays([stretch, pa.nulls(n, pa.binary())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["route", "row", "doc_id", "start", "before", "n", "stretch"])
+
     def emit(held: list) -> pa.RecordBatch:
-        hash_, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, doc, hash_))
-        lead = np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]])
-        first = order[lead]
-        head = first[np.cumsum(lead) - 1]
-        late = order[(doc[order] != doc[head]) | (start[order] != start[head])]
-        gone = runs(doc[late], start[late])
-        arrays = [np.concatenate([hash_[first].view(np.int64), place_route(gone[0], gone[1])]), np.concatenate([doc[first], gone[0]]), np.concatenate([start[first], gone[1]]), np.concatenate([np.zeros(len(first), np.int64), gone[2]])]
-        return pa.RecordBatch.from_arrays([*map(pa.array, arrays[:3]), pa.array(arrays[3].astype(np.int32))], ["route", "doc_id", "start", "n"])
+        route, key, doc, nul, start, before, n = (np.concatenate([h[i] for h in held]) for i in range(7))
+        stretch = [x for h in held for x in h[7]]
+        seen: dict[tuple, int] = {}
+        code = np.fromiter((seen.setdefault(x, len(seen)) for x in zip(route.tolist(), before.tolist(), stretch, strict=True)), np.int64, len(stretch))
+        order, place = _places(key, doc, nul, start)
+        order = order[np.argsort(code[order], kind="stable")]
+        starts = group_starts(code[order])
+        one = order[starts]
+        head = np.repeat(one, sizes_of(starts, len(order)))
+        late = order[place[order] != place[head]]
+        gone = place_runs(key, doc, nul, start, late, start[late], n[late])
+        return batch_of((route[one], key[one], pa.array(doc[one], mask=nul[one]), start[one], before[one], pa.array([stretch[i] for i in one.tolist()], pa.binary())), gone)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in map(known_ids, batches):
-            ids = longs(batch, "doc_id")
-            data, offsets = text_bytes(batch.column(1))
-            places, upto = list_column(batch.column(2))
+        held, size = [], 0
+        for batch in batches:
+            keys = longs(batch, "row")
+            docs_, nulls = nullable(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
+            places, upto = list_column(batch.column(4))
             for a, b in slices(offsets, SLICE):
-                h, firsts, grams, (row, at, first, count) = _sequences(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k, span)
-                seed = np.zeros(len(h) + 1, bool)
-                seed[places[upto[a] : upto[b]] + np.repeat(firsts[:-1], np.diff(upto[a : b + 1]))] = True
-                use = np.flatnonzero(seed[at])
-                if not len(use):
+                part = data[offsets[a] : offsets[b]]
+                (starts, ends, firsts), h, grams, (row, at, first, count) = _sequences(part, offsets[a : b + 1] - offsets[a], k, span)
+                seed = marked(places, upto, firsts, a, b)[at] if len(at) else np.zeros(0, np.int8)
+                if not seed.any():
                     continue
-                start = ranges(first[use], count[use])
-                owner = np.repeat(row[use], count[use])
-                held.append((window_hashes(h, span)[start], ids[a + owner], start - firsts[owner]))
-                n += len(start)
-                if n >= HELD:
+                plain, begin = plain_words(part, starts, ends)
+                cold, hot = np.flatnonzero(seed == 1), np.flatnonzero(seed == 2)
+                of = np.concatenate([cold, np.repeat(hot, count[hot])])
+                begins = np.concatenate([first[cold], ranges(first[hot], count[hot])])
+                n = np.concatenate([count[cold], np.ones(len(of) - len(cold), np.int64)])
+                own = mix64(window_hashes(h, span)[begins[len(cold) :]] ^ SHINGLE_MIX[59])
+                stretch = [plain[p:q] for p, q in zip(begin[begins].tolist(), begin[begins + n + span - 1].tolist(), strict=True)]
+                whose = a + row[of]
+                held.append((np.concatenate([grams[at[cold]], own]).view(np.int64), keys[whose], docs_[whose], nulls[whose], begins - firsts[row[of]], at[of] - begins, n, stretch))
+                size += sum(map(len, stretch))
+                if size >= HELD_BYTES:
                     yield emit(held)
-                    held, n = [], 0
+                    held, size = [], 0
         if held:
             yield emit(held)
 
@@ -86,22 +188,31 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
         found = gather(batches)
         if found is None:
             return
-        route, doc, start, n = (longs(found, c) for c in ("route", "doc_id", "start", "n"))
-        known, open_ = np.flatnonzero(n > 0), np.flatnonzero(n == 0)
-        order = open_[np.lexsort((start[open_], doc[open_], route[open_]))]
-        lead = np.concatenate([[True], route[order][1:] != route[order][:-1]]) if len(order) else np.zeros(0, bool)
-        head = order[lead][np.cumsum(lead) - 1]
-        late = order[(doc[order] != doc[head]) | (start[order] != start[head])]
-        out = [np.concatenate(x) for x in zip(runs(doc[late], start[late]), (doc[known], start[known], n[known]), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "start", "n"])
+        key, start, before, n = (longs(found, c) for c in ("row", "start", "before", "n"))
+        doc, nul = nullable(found["doc_id"])
+        known, open_ = np.flatnonzero(before < 0), np.flatnonzero(before >= 0)
+        route = longs(found, "route")
+        by = np.argsort(route[open_])
+        sizes = sizes_of(group_starts(route[open_][by]), len(by))
+        open_ = open_[by[np.repeat(sizes > 1, sizes)]]
+        late, left = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(open_):
+            order, place = _places(key[open_], doc[open_], nul[open_], start[open_] + before[open_])
+            open_ = open_[order]
+            late, left = extended(found["stretch"].take(pa.array(open_)).combine_chunks(), route[open_], before[open_], place[order], k, span)
+            late = open_[late]
+        gone = place_runs(key, doc, nul, start, late, start[late] + before[late] - left)
+        rest = key[known], pa.array(doc[known], mask=nul[known]), start[known], n[known]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([gone[0], rest[0]])), pa.concat_arrays([gone[1], rest[1]]), *(pa.array(np.concatenate([gone[i], rest[i]])) for i in (2, 3))], ["row", "doc_id", "start", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
+            spans = own_spans(batch, 1, 4)
             for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, firsts = words(part, cuts)
-                gone = covered(batch.column(2), firsts, span, a, b)
+                gone = covered(spans, firsts, span, a, b)
                 kept = np.flatnonzero(~gone)
                 row = np.searchsorted(firsts, kept, "right") - 1
                 mark = np.zeros(len(part) + 1, np.int8)
@@ -115,13 +226,15 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5) -> DataFrame:
                 upto = np.concatenate([[0], np.cumsum(keep)])[cuts]
                 text = binary_column(out[keep], upto).cast(pa.string())
                 lost = np.concatenate([[0], np.cumsum(gone)])[firsts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(firsts)), pa.array(np.diff(lost)), text, batch.column(2).slice(a, b - a)], ["doc_id", "text", "n_words", "n_removed", "kept_text", "spans"])
+                same = [batch.column(i).slice(a, b - a) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*same[:2], pa.array(np.diff(firsts)), pa.array(np.diff(lost)), text, span_column(spans, a, b), same[2]], ["doc_id", "text", "n_words", "n_removed", "kept_text", "spans", "carried"])
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
-    windows = dealt.join(places, "doc_id", "left").mapInArrow(extend, "route long, doc_id long, start long, n int")
-    gone = windows.repartition("route").mapInArrow(decide, "doc_id long, start long, n long")
-    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
-    return dealt.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, kept_text string, spans array<struct<start:long,n:long>>")
+    stretches = dealt.join(places, "row", "left").mapInArrow(extend, FORM)
+    gone = stretches.repartition("route").mapInArrow(decide, "row long, doc_id long, start long, n long")
+    form = dealt.select("doc_id", "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", SPANS).add(dealt.schema["carried"])
+    found = dealt.join(gathered(gone), "row", "left").mapInArrow(cut, form)
+    return found if carry else found.drop("carried")
 
 
 def digest(found: DataFrame) -> DataFrame:

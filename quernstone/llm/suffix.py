@@ -1,121 +1,190 @@
-"""Suffix sorting by induction with queues on disk, and byte-level deduplication on top of it.
-
-A shard's suffixes are sorted as induced sorting does it: suffixes that start a
-rise (LMS) are ranked first, recursively, and induce the others, bucket by
-bucket. Buckets are first-in-first-out queues keyed by first byte, which is the
-order a priority queue over (byte, arrival) would give; each entry carries its
-position and the prefix it shares with the entry before it. Queues hold numpy
-chunks and spill them to files past a budget, and the sorted suffixes leave as a
-stream. A shard must still fit in memory: its rows are gathered first, and its
-text, masks and weights, the order, names and ranks of its LMS suffixes and an
-index over its bytes are arrays.
+"""External induced suffix sorting, and byte-level deduplication on top of it.
+
+A shard's suffixes are sorted as induced sorting does it. Suffixes that start a
+rise (LMS) are named by the text up to the next of them; the string of names is
+sorted by the same routine, level by level, until names are distinct or what is
+left fits in memory; and the order of LMS suffixes induces that of all others.
+
+Induction runs over priority queues of suffix tuples (position, prefix shared with
+the tuple before). Their keys only ever grow (or fall), so a queue is a list of
+ranges of symbols, each first in, first out. A range of one symbol streams through
+memory in chunks; a range of several is sized to fit, and settled at once.
+
+Nothing of a shard's size stays in memory: text, names, orders, marks and queues
+are in files past a share of the budget. Sequences are read in chunks; single
+positions of text and names are looked up through mapped pages, which are given
+back after each chunk. The files have no names and go with the process.
 """
 
 from __future__ import annotations
 
-import os
+import mmap
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_MIX, U, binary_column, gather, known_ids, longs, mix64, ranges, ship, slices, text_bytes
-from .seeds import anchors, covered, group_starts, list_column, place_route, repeated_anchors, runs, sizes_of
+from .common import BYTE_MIX, U, binary_column, longs, mix64, ranges, ship, slices, text_bytes
+from .seeds import anchors, covered, gathered, group_starts, keyed, list_column, marked, nullable, own_spans, place_route, place_runs, repeated_anchors, sizes_of, span_column
 
 SLICE = 1 << 20
-#: Entries that queues join into one chunk when they are read, and stretch bytes that a task holds.
-JOINED, HELD_BYTES = 1 << 20, 16 << 20
+#: Bytes of stretches that a task holds before it combines and sends them on.
+HELD_BYTES = 16 << 20
 #: The longest shared prefix that is told apart.
 TOP = np.uint8(255)
+#: Bytes of working memory for each name where names are sorted in memory.
+NAME_BYTES = 64
+
+
+class Scratch:
+    """Space for one sort: arrays and logs of a sixteenth of the budget at most are in memory, larger ones in nameless files."""
+
+    def __init__(self, budget: int):
+        self.budget, self.share, self.maps = budget, budget >> 4, []
+
+    @property
+    def chunk(self) -> int:
+        """Entries handled at a time: where files are mapped, each may touch a page of its own."""
+        return max(256, min(1 << 20, self.budget >> 12)) if self.maps else 1 << 20
+
+    def file(self):
+        return tempfile.TemporaryFile(prefix="suffix-")
+
+    def map(self, file, n: int, kind) -> np.ndarray:
+        found = np.memmap(file, kind, "r+", shape=(n,))
+        self.maps.append(found)
+        return found.view(np.ndarray)
+
+    def array(self, n: int, kind) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        if size <= self.share:
+            return np.zeros(n, kind)
+        file = self.file()
+        file.truncate(size)
+        return self.map(file, n, kind)
+
+    def relax(self) -> None:
+        """Give back the pages of mapped files; what they hold stays in the files."""
+        for m in self.maps:
+            m._mmap.madvise(mmap.MADV_DONTNEED)
+
+    def pieces(self, n: int) -> Iterator[tuple[int, int]]:
+        a = 0
+        while a < n:
+            b = min(n, a + self.chunk)
+            yield a, b
+            self.relax()
+            a = b
+
+
+class Log:
+    """Numbers that are added at the end, and read as an array when complete."""
+
+    def __init__(self, scratch: Scratch, kind):
+        self.scratch, self.kind, self.n, self.parts, self.file = scratch, np.dtype(kind), 0, [], None
+
+    def add(self, values: np.ndarray) -> None:
+        if not len(values):
+            return
+        values = np.ascontiguousarray(values, self.kind)
+        self.n += len(values)
+        self.parts.append(values)
+        if self.file is None and self.n * self.kind.itemsize > self.scratch.share:
+            self.file = self.scratch.file()
+        if self.file is not None:
+            for part in self.parts:
+                self.file.write(memoryview(part).cast("B"))
+            self.parts = []
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
+        self.file.flush()
+        return self.scratch.map(self.file, self.n, self.kind)
 
 
 class Queues:
-    """FIFO queues of (position, shared prefix) chunks by first byte; the oldest chunks go to disk past ``budget`` bytes."""
+    """Tuples (position, shared prefix) by range of symbols, first in, first out; past a share of the budget chunks go to a file."""
 
-    def __init__(self, budget: int, folder: str | None = None):
-        self.budget, self.used, self.folder, self.files = budget, 0, folder, 0
-        self.chunks: list[list] = [[] for _ in range(256)]
+    def __init__(self, n: int, scratch: Scratch):
+        self.scratch, self.limit, self.used, self.file, self.end = scratch, scratch.budget >> 3, 0, None, 0
+        self.chunks: list[list] = [[] for _ in range(n)]
 
-    def put(self, byte: int, positions: np.ndarray, shared: np.ndarray) -> None:
+    def put(self, key: int, positions: np.ndarray, shared: np.ndarray) -> None:
         if not len(positions):
             return
         size = positions.nbytes + shared.nbytes
-        if self.used + size > self.budget:
-            self.folder = self.folder or tempfile.mkdtemp(prefix="suffix-queue-")
-            path = os.path.join(self.folder, f"{self.files}.npz")
-            self.files += 1
-            np.savez(path, p=positions, s=shared)
-            self.chunks[byte].append(path)
+        if self.used + size > self.limit:
+            self.file = self.file or self.scratch.file()
+            self.file.seek(self.end)
+            self.file.write(np.ascontiguousarray(positions).tobytes() + np.ascontiguousarray(shared).tobytes())
+            self.chunks[key].append((self.end, len(positions)))
+            self.end += size
         else:
             self.used += size
-            self.chunks[byte].append((positions, shared))
-
-    def take(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Remove and yield what is queued now, small chunks joined; entries that arrive meanwhile stay for the next call."""
-        now, self.chunks[byte] = self.chunks[byte], []
+            self.chunks[key].append((positions, shared))
+
+    def deal(self, keys: np.ndarray, positions: np.ndarray, shared: np.ndarray) -> None:
+        """Put each tuple under its key, in order."""
+        order = np.argsort(keys, kind="stable")
+        starts = group_starts(keys[order])
+        positions, shared = positions[order], shared[order]
+        for s, m in zip(starts.tolist(), sizes_of(starts, len(order)).tolist(), strict=True):
+            self.put(int(keys[order[s]]), positions[s : s + m], shared[s : s + m])
+
+    def take(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Remove and yield what is queued now, small chunks joined; tuples that arrive meanwhile stay for the next call."""
+        now, self.chunks[key] = self.chunks[key], []
         held, size = [], 0
-        for chunk in now:
-            if isinstance(chunk, str):
-                with np.load(chunk) as f:
-                    chunk_ = f["p"], f["s"]
-                os.remove(chunk)
+        for first, second in now:
+            if isinstance(first, int):
+                self.file.seek(first)
+                chunk = np.frombuffer(self.file.read(8 * second), np.int64), np.frombuffer(self.file.read(second), np.uint8)
             else:
-                chunk_ = chunk
-                self.used -= chunk[0].nbytes + chunk[1].nbytes
-            held.append(chunk_)
-            size += len(chunk_[0])
-            if size >= JOINED:
+                chunk = first, second
+                self.used -= first.nbytes + second.nbytes
+            held.append(chunk)
+            size += len(chunk[0])
+            if size >= self.scratch.chunk:
                 yield self._join(held)
                 held, size = [], 0
         if held:
             yield self._join(held)
 
+    def take_all(self, key: int) -> np.ndarray:
+        """The positions of one range, which fits in memory."""
+        return np.concatenate([np.zeros(0, np.int64), *(p for p, _ in self.take(key))])
+
     @staticmethod
     def _join(held: list) -> tuple[np.ndarray, np.ndarray]:
         return held[0] if len(held) == 1 else (np.concatenate([p for p, _ in held]), np.concatenate([s for _, s in held]))
 
-    def take_backwards(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Like ``take``, last entry first."""
+    def take_backwards(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Like ``take``, last tuple first."""
         parts: list[list] = [[]]
         size = 0
-        for chunk in reversed(self.chunks[byte]):
+        for chunk in reversed(self.chunks[key]):
             parts[-1].append(chunk)
-            size += 0 if isinstance(chunk, str) else len(chunk[0])
-            if isinstance(chunk, str) or size >= JOINED:
+            size += chunk[1] if isinstance(chunk[0], int) else len(chunk[0])
+            if size >= self.scratch.chunk:
                 parts.append([])
                 size = 0
         for part in parts:
-            self.chunks[byte] = part[::-1]
-            for positions, own in reversed(list(self.take(byte))):
+            self.chunks[key] = part[::-1]
+            for positions, own in reversed(list(self.take(key))):
                 yield positions[::-1], own[::-1]
 
-    def close(self) -> None:
-        if self.folder and os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                os.remove(os.path.join(self.folder, name))
-            os.rmdir(self.folder)
-
-
-def rising(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next one (S type); the end counts as smaller than any byte."""
-    n = len(text)
-    up = text[:-1] < text[1:]
-    differs = text[:-1] != text[1:]
-    at = np.where(differs, np.arange(n - 1), n - 1)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(up, False)[at], False)
 
+class BytePrefixes:
+    """Lengths of common prefixes of suffixes of bytes, eight a step."""
 
-class Prefixes:
-    """Lengths of common prefixes of suffixes, eight bytes a step."""
-
-    def __init__(self, text: np.ndarray):
-        self.n = len(text)
-        padded = np.concatenate([text, np.zeros(16, np.uint8)])
-        self.words = np.ndarray((self.n + 8,), ">u8", padded, strides=(1,))  # overlapping views: eight bytes from each place
+    def __init__(self, padded: np.ndarray, n: int):
+        self.n = n
+        self.words = np.ndarray((n + 8,), ">u8", padded, strides=(1,))  # overlapping views: eight bytes from each place
 
     def shared(self, a: np.ndarray, b: np.ndarray, most: int | np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a[i] and b[i], at most ``most``."""
@@ -145,150 +214,316 @@ def _zero_bytes(x: np.ndarray) -> np.ndarray:
     return n
 
 
-def _induced(text: np.ndarray, shared: np.ndarray, positions: np.ndarray, pending: np.ndarray, carry: bool, take: np.ndarray):
-    """Predecessors of a run of sorted suffixes that ``take`` selects: (bytes, positions, shared) grouped by byte.
+class NamePrefixes:
+    """The same for suffixes of names, one a step."""
+
+    def __init__(self, text: np.ndarray, n: int):
+        self.text, self.n = text, n
+
+    def shared(self, a: np.ndarray, b: np.ndarray, most: int | np.ndarray) -> np.ndarray:
+        room = np.minimum(self.n - np.maximum(a, b), most)
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(room > 0)
+        while len(live):
+            live = live[self.text[a[live] + out[live]] == self.text[b[live] + out[live]]]
+            out[live] += 1
+            live = live[out[live] < room[live]]
+        return out
+
+
+@dataclass
+class Level:
+    """A string of the recursion: symbols, and the ranges of symbols (first of each; whether it is alone) that queues go by."""
+
+    text: np.ndarray
+    n: int
+    cuts: np.ndarray
+    lone: np.ndarray
+    prefixes: BytePrefixes | NamePrefixes
+    scratch: Scratch
+    bits: np.ndarray = field(default=None)
+    before: np.ndarray = field(default=None)
+
+    def range_of(self, symbols: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, symbols, "right") - 1 if self.text.dtype != np.uint8 else symbols.astype(np.int16)
+
+    def mark_lms(self) -> np.ndarray:
+        """Positions of LMS suffixes, in the order of the text; their marks and counts stay at hand for ``number``."""
+        n, scratch = self.n, self.scratch
+        self.bits = scratch.array(n // 64 + 2, np.uint64)
+        self.before = scratch.array(n // 64 + 2, np.int64)
+        raw = self.bits.view(np.uint8)
+        block = -(-scratch.chunk // 64) * 64
+        later = False  # whether the suffix after the block is smaller than the next one
+        for a in range((n - 1) // block * block, -1, -block):
+            b, lo = min(a + block, n), max(a - 1, 0)
+            part = np.append(self.text[lo:b], self.text[b : b + 1] if b < n else self.text[b - 1 : b])
+            differs = part[:-1] != part[1:]
+            if b == n:
+                differs[-1] = True  # the end counts as smaller than any symbol
+            at = np.where(differs, np.arange(b - lo), b - lo)
+            at = np.minimum.accumulate(at[::-1])[::-1]
+            up = np.append(part[:-1] < part[1:], later)[at]
+            later = bool(up[a - lo])
+            mark = np.zeros(b - a, bool)
+            mark[lo + 1 - a :] = up[1:] & ~up[:-1]
+            packed = np.packbits(mark, bitorder="little")
+            raw[a // 8 : a // 8 + len(packed)] = packed
+            scratch.relax()
+        found, total = Log(scratch, np.int64), 0
+        for a in range(0, n, block):
+            mine = slice(a // 64, min(a + block, n) // 64 + 1)
+            upto = np.cumsum(np.bitwise_count(self.bits[mine]).astype(np.int64))
+            self.before[mine] = total + np.append(0, upto[:-1])
+            here = np.flatnonzero(np.unpackbits(raw[a // 8 : min(a + block, n) // 8 + 1], bitorder="little")[: min(block, n - a)])
+            found.add(a + here)
+            total += len(here)
+            scratch.relax()
+        return found.array()
+
+    def is_lms(self, positions: np.ndarray) -> np.ndarray:
+        return (self.bits[positions >> 6] >> (positions & 63).astype(np.uint64) & U(1)).astype(bool)
+
+    def number(self, positions: np.ndarray) -> np.ndarray:
+        """LMS positions before each of ``positions``."""
+        below = (U(1) << (positions & 63).astype(np.uint64)) - U(1)
+        return self.before[positions >> 6] + np.bitwise_count(self.bits[positions >> 6] & below)
+
+
+def _preceding(level: Level, positions: np.ndarray) -> np.ndarray:
+    """The symbol before each position; before position 0 is none, which callers rule out."""
+    return level.text[np.maximum(positions - 1, 0)]
+
+
+def _induced(level: Level, queues: Queues, seen: np.ndarray, shared: np.ndarray, positions: np.ndarray, symbol: np.ndarray, pending: np.ndarray, carry: bool, take: np.ndarray) -> None:
+    """Queue the predecessors, which ``symbol`` starts, of those of a run of sorted suffixes that ``take`` selects.
 
     ``shared[i]`` is the prefix suffix i shares with the one scanned before it;
     ``pending[c]`` the least of these since the last predecessor that starts with c.
     """
     at = np.flatnonzero(take)
+    key = level.range_of(symbol[at])
+    order = np.argsort(key, kind="stable")  # a radix sort for bytes
+    at, key = at[order], key[order]
     before = positions[at] - 1
-    byte = text[before]
-    order = np.argsort(byte, kind="stable")  # a radix sort
-    at, before, byte = at[order], before[order], byte[order]
-    if not carry:
-        return byte, before, np.zeros(len(at), np.uint8)
-    whole = shared.min() if len(shared) else TOP
-    fresh = np.concatenate([[True], byte[1:] != byte[:-1]]) if len(byte) else np.zeros(0, bool)
+    starts = group_starts(key)
     low = np.zeros(len(at), np.uint8)
-    if len(at):
-        later = np.flatnonzero(~fresh)
-        if len(later):
-            pairs = np.stack([at[later - 1] + 1, at[later] + 1], axis=1).ravel()
-            low[later] = np.minimum.reduceat(np.append(shared, TOP), pairs)[::2]
-        heads = np.flatnonzero(fresh)
-        upto = np.minimum.accumulate(shared)
-        low[heads] = np.minimum(pending[byte[heads]], upto[at[heads]])
-    np.minimum(pending, whole, out=pending)
-    if len(at):
-        tails = np.append(heads[1:], len(at)) - 1
-        after = np.append(np.minimum.accumulate(shared[::-1])[::-1], TOP)
-        pending[byte[tails]] = after[at[tails] + 1]
-    return byte, before, low + (low < TOP)
-
-
-def _send(queues: Queues, seen: np.ndarray, byte: np.ndarray, positions: np.ndarray, shared: np.ndarray) -> None:
-    starts = group_starts(byte)
-    for s, m in zip(starts.tolist(), sizes_of(starts, len(byte)).tolist(), strict=True):
-        c, part = int(byte[s]), shared[s : s + m]
+    if carry:
+        whole = shared.min() if len(shared) else TOP
+        if len(at):
+            fresh = np.zeros(len(at), bool)
+            fresh[starts] = True
+            later = np.flatnonzero(~fresh)
+            if len(later):
+                pairs = np.stack([at[later - 1] + 1, at[later] + 1], axis=1).ravel()
+                low[later] = np.minimum.reduceat(np.append(shared, TOP), pairs)[::2]
+            low[starts] = np.minimum(pending[key[starts]], np.minimum.accumulate(shared)[at[starts]])
+        np.minimum(pending, whole, out=pending)
+        if len(at):
+            tails = np.append(starts[1:], len(at)) - 1
+            after = np.append(np.minimum.accumulate(shared[::-1])[::-1], TOP)
+            pending[key[tails]] = after[at[tails] + 1]
+        low += low < TOP
+    for s, m in zip(starts.tolist(), sizes_of(starts, len(at)).tolist(), strict=True):
+        c = int(key[s])
         if not seen[c]:
-            part = part.copy()
-            part[0] = 0  # the first of its bucket shares nothing with what stands before
+            low[s] = 0  # the first of its range shares nothing with what stands before
             seen[c] = True
-        queues.put(c, positions[s : s + m], part)
+        queues.put(c, before[s : s + m], low[s : s + m])
 
 
-def induce(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, lms: np.ndarray, shared: np.ndarray, carry: bool, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Sort all suffixes from LMS suffixes in order (and their shared prefixes).
+def settled(level: Level, r: int, sign: int, own: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of one range of several symbols in scanning order, and which of them are of the induced type.
 
-    Yields (byte, positions, shared) from the largest byte down, each chunk in
-    descending order; shared[i] then belongs to position i and the one before it
-    in the stream (the next larger). Without ``carry`` it is zero.
+    ``own`` are those induced so far, in order of arrival; ``fixed`` those of the
+    other type, in order. Within a symbol the former come first. Suffixes that
+    the range induces within itself follow the order of the suffix behind them,
+    which is found by pointer doubling along these links.
+    """
+    pos = [np.concatenate([own, fixed])]
+    kind = [np.repeat([0, 2], [len(own), len(fixed)])]
+    link = [np.arange(len(pos[0]))]
+    front, mine, total = pos[0], kind[0] == 0, len(pos[0])
+    base = 0
+    while len(front):
+        before = _preceding(level, front)
+        here, next_ = sign * level.text[front], sign * before
+        go = np.flatnonzero((front > 0) & ((next_ > here) | ((next_ == here) & mine)) & (level.range_of(before) == r))
+        pos.append(front[go] - 1)
+        kind.append(np.ones(len(go), np.int64))
+        link.append(base + go)
+        base, total = total, total + len(go)
+        front, mine = pos[-1], np.ones(len(go), bool)
+    pos, kind, link = map(np.concatenate, (pos, kind, link))
+    place = np.where(kind == 1, 0, np.arange(total))
+    order = np.lexsort((place, kind, sign * level.text[pos]))
+    fresh = np.ones(total, np.int64)
+    symbol = level.text[pos[order]]
+    fresh[1:] = (symbol[1:] != symbol[:-1]) | (kind[order][1:] != 1) | (kind[order][:-1] != 1)
+    rank = np.zeros(total, np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    link = np.where(kind == 1, link, np.arange(total))
+    while total and rank.max() < total - 1:
+        rank = np.unique(rank * total + rank[link], return_inverse=True)[1]
+        link = link[link]
+    order = np.argsort(rank)
+    return pos[order], kind[order] < 2
+
+
+def induce(level: Level, ups: Queues, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sort all suffixes from LMS suffixes in order (and their shared prefixes), queued by range in ``ups``.
+
+    Yields (positions, shared) in descending order; shared[i] belongs to position
+    i and the one before it in the stream (the next larger). Without ``carry`` it is zero.
     """
-    n = len(text)
-    queues, done, rises = Queues(budget), Queues(budget), Queues(budget)
-    try:
-        first = text[lms]
-        bounds = np.searchsorted(first, np.arange(257)) if carry else None
-        if not carry:  # any order within a bucket
-            order = np.argsort(first, kind="stable")
-            lms, shared = lms[order], shared[order]
-            bounds = np.searchsorted(first[order], np.arange(257))
-        seen, pending = np.zeros(256, bool), np.full(256, TOP)
-        queues.put(int(text[n - 1]), np.array([n - 1]), np.zeros(1, np.uint8))
-        seen[text[n - 1]] = True
-        pending[text[n - 1]] = TOP
-        for c in range(256):
-            tail = None
-            while queues.chunks[c]:
-                for positions, own in queues.take(c):
-                    done.put(c, positions, own)
-                    tail = int(positions[-1])
-                    take = positions > 0
-                    take[take] = ~up[positions[take] - 1]
-                    _send(queues, seen, *_induced(text, own, positions, pending, carry, take))
-            a, b = int(bounds[c]), int(bounds[c + 1])
-            if b > a:
-                positions, own = lms[a:b], shared[a:b].copy()
-                if carry:
-                    own[0] = 0 if tail is None else prefixes.shared(np.array([tail]), positions[:1], 255)[0]
-                _send(queues, seen, *_induced(text, own, positions, pending, carry, positions > 0))
-        seen, pending = np.zeros(256, bool), np.full(256, TOP)
-        for c in range(255, -1, -1):
-            tail = None
-            while rises.chunks[c]:
-                for positions, own in rises.take(c):
-                    tail = int(positions[-1])
-                    yield c, positions, own
-                    take = positions > 0
-                    take[take] = up[positions[take] - 1] & (text[positions[take] - 1] <= c)
-                    _send(rises, seen, *_induced(text, own, positions, pending, carry, take))
-            for positions, own in _backwards(done, c, prefixes, tail, carry):
-                yield c, positions, own
-                take = positions > 0
-                take[take] = up[positions[take] - 1]
-                _send(rises, seen, *_induced(text, own, positions, pending, carry, take))
-    finally:
-        for q in (queues, done, rises):
-            q.close()
-
-
-def _backwards(done: Queues, c: int, prefixes: Prefixes, tail: int | None, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A bucket's falling suffixes, largest first; shared prefixes move to the neighbour now met before."""
+    text, scratch, count = level.text, level.scratch, len(level.cuts)
+    queues, done, rises = (Queues(count, scratch) for _ in range(3))
+
+    def scan(out: Queues, positions: np.ndarray, own: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> None:
+        symbol = _preceding(level, positions)
+        _induced(level, out, seen, own, positions, symbol, pending, carry, (positions > 0) & wanted(symbol))
+        scratch.relax()
+
+    def spread(out: Queues, r: int, sign: int, positions: np.ndarray, mine: np.ndarray) -> None:
+        symbol = _preceding(level, positions)
+        here, next_ = sign * text[positions], sign * symbol
+        go = np.flatnonzero((positions > 0) & ((next_ > here) | ((next_ == here) & mine)) & (level.range_of(symbol) != r))
+        out.deal(level.range_of(symbol[go]), positions[go] - 1, np.zeros(len(go), np.uint8))
+        scratch.relax()
+
+    seen, pending = np.zeros(count, bool), np.full(count, TOP)
+    last = int(level.range_of(text[level.n - 1 : level.n])[0])
+    queues.put(last, np.array([level.n - 1]), np.zeros(1, np.uint8))
+    seen[last] = True
+    for r in range(count):
+        if not level.lone[r]:
+            positions, mine = settled(level, r, 1, queues.take_all(r), ups.take_all(r))
+            done.put(r, positions[mine], np.zeros(int(mine.sum()), np.uint8))
+            spread(queues, r, 1, positions, mine)
+            continue
+        c, tail = level.cuts[r], None
+        while queues.chunks[r]:
+            for positions, own in queues.take(r):
+                done.put(r, positions, own)
+                tail = positions[-1:]
+                scan(queues, positions, own, lambda s: s >= c)  # noqa: B023
+        first = True
+        for positions, own in ups.take(r):
+            if carry and first:
+                own = own.copy()  # noqa: PLW2901
+                own[0] = 0 if tail is None else level.prefixes.shared(tail, positions[:1], 255)[0]
+            first = False
+            scan(queues, positions, own, lambda s: s > c)  # noqa: B023
+    seen, pending = np.zeros(count, bool), np.full(count, TOP)
+    for r in range(count - 1, -1, -1):
+        if not level.lone[r]:
+            positions, mine = settled(level, r, -1, rises.take_all(r), done.take_all(r)[::-1])
+            yield positions, np.zeros(len(positions), np.uint8)
+            spread(rises, r, -1, positions, mine)
+            continue
+        c, tail = level.cuts[r], None
+        while rises.chunks[r]:
+            for positions, own in rises.take(r):
+                tail = positions[-1:]
+                yield positions, own
+                scan(rises, positions, own, lambda s: s <= c)  # noqa: B023
+        for positions, own in _falling(done, r, level, tail, carry):
+            yield positions, own
+            scan(rises, positions, own, lambda s: s < c)  # noqa: B023
+
+
+def _falling(done: Queues, r: int, level: Level, tail: np.ndarray | None, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A range's falling suffixes, largest first; shared prefixes move to the neighbour now met before."""
     link = None
-    for positions, own in done.take_backwards(c):
+    for positions, own in done.take_backwards(r):
         if link is None:
-            link = int(prefixes.shared(np.array([tail]), positions[:1], 255)[0]) if carry and tail is not None else 0
+            link = int(level.prefixes.shared(tail, positions[:1], 255)[0]) if carry and tail is not None else 0
         moved = np.concatenate([[link], own[:-1]]).astype(np.uint8)
         link = int(own[-1])
         yield positions, moved
 
 
-def sort_lms(text: np.ndarray, prefixes: Prefixes, up: np.ndarray, most: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """LMS suffixes in order (as far as their first ``most`` bytes tell) and the prefix each shares with the one before.
-
-    LMS substrings are sorted by an induction of their own and named; if names
-    repeat, the string of names, at most half as long, is sorted in turn. That
-    level sorts by doubling the number of names compared, since its alphabet is
-    as large as the text and buckets by letter would be single entries.
-    """
-    lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    if not len(lms):
-        return lms, np.zeros(0, np.uint8)
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    found = [p[is_lms[p]] for _, p, _ in induce(text, prefixes, up, lms, np.zeros(len(lms), np.uint8), False, budget)]
-    order = np.concatenate(found)[::-1]
-    number = np.zeros(len(text), np.int32)
-    number[lms] = np.arange(len(lms))
-    rank_of = number[order]
-    length = np.append(np.diff(lms) + 1, len(text) - lms[-1])[rank_of]
-    same = length[1:] == length[:-1]
-    close = np.flatnonzero(same)
-    # Two LMS substrings of one length are equal if they agree on all of it; the last one ends with the text and is alone.
-    same[close] = prefixes.shared(order[close], order[close + 1], length[close]) >= length[close]
-    alone = rank_of == len(lms) - 1
-    same &= ~(alone[1:] | alone[:-1])
-    rank = np.zeros(len(lms), np.int64)
-    rank[rank_of] = np.concatenate([[0], np.cumsum(~same)])
-    rank = by_doubling(rank, most)
-    order = lms[np.argsort(rank, kind="stable")]
-    shared = np.concatenate([[0], prefixes.shared(order[1:], order[:-1], most)])
-    return order, shared.astype(np.uint8)
+def _named(level: Level, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names of LMS substrings in the order of the text, how often each name occurs), by an induction of their own."""
+    scratch, m = level.scratch, len(lms)
+    ups = Queues(len(level.cuts), scratch)
+    for a, b in scratch.pieces(m):
+        ups.deal(level.range_of(level.text[lms[a:b]]), lms[a:b].copy(), np.zeros(b - a, np.uint8))
+    names, sizes = scratch.array(m, np.int64), Log(scratch, np.int64)
+    last, name, run = None, -1, 0
+    for positions, _ in induce(level, ups, False):
+        found = positions[level.is_lms(positions)]
+        if not len(found):
+            continue
+        chain = found if last is None else np.concatenate([last, found])
+        which = level.number(chain)
+        length = np.where(which + 1 < m, lms[np.minimum(which + 1, m - 1)], level.n - 1) - chain + 1
+        same = (length[1:] == length[:-1]) & (which[1:] < m - 1) & (which[:-1] < m - 1)  # the last one ends with the text and is alone
+        close = np.flatnonzero(same)
+        same[close] = level.prefixes.shared(chain[close], chain[close + 1], length[close]) >= length[close]
+        fresh = np.concatenate([[True], ~same]) if last is None else ~same
+        names[which[-len(found) :]] = name + np.cumsum(fresh)
+        name += int(fresh.sum())
+        at = np.flatnonzero(fresh)
+        if len(at):
+            ends = np.diff(np.append(at, len(found)))
+            sizes.add(np.concatenate([np.array([] if last is None else [run + at[0]], np.int64), ends[:-1]]))
+            run = int(ends[-1])
+        else:
+            run += len(found)
+        last = found[-1:]
+        scratch.relax()
+    sizes.add(np.array([run]))
+    for a, b in scratch.pieces(m):  # they were found from the largest down
+        names[a:b] = name - names[a:b]
+    return names, sizes.array()[::-1]
+
+
+def _ranges(sizes: np.ndarray, limit: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(first name of each range, whether it is the only one): as many names as ``limit`` occurrences allow, or one."""
+    cuts, have = [0], 0
+    for a, b in scratch.pieces(len(sizes)):
+        upto, i = np.concatenate([[0], np.cumsum(sizes[a:b])]), 0
+        while i < b - a:
+            j = int(np.searchsorted(upto, upto[i] + limit - have, "right")) - 1  # names i to j - 1 still fit
+            if j >= b - a:
+                have += int(upto[-1] - upto[i])
+                break
+            j += j == i and not have
+            cuts.append(a + j)
+            i, have = j, 0
+    cuts = np.unique([c for c in cuts if c < len(sizes)])
+    return cuts, np.diff(np.append(cuts, len(sizes))) == 1
+
+
+def sorted_lms(level: Level, most: int) -> np.ndarray:
+    """LMS suffixes in order; in memory they are told apart by their first ``most`` bytes alone."""
+    scratch = level.scratch
+    lms = level.mark_lms()
+    m = len(lms)
+    if not m:
+        return lms
+    names, sizes = _named(level, lms)
+    order = scratch.array(m, np.int64)
+    if len(sizes) == m:
+        for a, b in scratch.pieces(m):
+            order[names[a:b]] = lms[a:b]
+    elif m * NAME_BYTES <= scratch.budget:
+        order[:] = lms[np.argsort(by_doubling(names, most), kind="stable")]
+    else:
+        cuts, lone = _ranges(sizes, max(16, scratch.budget >> 8), scratch)
+        end = m
+        for positions, _ in sorted_suffixes(Level(names, m, cuts, lone, NamePrefixes(names, m), scratch), most, False):
+            for a in range(0, len(positions), scratch.chunk):
+                part = positions[a : a + scratch.chunk]
+                order[end - len(part) : end] = lms[part][::-1]
+                end -= len(part)
+                scratch.relax()
+    return order
 
 
 def by_doubling(rank: np.ndarray, most: int) -> np.ndarray:
-    """Ranks of the suffixes of a string of names, by 1, 2, 4, ... names until all differ or ``most`` bytes are compared.
+    """Ranks of the suffixes of a string of names in memory, by 1, 2, 4, ... names until all differ or ``most`` bytes are compared.
 
     A rank is the number of smaller suffixes, so that a round only touches what
     is still tied. A name stands for two bytes at least.
@@ -312,54 +547,86 @@ def by_doubling(rank: np.ndarray, most: int) -> np.ndarray:
     return rank
 
 
+def sorted_suffixes(level: Level, most: int, carry: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes of a level, as ``induce`` yields them."""
+    order = sorted_lms(level, most)
+    ups = Queues(len(level.cuts), level.scratch)
+    last = order[:1]
+    for a, b in level.scratch.pieces(len(order)):
+        part = order[a:b].copy()
+        shared = level.prefixes.shared(part, np.append(last, part[:-1]), most).astype(np.uint8) if carry else np.zeros(b - a, np.uint8)
+        if not a:
+            shared[:1] = 0
+        ups.deal(level.range_of(level.text[part]), part, shared)
+        last = part[-1:]
+    yield from induce(level, ups, carry)
+
+
+def byte_level(padded: np.ndarray, n: int, scratch: Scratch) -> Level:
+    """The bytes of a shard, with 16 zeros behind them."""
+    return Level(padded, n, np.arange(256), np.ones(256, bool), BytePrefixes(padded, n), scratch)
+
+
 def suffixes(text: np.ndarray, most: int = 255, budget: int = 1 << 28) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes of ``text`` from the largest down, in chunks: (positions, prefix shared with the one before).
 
     Shared prefixes count to ``most`` (255 at the highest); suffixes alike for
     that long come in any order.
     """
-    if not len(text):
-        return
     if most > 255:
         raise ValueError("shared prefixes are kept in a byte")
-    up = rising(text)
-    prefixes = Prefixes(text)
-    lms, shared = sort_lms(text, prefixes, up, most, budget)
-    for _, positions, own in induce(text, prefixes, up, lms, shared, True, budget):
-        yield positions, own
-
-
-def repeated_windows(text: np.ndarray, window_ok: np.ndarray, weight: np.ndarray, span: int, budget: int = 1 << 28) -> np.ndarray:
-    """Marks positions where ``window_ok`` and whose ``span`` bytes have a total ``weight`` of two or more."""
-    out = np.zeros(len(text), bool)
-    held: list[np.ndarray] = []  # window starts of the run that is still open
-    total = 0
-    for positions, own in suffixes(text, span, budget):
-        run = np.cumsum(own < span)  # 0: goes on with the open run
-        use = window_ok[positions]
-        positions, run = positions[use], run[use]
-        if not len(positions):
-            if len(own) and (own < span).any():
-                if total > 1:
-                    out[np.concatenate(held)] = True
-                held, total = [], 0
-            continue
-        last = int(np.count_nonzero(own < span))
-        sums = np.bincount(run, weight[positions], last + 1).astype(np.int64)
-        sums[0] += total
-        if last and sums[0] > 1 and held:
-            out[np.concatenate(held)] = True
-        many = sums[run] > 1
-        closed = run < last
-        out[positions[closed & many]] = True
-        open_ = positions[~closed]
-        if last:
-            held, total = [open_], int(sums[last])
-        else:
-            held, total = [*held, open_], int(sums[0])
-    if total > 1:
-        out[np.concatenate(held)] = True
-    return out
+    if len(text):
+        scratch = Scratch(budget)
+        log = Log(scratch, np.uint8)
+        log.add(text)
+        log.add(np.zeros(16, np.uint8))
+        yield from sorted_suffixes(byte_level(log.array(), len(text), scratch), most, True)
+
+
+class Shard:
+    """Stretches of bytes, and which windows of them occur twice; ``weight`` says how often a stretch stands."""
+
+    def __init__(self, budget: int, span: int):
+        self.scratch, self.span = Scratch(budget), span
+        self.text, self.weight, self.n = Log(self.scratch, np.uint8), Log(self.scratch, np.uint8), 0
+
+    def add(self, stretches: list[bytes], weight: np.ndarray) -> np.ndarray:
+        """Where each stretch begins; equal ones of one call become one."""
+        seen: dict[bytes, int] = {}
+        code = np.fromiter((seen.setdefault(x, len(seen)) for x in stretches), np.int64, len(stretches))
+        total = np.minimum(np.bincount(code, weight, len(seen)), 2).astype(np.uint8)
+        size = np.fromiter(map(len, seen), np.int64, len(seen))
+        first = self.n + np.concatenate([[0], np.cumsum(size)])
+        self.text.add(np.frombuffer(b"".join(seen), np.uint8))
+        place = ranges(np.zeros(len(size), np.int64), size)
+        self.weight.add(np.where(place <= np.repeat(size, size) - self.span, np.repeat(total, size), 0))
+        self.n = int(first[-1])
+        return first[code]
+
+    def repeated(self) -> np.ndarray:
+        """Marks window starts whose bytes have a total weight of two or more."""
+        scratch, n = self.scratch, self.n
+        self.text.add(np.zeros(16, np.uint8))
+        padded, weights = self.text.array(), self.weight.array()
+        out = scratch.array(n, np.bool_)
+        lone, total = np.zeros(0, np.int64), 0  # the run of equal windows that is still open: its weight, and its start while that is one
+        for positions, own in sorted_suffixes(byte_level(padded, n, scratch), self.span, True) if n else ():
+            weight = weights[positions].astype(np.int64)
+            run = np.cumsum(own < self.span)  # 0: goes on with the open run
+            use = np.flatnonzero(weight)
+            last = int(run[-1])
+            sums = np.bincount(run[use], weight[use], last + 1).astype(np.int64)
+            sums[0] += total
+            if sums[0] > 1:
+                out[lone] = True
+            elif last:
+                lone = lone[:0]
+            out[positions[use[sums[run[use]] > 1]]] = True
+            open_ = positions[use[run[use] == last]]
+            total = int(sums[last])
+            lone = np.zeros(0, np.int64) if total > 1 else (open_ if last else np.concatenate([lone, open_]))
+            scratch.relax()
+        return out
 
 
 _POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -382,29 +649,24 @@ def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_MIX[data] * forth[: len(data)])]), back
 
 
-def stretch_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    sums, back = rolling(data)
-    return mix64((sums[starts + lengths] - sums[starts]) * back[starts] + lengths.astype(np.uint64))
-
-
 def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int = 1 << 28) -> DataFrame:
     """Remove every byte that a string of ``span`` bytes covers which also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (binary) and spans (runs of
     repeated window starts: start, n). Texts count as UTF-8, null as empty;
-    matches never cross documents; strings are judged on the input. Rows with a
-    null id neither remove nor lose bytes. A repeated row is another document,
-    unless it lies in one task with its twin and shares its id, where each of
-    the two counts all the same. An empty table gives none.
+    matches never cross documents; strings are judged on the input. Every row is
+    a document: rows with a null id and rows of one id and different texts each
+    have their own spans, and repeated rows are removed alike, since each repeats
+    the other. An empty table gives none.
 
     Documents are cut into shards at winnowed anchors: equal strings have equal
     anchors and meet in one shard, and only stretches around anchors that occur
-    twice are sent. Within a shard, equal stretches become one with a weight, and
-    all suffixes of what remains are sorted by induction; suffixes that share
-    ``span`` bytes are a repeat if their weights sum to two.
+    twice are sent. Copies of a stretch within a task become one with a weight.
+    All suffixes of a shard are sorted by induction within ``budget`` bytes of
+    memory; suffixes that share ``span`` bytes are a repeat if their weights sum to two.
     """
     ship(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("doc_id")
+    dealt = keyed(docs)
 
     def anchored(data: np.ndarray, offsets: np.ndarray):
         sums, back = rolling(data)
@@ -417,89 +679,106 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
         return row, grams[at], at - offsets[row]
 
     def emit(held: list) -> pa.RecordBatch:
-        doc, start, size, route, name = (np.concatenate([h[i] for h in held]) for i in range(5))
-        stretch = [x for h in held for x in h[5]]
-        order = np.argsort(name)
-        starts = group_starts(name[order])
-        n = sizes_of(starts, len(name))
-        one, weight = order[starts], np.minimum(n, 2)
-        twins = order[np.repeat(n > 1, n)]
-        known = runs(np.repeat(doc[twins], size[twins] - span + 1), ranges(start[twins], size[twins] - span + 1))
-        stretches = pa.array([stretch[i] for i in one.tolist()], pa.binary())
-        none = np.zeros(len(known[0]), np.int64)
-        columns = [(route[one], place_route(known[0], known[1])), (doc[one], known[0]), (start[one], known[1]), (size[one] - span + 1, known[2]), (weight, none), (name[one].view(np.int64), none)]
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), pa.concat_arrays([stretches, pa.nulls(len(none), pa.binary())])], ["route", "doc_id", "start", "n", "weight", "name", "bytes"])
+        key, doc, nul, start, n, route = (np.concatenate([h[i] for h in held]) for i in range(6))
+        seen: dict[bytes, int] = {}
+        code = np.fromiter((seen.setdefault(x, len(seen)) for h in held for x in h[6]), np.int64, len(key))
+        order = np.argsort(code, kind="stable")
+        starts = group_starts(code[order])
+        many = sizes_of(starts, len(order))
+        one, weight = order[starts], np.minimum(many, 2)
+        twins = order[np.repeat(many > 1, many)]
+        gone_key, gone_doc, gone_start, gone_n = place_runs(key, doc, nul, start, twins, start[twins], n[twins])
+        none = np.zeros(len(gone_key), np.int64)
+        columns = [(route[one], place_route(gone_key, gone_start)), (key[one], gone_key), (start[one], gone_start), (n[one], gone_n), (weight, none)]
+        route_, key_, start_, n_, weight_ = (pa.array(np.concatenate(c)) for c in columns)
+        stretch = pa.concat_arrays([pa.array(list(seen), pa.binary()), pa.nulls(len(none), pa.binary())])
+        return pa.RecordBatch.from_arrays([route_, key_, pa.concat_arrays([pa.array(doc[one], mask=nul[one]), gone_doc]), start_, n_, weight_, stretch], ["route", "row", "doc_id", "start", "n", "weight", "stretch"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in map(known_ids, batches):
-            ids = longs(batch, "doc_id")
-            data, offsets = text_bytes(batch.column(1))
-            places, upto = list_column(batch.column(2))
+        held, size = [], 0
+        for batch in batches:
+            keys = longs(batch, "row")
+            docs_, nulls = nullable(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
+            places, upto = list_column(batch.column(4))
             for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                if upto[a] == upto[b]:
+                    continue
                 grams, (row, at, first, count) = anchored(part, cuts)
-                seed = np.zeros(len(part) + 1, bool)
-                seed[places[upto[a] : upto[b]] + np.repeat(cuts[:-1], np.diff(upto[a : b + 1]))] = True
-                use = np.flatnonzero(seed[at])
+                use = np.flatnonzero(marked(places, upto, cuts, a, b)[at]) if len(at) else at
                 if not len(use):
                     continue
-                size = count[use] + span - 1
-                name = stretch_hashes(part, first[use], size)
+                first, count, whose = first[use], count[use], a + row[use]
                 raw = part.tobytes()
-                stretch = [raw[p:q] for p, q in zip(first[use].tolist(), (first[use] + size).tolist(), strict=True)]
-                held.append((ids[a + row[use]], first[use] - cuts[row[use]], size, grams[at[use]].view(np.int64), name, stretch))
-                n += int(size.sum())
-                if n >= HELD_BYTES:
+                stretch = [raw[p:q] for p, q in zip(first.tolist(), (first + count + span - 1).tolist(), strict=True)]
+                held.append((keys[whose], docs_[whose], nulls[whose], first - cuts[row[use]], count, grams[at[use]].view(np.int64), stretch))
+                size += int(count.sum()) + len(use) * (span - 1)
+                if size >= HELD_BYTES:
                     yield emit(held)
-                    held, n = [], 0
+                    held, size = [], 0
         if held:
             yield emit(held)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gather(batches)
-        if found is None:
-            return
-        weight = longs(found, "weight")
-        doc, start, n = longs(found, "doc_id"), longs(found, "start"), longs(found, "n")
-        stretches = found["bytes"].combine_chunks()
-        real, known = np.flatnonzero(weight > 0), np.flatnonzero(weight == 0)
-        out = [(doc[known], start[known], n[known])]
-        if len(real):
-            order = real[np.argsort(longs(found, "name")[real])]
-            starts = group_starts(longs(found, "name")[order])
-            one = order[starts]
-            total = np.add.reduceat(weight[order], starts)
-            text, upto = text_bytes(stretches.take(pa.array(one)))
-            size = np.diff(upto)
-            place = ranges(np.zeros(len(size), np.int64), size)
-            mark = repeated_windows(text, place <= np.repeat(size, size) - span, np.repeat(np.minimum(total, 2).astype(np.uint8), size), span, budget)
-            first = upto[:-1]
-            which = np.repeat(np.arange(len(starts)), sizes_of(starts, len(order)))  # each row's own stretch
-            windows = n[order]
-            at = ranges(first[which], windows)
-            hit = mark[at]
-            out.append(runs(np.repeat(doc[order], windows)[hit], ranges(start[order], windows)[hit]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "start", "n"])
+        names = ["row", "doc_id", "start", "n"]
+        shard, kept, held, size = Shard(budget, span), [], [], 0
+
+        def settle() -> pa.RecordBatch | None:
+            """Move what is held into the shard; what needs no sorting goes on."""
+            found = pa.Table.from_batches(held)
+            real = longs(found, "weight") > 0
+            open_ = found.filter(pa.array(real)).combine_chunks()
+            if open_.num_rows:
+                first = shard.add(open_["stretch"].to_pylist(), longs(open_, "weight"))
+                doc, nul = nullable(open_["doc_id"])
+                columns = []
+                for values in (longs(open_, "row"), doc, nul, longs(open_, "start"), longs(open_, "n"), first):
+                    log = Log(shard.scratch, values.dtype)
+                    log.add(values)
+                    columns.append(log)
+                kept.append(columns)
+            return found.filter(pa.array(~real)).select(names).combine_chunks()
+
+        def rest(columns: list[Log]) -> pa.RecordBatch:
+            key, doc, nul, start, n, first = (np.array(log.array()) for log in columns)
+            rows = np.repeat(np.arange(len(key)), n)
+            hit = np.flatnonzero(mark[ranges(first, n)])
+            found = place_runs(key, doc, nul, start, rows[hit], ranges(start, n)[hit])
+            shard.scratch.relax()
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], names)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= budget >> 3:
+                yield from settle().to_batches()
+                held, size = [], 0
+        if held:
+            yield from settle().to_batches()
+        held = []
+        mark = shard.repeated()
+        for columns in kept:
+            yield rest(columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
+            spans = own_spans(batch, 1, 4)
             for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                gone = covered(batch.column(2), cuts, span, a, b)
+                gone = covered(spans, cuts, span, a, b)
                 lost = np.concatenate([[0], np.cumsum(gone)])[cuts]
                 before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
                 before[cuts[:-1][cuts[:-1] < len(gone)]] = False
                 opens = np.concatenate([[0], np.cumsum(gone & ~before)])[cuts]
                 kept = binary_column(part[~gone], cuts - lost)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(np.diff(lost)), pa.array(np.diff(opens)), kept, batch.column(2).slice(a, b - a)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(np.diff(cuts)), pa.array(np.diff(lost)), pa.array(np.diff(opens)), kept, span_column(spans, a, b)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
-    form = "route long, doc_id long, start long, n long, weight long, name long, bytes binary"
-    gone = dealt.join(places, "doc_id", "left").mapInArrow(send, form).repartition("route").mapInArrow(sort, "doc_id long, start long, n long")
-    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
-    return dealt.join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,n:long>>")
+    form = "route long, row long, doc_id long, start long, n long, weight long, stretch binary"
+    gone = dealt.join(places, "row", "left").mapInArrow(send, form).repartition("route").mapInArrow(sort, "row long, doc_id long, start long, n long")
+    return dealt.join(gathered(gone), "row", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,n:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from quernstone.llm import near_vectors, ngram_join, substring, suffix
+from quernstone.llm import near_vectors, ngram_join, seeds, substring, suffix
 from quernstone.llm.components import connected_components
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -138,10 +138,33 @@ def test_substring_dedup(spark, seed):
 def test_substring_dedup_null_ids_and_repeated_rows(spark):
     t = " ".join(f"w{i}" for i in range(30))
     got = substring.remove_repeats(frame(spark, [(None, t, 1, True), (4, t, 1, True), (4, t, 1, True), (9, t, 1, True)])).select("doc_id", "n_removed").collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(None, 0), (4, 0), (4, 0), (9, 30)], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 30), (4, 0), (4, 0), (9, 30)], key=str)
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_texts_that_share_an_id(spark):
+    a, own = " ".join(f"a{i}" for i in range(120)), " ".join(f"u{i}" for i in range(10))
+    rows = [(2, a, 1, True), (2, own, 1, True), (1, a, 1, True), (3, "z", 1, True), (None, a + " end", 1, True), (None, own, 1, True)]
+    got = substring.remove_repeats(frame(spark, rows)).select("doc_id", "text", "n_removed").collect()
+    want = {(2, a): 120, (2, own): 0, (1, a): 0, (3, "z"): 0, (None, a + " end"): 120, (None, own): 0}
+    assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("local", [1, 4])
+def test_substring_dedup_hot_anchors(spark, monkeypatch, local):
+    monkeypatch.setattr(seeds, "LOCAL", local)
+    rows = rows_of(texts(3, 120, 60))
+    got = substring.digest(substring.remove_repeats(frame(spark, rows), span=20)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute_words(rows, 20)
+
+
+def test_substring_dedup_carries_columns(spark):
+    rows = [(1, "x " * 30, 5, None), (1, "y", 6, True), (None, None, 7, False)]
+    got = substring.remove_repeats(frame(spark, rows), carry=["doc_id", "text", "route", "known"]).select("kept_text", "carried.*").collect()
+    assert sorted((r["route"], r["known"], r["text"]) for r in got) == [(5, None, "x " * 30), (6, True, "y"), (7, False, None)]
+    assert [r["kept_text"] for r in sorted(got, key=lambda r: r["route"])] == ["x", "y", ""]
+
+
 def brute_bytes(rows, span):
     count = {}
     for _, t, *_ in rows:
@@ -170,22 +193,56 @@ def test_suffix_dedup(spark, seed, budget):
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_texts_that_share_an_id(spark):
+    r = random.Random(8)
+    write = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    a, own, other = write(500), write(78), write(300)
+    rows = [(1, a), (1, own), (2, a), (3, "z"), (None, other), (None, own + "x"), (7, other + "y"), (8, own), (9, write(400)), (9, None)]
+    twice = write(250)
+    rows += [(20, twice), (20, twice)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed").collect()
+    want = sorted((d or -1, len(t or ""), {a: 500, other: 300, other + "y": 300, twice: 250}.get(t, 0)) for d, t in rows)
+    assert sorted((x[0] or -1, x[1], x[2]) for x in got) == want
+
+
+def in_order(text: bytes, budget: int):
+    positions, shared = (np.concatenate(x) for x in zip(*suffix.suffixes(np.frombuffer(text, np.uint8), 255, budget), strict=True))
+    assert sorted(positions.tolist()) == list(range(len(text)))
+    for a, b, s in zip(positions[:-1].tolist(), positions[1:].tolist(), shared[1:].tolist(), strict=True):
+        n = 0
+        while n < 255 and a + n < len(text) and b + n < len(text) and text[a + n] == text[b + n]:
+            n += 1
+        assert s == n, (a, b, s, n)
+        assert text[b : b + 300] < text[a : a + 300] or n >= 255
+
+
 @pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("budget", [1 << 28, 64])
+@pytest.mark.parametrize("budget", [1 << 28, 64, 4096])
 def test_suffixes_are_in_order_with_their_shared_prefixes(seed, budget):
     r = random.Random(seed)
     alphabet = ["ab", "abcdefgh", "a", "xyzzy "][seed % 4]
     piece = "".join(r.choice(alphabet) for _ in range(40))
-    text = "".join(r.choice([piece, piece[:13], r.choice(alphabet)]) for _ in range(30)).encode()
-    positions, shared = (np.concatenate(x) for x in zip(*suffix.suffixes(np.frombuffer(text, np.uint8), 255, budget), strict=True))
-    got = positions[::-1].tolist()
-    assert sorted(got) == list(range(len(text)))
-    for a, b, s in zip(positions[:-1].tolist(), positions[1:].tolist(), shared[1:].tolist(), strict=True):
-        n = 0
-        while a + n < len(text) and b + n < len(text) and text[a + n] == text[b + n]:
-            n += 1
-        assert s == min(n, 255), (a, b, s, n)
-        assert text[b:] < text[a:] or n >= 255
+    in_order("".join(r.choice([piece, piece[:13], r.choice(alphabet)]) for _ in range(30)).encode(), budget)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_are_sorted_by_recursive_induction(seed, monkeypatch):
+    """A budget far below the text: every level is induced from files, and none is sorted in memory."""
+    depth, inner = [], suffix.sorted_lms
+
+    def counted(level, most):
+        depth.append((level.n, int(level.lone.sum()), len(level.lone)))
+        return inner(level, most)
+
+    monkeypatch.setattr(suffix, "sorted_lms", counted)
+    monkeypatch.setattr(suffix, "by_doubling", None)
+    monkeypatch.setattr(suffix, "NAME_BYTES", 1 << 40)
+    r = random.Random(seed)
+    words_ = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    passage = " ".join(r.choice(words_) for _ in range(60))
+    in_order(" ".join(r.choice([passage, *words_]) for _ in range(400)).encode(), 1 << (10 + 2 * seed))
+    assert len(depth) >= 4 and all(a[0] > 2 * b[0] for a, b in zip(depth, depth[1:], strict=False))
+    assert any(0 < lone < n for _, lone, n in depth[1:]) or seed
 
 
 def brute_vectors(rows, cosine):
