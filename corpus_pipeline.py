@@ -51,14 +51,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Cut passages of 50 words or more that stand in an earlier document; drop documents of which nothing is left.
 
     Rows of one id and one text are one place and come out alike; of rows of one
-    id and different texts, each loses its own passages alone.
+    id and different texts, each loses its own passages alone. Null ids count as
+    the largest. Null and empty texts stay; an empty table gives none.
     """
-    rows, repeats = numbered(docs)
-    found = substring.remove_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), span=50).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept_text", F.lit(True).alias("cut"))
-    found = found.dropDuplicates(["_row"]) if repeats else found
-    text = F.when(F.col("cut"), F.col("kept_text")).otherwise(F.col("text"))
-    joined = rows.join(found, "_row", "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.where("cut is null or text <> ''").select(docs.columns)
+    cut = F.col("n_removed") > 0
+    found = substring.remove_repeats(docs, span=50, carry=docs.columns).where(~cut | (F.col("kept_text") != ""))
+    n_chars = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("carried.text")), "n_chars": n_chars}
+    return found.select(*(new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
