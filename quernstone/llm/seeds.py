@@ -91,10 +91,10 @@ Finder = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.nda
 
 
 def keyed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """(row, doc_id, text, carried): the rows dealt by ``row``; ``carry`` names columns that travel along."""
-    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("boolean")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), carried.alias("carried"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "carried").repartition("row")
+    """(row, doc_id, text[, carried]): the rows dealt by ``row``; ``carry`` names columns that travel along as one."""
+    carried = [F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *carried)
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), *rows.columns).repartition("row")
 
 
 def repeated_anchors(dealt: DataFrame, find: Finder, limit: int) -> DataFrame:
@@ -199,15 +199,15 @@ def gathered(gone: DataFrame) -> DataFrame:
     return gone.groupBy("row").agg(F.collect_set(F.struct("doc_id", "start", "n")).alias("spans")).hint("shuffle_hash")
 
 
-def own_spans(batch: pa.RecordBatch, ids: int, spans: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the batch, start, n) of the window runs listed for each row, those of other ids left out."""
-    column = batch.column(spans)
+    column = batch.column("spans")
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten()
     if not len(flat):
         return (np.zeros(0, np.int64),) * 3
     row = np.repeat(np.arange(batch.num_rows), lengths)
-    doc, nul = nullable(batch.column(ids))
+    doc, nul = nullable(batch.column("doc_id"))
     told, none = nullable(flat.field("doc_id"))
     mine = (told == doc[row]) & (none == nul[row])
     start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from .common import SHINGLE_MIX, binary_column, gather, longs, mix64, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
 from .seeds import anchors, covered, gathered, group_starts, keyed, list_column, marked, nullable, own_spans, place_route, place_runs, repeated_anchors, sizes_of, span_column
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bytes of stretches that a task holds before it combines and sends them on.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 SPANS = T.ArrayType(T.StructType().add("start", "long").add("n", "long"))
 FORM = "route long, row long, doc_id long, start long, before int, n int, stretch binary"
 
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5, carry: list[str]
             keys = longs(batch, "row")
             docs_, nulls = nullable(batch.column(1))
             data, offsets = text_bytes(batch.column(2))
-            places, upto = list_column(batch.column(4))
+            places, upto = list_column(batch.column("places"))
             for a, b in slices(offsets, SLICE):
                 part = data[offsets[a] : offsets[b]]
                 (starts, ends, firsts), h, grams, (row, at, first, count) = _sequences(part, offsets[a : b + 1] - offsets[a], k, span)
@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5, carry: list[str]
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            spans = own_spans(batch, 1, 4)
+            spans = own_spans(batch)
             for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, firsts = words(part, cuts)
@@ -226,15 +226,16 @@ def remove_repeats(docs: DataFrame, span: int = 20, k: int = 5, carry: list[str]
                 upto = np.concatenate([[0], np.cumsum(keep)])[cuts]
                 text = binary_column(out[keep], upto).cast(pa.string())
                 lost = np.concatenate([[0], np.cumsum(gone)])[firsts]
-                same = [batch.column(i).slice(a, b - a) for i in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*same[:2], pa.array(np.diff(firsts)), pa.array(np.diff(lost)), text, span_column(spans, a, b), same[2]], ["doc_id", "text", "n_words", "n_removed", "kept_text", "spans", "carried"])
+                same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text", *(["carried"] if carry else []))]
+                yield pa.RecordBatch.from_arrays([*same[:2], pa.array(np.diff(firsts)), pa.array(np.diff(lost)), text, span_column(spans, a, b), *same[2:]], form.names)
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
     stretches = dealt.join(places, "row", "left").mapInArrow(extend, FORM)
     gone = stretches.repartition("route").mapInArrow(decide, "row long, doc_id long, start long, n long")
-    form = dealt.select("doc_id", "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", SPANS).add(dealt.schema["carried"])
-    found = dealt.join(gathered(gone), "row", "left").mapInArrow(cut, form)
-    return found if carry else found.drop("carried")
+    form = dealt.select("doc_id", "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", SPANS)
+    if carry:
+        form = form.add(dealt.schema["carried"])
+    return dealt.join(gathered(gone), "row", "left").mapInArrow(cut, form)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -700,7 +700,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
             keys = longs(batch, "row")
             docs_, nulls = nullable(batch.column(1))
             data, offsets = text_bytes(batch.column(2))
-            places, upto = list_column(batch.column(4))
+            places, upto = list_column(batch.column("places"))
             for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 if upto[a] == upto[b]:
@@ -764,7 +764,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            spans = own_spans(batch, 1, 4)
+            spans = own_spans(batch)
             for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 gone = covered(spans, cuts, span, a, b)
