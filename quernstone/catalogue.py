@@ -32,8 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(spark, d):
+    """Documents as they are read; indexes deal them by id themselves."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("filename"), F.col("doc_id").alias("page"))
+
+
 def documents(spark, d):
-    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("filename"), F.col("doc_id").alias("page"))
+    return spread(corpus(spark, d))
 
 
 def benchmark(spark, d):
@@ -85,8 +90,22 @@ def token_counts(spark, d):
     return index.token_counts(table(spark, d, "documents"), "doc_id")
 
 
+@query
+def page_tokens(spark, d):
+    """Words, digits and pairs of Chinese characters of Markdown pages."""
+    return index.token_counts(pages(spark, d).select(F.concat_ws("_p", "filename", "page").alias("id"), "text"), "id")
+
+
+@query
+def page_topk(spark, d):
+    """BM25 over Chinese pages with Chinese questions."""
+    rows = pages(spark, d).select(F.concat_ws("_p", "filename", "page").alias("id"), "text")
+    hits = retrieve.bm25_search(index.lexical_index(rows, "id"), bases.spark_rows(spark, d, bases.TITLE_QUESTIONS), 10)
+    return rounded(hits.select("query_id", "rank", "id", "score"), "score")
+
+
 def _bm25(spark, d):
-    return index.lexical_index(documents(spark, d), "id")
+    return index.lexical_index(corpus(spark, d), "id")
 
 
 @query
@@ -114,7 +133,7 @@ def dense_topk(spark, d):
 
 @query
 def tfidf_topk(spark, d):
-    hits = retrieve.keyword_search(index.tfidf_index(documents(spark, d), "id"), benchmark(spark, d), 5)
+    hits = retrieve.keyword_search(index.tfidf_index(corpus(spark, d), "id"), benchmark(spark, d), 5)
     return rounded(hits.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"), "score")
 
 
@@ -145,33 +164,43 @@ def summary_topk(spark, d):
     return rounded(hits.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"), "score")
 
 
+def _title_hits(spark, d, k=5):
+    """Documents as pages: the headings of their texts, searched like titles; a document ranks by its best heading."""
+    heads = parse.titles(documents(spark, d)).select(F.col("page").alias("doc"), F.concat_ws("_", "page", "line").alias("id"), "title")
+    hits = retrieve.scaled_search(index.lexical_index(heads.select("id", "title"), "id", "title"), benchmark(spark, d), k)
+    return hits.join(heads.select("id", "doc"), "id").select("query_id", F.col("doc").alias("id"), "score", "rank")
+
+
 def _fused(spark, d):
-    """Channels over documents; a vector with a document's id stands in for its embedding."""
-    docs, asked = documents(spark, d), benchmark(spark, d)
-    bm25, keyword = retrieve.bm25_search(index.lexical_index(docs, "id"), asked, 10), retrieve.keyword_search(index.tfidf_index(docs, "id"), asked, 5)
-    summary = retrieve.scaled_search(index.lexical_index(_summaries(spark, d), "id", "summary"), asked, 5)
-    body = docs.select("id", F.col("text").alias("content"), "filename", "page")
-    tails = {"dense": "_text", "bm25": "_text", "keyword": "_keyword", "summary": "_summary"}
-    found = {"dense": _dense(spark, d), "bm25": bm25, "keyword": keyword, "summary": summary}
-    named = {n: hits.join(body, "id").withColumn("id", F.concat_ws("", "filename", F.lit("_p"), "page", F.lit(tails[n]))) for n, hits in found.items()}
-    return retrieve.fuse(named)
+    """Channels over documents; a vector with a document's id stands in for its embedding. Texts join the few that are shown."""
+    docs, asked = corpus(spark, d), benchmark(spark, d)
+    found = {
+        "dense": _dense(spark, d), "bm25": retrieve.bm25_search(index.lexical_index(docs, "id"), asked, 10), "title": _title_hits(spark, d),
+        "keyword": retrieve.keyword_search(index.tfidf_index(docs, "id"), asked, 5), "summary": retrieve.scaled_search(index.lexical_index(_summaries(spark, d), "id", "summary"), asked, 5),
+    }
+    tails = {"dense": "_text", "bm25": "_text", "title": "_title", "keyword": "_keyword", "summary": "_summary"}
+    # Hits are fused by document and tail; names come from documents afterwards, for what was found alone.
+    tailed = {n: hits.select("query_id", "rank", F.concat_ws("", F.col("id").cast("string"), F.lit(tails[n])).alias("id"), F.col("id").alias("doc"), F.lit(tails[n]).alias("tail")) for n, hits in found.items()}
+    return retrieve.fuse(tailed, payload=("doc", "tail"))
 
 
 @query
 def rrf_fusion(spark, d):
-    fused = _fused(spark, d)
+    names = corpus(spark, d).select(F.col("id").alias("doc"), "filename", "page")
+    fused = _fused(spark, d).join(names, "doc").withColumn("id", F.concat_ws("", "filename", F.lit("_p"), "page", "tail"))
     return rounded(fused.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("chunk_id"), "score", listed("sources").alias("sources")), "score", places=9)
 
 
 @query
 def context_text(spark, d):
-    told = retrieve.contexts(rerank.head(_fused(spark, d), 3), benchmark(spark, d))
+    body = corpus(spark, d).select(F.col("id").alias("doc"), F.col("text").alias("content"), "filename", "page")
+    told = retrieve.contexts(rerank.head(_fused(spark, d), 3).join(body, "doc"), benchmark(spark, d))
     return told.select(F.col("query_id").alias("item_id"), "top_filename", F.col("top_page").cast("long").alias("top_page"), F.md5("context_text").alias("context_md5"), F.length("context_text").cast("long").alias("context_len"), "n_hits")
 
 
-def _hits(spark, d):
+def _hits(spark, d, k=10):
     """BM25 hits with content, for reranking; every other document counts as a table."""
-    hits = retrieve.bm25_search(_bm25(spark, d), benchmark(spark, d), 10)
+    hits = retrieve.bm25_search(_bm25(spark, d), benchmark(spark, d), k)
     body = documents(spark, d).select("id", F.col("text").alias("content"), F.when(F.col("id") % 2 == 0, "table").otherwise("text").alias("type"))
     kinds = F.element_at(F.array(*map(F.lit, P.QUESTION_PATTERNS)), (F.col("query_id") % 4 + 1).cast("int"))
     return hits.join(body, "id").join(benchmark(spark, d), "query_id").withColumn("question_type", kinds)
@@ -199,7 +228,7 @@ def type_filter(spark, d):
 
 @query
 def multi_stage_rerank(spark, d):
-    return _ids(rerank.multi_stage(_hits(spark, d), coarse=8, fine=6, final=3))
+    return _ids(rerank.multi_stage(_hits(spark, d, 60)))
 
 
 # --- structure and chunks
@@ -236,9 +265,18 @@ def breakpoints(spark, d):
     return chunk.breakpoints(chunk.sentences(pages(spark, d))).select("filename", "page", "idx", "is_break")
 
 
+def _semantic(spark, d, *sizes):
+    return chunk.semantic_chunks(pages(spark, d), *sizes).select("chunk_id", "type", F.length("content").cast("long").alias("length"), F.md5("content").alias("md5"))
+
+
 @query
 def semantic_chunks(spark, d):
-    return chunk.semantic_chunks(pages(spark, d), 120, 30).select("chunk_id", "type", F.length("content").cast("long").alias("length"), F.md5("content").alias("md5"))
+    return _semantic(spark, d, 500, 100)
+
+
+@query
+def semantic_chunks_small(spark, d):
+    return _semantic(spark, d, 120, 30)
 
 
 # --- questions, prompts and answers
@@ -396,16 +434,14 @@ def report_extremes(spark, d):
 
 
 def _retrieval(spark, d):
-    """Gold: documents that hold the benchmark passage; a document's file and page are its source and id."""
-    asked = benchmark(spark, d)
-    docs = documents(spark, d)
-    # Candidates come from BM25 hits alone, so that passages need not be matched against every document.
-    hits = retrieve.bm25_search(index.lexical_index(docs, "id"), asked, 10)
-    body = docs.select("id", "filename", "page", "text")
-    shown = hits.join(body, "id").join(asked, "query_id")
-    told = shown.where(F.col("text").contains(F.col("question"))).groupBy("query_id", "question").agg(F.min_by(F.struct("filename", "page"), "page").alias("g")).select("query_id", "question", "g.*")
-    blank = asked.join(told, "query_id", "left_anti").select("query_id", "question", F.lit("").alias("filename"), F.when(F.col("query_id") % 2 == 0, -1).otherwise(0).cast("long").alias("page"))
-    return told.unionByName(blank), shown.select("query_id", "filename", "page", "rank")
+    """Gold: the first document, of all, that holds the benchmark passage; a document's file and page are its source and id."""
+    asked, docs, ix = benchmark(spark, d), corpus(spark, d), _bm25(spark, d)
+    hits = retrieve.bm25_search(ix, asked, 10).select("query_id", "id", "rank")
+    told = evaluate.containing(docs, ix.postings, ix.terms, asked).groupBy("query_id").agg(F.min("id").alias("id"))
+    names = docs.select("id", "filename", "page")
+    blank = F.when(F.col("query_id") % 2 == 0, -1).otherwise(0).cast("long")
+    gold_ = asked.join(told.join(names, "id"), "query_id", "left").select("query_id", "question", F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("page", blank).alias("page"))
+    return gold_, hits.join(names, "id").select("query_id", "filename", "page", "rank")
 
 
 @query

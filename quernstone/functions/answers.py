@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import let, numbers, strip, token_set
+from .text import Tokenizer, let, numbers, strip, token_set, tokens
 
 
 def type_scores(question: Column) -> Column:
@@ -83,13 +83,13 @@ def postprocess(answer: Column, context: Column, low: int = 10, high: int = 500)
     )
 
 
-def _facts(answer: Column, context: Column) -> Column:
+def _facts(answer: Column, context: Column, tokenize: Tokenizer) -> Column:
     """What checks compare: texts, numbers and words of both, and the sizes of what they share."""
     answer, context = F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit(""))
     found = lambda x: F.array_distinct(numbers(x, P.NUMBER_PLAIN))
     raw = F.struct(
         answer.alias("a"), context.alias("c"), found(answer).alias("an"), found(context).alias("cn"),
-        token_set(answer, P.STOP_WORDS).alias("aw"), token_set(context, P.STOP_WORDS).alias("cw"),
+        token_set(answer, P.STOP_WORDS, tokenize).alias("aw"), token_set(context, P.STOP_WORDS, tokenize).alias("cw"),
     )
     size = lambda s: F.struct(
         s["a"].alias("a"), s["c"].alias("c"), F.array_sort(s["an"]).alias("an"), F.array_sort(s["cn"]).alias("cn"), F.size(s["an"]).alias("n"), F.size(F.array_intersect(s["an"], s["cn"])).alias("hit"),
@@ -111,9 +111,9 @@ def _verdict(s: Column) -> Column:
     )
 
 
-def check_support(answer: Column, context: Column) -> Column:
+def check_support(answer: Column, context: Column, tokenize: Tokenizer = tokens) -> Column:
     """Support, Contradict or Neutral: numbers first, then shared words."""
-    return let(_facts(answer, context), _verdict)
+    return let(_facts(answer, context, tokenize), _verdict)
 
 
 def feedback(verdict: Column) -> Column:
@@ -122,14 +122,14 @@ def feedback(verdict: Column) -> Column:
     return F.struct(*(pick(i).alias(n) for i, n in enumerate(("action", "reason", "suggestion"))))
 
 
-def self_check(answer: Column, context: Column) -> Column:
+def self_check(answer: Column, context: Column, tokenize: Tokenizer = tokens) -> Column:
     """struct(verdict, feedback, num_support_ratio, keyword_overlap_ratio, answer_numbers, context_numbers)."""
     share = lambda part, whole, none: F.round(F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(none)), 4)
     report = lambda s: F.struct(
         _verdict(s).alias("verdict"), share(s["hit"], s["n"], 1.0).alias("num_support_ratio"), share(s["shared"], s["w"], 0.0).alias("keyword_overlap_ratio"), s["an"].alias("answer_numbers"), s["cn"].alias("context_numbers")
     )
     advised = lambda s: F.struct(s["verdict"].alias("verdict"), feedback(s["verdict"]).alias("feedback"), *(s[n].alias(n) for n in ("num_support_ratio", "keyword_overlap_ratio", "answer_numbers", "context_numbers")))
-    return let(let(_facts(answer, context), report), advised)
+    return let(let(_facts(answer, context, tokenize), report), advised)
 
 
 def reply_lines(reply: Column) -> Column:

@@ -14,9 +14,13 @@ from pyspark.sql.types import LongType
 
 from . import patterns as P
 
-TOKEN = r"([\p{L}\p{N}]+)"
-#: Runs of Chinese characters, for the optional bigram tokenizer.
-CJK = r"([㐀-鿿]+)"
+#: What ends a word.
+NO_WORD = r"[^\p{L}\p{N}]+"
+#: A run of Chinese characters.
+CJK = "([㐀-鿿]+)"
+
+#: Turns a text into an array of tokens, with repeats, in order.
+Tokenizer = Callable[[Column], Column]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,20 +33,21 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def tokens(x: Column) -> Column:
-    """Lower-cased runs of letters and digits, with repeats, in order."""
-    return F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(1))
+def plain_tokens(x: Column) -> Column:
+    """Lower-cased runs of letters and digits; text without spaces comes as one token."""
+    return F.array_remove(F.split(F.lower(x), NO_WORD), "")
 
 
-def cjk_bigrams(x: Column) -> Column:
-    """Overlapping pairs of characters of Chinese runs (single characters stay), for texts without spaces."""
-    runs = F.regexp_extract_all(x, F.lit(CJK), F.lit(1))
-    pairs = F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.flatten(pairs)
+def tokens(x: Column) -> Column:
+    """Lower-cased runs of letters and digits; of each run of Chinese characters, its overlapping pairs (a single one stays)."""
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    split = lambda t: F.when(t.rlike("^" + CJK) & (F.length(t) > 1), pairs(t)).otherwise(F.array(t))
+    mixed = F.flatten(F.transform(plain_tokens(F.regexp_replace(x, CJK, " $1 ")), split))
+    return F.when(x.rlike(CJK), mixed).otherwise(plain_tokens(x))
 
 
-def token_set(x: Column, stop: list[str] | None = None) -> Column:
-    found = F.array_distinct(tokens(x))
+def token_set(x: Column, stop: list[str] | None = None, tokenize: Tokenizer = tokens) -> Column:
+    found = F.array_distinct(tokenize(x))
     return F.array_except(found, F.array(*map(F.lit, stop))) if stop else found
 
 
@@ -87,8 +92,8 @@ def char_f1(pred: Column, gold: Column) -> Column:
     return _bag_f1(characters(pred), characters(gold))
 
 
-def word_f1(pred: Column, gold: Column) -> Column:
-    return _bag_f1(tokens(pred), tokens(gold))
+def word_f1(pred: Column, gold: Column, tokenize: Tokenizer = tokens) -> Column:
+    return _bag_f1(tokenize(pred), tokenize(gold))
 
 
 def _bag_f1(a: Column, b: Column) -> Column:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import cosine, jaccard, strip, token_set
+from ..functions.text import Tokenizer, cosine, jaccard, strip, token_set, tokens
+from ..plugins import Encoder
 
 PAGE = ["filename", "page"]
 
@@ -39,18 +44,37 @@ def sentences(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.posexplode(sentences_of(F.col("text"))).alias("idx", "sentence")).withColumn("idx", F.col("idx").cast("long"))
 
 
-def similarity(a: Column, b: Column, vector: bool = False) -> Column:
-    """Of two sentences: overlap of token sets, or cosine of their vectors."""
-    return cosine(a, b) if vector else jaccard(token_set(a), token_set(b))
+def similarity(a: Column, b: Column, vector: bool = False, tokenize: Tokenizer = tokens) -> Column:
+    """Of two sentences: overlap of their token sets, or cosine of their vectors."""
+    return cosine(a, b) if vector else jaccard(token_set(a, None, tokenize), token_set(b, None, tokenize))
+
+
+def _features(sents: DataFrame, encoder: Encoder | None, tokenize: Tokenizer) -> DataFrame:
+    """``sents`` with what sentences are compared by, once a sentence: token sets, or vectors of an encoder."""
+    if encoder is None:
+        return sents.withColumn("feature", token_set(F.col("sentence"), None, tokenize))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(feature=list(encoder.encode(batch["sentence"].tolist())))
+
+    return sents.mapInPandas(run, StructType([*sents.schema.fields, StructField("feature", ArrayType(DoubleType()))]))
+
+
+def _compared(sents: DataFrame, encoder: Encoder | None, tokenize: Tokenizer) -> DataFrame:
+    """``sents`` with the similarity of each sentence and the next one of its page; null for the last."""
+    nxt = F.lead("feature").over(Window.partitionBy(*PAGE).orderBy("idx"))
+    both = _features(sents, encoder, tokenize).withColumn("next", nxt)
+    measure = cosine if encoder else jaccard
+    return both.withColumn("similarity", F.when(F.col("next").isNotNull(), measure(F.col("feature"), F.col("next")))).drop("feature", "next")
 
 
-def sentence_similarity(sents: DataFrame) -> DataFrame:
+def sentence_similarity(sents: DataFrame, encoder: Encoder | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
     """(filename, page, idx, similarity) of each sentence and the next one of its page."""
-    nxt = F.lead("sentence").over(Window.partitionBy(*PAGE).orderBy("idx"))
-    return sents.withColumn("next", nxt).where("next is not null").select(*PAGE, "idx", similarity(F.col("sentence"), F.col("next")).alias("similarity"))
+    return _compared(sents, encoder, tokenize).where("similarity is not null").select(*PAGE, "idx", "similarity")
 
 
-def breakpoints(sents: DataFrame) -> DataFrame:
+def breakpoints(sents: DataFrame, encoder: Encoder | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
     """(filename, page, idx, sentence, similarity, is_break): where a group of sentences may end.
 
     A page's threshold is the mean less one population deviation of its
@@ -59,8 +83,7 @@ def breakpoints(sents: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy(*PAGE).orderBy("idx")
     page = Window.partitionBy(*PAGE)
-    nxt = F.lead("sentence").over(order)
-    scored = sents.withColumn("similarity", F.when(nxt.isNotNull(), similarity(F.col("sentence"), nxt)))
+    scored = _compared(sents, encoder, tokenize)
     spread = F.when(F.count("similarity").over(page) == 1, 0.1).otherwise(F.stddev_pop("similarity").over(page))
     limit = F.greatest(F.round(F.avg("similarity").over(page) - spread, 12), F.lit(0.15))
     scored = scored.withColumn("dip", F.round("similarity", 12) < limit)
@@ -99,14 +122,14 @@ def overlapped(groups: DataFrame, overlap: int = 100) -> DataFrame:
     return groups.select(*PAGE, "grp", strip(content).alias("content")).where(F.length("content") > 10)
 
 
-def semantic_chunks(pages: DataFrame, chunk_size: int = 500, overlap: int = 100) -> DataFrame:
-    """(chunk_id, filename, page, type, content): groups of sentences, and tables.
+def semantic_chunks(pages: DataFrame, chunk_size: int = 500, overlap: int = 100, encoder: Encoder | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
+    """(chunk_id, filename, page, type, content): groups of sentences, compared by tokens or by an encoder, and tables.
 
     Chunks count within their page. Pages under 10 characters give tables alone;
     longer pages without a sentence give nothing.
     """
     long_ = F.length(strip(F.coalesce("text", F.lit("")))) >= 10
-    groups = overlapped(group_sentences(breakpoints(sentences(pages.where(long_))), chunk_size), overlap)
+    groups = overlapped(group_sentences(breakpoints(sentences(pages.where(long_)), encoder, tokenize), chunk_size), overlap)
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("grp")) - 1
     text = groups.withColumn("n", number).select(F.concat_ws("", "filename", F.lit("_p"), "page", F.lit("_chunk"), "n").alias("chunk_id"), *PAGE, F.lit("text").alias("type"), "content")
     told = pages.where(~long_ | (F.size(sentences_of(F.col("text"))) > 0))

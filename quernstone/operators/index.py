@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, tokens
+from ..functions.text import Tokenizer, strip, tokens
 from ..plugins import Encoder
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -31,25 +31,32 @@ class LexicalIndex:
         return LexicalIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "corpus")))
 
 
-def token_counts(texts: DataFrame, id_: str, text: str = "text") -> DataFrame:
-    found = tokens(F.col(text))
+def token_counts(texts: DataFrame, id_: str, text: str = "text", tokenize: Tokenizer = tokens) -> DataFrame:
+    found = tokenize(F.col(text))
     return texts.select(id_, F.size(found).cast("long").alias("n_tokens"), F.size(F.array_distinct(found)).cast("long").alias("n_distinct"))
 
 
 def postings_of(texts: DataFrame, id_: str, tokenized: Column) -> DataFrame:
-    """(id, dl, term, tf): one shuffle, on (id, term)."""
-    rows = texts.select(F.col(id_).alias("id"), tokenized.alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    """(id, dl, term, tf).
 
+    Texts are dealt by id before they are cut into words, so that words are
+    counted where they are: the texts move once, and not a row a word. An outer
+    explode, since for an inner one the optimizer would tokenize below that
+    exchange too, to drop texts without words.
+    """
+    dealt = texts.select(F.col(id_).alias("id"), *(c for c in texts.columns if c != id_)).repartition("id")
+    rows = dealt.select("id", tokenized.alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    return rows.where("term is not null").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
-def lexical_index(texts: DataFrame, id_: str, text: str = "text", tokenized: Column | None = None) -> LexicalIndex:
+
+def lexical_index(texts: DataFrame, id_: str, text: str = "text", tokenize: Tokenizer = tokens) -> LexicalIndex:
     """BM25 statistics. Terms in over half of the texts get EPSILON times the mean of all raw weights."""
-    tokenized = tokens(F.col(text)) if tokenized is None else tokenized
-    postings = postings_of(texts, id_, tokenized)
-    corpus = texts.agg(F.count("*").alias("n"), F.avg(F.size(F.coalesce(tokenized, F.array().cast("array<string>"))).cast("double")).alias("avgdl"))
-    # Reading tf here too keeps this branch's plan equal to that of the postings, so that one exchange serves both.
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("total > 0")
-    raw = df.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    postings = postings_of(texts.select(id_, text), id_, tokenize(F.col(text)))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    # The number of tokens is the sum over terms, so that no text is cut again for the mean length.
+    corpus = texts.agg(F.count("*").alias("n")).crossJoin(F.broadcast(df.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))))  # two rows of one number
+    corpus = corpus.select("n", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
+    raw = df.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
@@ -63,21 +70,29 @@ class TfidfIndex:
     weights: DataFrame
     terms: DataFrame
 
+    def save(self, path: str) -> None:
+        self.weights.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TfidfIndex:
+        return TfidfIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("weights", "terms")))
+
 
-def word_terms(text: Column) -> Column:
+def word_terms(text: Column, tokenize: Tokenizer = tokens) -> Column:
     """Lower-cased words of two characters or more."""
-    return F.filter(tokens(text), lambda t: F.length(t) >= 2)
+    return F.filter(tokenize(text), lambda t: F.length(t) >= 2)
 
 
-def tfidf_index(texts: DataFrame, id_: str, text: str = "text", max_terms: int = 5000) -> TfidfIndex:
+def tfidf_index(texts: DataFrame, id_: str, text: str = "text", max_terms: int = 5000, tokenize: Tokenizer = tokens) -> TfidfIndex:
     """Raw counts times ln((1 + n) / (1 + df)) + 1, scaled to unit length; the ``max_terms`` most frequent terms (ties by term)."""
-    told = texts.where(strip(F.col(text)) != "")
-    postings = postings_of(told, id_, word_terms(F.col(text)))
-    n = told.agg(F.count("*").alias("n"))
+    # A text that is blank has no words; it only counts for n.
+    postings = postings_of(texts.select(id_, text), id_, word_terms(F.col(text), tokenize))
+    n = texts.where(strip(F.col(text)) != "").agg(F.count("*").alias("n"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(max_terms)
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     terms = terms.crossJoin(F.broadcast(n)).select("term", idf.alias("idf"))
-    raw = postings.join(terms, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = postings.join(F.broadcast(terms), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))  # max_terms rows at most
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return TfidfIndex(raw.select("id", "term", (F.col("w") / length).alias("weight")), terms)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import jaccard, let, token_set
+from ..functions.text import Tokenizer, jaccard, let, token_set, tokens
 from ..plugins import Scorer
 
 
@@ -22,57 +22,83 @@ def _ranked(hits: DataFrame, *order) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window).cast("long"))
 
 
-def rerank(hits: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+def rerank(hits: DataFrame, scorer: Scorer | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
     """New ranks by ``rerank_score`` of (question, content); the default is the share of the question's words found.
 
     ``hits`` has question and content. Ties keep their order.
     """
     if scorer is None:
-        asked = token_set(F.col("question"))
+        asked = token_set(F.col("question"), None, tokenize)
         n = F.size(asked)
-        score = F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(asked, token_set(F.col("content")))) / n)
+        score = F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(asked, token_set(F.col("content"), None, tokenize))) / n)
+        scored = hits.withColumn("rerank_score", F.round(score, 9))
     else:
-
-        @F.pandas_udf("double")
-        def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for q, c in batches:
-                yield pd.Series(scorer.predict(list(zip(q, c, strict=True))), dtype="float64")
-
-        score = predict("question", "content")
-    scored = hits.withColumn("rerank_score", F.round(score, 9))
+        scored = _scored(hits, scorer, "question", "content", "rerank_score").withColumn("rerank_score", F.round("rerank_score", 9))
     return _ranked(scored, F.desc("rerank_score"), "rank")
 
 
-def mmr(hits: DataFrame, k: int = 5, weight: float = 0.7, relevance: str = "score") -> DataFrame:
-    """Greedy maximal marginal relevance, k rounds, with token-set overlap as similarity.
+def mmr(hits: DataFrame, k: int = 5, weight: float = 0.7, relevance: str = "score", scorer: Scorer | None = None, tokenize: Tokenizer = tokens, most: int = 100) -> DataFrame:
+    """Greedy maximal marginal relevance, k rounds, among the first ``most`` hits of each query.
 
     Each round takes the hit with the highest weight * relevance - (1 - weight) *
-    largest similarity to those taken; earlier ranks win ties. Queries with k
-    hits or fewer keep their order. A round is one window over a query's few
-    hits and one join that updates the largest similarity.
+    largest similarity to those taken; earlier ranks win ties. Similarity is the
+    overlap of token sets; with a scorer it is the score of the pair, the earlier
+    hit first, and relevance the score of the question with the hit. Queries with
+    k hits or fewer keep their order. ``most`` bounds the row that holds a
+    query's candidates; a caller that wants more says so.
     """
+    if scorer is not None:
+        hits = _scored(hits, scorer, "question", "content", "_relevance")
+        relevance = "_relevance"
     n = F.count("*").over(Window.partitionBy("query_id"))
-    base = hits.withColumn("_n", n).withColumn("_set", token_set(F.col("content")))
-    few = base.where(F.col("_n") <= k).drop("_n", "_set")
-    # One row per query holds its candidates (a few tens at most), so that all rounds run in a single fold.
+    base = hits.withColumn("_n", n).withColumn("_set", token_set(F.col("content"), None, tokenize) if scorer is None else F.array().cast("array<string>"))
+    few = base.where(F.col("_n") <= k).drop("_n", "_set", "_relevance")
+    # One row per query holds its candidates, so that all rounds run in a single fold.
     item = F.struct(F.col("rank").alias("rank"), F.col(relevance).cast("double").alias("rel"), F.col("_set").alias("set"))
-    rows = base.where(F.col("_n") > k).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    state = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<array<string>>").alias("sets"))
+    if scorer is not None:
+        item = F.struct(F.col("rank").alias("rank"), F.col(relevance).cast("double").alias("rel"), F.col("_sims").alias("sims"))
+        base = base.where(F.col("rank") <= most).join(_pair_scores(base.where((F.col("_n") > k) & (F.col("rank") <= most)), scorer), ["query_id", "rank"])
+    rows = base.where((F.col("_n") > k) & (F.col("rank") <= most)).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kept = "array<string>" if scorer is None else "map<bigint,double>"
+    state = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast(f"array<{kept}>").alias("sets"))
+    like = (lambda x, t: jaccard(x["set"], t)) if scorer is None else (lambda x, t: F.element_at(t, x["rank"]))
 
     def value(x, s):
-        most = F.aggregate(s["sets"], F.lit(0.0), lambda m, t: F.greatest(m, jaccard(x["set"], t)))
-        return F.round(weight * x["rel"] - (1 - weight) * most, 12)
+        worst = F.aggregate(s["sets"], F.lit(None).cast("double"), lambda m, t: F.greatest(m, like(x, t)))  # greatest skips nulls
+        return F.round(weight * x["rel"] - (1 - weight) * F.coalesce(worst, F.lit(0.0)), 12)
 
     def step(s, _):
         left = F.filter("items", lambda x: ~F.array_contains(s["taken"], x["rank"]))
-        valued = F.transform(left, lambda x: F.struct((-value(x, s)).alias("v"), x["rank"].alias("rank"), x["set"].alias("set")))
-        return let(F.array_min(valued), lambda best: F.struct(F.concat(s["taken"], F.array(best["rank"])).alias("taken"), F.concat(s["sets"], F.array(best["set"])).alias("sets")))
+        # A map cannot be compared, so the winner is found by value and rank, and then looked up.
+        valued = F.transform(left, lambda x: F.struct((-value(x, s)).alias("v"), x["rank"].alias("rank")))
+        won = lambda best: F.get(F.filter(left, lambda x: x["rank"] == best["rank"]), F.lit(0))
+        return let(F.array_min(valued), lambda best: F.struct(F.concat(s["taken"], F.array(best["rank"])).alias("taken"), F.concat(s["sets"], F.array(won(best)["set" if scorer is None else "sims"])).alias("sets")))
 
     taken = rows.select("query_id", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(k)), state, step, lambda s: s["taken"])).alias("i", "old"))
-    many = hits.join(taken, (hits.query_id == taken.query_id) & (hits["rank"] == taken.old)).drop(taken.query_id).withColumn("rank", (F.col("i") + 1).cast("long")).drop("i", "old")
+    many = hits.join(taken, (hits.query_id == taken.query_id) & (hits["rank"] == taken.old)).drop(taken.query_id).withColumn("rank", (F.col("i") + 1).cast("long")).drop("i", "old", "_relevance")
     return few.unionByName(many)
 
 
+def _scored(rows: DataFrame, scorer: Scorer, one: str, other: str, name: str) -> DataFrame:
+    """``rows`` with the score of two text columns."""
+
+    @F.pandas_udf("double")
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series(scorer.predict(list(zip(a, b, strict=True))), dtype="float64")
+
+    return rows.withColumn(name, predict(one, other))
+
+
+def _pair_scores(hits: DataFrame, scorer: Scorer) -> DataFrame:
+    """(query_id, rank, _sims): each hit's score with the others of its query, by their rank; both ways alike."""
+    one = hits.select("query_id", F.col("rank").alias("x"), F.col("content").alias("a"))
+    other = hits.select("query_id", F.col("rank").alias("y"), F.col("content").alias("b"))
+    pairs = _scored(one.join(other, "query_id").where("x < y"), scorer, "a", "b", "s").select("query_id", "x", "y", "s")
+    both = pairs.union(pairs.select("query_id", F.col("y").alias("x"), F.col("x").alias("y"), "s"))
+    return both.groupBy("query_id", F.col("x").alias("rank")).agg(F.map_from_entries(F.collect_list(F.struct("y", "s"))).alias("_sims"))
+
+
 def by_question_type(hits: DataFrame) -> DataFrame:
     """Tables first for facts, passages that refer to figures first for charts; else unchanged. Nothing is dropped."""
     first = F.when(F.col("question_type") == "fact_extraction", F.col("type") == "table")
@@ -80,8 +106,8 @@ def by_question_type(hits: DataFrame) -> DataFrame:
     return _ranked(hits.withColumn("_first", first), F.desc("_first"), "rank").drop("_first")
 
 
-def multi_stage(hits: DataFrame, coarse: int = 50, fine: int = 20, final: int = 5, weight: float = 0.7, scorer: Scorer | None = None) -> DataFrame:
+def multi_stage(hits: DataFrame, coarse: int = 50, fine: int = 20, final: int = 5, weight: float = 0.7, scorer: Scorer | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
     """Coarse cut, scorer, fine cut, diversity, question type; types permute the final hits alone."""
-    scored = rerank(head(hits, coarse), scorer)
-    diverse = mmr(head(scored, fine), final, weight, "rerank_score")
+    scored = rerank(head(hits, coarse), scorer, tokenize)
+    diverse = mmr(head(scored, fine), final, weight, "rerank_score", scorer, tokenize)
     return head(by_question_type(diverse), final)

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import Tokenizer, tokens
 from .index import B, K1, LexicalIndex, TfidfIndex, word_terms
 
 #: Fixed order of channels in fused results.
 CHANNELS = ["dense", "bm25", "title", "keyword", "summary"]
-#: Queries that one broadcast of vectors may hold; more go in further blocks.
-QUERY_BLOCK = 4096
+#: Numbers that a block of vectors may hold.
+BLOCK = 1 << 19
 
 
 def top_k(scored: DataFrame, k: int, places: int = 9) -> DataFrame:
@@ -29,76 +29,87 @@ def top_k(scored: DataFrame, k: int, places: int = 9) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, k: int = 10, tokenized: Column | None = None) -> DataFrame:
+def _asked(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings of terms that are asked for. A semi-join moves below the counting of words, where it drops most of them."""
+    return postings.join(asked.select("term").distinct(), "term", "left_semi")
+
+
+def bm25_search(index: LexicalIndex, queries: DataFrame, k: int = 10, tokenize: Tokenizer = tokens) -> DataFrame:
     """Sum of BM25 weights over the query's tokens, repeats included; the top k, then those above 0.
 
     Postings meet query terms by an equi-join on the term, so that only matching
     postings are scored.
     """
-    tokenized = tokens(F.col("question")) if tokenized is None else tokenized
-    asked = queries.select("query_id", F.explode(tokenized).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = asked.join(index.terms.select("term", "idf"), "term")
-    matched = index.postings.join(asked, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus: one row
+    asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    matched = _asked(index.postings, asked).join(asked.join(index.terms.select("term", "idf"), "term"), "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus: one row
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = matched.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return top_k(scores, k).where("score > 0")
 
 
-def scaled_search(index: LexicalIndex, queries: DataFrame, k: int = 5) -> DataFrame:
+def scaled_search(index: LexicalIndex, queries: DataFrame, k: int = 5, tokenize: Tokenizer = tokens) -> DataFrame:
     """BM25 hits with scores divided by the query's best; titles and summaries are searched so."""
-    hits = bm25_search(index, queries, k)
+    hits = bm25_search(index, queries, k, tokenize)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return hits.withColumn("score", F.round(F.col("score") / best, 9))
 
 
-def keyword_search(index: TfidfIndex, queries: DataFrame, k: int = 5) -> DataFrame:
+def keyword_search(index: TfidfIndex, queries: DataFrame, k: int = 5, tokenize: Tokenizer = tokens) -> DataFrame:
     """TF-IDF cosine, as a join on terms of two unit-length sparse vectors."""
-    raw = queries.select("query_id", F.explode(word_terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    raw = queries.select("query_id", F.explode(word_terms(F.col("question"), tokenize)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     raw = raw.join(index.terms, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     asked = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id"))))
     scores = index.weights.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
     return top_k(scores, k).where("score > 0")
 
 
+def _blocks(vectors: DataFrame, id_: str, ids: str, dim: str, unit: str) -> DataFrame:
+    """Vectors of one length as blocks of at most BLOCK numbers: ids, length, unit vectors as doubles. Null vectors go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for n in np.unique(length[length > 0]).tolist():
+                rows = np.flatnonzero(length == n)
+                for part in np.array_split(rows, -(-len(rows) * n // BLOCK)):
+                    x = lists.take(pa.array(part)).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                    fine = np.isfinite(x).all(axis=1)
+                    if fine.any():
+                        named = batch.column(0).take(pa.array(part[fine]))
+                        yield pa.RecordBatch.from_arrays([pa.array([named.to_pylist()], pa.list_(named.type)), pa.array([n]), pa.array([_unit(x[fine]).tobytes()], pa.binary())], [ids, dim, unit])
+
+    kind = vectors.schema[id_].dataType.simpleString()
+    return vectors.select(id_, F.col("embedding").cast("array<double>")).mapInArrow(run, f"{ids} array<{kind}>, {dim} long, {unit} binary")
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine of (id, embedding) rows with (query_id, embedding) rows.
+    """Exact cosine of (id, embedding) rows with (query_id, embedding) rows of the same length.
 
-    A block of queries of fixed size goes to every task, which multiplies
-    matrices and keeps its own k best; only these are shuffled.
+    Both sides are packed into blocks of a fixed size. Blocks of queries meet
+    blocks of vectors, a matrix product each, which keeps its own k best; only
+    these are shuffled. Queries and vectors that are null or hold null or
+    non-finite numbers match nothing; zero vectors match everything at 0.
     """
-    spark = vectors.sparkSession
     kind = vectors.schema["id"].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    found = None
-    for block in range(blocks):
-        rows = queries.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {block}")).collect()
-        if not rows:
-            continue
-        ids = pa.array([r["query_id"] for r in rows])
-        unit = _unit(np.array([r["embedding"] for r in rows], np.float64))
-        shared = spark.sparkContext.broadcast((ids, unit))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            for batch in batches:
-                length = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(length == q.shape[1]))  # noqa: PLW2901  null and odd vectors match nothing
-                if not batch.num_rows:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n = batch.column(1)[i].as_py()
+                if n != batch.column(4)[i].as_py():
                     continue
-                x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1]))
+                x, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, n) for c in (2, 5))
                 scores = np.round(q @ x.T, 9)
                 keep = min(k, scores.shape[1])
                 limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
-                i, j = np.nonzero(scores >= limit)  # ties at the limit stay until the final ranking
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(scores[i, j])], ["query_id", "id", "score"])
-
-        part = vectors.select("id", "embedding").mapInArrow(run, f"query_id {qkind}, id {kind}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.select("query_id", F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("rank")).where("false")
-    return top_k(found, k)
+                one, other = np.nonzero(scores >= limit)  # ties at the limit stay until the final ranking
+                yield pa.RecordBatch.from_arrays([batch.column(3)[i].values.take(pa.array(one)), batch.column(0)[i].values.take(pa.array(other)), pa.array(scores[one, other])], ["query_id", "id", "score"])
+
+    blocks = _blocks(vectors, "id", "ids", "dim", "unit").crossJoin(_blocks(queries, "query_id", "qids", "qdim", "qunit"))
+    return top_k(blocks.mapInArrow(run, f"query_id {qkind}, id {kind}, score double"), k)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

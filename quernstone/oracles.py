@@ -18,10 +18,17 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-def tok(x: str) -> str:
+def plain_tok(x: str) -> str:
     return rf"regexp_extract_all(lower({x}), '([\p{{L}}\p{{N}}]+)', 1)"
 
 
+def tok(x: str) -> str:
+    """Words and digits; of Chinese runs, their pairs."""
+    spaced = f"regexp_replace({x}, '([㐀-鿿]+)', ' \\1 ', 'g')"
+    pairs = "CASE WHEN regexp_matches(w, '^[㐀-鿿]') AND length(w) > 1 THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END"
+    return f"CASE WHEN regexp_matches({x}, '[㐀-鿿]') THEN flatten(list_transform({plain_tok(spaced)}, lambda w: {pairs})) ELSE {plain_tok(x)} END"
+
+
 def nums(x: str, pattern: str = P.NUMBER_SIGNED) -> str:
     return f"regexp_extract_all({x}, {q(pattern)}, 0)"
 
@@ -177,16 +184,23 @@ scored AS (SELECT id, (x = y)::INT::DOUBLE AS exact_match, {f1(bag('xc', 'yc'),
 
 FUSED = f"""WITH {DOCS}, {ASKED}, {DENSE}, {bm25('b', 'docs', 'asked', 10)}, {tfidf('k', 'docs', 'asked', 5)},
 sums AS (SELECT id, s AS text FROM (SELECT doc_id AS id, {SUMMARY} AS s FROM documents) WHERE s <> ''), {bm25('s', 'sums', 'asked', 5)},
+heads AS (SELECT doc_id || '_' || line AS id, doc_id, title AS text FROM (SELECT doc_id, line, {TITLE_TEXT} AS title FROM (
+  SELECT doc_id, i - 1 AS line, {strip('l[i]')} AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE x <> '') WHERE length(title) > 2), {bm25('t', 'heads', 'asked', 5)},
 ranked AS (
   SELECT query_id, id, rank, 0 AS channel, 'dense' AS source, '_text' AS tail FROM dense_hits UNION ALL SELECT query_id, id, rank, 1, 'bm25', '_text' FROM b_hits
+  UNION ALL SELECT query_id, h.doc_id, rank, 2, 'title', '_title' FROM t_hits JOIN heads h USING (id)
   UNION ALL SELECT query_id, id, rank, 3, 'keyword', '_keyword' FROM k_hits UNION ALL SELECT query_id, id, rank, 4, 'summary', '_summary' FROM s_hits),
-named AS (SELECT r.*, d.source || '_p' || d.doc_id || r.tail AS chunk_id, d.text AS content, d.source AS filename, d.doc_id AS page FROM ranked r JOIN documents d ON d.doc_id = r.id),
-grouped AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(channel * 1000 + rank) AS first, array_to_string(list(DISTINCT source ORDER BY source), '|') AS unordered, list(DISTINCT channel ORDER BY channel) AS seen, any_value(content) AS content, any_value(filename) AS filename, any_value(page) AS page FROM named GROUP BY query_id, chunk_id),
-fused AS (SELECT query_id, chunk_id, score, array_to_string(list_transform(seen, lambda c: ['dense', 'bm25', 'title', 'keyword', 'summary'][c + 1]), '|') AS sources, content, filename, page, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM grouped)"""
+named AS (SELECT r.*, d.source || '_p' || d.doc_id || r.tail AS chunk_id, d.doc_id || r.tail AS key, d.text AS content, d.source AS filename, d.doc_id AS page FROM ranked r JOIN documents d ON d.doc_id = r.id),
+grouped AS (SELECT query_id, chunk_id, any_value(key) AS key, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(channel * 1000 + rank) AS first, array_to_string(list(DISTINCT source ORDER BY source), '|') AS unordered, list(DISTINCT channel ORDER BY channel) AS seen, any_value(content) AS content, any_value(filename) AS filename, any_value(page) AS page FROM named GROUP BY query_id, chunk_id),
+fused AS (SELECT query_id, chunk_id, score, array_to_string(list_transform(seen, lambda c: ['dense', 'bm25', 'title', 'keyword', 'summary'][c + 1]), '|') AS sources, content, filename, page, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, key) AS rank FROM grouped)"""
 
-HITS = f"""WITH RECURSIVE {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)},
+def hits_of(k: int) -> str:
+    return f"""WITH RECURSIVE {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', k)},
 hits AS (SELECT h.query_id, h.id, h.rank, h.score, d.text AS content, CASE WHEN d.doc_id % 2 = 0 THEN 'table' ELSE 'text' END AS type, a.question, [{', '.join(map(q, KINDS))}][h.query_id % 4 + 1] AS question_type, list_distinct({tok('d.text')}) AS words, list_distinct({tok('a.question')}) AS asks
   FROM b_hits h JOIN documents d ON d.doc_id = h.id JOIN asked a USING (query_id))"""
+
+
+HITS = hits_of(10)
 LEXICAL = "CASE WHEN len(asks) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(asks, words))::DOUBLE / len(asks), 9) END"
 
 
@@ -213,9 +227,9 @@ def by_type(source: str) -> str:
 
 TASKS = "tasks AS (SELECT user_id::VARCHAR AS filename, event_id AS page, event_type FROM events)"
 GOLD_PAGES = f"""WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)},
-shown AS (SELECT h.query_id, d.source AS filename, d.doc_id AS page, h.rank, contains(d.text, a.question) AS has FROM b_hits h JOIN documents d ON d.doc_id = h.id JOIN asked a USING (query_id)),
-told AS (SELECT query_id, min(page) AS page FROM shown WHERE has GROUP BY query_id),
-firsts AS (SELECT a.query_id, CASE WHEN t.page IS NULL THEN 0 ELSE (SELECT min(rank) FROM shown s WHERE s.query_id = a.query_id AND s.page = t.page) END AS rank
+shown AS (SELECT h.query_id, d.source AS filename, d.doc_id AS page, h.rank FROM b_hits h JOIN documents d ON d.doc_id = h.id),
+told AS (SELECT a.query_id, min(d.doc_id) AS page FROM asked a JOIN documents d ON contains(d.text, a.question) GROUP BY a.query_id),
+firsts AS (SELECT a.query_id, CASE WHEN t.page IS NULL THEN 0 ELSE coalesce((SELECT min(rank) FROM shown s WHERE s.query_id = a.query_id AND s.page = t.page), 0) END AS rank
   FROM asked a LEFT JOIN told t USING (query_id) WHERE t.page IS NOT NULL OR a.query_id % 2 <> 0)"""
 
 TEMPLATE = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in generate.TEMPLATES.items()) + " END"
@@ -223,8 +237,27 @@ LINES = f"list_filter(list_transform(string_split(coalesce(reply, ''), chr(10)),
 # First places keep the order that a plain distinct would lose.
 ORDERED = "list_filter(l, lambda x, i: list_position(l, x) = i)"
 
+
+def semantic(size: int, overlap: int) -> str:
+    return f"""WITH RECURSIVE {BREAKS}, open_ AS (SELECT * FROM pages WHERE length(text) >= 10),
+m AS (SELECT marks.* FROM marks JOIN open_ USING (filename, page)),
+fold(filename, page, idx, grp, text, ends) AS (
+  SELECT filename, page, idx, 0::BIGINT, sentence, (is_break AND length(sentence) >= 50) OR (length(sentence) >= {size} AND (coalesce(similarity < 0.25, false) OR length(sentence) >= {1.5 * size})) FROM m WHERE idx = 0
+  UNION ALL
+  SELECT filename, page, idx, grp, t, (is_break AND length(t) >= 50) OR (length(t) >= {size} AND (coalesce(similarity < 0.25, false) OR length(t) >= {1.5 * size})) FROM (
+    SELECT m.filename, m.page, m.idx, m.is_break, m.similarity, CASE WHEN f.ends THEN f.grp + 1 ELSE f.grp END AS grp, CASE WHEN f.ends THEN m.sentence ELSE f.text || m.sentence END AS t FROM fold f JOIN m ON m.filename = f.filename AND m.page = f.page AND m.idx = f.idx + 1)),
+groups AS (SELECT filename, page, grp, arg_max(text, idx) AS text FROM fold GROUP BY filename, page, grp),
+tails AS (SELECT *, coalesce(CASE WHEN length(lag(text) OVER w) > {overlap} THEN right(lag(text) OVER w, {overlap}) ELSE '' END, '') AS tail FROM groups WINDOW w AS (PARTITION BY filename, page ORDER BY grp)),
+chunks AS (SELECT filename, page, grp, {strip("CASE WHEN starts_with(text, tail) THEN text ELSE tail || text END")} AS content FROM tails),
+every AS (SELECT filename || '_p' || page || '_chunk' || (row_number() OVER (PARTITION BY filename, page ORDER BY grp) - 1) AS chunk_id, 'text' AS type, content FROM chunks WHERE length(content) > 10
+  UNION ALL SELECT chunk_id, type, content FROM ({TABLE_CHUNKS.replace('FROM pages)', "FROM pages p WHERE length(text) < 10 OR EXISTS (SELECT 1 FROM sents s WHERE s.filename = p.filename AND s.page = p.page))")}))
+SELECT chunk_id, type, length(content)::BIGINT AS length, md5(content) AS md5 FROM every"""
+
+
 SQL = {
     "token_counts": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {tok('text')} AS t FROM documents)",
+    "page_tokens": f"WITH {PAGES} SELECT filename || '_p' || page AS id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT filename, page, {tok('text')} AS t FROM pages)",
+    "page_topk": f"WITH {PAGES}, rows_ AS (SELECT filename || '_p' || page AS id, text FROM pages), asked AS {bases.TITLE_QUESTIONS_DUCK}, {bm25('b', 'rows_', 'asked', 10)} SELECT query_id, rank, id, round(score, 6) AS score FROM b_hits",
     "bm25_term_stats": f"WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM b_idf",
     "bm25_topk": f"WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)} SELECT query_id AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM b_hits",
     "dense_topk": f"WITH {DENSE} SELECT query_id, rank, id AS vec_id, round(score, 6) AS score FROM dense_hits",
@@ -240,8 +273,8 @@ SELECT a.query_id AS item_id, coalesce(f, '') AS top_filename, coalesce(p, 0)::B
     "rerank_lexical": f"{HITS} SELECT query_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY {LEXICAL} DESC, rank) AS rank, id AS doc_id FROM hits",
     "mmr_rerank": f"{HITS}, scaled AS (SELECT * REPLACE (round(score / 100, 9) AS score) FROM hits), {mmr('scaled', 'score', 3)} SELECT query_id AS item_id, rank, id AS doc_id FROM mmr",
     "type_filter": f"{HITS} {by_type('hits')}",
-    "multi_stage_rerank": f"""{HITS}, one AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY {LEXICAL} DESC, rank) AS rank), {LEXICAL} AS rerank_score FROM hits WHERE rank <= 8),
-two AS (SELECT * FROM one WHERE rank <= 6), {mmr('two', 'rerank_score', 3)}, three AS (SELECT h.* EXCLUDE (rank), m.rank FROM mmr m JOIN hits h USING (query_id, id)) SELECT * FROM ({by_type('three')}) WHERE rank <= 3""",
+    "multi_stage_rerank": f"""{hits_of(60)}, one AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY {LEXICAL} DESC, rank) AS rank), {LEXICAL} AS rerank_score FROM hits WHERE rank <= 50),
+two AS (SELECT * FROM one WHERE rank <= 20), {mmr('two', 'rerank_score', 5)}, three AS (SELECT h.* EXCLUDE (rank), m.rank FROM mmr m JOIN hits h USING (query_id, id)) SELECT * FROM ({by_type('three')}) WHERE rank <= 5""",
     "page_split": f"WITH {PAGES} SELECT filename, page, md5(text) AS text_md5, len(tables)::BIGINT AS n_tables FROM pages",
     "extract_tables": f"WITH md AS {MARKDOWN}, t AS (SELECT filename, list_filter(list_transform(regexp_extract_all(text, {q(P.TABLE_BLOCK)}, 1), lambda t: {strip('t')}), lambda t: t <> '') AS l FROM md) SELECT filename, i - 1 AS idx, l[i] AS tbl FROM (SELECT filename, l, unnest(range(1, len(l) + 1)) AS i FROM t)",
     "page_chunks": f"""WITH RECURSIVE {PAGES}, bare(filename, page, tables, i, text) AS (SELECT filename, page, tables, 0, text FROM pages UNION ALL SELECT filename, page, tables, i + 1, replace(text, tables[i + 1], '') FROM bare WHERE i < len(tables)),
@@ -250,19 +283,8 @@ SELECT chunk_id, type, length(content)::BIGINT AS length, md5(content) AS md5 FR
     "sentences": f"WITH {SENTS} SELECT filename, page, idx, sentence FROM sents",
     "sentence_similarity": f"WITH {SENTS} SELECT filename, page, idx, round(similarity, 6) AS similarity FROM sims WHERE similarity IS NOT NULL",
     "breakpoints": f"WITH {BREAKS} SELECT filename, page, idx, is_break FROM marks",
-    "semantic_chunks": f"""WITH RECURSIVE {BREAKS}, open_ AS (SELECT * FROM pages WHERE length(text) >= 10),
-m AS (SELECT marks.* FROM marks JOIN open_ USING (filename, page)),
-fold(filename, page, idx, grp, text, ends) AS (
-  SELECT filename, page, idx, 0::BIGINT, sentence, (is_break AND length(sentence) >= 50) OR (length(sentence) >= 120 AND (coalesce(similarity < 0.25, false) OR length(sentence) >= 180)) FROM m WHERE idx = 0
-  UNION ALL
-  SELECT filename, page, idx, grp, t, (is_break AND length(t) >= 50) OR (length(t) >= 120 AND (coalesce(similarity < 0.25, false) OR length(t) >= 180)) FROM (
-    SELECT m.filename, m.page, m.idx, m.is_break, m.similarity, CASE WHEN f.ends THEN f.grp + 1 ELSE f.grp END AS grp, CASE WHEN f.ends THEN m.sentence ELSE f.text || m.sentence END AS t FROM fold f JOIN m ON m.filename = f.filename AND m.page = f.page AND m.idx = f.idx + 1)),
-groups AS (SELECT filename, page, grp, arg_max(text, idx) AS text FROM fold GROUP BY filename, page, grp),
-tails AS (SELECT *, coalesce(CASE WHEN length(lag(text) OVER w) > 30 THEN right(lag(text) OVER w, 30) ELSE '' END, '') AS tail FROM groups WINDOW w AS (PARTITION BY filename, page ORDER BY grp)),
-chunks AS (SELECT filename, page, grp, {strip("CASE WHEN starts_with(text, tail) THEN text ELSE tail || text END")} AS content FROM tails),
-every AS (SELECT filename || '_p' || page || '_chunk' || (row_number() OVER (PARTITION BY filename, page ORDER BY grp) - 1) AS chunk_id, 'text' AS type, content FROM chunks WHERE length(content) > 10
-  UNION ALL SELECT chunk_id, type, content FROM ({TABLE_CHUNKS.replace('FROM pages)', "FROM pages p WHERE length(text) < 10 OR EXISTS (SELECT 1 FROM sents s WHERE s.filename = p.filename AND s.page = p.page))")}))
-SELECT chunk_id, type, length(content)::BIGINT AS length, md5(content) AS md5 FROM every""",
+    "semantic_chunks": semantic(500, 100),
+    "semantic_chunks_small": semantic(120, 30),
     "classify_question": f"SELECT qid, {PICK} AS question_type FROM (SELECT qid, {typed('question')} FROM {QUESTIONS})",
     "classify_scores": f"SELECT qid, {typed('question')} FROM {QUESTIONS}",
     "rewrite_dedup": f"SELECT qid, array_to_string({ORDERED}, '|') AS variants FROM (SELECT qid, list_concat([question], {LINES}) AS l FROM {REPLIES})",

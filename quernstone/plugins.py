@@ -21,7 +21,15 @@ class LanguageModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[㐀-鿿]+|[^\W_㐀-鿿]+")
+
+
+def words(text: str | None) -> list[str]:
+    """Words and digits in lower case, and pairs of Chinese characters, as the tokenizer of the library cuts them."""
+    out: list[str] = []
+    for w in WORD.findall((text or "").lower()):
+        out += [w[i : i + 2] for i in range(len(w) - 1)] if "㐀" <= w[0] <= "鿿" and len(w) > 1 else [w]
+    return out
 
 
 class HashedEncoder:
@@ -34,7 +42,7 @@ class HashedEncoder:
         out = []
         for text in texts:
             v = [0.0] * self.dim
-            for w in WORD.findall((text or "").lower()):
+            for w in words(text):
                 d = hashlib.blake2b(w.encode(), digest_size=8).digest()
                 v[int.from_bytes(d[:4], "little") % self.dim] += 1.0 if d[4] & 1 else -1.0
             norm = sum(x * x for x in v) ** 0.5
@@ -48,8 +56,8 @@ class LexicalScorer:
     def predict(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
         out = []
         for query, passage in pairs:
-            q = set(WORD.findall((query or "").lower()))
-            out.append(len(q & set(WORD.findall((passage or "").lower()))) / len(q) if q else 0.0)
+            q = set(words(query))
+            out.append(len(q & set(words(passage))) / len(q) if q else 0.0)
         return out
 
 

@@ -32,7 +32,9 @@ def test_strip_takes_wide_spaces(value):
 
 
 def test_bigrams(value):
-    assert value(T.cjk_bigrams, "营收增长 abc 好") == ["营收", "收增", "增长", "好"]
+    assert value(T.tokens, "营收增长Abc-12 好") == ["营收", "收增", "增长", "abc", "12", "好"]
+    assert value(T.plain_tokens, "营收增长Abc-12 好") == ["营收增长abc", "12", "好"]
+    assert (value(T.tokens, ""), value(T.tokens, "A b a"), value(T.tokens, "2024年")) == ([], ["a", "b", "a"], ["2024", "年"])
 
 
 def test_normalize_keeps_inner_space(value):
