@@ -73,4 +73,9 @@ def duck(sql: str) -> str:
     return "(" + sql.format(orders="orders", customer="customer", nation="nation").strip() + ")"
 
 
+SEGMENT_QUESTIONS = """
+SELECT n_nationkey AS query_id, concat('属于', CASE n_nationkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'AUTOMOBILE' WHEN 2 THEN 'MACHINERY' WHEN 3 THEN 'HOUSEHOLD' ELSE 'FURNITURE' END, '的余额是多少，第', cast(n_nationkey AS string), '家？') AS question
+FROM {nation}
+"""
+
 TITLE_QUESTIONS_DUCK = duck(TITLE_QUESTIONS)

@@ -13,6 +13,8 @@ from .functions import patterns as P
 from .functions import text as T
 from .operators import chunk, enrich, evaluate, generate, index, parse, rerank, retrieve
 from .oracles import SQL
+from .plans import pipeline
+from .plugins import EchoModel
 from .session import ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -501,6 +503,23 @@ def enrich_merge(spark, d):
     return enrich.merge(_tasks(spark, d).select("filename", (F.col("page") % 97).alias("page")).distinct(), results, "ord")
 
 
+@query
+def enrich_merge_charts(spark, d):
+    """Whole chart structs: the last result of a page, or empty values; absent keys too."""
+    done = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("filename"), (F.col("event_id") % 50).alias("page"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("page_summary"), (F.col("event_id") % 2 == 0).alias("has_charts"),
+        F.when(F.col("event_id") % 5 > 0, True).alias("has_tables"), F.when(F.col("event_id") % 4 > 0, F.array("event_type", F.lit("c"))).alias("charts"), F.array().cast("array<string>").alias("tables"), F.col("event_id").alias("ord"),
+    )
+    found = enrich.merge_charts(_tasks(spark, d).select("filename", (F.col("page") % 97).alias("page")).distinct(), done, "ord")
+    return found.select("filename", "page", "chart_descriptions.*").withColumns({"charts": listed("charts"), "tables": listed("tables")})
+
+
+@query
+def enrich_max_pages(spark, d):
+    """The first tasks in order that are still pending, as many as a job may begin."""
+    return enrich.pending(_tasks(spark, d), _done(spark, d), 100).orderBy(*enrich.KEY).limit(500).select(*enrich.KEY)
+
+
 @query
 def tasks_from_images(spark, d):
     name = F.concat(F.lit("/img/u_page_"), F.col("user_id").cast("string"), F.lit("_page_"), F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("event_id").cast("string")), F.lit(".png"))
@@ -529,4 +548,12 @@ def pipeline_stub(spark, d):
     return checked.select("qid", "question_type", (F.size("c") > 0).alias("has_citations"), F.size("c").cast("long").alias("n_citations"), "s.verdict", "s.feedback.action")
 
 
+@query
+def answer_chain(spark, d):
+    """The whole chain over short Chinese pages with stand-in models: index, search in all channels, staged reranking, prompt, answer, citations, checks."""
+    shown = gold(spark, d).select(F.concat(F.lit("客户"), F.col("ord").cast("string")).alias("filename"), F.lit(1).cast("long").alias("page"), F.col("answer").alias("text"), F.array().cast("array<string>").alias("tables"))
+    rows = pipeline.answer(pipeline.build_indexes(shown), bases.spark_rows(spark, d, bases.SEGMENT_QUESTIONS), EchoModel(), multi=True, staged=True)
+    return rows.select("query_id", "filename", "page", "question_type", F.md5("answer").alias("answer_md5"), "has_citations", "self_check.verdict", "self_check.feedback.action")
+
+
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import json_reply
+from ..plugins import ModelError, with_retries
+from ..sources.tables import added, earlier_parquet
+
 KEY = ["filename", "page"]
 
 
@@ -37,22 +42,93 @@ def pending(tasks: DataFrame, done: DataFrame, start_page: int = 0, redo: bool =
     return left if redo else left.join(done.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def extract(tasks: DataFrame, call: Callable[[str], str]) -> DataFrame:
-    """(filename, page, reply, error): each task's image through a model; a failure becomes a row, not an abort."""
+#: What a page's reply holds; further keys are dropped.
+CHART = "page_summary string, has_charts boolean, has_tables boolean, charts array<string>, tables array<string>"
+RESULT = f"filename string, page long, {CHART}, raw_response string, error string"
+UNPARSED = "JSONDecodeError: 无法解析 VLM 响应"
+FAILED = "提取失败: "
+
+
+def read_chart(raw: Column) -> Column:
+    """struct of the five keys from a reply; absent keys get empty values; null where no JSON can be read."""
+    found = json_reply(raw, CHART)
+    return F.when(found.isNotNull(), F.struct(*(F.coalesce(found[k], v).alias(k) for k, v in _nothing().items())))
+
+
+def _nothing() -> dict[str, Column]:
+    none = F.array().cast("array<string>")
+    return {"page_summary": F.lit(""), "has_charts": F.lit(False), "has_tables": F.lit(False), "charts": none, "tables": none}
+
+
+def extract(tasks: DataFrame, call: Callable[[str], str], attempts: int = 3, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep, exists: Callable[[str], bool] | None = None) -> DataFrame:
+    """RESULT rows: each task's image (``path``) through a model.
+
+    A call that fails or says nothing is repeated after ``pause``, twice that and
+    so on; after the last attempt the row holds the error. A reply that is no
+    JSON becomes a placeholder with the raw text. Tasks whose image is not there
+    give no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answer(path: str) -> str:
+            text = call(path)
+            if not text:
+                raise ValueError("empty reply")
+            return text
+
         for batch in batches:
-            replies, errors = [], []
-            for path in batch["path"]:
-                try:
-                    replies.append(call(path))
-                    errors.append(None)
-                except Exception as e:
-                    replies.append(None)
-                    errors.append(str(e))
-            yield batch[KEY].assign(reply=replies, error=errors)
-
-    return tasks.select(*KEY, "path").mapInPandas(run, "filename string, page long, reply string, error string")
+            out = []
+            for filename, page, path in zip(batch["filename"], batch["page"], batch["path"], strict=True):
+                if exists is None or exists(path):
+                    try:
+                        out.append((filename, page, with_retries(lambda path=path: answer(path), attempts, pause, sleep), None))
+                    except ModelError as e:
+                        out.append((filename, page, None, str(e)))
+            if out:
+                yield pd.DataFrame(out, columns=[*KEY, "reply", "error"])
+
+    said = tasks.select(*KEY, "path").mapInPandas(run, "filename string, page long, reply string, error string")
+    read = said.withColumn("c", read_chart(F.col("reply")))
+    summary = F.when(F.col("error").isNotNull(), F.concat(F.lit(FAILED), "error")).otherwise(F.coalesce("c.page_summary", F.lit(UNPARSED)))
+    rest = [F.coalesce(F.col("c")[k], v).alias(k) for k, v in _nothing().items() if k != "page_summary"]
+    raw = F.when(F.col("c").isNull(), F.col("reply"))
+    return read.select(*KEY, summary.alias("page_summary"), *rest, raw.alias("raw_response"), "error")
+
+
+def run(tasks: DataFrame, path: str, call: Callable[[str], str], images: DataFrame | None = None, per_file: int | None = None, start_page: int = 0, max_pages: int | None = None, redo: bool = False, wave: int = 10_000, **options) -> DataFrame:
+    """Enrich what is pending, and return all results of the folder ``path``, with the time of their wave as ``done_at``.
+
+    Tasks (filename, page, path) are capped by file first; then those without an
+    image among ``images``, before ``start_page`` or with a result go (``redo``
+    keeps the last). They run in waves of ``wave``, in order; each is added to
+    the folder, so a job that is stopped goes on where it was. No wave begins
+    once ``max_pages`` pages have succeeded; failed ones don't count, and later
+    runs don't try them again.
+    """
+    spark = tasks.sparkSession
+    tasks = capped(tasks, per_file) if per_file is not None else tasks
+    tasks = tasks if images is None else tasks.join(images.select(*KEY).distinct(), KEY, "left_semi")
+    form = RESULT + ", done_at timestamp"
+    began = spark.sql("SELECT current_timestamp()").first()[0]
+    mine = F.col("done_at") >= F.lit(began)
+    good = 0
+    while max_pages is None or good < max_pages:
+        done = earlier_parquet(spark, path, form)
+        left = pending(tasks, done.where(mine) if redo else done, start_page)
+        part = left.orderBy(*KEY).limit(wave if max_pages is None else min(wave, max_pages - good))
+        if part.isEmpty():
+            break
+        added(extract(part, call, **options).withColumn("done_at", F.current_timestamp()), path)
+        good = earlier_parquet(spark, path, form).where(mine & F.col("error").isNull()).count()
+    return earlier_parquet(spark, path, form)
+
+
+def merge_charts(pages: DataFrame, results: DataFrame, order: str) -> DataFrame:
+    """Pages with ``chart_descriptions``: the five keys of their last result by ``order``; without one, empty values."""
+    five = F.struct(*(F.coalesce(F.col(k), v).alias(k) for k, v in _nothing().items()))
+    last = results.groupBy(*KEY).agg(F.max_by(five, order).alias("chart_descriptions"))
+    nothing = F.struct(*(v.alias(k) for k, v in _nothing().items()))
+    return pages.join(last, KEY, "left").withColumn("chart_descriptions", F.coalesce("chart_descriptions", nothing))
 
 
 def merge(pages: DataFrame, results: DataFrame, order: str, value: str = "description") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,7 +41,7 @@ def prompt(question: Column, context: Column, question_type: Column) -> Column:
     return F.concat(F.get(head, F.lit(0)), F.coalesce(context, F.lit("")), F.get(tail, F.lit(0)), F.coalesce(question, F.lit("")), F.get(tail, F.lit(1)))
 
 
-def ask(rows: DataFrame, prompts: str, reply: str, model: LanguageModel, attempts: int = 1, sleep: Callable[[float], None] | None = None, errors: str | None = None) -> DataFrame:
+def ask(rows: DataFrame, prompts: str, reply: str, model: LanguageModel, attempts: int = 1, sleep: Callable[[float], None] = time.sleep, errors: str | None = None, temperature: float = 0.0, max_tokens: int = 512) -> DataFrame:
     """Add the model's stripped reply to each row's prompt; None counts as ''.
 
     A failed call raises ModelError, or goes to the column ``errors`` if one is named.
@@ -54,7 +55,7 @@ def ask(rows: DataFrame, prompts: str, reply: str, model: LanguageModel, attempt
             replies, failed = [], []
             for p in batch[prompts]:
                 try:
-                    text = with_retries(lambda p=p: model.complete(p), attempts, sleep=sleep) if sleep else with_retries(lambda p=p: model.complete(p), attempts)
+                    text = with_retries(lambda p=p: model.complete(p, temperature=temperature, max_tokens=max_tokens), attempts, sleep=sleep)
                     replies.append((text or "").strip())
                     failed.append(None)
                 except ModelError as e:
@@ -70,7 +71,7 @@ def ask(rows: DataFrame, prompts: str, reply: str, model: LanguageModel, attempt
     return rows.mapInPandas(run, schema)
 
 
-def generate(questions: DataFrame, model: LanguageModel, errors: str | None = None) -> DataFrame:
+def generate(questions: DataFrame, model: LanguageModel, errors: str | None = None, temperature: float = 0.0, max_tokens: int = 512) -> DataFrame:
     """Rows (question, context[, question_type]) with question_type, prompt, answer and citations.
 
     A type that is given must be one of the four.
@@ -81,17 +82,17 @@ def generate(questions: DataFrame, model: LanguageModel, errors: str | None = No
     else:
         questions = questions.withColumn("question_type", A.classify(F.col("question")))
     asked = questions.withColumn("prompt", prompt(F.col("question"), F.col("context"), F.col("question_type")))
-    return ask(asked, "prompt", "answer", model, errors=errors).withColumn("citations", A.citations(F.col("answer")))
+    return ask(asked, "prompt", "answer", model, errors=errors, temperature=temperature, max_tokens=max_tokens).withColumn("citations", A.citations(F.col("answer")))
 
 
 class Rewriter:
     """Query rewriting by a model; without one, every query stays as it is."""
 
-    def __init__(self, model: LanguageModel | None = None):
-        self.model = model
+    def __init__(self, model: LanguageModel | None = None, temperature: float = 0.3, max_tokens: int = 512):
+        self.model, self.temperature, self.max_tokens = model, temperature, max_tokens
 
     def _asked(self, queries: DataFrame, text: str) -> DataFrame:
-        return ask(queries.withColumn("_prompt", F.replace(F.lit(text), F.lit("{question}"), F.col("question"))), "_prompt", "_reply", self.model)
+        return ask(queries.withColumn("_prompt", F.replace(F.lit(text), F.lit("{question}"), F.col("question"))), "_prompt", "_reply", self.model, temperature=self.temperature, max_tokens=self.max_tokens)
 
     def rewrite(self, queries: DataFrame, n: int = 3) -> DataFrame:
         """Adds variants: the question and the model's lines, without repeats; n is a wish in the prompt."""

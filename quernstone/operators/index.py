@@ -52,7 +52,8 @@ def postings_of(texts: DataFrame, id_: str, tokenized: Column) -> DataFrame:
 def lexical_index(texts: DataFrame, id_: str, text: str = "text", tokenize: Tokenizer = tokens) -> LexicalIndex:
     """BM25 statistics. Terms in over half of the texts get EPSILON times the mean of all raw weights."""
     postings = postings_of(texts.select(id_, text), id_, tokenize(F.col(text)))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    # Asking for the total everywhere keeps the plans of all uses alike, so that one exchange serves them.
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where("total > 0")
     # The number of tokens is the sum over terms, so that no text is cut again for the mean length.
     corpus = texts.agg(F.count("*").alias("n")).crossJoin(F.broadcast(df.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))))  # two rows of one number
     corpus = corpus.select("n", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))

@@ -58,7 +58,7 @@ def mmr(hits: DataFrame, k: int = 5, weight: float = 0.7, relevance: str = "scor
     if scorer is not None:
         item = F.struct(F.col("rank").alias("rank"), F.col(relevance).cast("double").alias("rel"), F.col("_sims").alias("sims"))
         base = base.where(F.col("rank") <= most).join(_pair_scores(base.where((F.col("_n") > k) & (F.col("rank") <= most)), scorer), ["query_id", "rank"])
-    rows = base.where((F.col("_n") > k) & (F.col("rank") <= most)).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = base.where((F.col("_n") > k) & (F.col("rank") <= most)).groupBy("query_id").agg(F.collect_list(item).alias("items"))
     kept = "array<string>" if scorer is None else "map<bigint,double>"
     state = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast(f"array<{kept}>").alias("sets"))
     like = (lambda x, t: jaccard(x["set"], t)) if scorer is None else (lambda x, t: F.element_at(t, x["rank"]))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, tokens
+from ..session import beside
 from .index import B, K1, LexicalIndex, TfidfIndex, word_terms
 
 #: Fixed order of channels in fused results.
@@ -29,9 +30,15 @@ def top_k(scored: DataFrame, k: int, places: int = 9) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _asked(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """The postings of terms that are asked for. A semi-join moves below the counting of words, where it drops most of them."""
-    return postings.join(asked.select("term").distinct(), "term", "left_semi")
+def _wanted(postings: DataFrame, asked: DataFrame, weights: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings (.., id, term) joined with the query terms (query_id, term, ..) and their weights.
+
+    A semi-join first, which moves below the counting of words and drops most of
+    them there. Query terms go to every task if the queries are few; postings
+    then stay where their text is, and their scores add up before any shuffle.
+    """
+    found = postings.join(beside(asked.select("term").distinct(), queries), "term", "left_semi")
+    return found.join(beside(asked.join(weights, "term"), queries), "term")
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, k: int = 10, tokenize: Tokenizer = tokens) -> DataFrame:
@@ -41,7 +48,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int = 10, tokenize:
     postings are scored.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    matched = _asked(index.postings, asked).join(asked.join(index.terms.select("term", "idf"), "term"), "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus: one row
+    matched = _wanted(index.postings, asked, index.terms.select("term", "idf"), queries).crossJoin(F.broadcast(index.corpus.select("avgdl")))  # corpus: one row
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = matched.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
@@ -60,7 +67,7 @@ def keyword_search(index: TfidfIndex, queries: DataFrame, k: int = 5, tokenize:
     raw = queries.select("query_id", F.explode(word_terms(F.col("question"), tokenize)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     raw = raw.join(index.terms, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     asked = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id"))))
-    scores = index.weights.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    scores = index.weights.join(beside(asked, queries), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
     return top_k(scores, k).where("score > 0")
 
 

@@ -323,6 +323,9 @@ SELECT t.conv_id, min(CASE WHEN score = top THEN idx END) AS best_idx, count(*)
     "enrich_cap": f"WITH {TASKS} SELECT filename, page FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY page) AS n FROM tasks) WHERE n <= 3",
     "enrich_progress": f"WITH {TASKS} SELECT filename, count(*)::BIGINT AS total, count(*) FILTER (event_type = 'purchase')::BIGINT AS done, greatest(0, count(*) FILTER (event_type <> 'purchase'))::BIGINT AS remaining FROM tasks GROUP BY filename",
     "enrich_merge": f"WITH {TASKS}, r AS (SELECT filename, page % 50 AS page, arg_max(event_type, page) AS description FROM tasks GROUP BY 1, 2) SELECT p.filename, p.page, coalesce(r.description, '') AS description FROM (SELECT DISTINCT filename, page % 97 AS page FROM tasks) p LEFT JOIN r USING (filename, page)",
+    "enrich_merge_charts": f"""WITH {TASKS}, r AS (SELECT user_id::VARCHAR AS filename, event_id % 50 AS page, arg_max({{'s': CASE WHEN event_id % 3 > 0 THEN event_type END, 'e': event_id, 't': event_type}}, event_id) AS l FROM events GROUP BY 1, 2)
+SELECT p.filename, p.page, coalesce(l.s, '') AS page_summary, coalesce(l.e % 2 = 0, false) AS has_charts, coalesce(l.e % 5 > 0, false) AS has_tables, CASE WHEN l.e % 4 > 0 THEN l.t || '|c' ELSE '' END AS charts, '' AS tables FROM (SELECT DISTINCT filename, page % 97 AS page FROM tasks) p LEFT JOIN r USING (filename, page)""",
+    "enrich_max_pages": f"WITH {TASKS} SELECT filename, page FROM tasks t WHERE page >= 100 AND NOT EXISTS (SELECT 1 FROM tasks d WHERE d.event_type = 'purchase' AND d.filename = t.filename AND d.page = t.page) ORDER BY filename, page LIMIT 500",
     "tasks_from_images": "SELECT 'u_page_' || user_id AS filename, event_id AS page, '/img/u_page_' || user_id || '_page_' || event_id || '.png' AS path FROM events WHERE event_id % 7 <> 0",
     "parse_json_reply": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k')::BIGINT ELSE -1 END AS k FROM events",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,3 +28,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for tables that come in a few files or row groups."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def small(df: DataFrame, limit: int = 8 << 20) -> bool:
+    """Whether Catalyst's estimate of the table is within ``limit`` bytes: the check before a broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def beside(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, which is made of ``source``, marked for a join: broadcast if the source is small, else hashed after a shuffle."""
+    return F.broadcast(df) if small(source) else df.hint("shuffle_hash")
