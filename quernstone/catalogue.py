@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from .operators import chunk, enrich, evaluate, generate, index, parse, rerank,
 from .oracles import SQL
 from .plans import pipeline
 from .plugins import EchoModel
-from .session import ship, spread
+from .session import shared_dir, ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -552,7 +553,9 @@ def pipeline_stub(spark, d):
 def answer_chain(spark, d):
     """The whole chain over short Chinese pages with stand-in models: index, search in all channels, staged reranking, prompt, answer, citations, checks."""
     shown = gold(spark, d).select(F.concat(F.lit("客户"), F.col("ord").cast("string")).alias("filename"), F.lit(1).cast("long").alias("page"), F.col("answer").alias("text"), F.array().cast("array<string>").alias("tables"))
-    rows = pipeline.answer(pipeline.build_indexes(shown), bases.spark_rows(spark, d, bases.SEGMENT_QUESTIONS), EchoModel(), multi=True, staged=True)
+    path = f"{shared_dir(spark)}/answer-chain-{uuid.uuid4().hex}"
+    pipeline.build_indexes(shown).save(path)
+    rows = pipeline.answer(pipeline.Indexes.load(spark, path), bases.spark_rows(spark, d, bases.SEGMENT_QUESTIONS), EchoModel(), multi=True, staged=True)
     return rows.select("query_id", "filename", "page", "question_type", F.md5("answer").alias("answer_md5"), "has_citations", "self_check.verdict", "self_check.feedback.action")
 
 
