@@ -1,9 +1,10 @@
 """Distributed connected components: alternating large-star and small-star rounds.
 
-Links stay in tables. Each partition first shrinks its own links to stars; every
-round then joins links with the smallest neighbour of each node, which Spark
-sums before the shuffle, so that a node with very many links does not land whole
-in one task.
+Links stay in tables. Each partition first shrinks its own links to stars, so
+that a node with very many links has one of them a partition at most. Rounds
+join links with the smallest neighbour of each node, which Spark sums before the
+shuffle; the join itself sends a node's links to one partition, which adaptive
+execution splits where it is skewed (spark.sql.adaptive.skewJoin).
 """
 
 from __future__ import annotations

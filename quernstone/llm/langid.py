@@ -140,7 +140,11 @@ def sample(labelled: DataFrame, per_label: int, training_chars: int, seed: int)
 
 
 def fit(docs: DataFrame, per_label: int = 1500, training_chars: int = 4000, seed: int = 7) -> Model:
-    """Learn from rows with text, lang and an id whose crc32 modulo 4 is not 2 (others are held out)."""
+    """Learn from rows with text, lang and an id whose crc32 modulo 4 is not 2 (others are held out).
+
+    About ``per_label`` documents of each label come to the driver, by a hash of
+    the id; repeated rows are drawn together. Without a labelled row nothing is learned.
+    """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
     texts, langs = sample(labelled, per_label, training_chars, seed)
     return train(texts, langs, seed=seed)
@@ -155,6 +159,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Reads the text alone, whole. Null texts, texts without a letter, and all
     texts if nothing could be learned get ``und``, score 0, and are rejected.
+    Rows with a null id and repeated rows are predicted like others; an empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import U, ranges, ship, slices, text_bytes
 
 BLOCK, RATE, BITS, UNIT = 4096, 8000, 8, 64
+#: Samples that are encoded at a time.
+RUN = 1 << 21
 #: The encoder tries fixed predictors of orders 0 to TRIED - 1; the decoder knows all.
 TRIED = 3
 #: Fixed values of the format: weights of the fixed predictors of orders 0 to 4.
@@ -89,15 +91,40 @@ def seek_points(sizes: np.ndarray, samples: np.ndarray) -> bytes:
 
 
 def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """One FLAC stream per row of bytes; rows must not be empty. A byte is an unsigned 8-bit sample."""
-    samples = data.astype(np.int32) - 128
+    """One FLAC stream per row of bytes; rows must not be empty. A byte is an unsigned 8-bit sample.
+
+    Frames do not depend on each other, so they are made RUN bytes at a time:
+    a very long row needs little more than its own bytes and its stream.
+    """
     lengths = np.diff(offsets)
     frames = -(-lengths // BLOCK)
     owner = np.repeat(np.arange(len(lengths)), frames)
     number = ranges(np.zeros(len(frames), np.int64), frames)
     start = offsets[:-1][owner] + number * BLOCK
     size = np.minimum(BLOCK, offsets[1:][owner] - start)
+    parts, sizes, a = [], [np.zeros(0, np.int64)], 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + RUN, "left")))
+        out, frame_size = _frames(data[start[a] : start[b - 1] + size[b - 1]], start[a:b] - start[a], size[a:b], number[a:b])
+        parts.append(out.tobytes())
+        sizes.append(frame_size)
+        a = b
+    body, frame_size = b"".join(parts), np.concatenate(sizes)
+    first = np.concatenate([[0], np.cumsum(frame_size)])
+    streams, upto = [], np.concatenate([[0], np.cumsum(frames)])
+    for i in range(len(lengths)):
+        a, b = upto[i], upto[i + 1]
+        own = frame_size[a:b]
+        md5 = hashlib.md5((data[offsets[i] : offsets[i + 1]] ^ 0x80).tobytes()).digest()
+        info = stream_info(int(lengths[i]), int(size[a]), int(own.min()), int(own.max()), md5, b - a == 1)
+        table = seek_points(own, size[a:b]) if b - a > 1 else b""
+        streams.append(info + table + body[first[a] : first[b]])
+    return streams
 
+
+def _frames(data: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frames of consecutive blocks of samples, and how long each is."""
+    samples = data.astype(np.int32) - 128
     place = ranges(np.zeros(len(size), np.int64), size)
     residuals, cost, params = [], [], []
     now = samples
@@ -162,15 +189,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     out |= packed
     out[first[1:] - 2], out[first[1:] - 1] = (c := crc_many(out, first[:-1], frame_size - 2, 16)) >> 8, c & 0xFF
 
-    streams, upto = [], np.concatenate([[0], np.cumsum(frames)])
-    for i in range(len(lengths)):
-        a, b = upto[i], upto[i + 1]
-        own = frame_size[a:b]
-        md5 = hashlib.md5(samples[offsets[i] : offsets[i + 1]].astype(np.int8).tobytes()).digest()
-        info = stream_info(int(lengths[i]), int(size[a]), int(own.min()), int(own.max()), md5, b - a == 1)
-        table = seek_points(own, size[a:b]) if b - a > 1 else b""
-        streams.append(info + table + out[first[a] : first[b]].tobytes())
-    return streams
+    return out, frame_size
 
 
 def _bits(words: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
@@ -516,5 +535,8 @@ def digests(loaded: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``digests(load(store(docs)))`` in one pass: streams go from encoder to decoder within a task."""
+    """``digests(load(store(docs)))`` in one pass: streams go from encoder to decoder within a task.
+
+    Null texts are empty and padded like others; null ids and repeated rows are rows like others; an empty table gives none.
+    """
     return _map(docs, lambda batches: _digest(_load(_store(batches))), id_column, [text_column], DIGESTS)

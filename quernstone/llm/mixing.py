@@ -15,9 +15,10 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def key_hash(key: str = "doc_id"):
-    """60 bits of a digest of the key; a null key counts as the empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def key_hash(key: str = "doc_id", text: str = "text"):
+    """60 bits of a digest of id and text, nulls as empty: rows that share an id, or have none, differ by their texts."""
+    both = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -49,7 +50,8 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
     The extra budget is spent on a prefix of hash values, up to the value that
     brings the sum nearest. Each level sums sizes by source and the next bits of
-    the hash; rows outside the boundary bucket are settled and read no more.
+    the hash; rows outside the boundary bucket are settled and left out of later
+    sums, though each level scans the sizes (three numbers a row) to find those inside.
     """
     state = targets.select(
         "source", "source_size", "target",
@@ -88,8 +90,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     size is the number of words (null text: 0); sources weigh ``weights`` in turn
     by code point, null last. copies is how often the mix takes the document,
-    taken = size * copies. Documents of one hash (repeated ids) are taken
-    together. A source without words takes nothing; an empty table gives none.
+    taken = size * copies. Repeated rows of one id and text are taken
+    together. Columns other than doc_id, source and text are not looked at,
+    whatever their names. A source without words takes nothing; an empty table gives none.
     """
     sizes = materialize(docs.select("doc_id", "source", word_count().alias("size"), key_hash().alias("hash")), "mix-sizes")
     found = thresholds(sizes, source_targets(sizes, weights, share, cap)).withColumnRenamed("source", "s")
@@ -113,7 +116,7 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 ORACLE = """
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS hash
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source

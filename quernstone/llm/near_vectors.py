@@ -82,6 +82,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, s
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, bits * tables))
                 x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(-1, dim)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 signs = (x @ planes[dim] > 0).reshape(len(x), tables, bits)
                 code = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int64)
                 label = np.array([hash_label(v) for v in part.column("label").to_pylist()], np.uint64)
@@ -113,6 +114,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, s
                 continue
             at = order[s : s + m]
             own = np.frombuffer(b"".join(vecs.take(pa.array(at)).to_pylist()), np.float64).reshape(m, -1)
+            own = own / np.abs(own).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
             unit = own / np.linalg.norm(own, axis=1, keepdims=True)
             near = unit @ unit.T >= cosine
             lone = x[at[0]] != y[at[0]]

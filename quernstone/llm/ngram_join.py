@@ -111,13 +111,19 @@ def least_overlap(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarra
 
 
 def overlaps(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Common items of the i-th sorted set of ``a`` and the i-th of ``b``."""
-    row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+    """Common items of the i-th sorted set of ``a`` and the i-th of ``b``, 2,048 sets at most, compared in full width."""
+    row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)]).astype(np.uint64)
     both = np.concatenate([a, b])
-    # Within a pair an item occurs twice at most; a mix of item and pair finds the twins with one plain sort.
-    key = np.sort(mix64(both + row.astype(np.uint64) * U(0x9E3779B97F4A7C15)) & ~U(0xFFFFF) | (row.astype(np.uint64) & U(0xFFFFF)))
-    twin = key[1:][key[1:] == key[:-1]]
-    return np.bincount((twin & U(0xFFFFF)).view(np.int64), minlength=len(na))
+    key = row << U(53) | both >> U(11)
+    order = np.argsort(key)
+    key, both = key[order], both[order]
+    alike = key[1:] == key[:-1]
+    if (alike[1:] & alike[:-1]).any():  # three items that start alike: their order matters
+        order = np.lexsort((np.concatenate([a, b]), row))
+        key, both = row[order] << U(53), np.concatenate([a, b])[order]
+        alike = key[1:] == key[:-1]
+    twin = key[1:][alike & (both[1:] == both[:-1])]
+    return np.bincount((twin >> U(53)).view(np.int64), minlength=len(na))
 
 
 def bitmaps(h: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +154,7 @@ def at_most_apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarra
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
-    Documents link when den * |common| >= num * |union| over their sets of
+    The threshold num / den must be over one half. Documents link when den * |common| >= num * |union| over their sets of
     distinct k-word shingles, A-Z lower-cased; fewer words make one shingle.
     component_id is the smallest doc_id that links reach. Links themselves, and
     their number, are not offered: pairs already in one component are not
@@ -156,6 +162,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     (or text) have no shingles and link with nothing, nor do rows with a null
     id. Repeated rows have one set. An empty table gives no rows.
     """
+    if 2 * num <= den:
+        raise ValueError("the threshold must be over one half")  # bitmaps of sets that may link differ by one size at most
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

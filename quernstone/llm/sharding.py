@@ -48,7 +48,7 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = 65_537) -> Dat
 
     The table has ``size`` rows whatever the data, so it is broadcast, and no row
     moves. Equal keys land together; null keys share one slot, that of the hash
-    seed. Columns named slot or shard are replaced.
+    seed. Columns named slot or shard are replaced. An empty table gives none.
     """
     spark = df.sparkSession
     table = lookup_table(shards, size)

@@ -28,9 +28,19 @@ def public_path(name: str) -> str:
 
 
 def special_tokens(model: str) -> dict[str, int]:
-    """The special strings that the library finds inside texts by default, and their ids."""
+    """The special strings that the library finds inside texts by default, and their ids.
+
+    Only models that cut text by PATTERN, as it is, and find special strings
+    literally can be counted here; others are an error.
+    """
     with open(model, encoding="utf-8") as f:
-        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        told = json.load(f)
+    cut = told.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and told.get("normalizer") is None
+    odd = [t["content"] for t in told["added_tokens"] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if not plain or odd:
+        raise ValueError(f"unsupported settings in {model}: {odd or [cut, told.get('normalizer')]}")
+    return {t["content"]: t["id"] for t in told["added_tokens"]}
 
 
 @functools.lru_cache(maxsize=4)
@@ -118,7 +128,8 @@ def token_pieces(docs: DataFrame, model: str, ranks: str, window: int = 1024, en
     """Each document's ids and ``end_id``, cut into full windows and a rest.
 
     Rows: id, start, length, ids_crc32 (of little-endian unsigned 32-bit ids),
-    doc_tokens. A null text is empty: one piece with the end id alone.
+    doc_tokens. A null text is empty: one piece with the end id alone. Null ids
+    and repeated rows are cut like others; an empty table gives none.
     """
     import zlib
 

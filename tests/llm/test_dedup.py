@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import near_vectors, ngram_join, seeds, substring, suffix
 from quernstone.llm.components import connected_components
@@ -274,6 +275,27 @@ def test_near_vectors(spark, monkeypatch, block):
     assert near_vectors.near_vectors(empty).count() == 0
 
 
+def test_near_vectors_null_ids_repeats_extremes_and_other_columns(spark):
+    rows = [(None, [1.0, 2.0], 1, "x"), (1, [1.0, 2.0], 1, "x"), (1, [1.0, 2.0], 1, "x"), (2, [1e200, 2e200], 1, "x"), (3, [1e-200, 2e-200], 1, "x"), (4, [1.0, 2.0], None, "x"), (5, [1.0, 2.0], 2, "x"), (6, [2.0, 4.0], 2, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string").withColumn("links", F.lit("clash"))
+    got = near_vectors.near_vectors(df, 0.98).collect()
+    want = [(None, 0, None, None), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_overlaps_are_counted_in_full_width():
+    a = np.array([1 << 11, (1 << 11) + 1, 5 << 20], np.uint64)
+    b = np.array([(1 << 11) + 1, (1 << 11) + 2, 5 << 20], np.uint64)
+    n = np.array([3])
+    assert ngram_join.overlaps(a, n, b, n).tolist() == [2]
+    assert ngram_join.overlaps(np.concatenate([a, a]), np.array([3, 3]), np.concatenate([b, a]), np.array([3, 3])).tolist() == [2, 3]
+
+
+def test_ngram_join_refuses_low_thresholds(spark):
+    with pytest.raises(ValueError, match="one half"):
+        ngram_join.jaccard_components(frame(spark, []), 3, 1, 2)
+
+
 def test_near_vectors_not_finite(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(i, [x] + [1.0] * 3, 1) for i, x in enumerate([inf, inf, -inf, -inf, nan, nan, 1.0, 1.0])]

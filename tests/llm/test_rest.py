@@ -166,6 +166,45 @@ def test_flac_linear_predictor_partitions_and_escapes():
     assert (pcm.astype(int) - 128).tolist() == x
 
 
+def test_flac_in_runs_of_frames(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 256, n).astype(np.uint8) for n in (64, 4096, 30_000, 4097, 128)]
+    data, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    whole = media.encode(data, offsets)
+    monkeypatch.setattr(media, "RUN", 5000)
+    assert media.encode(data, offsets) == whole
+
+
+def test_null_ids_and_repeated_rows(spark, library):
+    """Media, tokens and packing treat them as rows like others."""
+    df = spark.createDataFrame([(None, "a b"), (None, None), (5, "a b"), (5, "a b")], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["n_bytes"]) for x in media.round_trip(df).collect()) == [(0, 0), (0, 3), (5, 3), (5, 3)]
+    assert sorted((x["doc_id"] or 0, x["n_tokens"]) for x in tokens.count_tokens(df, MODEL, RANKS).collect()) == [(0, 0), (0, 2), (5, 2), (5, 2)]
+    got = packing.pack(df, MODEL, RANKS).collect()
+    assert sorted((x["doc_id"] or 0, x["length"]) for x in got) == [(0, 1), (0, 3), (5, 3), (5, 3)]
+    assert sorted((x["offset"], x["length"]) for x in got) == [(0, 3), (3, 3), (6, 3), (9, 1)]
+
+
+def test_models_with_other_settings_are_refused(tmp_path):
+    import json
+
+    told = json.load(open(MODEL, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [told["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "m.json").write_text(json.dumps(told | change))
+        with pytest.raises(ValueError, match="unsupported"):
+            tokens.special_tokens(str(tmp_path / "m.json"))
+
+
+def test_mixing_without_ids(spark):
+    """A source whose ids are all null or equal is met as closely as any other; clashing columns do no harm."""
+    rows = [(None, f"w {i} " * 5, "a", 1, "x") for i in range(300)] + [(7, f"v {i} " * 5, "b", 1, "x") for i in range(300)] + [(i, "u " * 10, "c", 1, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, hash long, target string")
+    got = mixing.mix(df).collect()
+    for s in "abc":
+        assert abs(sum(x["taken"] for x in got if x["source"] == s) - next(x["target"] for x in got if x["source"] == s)) <= 10
+    assert sum(len(x["text"].split()) for x in mixing.repeated(df).collect()) == sum(x["taken"] for x in got)
+
+
 def test_media_table(spark):
     df = frame(spark, TEXTS, "media long, id string")
     got = {r["doc_id"]: r for r in media.round_trip(df).collect()}
@@ -222,6 +261,36 @@ def test_sharding(spark):
             sharding.lookup_table(*bad)
 
 
+def test_sharding_table_is_a_plain_refill():
+    """The table against a direct one: lists of preferences in full, and shards that take turns."""
+    shards, size = [f"s{i}" for i in range(5)], 101
+    wish = []
+    for s in shards:
+        d = hashlib.sha256(s.encode()).digest()
+        offset, skip = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1
+        wish.append([(offset + j * skip) % size for j in range(size)])
+        assert sorted(wish[-1]) == list(range(size))
+    table = {}
+    while len(table) < size:
+        for k in range(len(shards)):
+            if len(table) < size:
+                table[next(x for x in wish[k] if x not in table)] = k
+    assert sharding.lookup_table(shards, size).tolist() == [table[i] for i in range(size)]
+
+
+def test_sharding_of_nothing(spark):
+    assert sharding.place(spark.createDataFrame([], "k long, slot string"), "k", ["a", "b"]).count() == 0
+
+
+def test_language_id_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    held = langid.predict(docs, model).where(langid.held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).collect()
+    assert len(held) > 150
+    assert sum(x["lang_pred"] == x["lang"] for x in held) >= 0.98 * len(held)
+    assert sum(x["rejected"] for x in held) <= 0.02 * len(held)
+
+
 def test_queries_match_their_names():
     names = list(queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
