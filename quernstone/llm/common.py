@@ -7,12 +7,14 @@ partition size, never by the table.
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir, ship  # noqa: F401
 
@@ -29,21 +31,60 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+class _Open(threading.local):
+    """Tables written in the blocks of ``tidy`` that are open in this thread."""
+
+    def __init__(self):
+        self.blocks: list[list[tuple[DataFrame, str]]] = []
+
+
+_OPEN = _Open()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    if _OPEN.blocks:
+        _OPEN.blocks[-1].append((df, path))  # so that a write that fails is cleared, too
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._folder = path
+    if _OPEN.blocks:
+        _OPEN.blocks[-1][-1] = found, path
+    return found
+
+
+@contextmanager
+def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose materialized tables are deleted at its end, but for those that the function it gives is called on."""
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    _OPEN.blocks.append([])
+    try:
+        yield keep
+    finally:
+        block = _OPEN.blocks.pop()
+        for df, path in block:
+            if id(df) not in kept:
+                delete(df.sparkSession, path)
+        if _OPEN.blocks:
+            _OPEN.blocks[-1].extend(x for x in block if id(x[0]) in kept)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame from ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

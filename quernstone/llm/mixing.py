@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 HASH_BITS, LEVEL_BITS = 60, 15
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,12 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     the hash; rows outside the boundary bucket are settled and left out of later
     sums, though each level scans the sizes (three numbers a row) to find those inside.
     """
+    with tidy() as keep:
+        state = keep(_thresholds(sizes, targets))
+    return state.select("source", "source_size", "target", "times", F.col("low").alias("below"))
+
+
+def _thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     state = targets.select(
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("times"),
@@ -82,7 +88,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             .select("source", "source_size", "target", "times", F.coalesce("next.low", F.lit((1 << HASH_BITS) - 1 if not level else None).cast("long"), F.col("low") + width * (1 << LEVEL_BITS)).alias("low"), F.coalesce("next.taken", "taken").alias("taken"), "budget")
         )
         state = materialize(state, "mix-state")
-    return state.select("source", "source_size", "target", "times", F.col("low").alias("below"))
+    return state
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:

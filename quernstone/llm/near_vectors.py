@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_MIX, U, gather, local_components, longs, materialize, mix64, ranges, ship
+from .common import SHINGLE_MIX, U, gather, local_components, longs, materialize, mix64, ranges, ship, tidy
 from .components import connected_components
 from .seeds import group_starts, sizes_of
 
@@ -63,9 +63,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, s
     Repeated rows of one id and vector count as one vector. An empty table
     gives no rows.
     """
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    with tidy() as keep:
+        linked = keep(materialize(_linked(rows, cosine, miss, seed), "vector-classes"))
+    result = rows.select("id").join(linked, "id", "left")
+    component = F.coalesce("component_id", "id")
+    return result.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def _linked(rows: DataFrame, cosine: float, miss: float, seed: int) -> DataFrame:
+    """(id, n_links, component_id) of the vectors that may link."""
     able = rows.where("id is not null and label is not null and embedding is not null")
     usable = materialize(able.mapInArrow(_usable, "id long, label string, dim long, h1 long, h2 long, vec binary"), "vectors")
     same = ["label", "dim", "h1", "h2"]
@@ -143,10 +151,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, s
     joined = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     by_class = classes.join(counts, "rep", "left").join(joined, classes.rep == joined.node, "left")
     by_class = by_class.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = once.join(by_class, same).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    result = rows.select("id").join(linked, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return result.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return once.join(by_class, same).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
 
 
 def hash_label(label: str) -> int:

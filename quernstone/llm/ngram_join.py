@@ -15,14 +15,14 @@ differences go before any set is moved. The few that remain are verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_MIX, U, binary_column, discard, from_binary, gather, longs, materialize, mix64, ranges, ship, slices, text_bytes, window_hashes, word_hashes, words
+from .common import SHINGLE_MIX, U, binary_column, discard, from_binary, gather, longs, materialize, mix64, ranges, ship, slices, text_bytes, tidy, window_hashes, word_hashes, words
 from .components import connected_components
 from .seeds import group_starts, sizes_of
 
@@ -164,8 +164,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     """
     if 2 * num <= den:
         raise ValueError("the threshold must be over one half")  # bitmaps of sets that may link differ by one size at most
+    ship(docs.sparkSession)
+    with tidy() as keep:
+        return _components(docs, k, num, den, keep)
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(shingle_counts(texts, k))  # 4 bytes a counter, whatever the corpus
 
@@ -189,7 +194,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
                 sums[2][some] = np.add.reduceat(mix64(first + place), cuts[some])
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), binary_column(first, cuts), binary_column(*bitmaps(h, upto))], ["doc_id", "n", "s1", "s2", "p", "prefix", "bits"])
 
-    all_ = materialize(texts.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p long, prefix binary, bits binary"), "prefixes")
+    all_ = keep(materialize(texts.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p long, prefix binary, bits binary"), "prefixes"))
     real = all_.where("n > 0 and doc_id is not null")
     classes = materialize(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("p").alias("p")), "classes")
     groups = classes.groupBy("n", "p").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
@@ -209,9 +214,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     more = _verify(materialize(_rest(lists, bits, known, num, den), "ask"), texts, k, num, den)
     found = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     by_class = classes.join(found, classes.rep == found.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    by_class = materialize(by_class, "by-class")
-    discard(lists)
-    discard(bits)
+    by_class = keep(materialize(by_class, "by-class"))
     mine = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return all_.select("doc_id", "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
