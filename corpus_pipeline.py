@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import langid, mixing, ngram_join, packing, substring, tokens
-from quernstone.llm.common import materialize
+from quernstone.llm.common import discard, materialize, tidy
 from quernstone.llm.queries import MODEL, RANKS, table
 
 
@@ -77,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir)
+    docs, before = table(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with tidy() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
