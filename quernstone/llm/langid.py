@@ -1,15 +1,16 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 Trained by stochastic gradient descent in numpy on a bounded sample of labelled
-rows; scores are calibrated by a temperature on a part of that sample which the
-training does not see, and the same part sets the score under which a document
-is rejected.
+rows, whole texts each; scores are calibrated by a temperature on a part of that
+sample which the training does not see, and the same part sets the scores under
+which short texts and others are rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,22 @@ PLAIN[91:97] = 32
 PLAIN[123:128] = 32
 
 
+BUCKETS = 1 << 15
+#: Bytes under which a text is short, and counts as a stretch does.
+SHORT = 400
+#: Stretches that a text sends for training if its subwords travel instead of it.
+PIECES = 8
+BLOCK = 1 << 20
+
+
 @dataclass
 class Model:
     labels: list[str]
     table: np.ndarray  # bucket -> a logit per label: the embedding times the softmax weights
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # for texts of SHORT bytes or more
+    short_threshold: float
 
 
 def subwords(data: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -52,6 +62,41 @@ def features(text: bytes, buckets: int) -> np.ndarray:
     return np.concatenate([subwords(data, n, buckets) for n in ORDERS])
 
 
+def counted(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of a text's subwords, how often each occurs)."""
+    if len(text) < BLOCK:
+        return np.unique(features(text, buckets), return_counts=True)
+    data, total = np.frombuffer(b" " + text + b" ", np.uint8), np.zeros(buckets, np.int64)
+    for order in ORDERS:
+        for a in range(0, len(data), BLOCK):
+            total += np.bincount(subwords(data[a : a + BLOCK + order - 1], order, buckets), minlength=buckets)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+@dataclass
+class Example:
+    """A whole text to learn from: itself or, where that is smaller, its counted subwords and stretches from anywhere in it."""
+
+    text: bytes | None
+    counts: tuple[np.ndarray, np.ndarray] | None = None
+    pieces: list[bytes] = field(default_factory=list)
+
+    def whole(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        return counted(self.text, buckets) if self.counts is None else self.counts
+
+    def is_short(self) -> bool:
+        return self.counts is None and len(self.text) < SHORT
+
+    def stretch(self, rng: np.random.Generator) -> bytes:
+        text = self.text if self.counts is None else self.pieces[int(rng.integers(len(self.pieces)))]
+        if len(text) <= 40:
+            return text
+        size = int(rng.integers(20, min(len(text), SHORT)))
+        at = int(rng.integers(0, len(text) - size + 1))
+        return text[at : at + size]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=-1, keepdims=True))
     return x / x.sum(axis=-1, keepdims=True)
@@ -73,31 +118,28 @@ def low_score(scores: np.ndarray, quantile: float) -> float:
     return float(1 / (1 + np.exp(-min(tail, np.quantile(odds, quantile)))))
 
 
-def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1 << 15, epochs: int = 4, rate: float = 0.4, quantile: float = 0.001, seed: int = 7) -> Model:
+def train(examples: list[Example], langs: list[str], dim: int = 16, buckets: int = BUCKETS, epochs: int = 4, rate: float = 0.4, quantile: float = 0.001, seed: int = 7) -> Model:
     """Fit on four fifths of the sample, calibrate on the rest.
 
     Each step takes one document, or as often a short stretch of it, so that
-    short texts are scored as soberly as long ones. A text is rejected if its
-    score is under the ``quantile`` of right calibration answers, see ``low_score``.
+    short texts are scored as soberly as long ones; calibration takes both of
+    each. A text is rejected if its score is under the ``quantile`` of right
+    calibration answers, see ``low_score``; short texts have a score of their
+    own, from stretches and short documents.
     """
     labels = sorted(set(langs))
     if not labels:
-        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, 0.0)
     rng = np.random.default_rng(seed)
     y = np.searchsorted(labels, langs)
     emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(labels)), np.float32), np.zeros(len(labels), np.float32)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(examples))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
     steps, done = max(1, epochs * len(used)), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
-            text = texts[i]
-            if rng.random() < 0.5 and len(text) > 40:
-                size = int(rng.integers(20, min(len(text), 400)))
-                at = int(rng.integers(0, len(text) - size + 1))
-                text = text[at : at + size]
-            at, n = np.unique(features(text, buckets), return_counts=True)
+            at, n = counted(examples[i].stretch(rng), buckets) if rng.random() < 0.5 else examples[i].whole(buckets)
             share = (n / n.sum()).astype(np.float32)
             v = share @ emb[at]
             p = softmax(v @ out + bias)
@@ -109,45 +151,67 @@ def train(texts: list[bytes], langs: list[str], dim: int = 16, buckets: int = 1
             emb[at] -= (step * len(at) ** 0.5) * np.outer(share, back)
             done += 1
     table = (emb @ out).astype(np.float32)
-    logits = np.array([table[features(texts[i], buckets)].mean(axis=0) + bias for i in held]).reshape(-1, len(labels))
-    right = y[held]
-    temperature, threshold = 1.0, 0.0
+    parts = [examples[i].whole(buckets) for i in held] + [counted(examples[i].stretch(rng), buckets) for i in held]
+    logits = np.array([n @ table[at] / n.sum() + bias for at, n in parts]).reshape(-1, len(labels))
+    right = np.tile(y[held], 2)
+    brief = np.array([examples[i].is_short() for i in held] + [True] * len(held), bool)
+    temperature, thresholds = 1.0, [0.0, 0.0]
     if len(held):
         grid = np.geomspace(1, 10, 21)  # scores may be softened, never sharpened
-        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(held)), right], 1e-12)).mean() for t in grid]
+        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(right)), right], 1e-12)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
         p = softmax(logits / temperature)
-        good = p.max(axis=1)[p.argmax(axis=1) == right]
-        threshold = low_score(good, quantile) if len(good) else 0.0
-    return Model(labels, table, bias, temperature, threshold)
-
-
-def sample(labelled: DataFrame, per_label: int, training_chars: int, seed: int) -> tuple[list[bytes], list[str]]:
-    """About ``per_label`` rows of each label, by hash.
-
-    Of a longer text, ``training_chars`` characters are read, for training alone;
-    they start at a hashed place, so that any part of a text may be among them.
-    """
+        good = p.argmax(axis=1) == right
+        for i, of in enumerate((good & ~brief, good & brief)):
+            mine = p.max(axis=1)[of if of.any() else good]
+            thresholds[i] = low_score(mine, quantile) if len(mine) else 0.0
+    return Model(labels, table, bias, temperature, *thresholds)
+
+
+def condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts as ``Example`` holds them: a text that is larger than its counts can be sends these instead."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text, at, n, pieces = batch.column(2)[i].as_py().encode(), None, None, None
+            if len(text) > 6 * BUCKETS:
+                at, n = counted(text, BUCKETS)
+                at, n = at.astype("<u2").tobytes(), n.astype("<u4").tobytes()
+                places = np.random.default_rng(zlib.crc32(text)).integers(0, len(text) - SHORT + 1, PIECES)
+                text, pieces = None, [text[p : p + SHORT] for p in places.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([text], pa.binary()), pa.array([at], pa.binary()), pa.array([n], pa.binary()), pa.array([pieces], pa.list_(pa.binary()))],
+                ["doc_id", "lang", "text", "at", "n", "pieces"],
+            )
+
+
+def sample(labelled: DataFrame, per_label: int, seed: int) -> tuple[list[Example], list[str]]:
+    """About ``per_label`` rows of each label, by a hash of the id; whole texts, of 200 kB a row at most, see ``condensed``."""
+    ship(labelled.sparkSession)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
     draw = F.expr(f"pmod(xxhash64(doc_id, {seed}), 1000003) / 1000003.0D")
-    at = F.expr(f"pmod(xxhash64(doc_id, {seed + 1}), greatest(length(text) - {training_chars}, 0) + 1) + 1")
-    rows = labelled.where(draw < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.col("text").substr(at.cast("int"), F.lit(training_chars)).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
-    return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
+    drawn = labelled.where(draw < F.element_at(share, F.col("lang"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = drawn.mapInArrow(condensed, "doc_id long, lang string, text binary, at binary, n binary, pieces array<binary>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["at"] or b"") if r["text"] is None else bytes(r["text"]), r["lang"]))
+    found = [
+        Example(bytes(r["text"])) if r["text"] is not None else Example(None, (np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.int64)), list(map(bytes, r["pieces"])))
+        for r in rows
+    ]
+    return found, [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, per_label: int = 1500, training_chars: int = 4000, seed: int = 7) -> Model:
+def fit(docs: DataFrame, per_label: int = 1500, seed: int = 7) -> Model:
     """Learn from rows with text, lang and an id whose crc32 modulo 4 is not 2 (others are held out).
 
     About ``per_label`` documents of each label come to the driver, by a hash of
-    the id; repeated rows are drawn together. Without a labelled row nothing is learned.
+    the id; repeated rows are drawn together. Each is learned from whole: a text
+    comes itself, or as the counts of its subwords if these are smaller. Without
+    a labelled row nothing is learned.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
-    texts, langs = sample(labelled, per_label, training_chars, seed)
-    return train(texts, langs, seed=seed)
+    return train(*sample(labelled, per_label, seed), seed=seed)
 
 
 def held_out():
@@ -201,8 +265,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 p = softmax((logits / np.maximum(n, 1)[:, None] + m.bias) / m.temperature)
                 found[a:b] = np.where(letters, p.argmax(axis=1), -1)
                 score[a:b] = np.where(letters, p.max(axis=1), 0.0)
+            least = np.where(np.diff(offsets) < SHORT, m.short_threshold, m.threshold)
             names = pa.array([*m.labels, "und"], pa.string()).take(pa.array(np.where(found < 0, len(m.labels), found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score), pa.array((found < 0) | (score < m.threshold))], [*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score), pa.array((found < 0) | (score < least))], [*kept, "lang_pred", "score", "rejected"])
 
     fields = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return docs.select(*kept).mapInArrow(run, fields)

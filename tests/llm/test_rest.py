@@ -400,11 +400,16 @@ def test_language_id_rejects_unlearned_languages(spark, labels):
 
 
 def test_language_id_learns_from_whole_texts(spark):
-    rows = [(i, "header " * 1000 + "".join(f"<{k}>" for k in range(1000)), "xx") for i in range(200)] + [(200, "short text", "xx"), (201, "é" * 4000, "xx")]
-    texts, _ = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1000, 4000, 7)
-    whole = rows[0][1]
-    long_ones = [t.decode() for t in texts if t[:1] != b"s" and t[:2] != "é".encode()]
-    assert len(texts) == 202 and all(len(t) == 4000 and t in whole for t in long_ones)
-    starts = [whole.index(t) for t in long_ones if "<" in t]
-    assert len(starts) > 50 and max(starts) > len(whole) - 4000 - 1000
-    assert b"short text" in texts and ("é" * 4000).encode() in texts
+    long_ = "header " * 1000 + "".join(f"<{k}>" for k in range(50_000))
+    rows = [(0, long_, "xx"), (1, "short text", "xx"), (2, "é" * 90_000, "xx"), (3, "plain words " * 200_000, "yy"), (4, "", "yy")]
+    found, langs = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1000, 7)
+    assert langs == ["xx", "xx", "xx", "yy", "yy"]
+    assert [x.text for x in found] == [None, b"short text", ("é" * 90_000).encode(), None, b""]
+    for i in (0, 3):
+        at, n = np.unique(langid.features(rows[i][1].encode(), langid.BUCKETS), return_counts=True)
+        assert np.array_equal(found[i].counts[0], at) and np.array_equal(found[i].counts[1], n)
+        assert len(found[i].pieces) == langid.PIECES and all(len(x) == langid.SHORT and x in rows[i][1].encode() for x in found[i].pieces)
+    assert max(long_.encode().index(x) for x in found[0].pieces) > len(long_) // 2
+    assert 20 <= len(found[0].stretch(np.random.default_rng(1))) < langid.SHORT
+    model = langid.train(found * 20, langs * 20)
+    assert model.labels == ["xx", "yy"]
