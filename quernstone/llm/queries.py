@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import spread
-from . import langid, media, mixing, near_vectors, ngram_join, packing, sharding, substring, suffix, tokens
+from . import hidden_markov, langid, media, mixing, near_vectors, ngram_join, packing, periodic, sharding, substring, suffix, tokens, vector_codes
 
 MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -59,8 +60,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = "crc32(cast(cast(doc_id AS string) AS binary)) % 5"
+    found = hidden_markov.score(table(spark, sf_dir).select("doc_id", "text"), learn=f"{part} <> 1")
+    return found.select("doc_id", F.expr(f"coalesce({part} = 1, false)").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(table(spark, sf_dir).select("doc_id", "text"), times=4, least=6, plant=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_mixing, op4_media, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_mixing, op4_media, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_suffix_dedup, op10_sharding, op11_vector_codes, op12_lm_scores, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -70,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.ORACLE,
         "op5_substring_dedup": substring.ORACLE,
         "op9_suffix_dedup": suffix.ORACLE,
+        "op11_vector_codes": vector_codes.oracle(),
     }
