@@ -76,6 +76,18 @@ def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
             _OPEN.blocks[-1].extend(x for x in block if id(x[0]) in kept)
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """A block in which a query's shuffle files go as soon as it has ended: its steps are written, and nothing is shuffled again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame from ``materialize`` that nothing reads any more."""
     delete(df.sparkSession, df._folder)

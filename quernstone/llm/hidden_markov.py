@@ -30,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, from_binary, materialize, ranges, ship, text_bytes, tidy
+from .common import binary_column, from_binary, discard, materialize, ranges, ship, shuffles_cleared, text_bytes, tidy
 
 #: Word classes, class 0 being the end of a text. A fixed size: states times CLASSES numbers are sent to tasks and gathered each round.
 CLASSES = 1 << 16
 #: Steps of a chunk, tokens that are worked on together, bytes of text of a block.
-CHUNK, TOKENS, BLOCK = 1024, 1 << 19, 6 << 20
+CHUNK, TOKENS, BLOCK = 1024, 1 << 20, 6 << 20
 #: Slices of the training texts; each of the first rounds learns from one.
-SLICES = 4
+SLICES = 8
+#: Tokens of a task of a round at least, where there are that many: a task returns numbers for all classes.
+ROUND = 1 << 25
 
 
 def class_of(word: bytes) -> int:
@@ -52,6 +54,10 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
+    def single(self) -> Model:
+        """In single precision, which training does with."""
+        return Model(*(np.ascontiguousarray(x, np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def initial(base: np.ndarray, states: int, seed: int, stay: float = 0.9, noise: float = 0.5) -> Model:
     """States that hardly change within a text, and emit classes by their frequency with some noise of their own."""
@@ -122,7 +128,7 @@ class Chunks:
         matrices = []
         if len(long):
             rows = np.sort(self.place[ranges(self.upto[long], self.pieces[long])])  # in order of size still
-            unit = np.broadcast_to(np.eye(s), (len(rows), s, s))
+            unit = np.broadcast_to(np.eye(s, dtype=p.dtype), (len(rows), s, s))
             ends, scale = self.forward(m, unit, rows)
             where = np.full(len(self.begin), -1)
             where[rows] = np.arange(len(rows))
@@ -153,17 +159,17 @@ class Chunks:
         """Expected starts, moves and emissions of all texts, and their log likelihood."""
         s, n = len(m.start), len(self.classes)
         p, logs, matrices = self.entries(m)
-        before = np.zeros((n, s))
+        before = np.zeros((n, s), p.dtype)
         _, total = self.forward(m, p, keep=before)
         ends = np.zeros(len(self.begin), bool)
         ends[self.place[self.upto[1:] - 1]] = True
-        g = np.ones((len(self.begin), s))  # how well each state before the next token explains what follows
+        g = np.ones((len(self.begin), s), p.dtype)  # how well each state before the next token explains what follows
         for _, r, matrix in reversed(matrices):
             if not ends[r]:
                 g[r] = ahead
             ahead = matrix @ g[r]
             ahead = ahead / ahead.max()
-        moves, after = np.zeros((s, s)), np.zeros((n, s))
+        moves, after = np.zeros((s, s)), np.zeros((n, s), p.dtype)
         for t in range(int(self.size.max(initial=0)) - 1, -1, -1):
             k = self.active[t]
             at = self.begin[:k] + t
@@ -257,7 +263,7 @@ def _grouped(texts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[Chunks]
         yield Chunks(np.concatenate([x[0] for x in held]), np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in held]))]))
 
 
-def expected_counts(blocks: DataFrame, model: Model, part: int | None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+def expected_counts(blocks: DataFrame, model: Model, part: int | None, tasks: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
     """Baum-Welch counts of the training texts, of one slice or of all, and their log likelihood."""
     s = len(model.start)
     told = blocks.sparkSession.sparkContext.broadcast(model)  # CLASSES * states doubles
@@ -272,9 +278,9 @@ def expected_counts(blocks: DataFrame, model: Model, part: int | None) -> tuple[
                     if len(use):
                         yield classes[ranges(firsts[use], sizes)], sizes
 
-        sums = [np.zeros(s), np.zeros((s, s)), np.zeros((CLASSES, s)), 0.0]
+        now, sums = told.value.single(), [np.zeros(s), np.zeros((s, s)), np.zeros((CLASSES, s)), 0.0]
         for chunks in _grouped(chosen()):
-            for i, x in enumerate(chunks.expected(told.value)):
+            for i, x in enumerate(chunks.expected(now)):
                 sums[i] = sums[i] + x
         some = np.flatnonzero(sums[2].any(1))
         if len(some):  # emissions by class, then starts, moves and the likelihood under numbers of their own
@@ -284,7 +290,7 @@ def expected_counts(blocks: DataFrame, model: Model, part: int | None) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(values[:, i]) for i in range(s))], ["at", *(f"s{i}" for i in range(s))])
 
     form = "at long, " + ", ".join(f"s{i} double" for i in range(s))
-    rows = blocks.select("firsts", "classes", "learns", "slices").mapInArrow(run, form).groupBy("at").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(s))).toArrow()
+    rows = blocks.select("firsts", "classes", "learns", "slices").coalesce(tasks).mapInArrow(run, form).groupBy("at").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(s))).toArrow()
     out = np.zeros((CLASSES + s + 2, s))
     if rows.num_rows:
         out[rows["at"].to_numpy()] = np.stack([rows[f"s{i}"].to_numpy() for i in range(s)], axis=1)
@@ -292,11 +298,11 @@ def expected_counts(blocks: DataFrame, model: Model, part: int | None) -> tuple[
     return (out[CLASSES], out[CLASSES + 1 : CLASSES + 1 + s], out[:CLASSES]), float(out[-1].sum())
 
 
-def train(blocks: DataFrame, base: np.ndarray, states: int, warm: int, rounds: int, discount: float, seed: int, tell: Callable[[float], None] | None = None) -> Model:
+def train(blocks: DataFrame, tokens: int, base: np.ndarray, states: int, warm: int, rounds: int, discount: float, seed: int, tell: Callable[[float], None] | None = None) -> Model:
     """Baum-Welch: ``warm`` rounds of a slice of the training texts each, in turn, then ``rounds`` of all of them."""
-    model = initial(base, states, seed)
+    model, cores = initial(base, states, seed), blocks.sparkSession.sparkContext.defaultParallelism
     for r in range(warm + rounds):
-        counts, log = expected_counts(blocks, model, r % SLICES if r < warm else None)
+        counts, log = expected_counts(blocks, model, r % SLICES if r < warm else None, max(cores, tokens // ROUND))
         model = learned(counts, base, discount)
         if tell:
             tell(log)
@@ -315,13 +321,13 @@ def score(docs: DataFrame, learn: str, states: int = 8, warm: int = 8, rounds: i
     known and all states emit the same; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    with tidy() as keep:
+    with tidy() as keep, shuffles_cleared(docs.sparkSession):
         return _score(docs, learn, states, warm, rounds, discount, seed, keep)
 
 
 def _score(docs, learn, states, warm, rounds, discount, seed, keep) -> DataFrame:
     spark = docs.sparkSession
-    blocks = keep(materialize(_blocks(docs, learn), "lm-blocks"))
+    blocks = materialize(_blocks(docs, learn), "lm-blocks")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "kinds", "counts")).alias("j", "w")).select("block", "j", "w.words", "w.kinds", "w.counts")
     known = materialize(listed.where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.min("kinds").alias("kinds")), "lm-words")
     by_class = known.groupBy("kinds").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()  # CLASSES rows at most
@@ -330,7 +336,7 @@ def _score(docs, learn, states, warm, rounds, discount, seed, keep) -> DataFrame
     tokens[at], distinct[at] = by_class["c"].to_numpy(), by_class["v"].to_numpy()
     room = tokens + 0.5 * distinct + 0.5
     n, v = int(tokens.sum()), int(distinct.sum())
-    model = train(blocks, room / room.sum(), states, warm, rounds, discount, seed)
+    model = train(blocks, n, room / room.sum(), states, warm, rounds, discount, seed)
     told = spark.sparkContext.broadcast((model, room))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -343,10 +349,12 @@ def _score(docs, learn, states, warm, rounds, discount, seed, keep) -> DataFrame
         out = []
         for batch in left.to_batches():
             for row in range(batch.num_rows):
-                firsts, classes, learns, _ = _texts(batch, row)
+                firsts = np.frombuffer(batch.column("firsts")[row].as_buffer(), np.int64)
+                learns = np.array(batch.column("learns")[row].as_py(), bool)
                 token = np.frombuffer(batch.column("local")[row].as_buffer(), np.int32)
-                c = np.zeros(int(token.max()) + 1, np.int64)
-                c[: min(len(c), len(counts))] = counts[: len(c)]
+                kinds = batch.column("kinds")[row].values.to_numpy(zero_copy_only=False)
+                classes, c = kinds[token].astype(np.uint16), np.zeros(len(kinds), np.int64)
+                c[: len(counts)] = counts
                 c = c[token]
                 base = np.add.reduceat(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), firsts[:-1])
                 within = np.add.reduceat(np.log10((c + 0.5) / room[classes]), firsts[:-1])
@@ -360,8 +368,9 @@ def _score(docs, learn, states, warm, rounds, discount, seed, keep) -> DataFrame
                 out.append(pa.table({"doc_id": batch.column("ids")[row].values, "learns": pa.array(learns), "n_tokens": np.diff(firsts), "n_known": some, "base_score": base, "score": logs / np.log(10) + within}))
         return pa.concat_tables(out) if out else pa.table({k: [] for k in ("doc_id", "learns", "n_tokens", "n_known", "base_score", "score")})
 
-    counted = listed.select("block", "j", "words").join(known.select("words", "c"), "words").select(F.col("block").alias("of"), "j", "c")
+    counted = materialize(listed.select("block", "j", "words").join(known.select("words", "c"), "words").select(F.col("block").alias("of"), "j", "c"), "lm-counted")
+    discard(known)
     form = "doc_id long, learns boolean, n_tokens long, n_known long, base_score double, score double"
-    pairs = blocks.select("block", "ids", "learns", "slices", "firsts", "classes", "local").groupBy("block").cogroup(counted.groupBy("of"))
+    pairs = blocks.select("block", "ids", "learns", "firsts", "kinds", "local").groupBy("block").cogroup(counted.groupBy("of"))
     scored = keep(materialize(pairs.applyInArrow(finish, form), "lm-scores"))
     return scored.select("doc_id", "learns", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
