@@ -74,6 +74,7 @@ def pack(docs: DataFrame, model: str, ranks: str, window: int = 1024, end_id: in
     same size, at a cost of a few open windows each. Sequence ids hold the group
     in their upper half. Null texts are one piece with the end id; rows with a
     null id or repeated rows are packed like others; an empty table gives none.
+    Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -77,12 +77,35 @@ class PieceCounts(dict):
         if len(self) >= self.room:
             self.clear()
             self.update(dict.fromkeys(self.proven, 1))
-        n = len(self.bpe.encode_ordinary(piece))
+        n = len(self.bpe._encode_single_piece(piece))  # merges alone: the library's own pattern overflows on very long white space
         if len(piece) <= 64:
             self[piece] = n
         return n
 
 
+#: White space so long that the library's pattern, which steps back through it, may overflow.
+LONG_BLANK = regex.compile(r"\s{4096}")
+
+
+def token_ids(text: str, bpe: tiktoken.Encoding, split: regex.Pattern, special: regex.Pattern | None) -> np.ndarray:
+    """The ids of a text, special strings as their own; texts with very long white space are cut here and merged piece by piece."""
+    if len(text) < 4096 or not LONG_BLANK.search(text):
+        return bpe.encode_to_numpy(text, allowed_special="all")
+    ids: list[int] = []
+    for i, part in enumerate(special.split(text) if special else [text]):
+        if i % 2:
+            ids.append(bpe.encode_single_token(part))
+        else:
+            for piece in split.findall(part):
+                ids += bpe._encode_single_piece(piece)
+    return np.array(ids, np.uint32)
+
+
+def special_pattern(special: dict[str, int]) -> regex.Pattern | None:
+    """Finds the special strings, longer ones first, as a group."""
+    return regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+
 _KEPT: dict = {}
 
 
@@ -92,13 +115,14 @@ def count_tokens(docs: DataFrame, model: str, ranks: str, limit: int = 1024, roo
     Whole-token shortcut: pre-tokens proven to be one token are counted by a
     lookup; only others are merged, and the counts of ``room`` recent ones are
     kept per worker. A null text counts as empty (0 bytes, 0 tokens). Null ids,
-    repeated rows and extra columns are harmless: one row out for each row in.
+    repeated rows and extra columns are harmless: one row out for each row in,
+    and none for an empty table. Very long texts are counted whole, long runs of
+    white space among them.
     """
     spark = docs.sparkSession
     ship(spark)
     proven = spark.sparkContext.broadcast(whole_tokens(model))  # as large as the vocabulary
     special = special_tokens(model)
-    stop = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (model, ranks, room)
@@ -106,15 +130,16 @@ def count_tokens(docs: DataFrame, model: str, ranks: str, limit: int = 1024, roo
             _KEPT.clear()
             _KEPT[key] = PieceCounts(proven.value, encoder(ranks, model), room)
         counts, split = _KEPT[key], regex.compile(PATTERN).findall
-        cut, of = regex.compile(stop) if stop else None, counts.__getitem__
+        cut, of = special_pattern(special), counts.__getitem__
         for batch in batches:
             texts = batch.column(1)
             _, offsets = text_bytes(texts)
             n = np.zeros(len(texts), np.int64)
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
-                if cut is not None and "<" in text and len(parts := cut.split(text)) > 1:
-                    n[i] = sum(sum(map(of, split(p))) for p in parts) + len(parts) - 1
+                if any(x in text for x in special):
+                    parts = cut.split(text)  # every other one is a special string
+                    n[i] = sum(sum(map(of, split(p))) for p in parts[::2]) + len(parts) // 2
                 else:
                     n[i] = sum(map(of, split(text)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
@@ -129,20 +154,21 @@ def token_pieces(docs: DataFrame, model: str, ranks: str, window: int = 1024, en
 
     Rows: id, start, length, ids_crc32 (of little-endian unsigned 32-bit ids),
     doc_tokens. A null text is empty: one piece with the end id alone. Null ids
-    and repeated rows are cut like others; an empty table gives none.
+    and repeated rows are cut like others; an empty table gives none. Very long
+    texts are encoded whole, long runs of white space among them.
     """
     import zlib
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks, model)
+        bpe, split, special = encoder(ranks, model), regex.compile(PATTERN), special_pattern(special_tokens(model))
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets):
                 rows, start, length, crc, total = [], [], [], [], []
                 for i in range(a, b):
-                    ids = np.append(bpe.encode_to_numpy(batch.column(1)[i].as_py() or "", allowed_special="all"), end_id).astype("<u4")
+                    ids = np.append(token_ids(batch.column(1)[i].as_py() or "", bpe, split, special), end_id).astype("<u4")
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         rows.append(i)
