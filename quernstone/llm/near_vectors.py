@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ def plan(n: int, cosine: float, miss: float) -> tuple[int, int]:
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that may link, with two hashes of the vector's bytes and the vector as little-endian doubles."""
+    """Every row; those that may link with two hashes of the vector's bytes and the vector as little-endian doubles, others with nulls."""
     for batch in batches:
         lists = batch.column(2)
         size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -39,16 +39,17 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrong = np.concatenate([[0], np.cumsum(bad)])[upto]
         some = np.concatenate([[0], np.cumsum(values != 0)])[upto]
         ok = (np.diff(wrong) == 0) & (np.diff(some) > 0)
+        ok &= ~(batch.column(0).is_null().to_numpy(zero_copy_only=False) | batch.column(1).is_null().to_numpy(zero_copy_only=False))
         place = ranges(np.zeros(len(size), np.int64), size).astype(np.uint64)
         one = mix64(values.view(np.uint64) + place * SHINGLE_MIX[3])
         other = mix64(one + SHINGLE_MIX[4])
         hashes = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[upto] for x in (one, other)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(ok, size, 0))])
         keep = np.flatnonzero(ok)
-        offsets = np.concatenate([[0], np.cumsum(size[keep])])
         body = values[ranges(upto[keep], size[keep])]
-        vec = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer((offsets * 8).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-        ids = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(size[keep]), *(pa.array(np.diff(h)[keep].view(np.int64)) for h in hashes), vec], ["id", "label", "dim", "h1", "h2", "vec"])
+        valid = pa.array(ok).buffers()[1]
+        vec = pa.Array.from_buffers(pa.binary(), len(ok), [valid, pa.py_buffer((offsets * 8).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, mask=~ok), *(pa.array(np.diff(h).view(np.int64), mask=~ok) for h in hashes), vec], ["id", "label", "dim", "h1", "h2", "vec"])
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, seed: int = 11) -> DataFrame:
@@ -60,25 +61,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, s
     a pair exactly at the threshold is missed with a chance of at most ``miss``,
     closer pairs with less. Vectors that are null, zero or not finite, and rows
     with a null label or id, link with nothing; theirs is a component of one.
-    Repeated rows of one id and vector count as one vector. An empty table
-    gives no rows.
+    Repeated rows of one id, label and vector count as one vector and come out
+    alike; rows of one id and different vectors are different vectors, each
+    with links of its own. An empty table gives no rows.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     with tidy() as keep:
-        linked = keep(materialize(_linked(rows, cosine, miss, seed), "vector-classes"))
-    result = rows.select("id").join(linked, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return result.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+        return _linked(rows, cosine, miss, seed, keep)
 
 
-def _linked(rows: DataFrame, cosine: float, miss: float, seed: int) -> DataFrame:
-    """(id, n_links, component_id) of the vectors that may link."""
-    able = rows.where("id is not null and label is not null and embedding is not null")
-    usable = materialize(able.mapInArrow(_usable, "id long, label string, dim long, h1 long, h2 long, vec binary"), "vectors")
+def _linked(rows: DataFrame, cosine: float, miss: float, seed: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    all_ = materialize(rows.mapInArrow(_usable, "id long, label string, dim long, h1 long, h2 long, vec binary"), "vectors")
+    usable = all_.where("vec is not null")
     same = ["label", "dim", "h1", "h2"]
-    once = usable.select("id", *same).distinct()
-    classes = materialize(once.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    # A class has a number of its own; its smallest id names it in the end.
+    classes = usable.select("id", *same).distinct().groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = plan(classes.count(), cosine, miss)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +94,9 @@ def _linked(rows: DataFrame, cosine: float, miss: float, seed: int) -> DataFrame
                 code = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int64)
                 label = np.array([hash_label(v) for v in part.column("label").to_pylist()], np.uint64)
                 key = mix64(label[:, None] + np.full(1, dim, np.uint64) * SHINGLE_MIX[5] + np.arange(tables, dtype=np.uint64) * SHINGLE_MIX[6] + code.astype(np.uint64) * SHINGLE_MIX[7]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(key), pa.list_(pa.int64()))], ["rep", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(list(key), pa.list_(pa.int64()))], ["rep", "buckets"])
 
-    reps = usable.join(classes.select(F.col("rep").alias("id"), *same), ["id", *same]).dropDuplicates(["id"])
+    reps = usable.join(classes.select("id", "rep", *same), ["id", *same]).dropDuplicates(["id", *same])
     coded = materialize(reps.mapInArrow(codes, "rep long, buckets array<long>"), "codes")
     flat = coded.select("rep", F.explode("buckets").alias("bucket"))
     shared = flat.groupBy("bucket").count().where("count > 1")
@@ -105,7 +104,7 @@ def _linked(rows: DataFrame, cosine: float, miss: float, seed: int) -> DataFrame
     met = flat.join(shared.select("bucket", blocks.alias("blocks")), "bucket")
     met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "rep")
-    body = reps.select(F.col("id").alias("rep"), "vec").join(coded, "rep").join(classes.select("rep", "copies"), "rep")
+    body = reps.select("rep", "vec").join(coded, "rep").join(classes.select("rep", "copies"), "rep")
     dealt = met.join(body, "rep").repartition("bucket", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +149,12 @@ def _linked(rows: DataFrame, cosine: float, miss: float, seed: int) -> DataFrame
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     by_class = classes.join(counts, "rep", "left").join(joined, classes.rep == joined.node, "left")
-    by_class = by_class.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    return once.join(by_class, same).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    by_class = materialize(by_class.select("id", *same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "by-class")
+    lowest = by_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    by_class = by_class.select(*same, "n_links", "component").join(lowest, "component")
+    placed = keep(materialize(all_.select("id", *same).join(by_class, same, "left").select("id", "n_links", "component_id"), "placed"))
+    component = F.coalesce("component_id", "id")
+    return placed.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def hash_label(label: str) -> int:

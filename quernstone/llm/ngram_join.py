@@ -57,11 +57,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def _each(batches: Iterator[pa.RecordBatch], k: int):
-    """(ids, hashes, offsets) of every slice."""
+    """(rows of the batch, hashes, offsets) of every slice."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         for a, b in slices(offsets, SLICE):
-            yield batch.column(0).slice(a, b - a), *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+            yield batch.slice(a, b - a), *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -160,7 +160,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     their number, are not offered: pairs already in one component are not
     verified. Rows without words
     (or text) have no shingles and link with nothing, nor do rows with a null
-    id. Repeated rows have one set. An empty table gives no rows.
+    id. Each row is a document: rows of one id and different texts link by
+    their own texts, repeated rows come out alike. Texts of any length are
+    read whole. An empty table gives no rows.
     """
     if 2 * num <= den:
         raise ValueError("the threshold must be over one half")  # bitmaps of sets that may link differ by one size at most
@@ -171,12 +173,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
 
 def _components(docs: DataFrame, k: int, num: int, den: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     shared = spark.sparkContext.broadcast(shingle_counts(texts, k))  # 4 bytes a counter, whatever the corpus
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for ids, h, upto in _each(batches, k):
+        for part, h, upto in _each(batches, k):
             n = np.diff(upto)
             p = prefix_size(n, num, den)
             order, cuts = keys_of(h, counts), np.concatenate([[0], np.cumsum(p)])
@@ -192,31 +194,37 @@ def _components(docs: DataFrame, k: int, num: int, den: int, keep: Callable[[Dat
                 sums[1][some] = np.add.reduceat(mix64(h ^ SHINGLE_MIX[61]), upto[some])
                 place = ranges(np.zeros(len(p), np.int64), p).astype(np.uint64)
                 sums[2][some] = np.add.reduceat(mix64(first + place), cuts[some])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), binary_column(first, cuts), binary_column(*bitmaps(h, upto))], ["doc_id", "n", "s1", "s2", "p", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), binary_column(first, cuts), binary_column(*bitmaps(h, upto))], ["doc_id", "row", "n", "s1", "s2", "p", "prefix", "bits"])
 
-    all_ = keep(materialize(texts.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, p long, prefix binary, bits binary"), "prefixes"))
+    all_ = materialize(texts.mapInArrow(prefixes, "doc_id long, row long, n long, s1 long, s2 long, p long, prefix binary, bits binary"), "prefixes")
     real = all_.where("n > 0 and doc_id is not null")
-    classes = materialize(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("p").alias("p")), "classes")
+    # A class has a number of its own; one of its rows, known by id and text, stands for it.
+    classes = real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.min("p").alias("p"))
+    classes = materialize(classes.select("n", "s1", "s2", "p", "one.*", F.monotonically_increasing_id().alias("rep")), "classes")
+    named = classes.select("doc_id", "row", "rep")
     groups = classes.groupBy("n", "p").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
-    leads = real.select("doc_id", "prefix").join(groups.select(F.col("group").alias("doc_id"), "n", "members"), "doc_id")
+    first = groups.join(named.withColumnRenamed("rep", "group"), "group").select("doc_id", "row", "group", "n", "members")
+    leads = real.select("doc_id", "row", "prefix").join(first, ["doc_id", "row"])
     members = materialize(classes.join(groups, ["n", "p"]).select("rep", "group", "n"), "members")
     lists = materialize(_lists(leads, num, den), "lists")
 
-    bits = real.select("doc_id", "bits").join(classes.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    bits = materialize(members.join(bits.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "group", "n", "bits"), "bits")
+    bits = real.select("doc_id", "row", "bits").join(named, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    bits = materialize(members.join(bits.select("rep", "bits"), "rep").select("rep", "group", "n", "bits"), "bits")
 
     heads = lists.where("leader <> group").select("leader", "group").distinct()
     ask = heads.join(members.select("group", "rep"), "group").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     ask = ask.union(members.where("rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))).distinct()
-    linked = _verify(materialize(_close(ask, bits, num, den), "ask"), texts, k, num, den)
+    linked = _verify(materialize(_close(ask, bits, num, den), "ask"), texts, named, k, num, den)
     known = connected_components(linked)
 
-    more = _verify(materialize(_rest(lists, bits, known, num, den), "ask"), texts, k, num, den)
+    more = _verify(materialize(_rest(lists, bits, known, num, den), "ask"), texts, named, k, num, den)
     found = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    by_class = classes.join(found, classes.rep == found.node, "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    by_class = keep(materialize(by_class, "by-class"))
-    mine = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return all_.select("doc_id", "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    by_class = classes.join(found, classes.rep == found.node, "left").select("n", "s1", "s2", "doc_id", F.coalesce("component", "rep").alias("component"))
+    by_class = materialize(by_class, "by-class")
+    lowest = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = all_.select("doc_id", "n", "s1", "s2").join(by_class.drop("doc_id"), ["n", "s1", "s2"], "left")
+    placed, lowest = keep(materialize(placed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")), "placed")), keep(materialize(lowest, "lowest"))
+    return placed.join(lowest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _lists(leads: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,6 +254,7 @@ def _lists(leads: DataFrame, num: int, den: int) -> DataFrame:
         keep = np.repeat(total > 1, sizes_of(starts, len(order)))
         order = order[keep]
         order = order[np.lexsort((group[order], n[order], token[order]))]
+        order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (group[order][1:] != group[order][:-1])])] if len(order) else order  # repeated rows
         token, group, n, at, many = token[order], group[order], n[order], at[order], many[order]
         near = (token[1:] == token[:-1]) & (den * n[:-1] >= num * n[1:])  # neighbours by size that may link
         keep = np.append(near, False) | np.concatenate([[False], near]) | (many > 1) if len(token) else np.zeros(0, bool)
@@ -263,7 +272,7 @@ def _lists(leads: DataFrame, num: int, den: int) -> DataFrame:
         leader = pa.array(group[head], mask=~fits)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(group), pa.array(n), pa.array(at.astype(np.int32)), leader, pa.array(digest.view(np.int64))], ["token", "group", "n", "at", "leader", "list"])
 
-    flat = leads.select("doc_id", "prefix", "n", "members").mapInArrow(explode, "token long, group long, n long, members long, at int")
+    flat = leads.select("group", "prefix", "n", "members").mapInArrow(explode, "token long, group long, n long, members long, at int")
     return flat.repartition("token").mapInArrow(meet, "token long, group long, n long, at int, leader long, list long")
 
 
@@ -290,12 +299,12 @@ def _close(ask: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     return sized.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _verify(ask: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verify(ask: DataFrame, texts: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(u, v): those of the asked pairs (a, b) that link, by their whole sets of shingles."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, upto in _each(batches, k):
-            yield pa.RecordBatch.from_arrays([ids, binary_column(h, upto)], ["id", "items"])
+        for part, h, upto in _each(batches, k):
+            yield pa.RecordBatch.from_arrays([part.column(0), binary_column(h, upto)], ["id", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,8 +315,8 @@ def _verify(ask: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Dat
                 both = overlaps(a, na, b, nb)
                 yield part.select(["u", "v"]).filter(pa.array(den * both >= num * (na + nb - both)))
 
-    wanted = materialize(ask.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = materialize(texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(shingle, "id long, items binary"), "sets")
+    wanted = materialize(ask.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(named, "rep"), "wanted")
+    sets = materialize(texts.join(wanted, ["doc_id", "row"]).select("rep", "text").mapInArrow(shingle, "id long, items binary").dropDuplicates(["id"]), "sets")
     one = ask.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
     linked = materialize(two.select(F.col("b").alias("u"), F.col("a").alias("v"), "left", "right").mapInArrow(run, "u long, v long"), "linked")
