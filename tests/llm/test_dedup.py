@@ -106,6 +106,38 @@ def test_ngram_join_blocks(spark, monkeypatch):
     test_ngram_join_family_of_near_copies(spark)
 
 
+def brute_rows(rows, k, num, den):
+    """As brute_jaccard, with each row a document of its own."""
+    by_row = {d: (n, c) for d, n, c in brute_jaccard([(i, t) for i, (_, t, *_) in enumerate(rows)], k, num, den)}
+    low = {}
+    for i, (d, *_) in enumerate(rows):
+        low[by_row[i][1]] = min(d, low.get(by_row[i][1], d))
+    return sorted((d, by_row[i][0], low[by_row[i][1]]) for i, (d, *_) in enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ngram_join_texts_that_share_an_id(spark, seed):
+    """Each text keeps its own links, whichever texts its id has besides."""
+    r = random.Random(seed)
+    names = [f"w{i}" for i in range(5000)]
+    bases = [[r.choice(names) for _ in range(90)] for _ in range(12)]
+    rows = []
+    for i, base in enumerate(bases):
+        rows.append((r.randrange(6), " ".join(base), 0, True))  # ids 0 to 5 have several texts
+        rows += [(100 + 3 * i + j, " ".join(base[:60] + [f"e{i}"] * (j > 0) + base[60:]), 0, True) for j in range(3)]
+        rows.append((r.randrange(6), " ".join([*base, f"t{i}"]), 0, True))
+    rows += rows[:7]
+    r.shuffle(rows)
+    got = ngram_join.jaccard_components(frame(spark, rows), 3, 90, 100).collect()
+    assert sorted(tuple(x) for x in got) == brute_rows(rows, 3, 90, 100)
+
+
+def test_ngram_join_links_of_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    got = ngram_join.jaccard_components(frame(spark, [(1, a, 0, True), (1, b, 0, True), (2, a + " x", 0, True), (3, b + " x", 0, True)]), 3, 90, 100).collect()
+    assert sorted(tuple(x) for x in got) == [(1, 48, 1), (1, 48, 1), (2, 49, 1), (3, 49, 1)]
+
+
 def test_ngram_join_null_ids_repeats_and_nothing(spark):
     got = ngram_join.jaccard_components(frame(spark, [(None, "a b c d", 1, True), (2, "a b c d", 1, True), (2, "a b c d", 1, True), (None, None, 1, True)]), 3, 90, 100).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 2, None), (2, 2, 2), (2, 2, 2), (None, 0, None)], key=str)
@@ -283,6 +315,35 @@ def test_near_vectors_null_ids_repeats_extremes_and_other_columns(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_vectors_that_share_an_id(spark, seed):
+    """Rows of one id and different vectors are different vectors; repeated rows are one."""
+    r = np.random.default_rng(seed)
+    bases = r.normal(size=(10, 16))
+    rows = []
+    for i, base in enumerate(bases):
+        near = lambda: (base + r.normal(size=16) * 0.01).tolist()  # noqa: B023, E731
+        rows += [(int(r.integers(0, 4)), near(), "x"), (100 + i, near(), "x"), (200 + i, base.tolist(), "x"), (int(r.integers(0, 4)), base.tolist(), "x"), (300 + i, near(), "y")]
+    rows += rows[:6]
+    once = sorted({(i, label, tuple(v)) for i, v, label in rows})
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, _, v in once])
+    alike = (unit @ unit.T >= 0.98) & (np.array([x[1] for x in once])[:, None] == np.array([x[1] for x in once])[None, :])
+    comp = components(range(len(once)), list(zip(*np.nonzero(np.triu(alike, 1)), strict=True)))
+    low = {}
+    for k, (i, _, _) in enumerate(once):
+        low[comp[k]] = min(i, low.get(comp[k], i))
+    want = {x: (int(alike[k].sum()) - 1, low[comp[k]]) for k, x in enumerate(once)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(x) for x in near_vectors.near_vectors(df, cosine=0.98).collect())
+    assert got == sorted((i, *want[i, label, tuple(v)], i == want[i, label, tuple(v)][1]) for i, v, label in rows)
+
+
+def test_near_vectors_links_of_one_id(spark):
+    v, w = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.2, 0.0]
+    df = spark.createDataFrame([(1, v, "a"), (1, w, "a"), (2, [1.0, 0.01, 0.0, 0.1], "a"), (3, [0.0, 1.0, 0.21, 0.0], "a")], "vec_id long, embedding array<double>, label string")
+    assert sorted(tuple(x) for x in near_vectors.near_vectors(df).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_overlaps_are_counted_in_full_width():
     a = np.array([1 << 11, (1 << 11) + 1, 5 << 20], np.uint64)
     b = np.array([(1 << 11) + 1, (1 << 11) + 2, 5 << 20], np.uint64)

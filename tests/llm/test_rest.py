@@ -34,6 +34,33 @@ def test_token_counts(spark, library):
     assert tokens.count_tokens(frame(spark, []), MODEL, RANKS).count() == 0
 
 
+BLANKS = ["word" + " " * 2_000_000 + "end", "\n" * 2_000_000, "x" + " \t" * 600_000 + "<|endoftext|>" + "\n \n" * 500_000 + " y", " " * 4096 + "<|endoftext|>", "a " * 3000 + " " * 5000]
+
+
+def test_very_long_white_space(spark, library):
+    docs = frame(spark, BLANKS)
+    want = [library.encode(t, add_special_tokens=False).ids for t in BLANKS]
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, MODEL, RANKS).collect()} == {i: len(x) for i, x in enumerate(want)}
+    pieces = {(p["doc_id"], p["start"]): p for p in packing.pack(docs, MODEL, RANKS).collect()}
+    for i, ids in enumerate(want):
+        ids = np.array([*ids, 0], "<u4")
+        for at in range(0, len(ids), 1024):
+            assert pieces[i, at]["ids_crc32"] == zlib.crc32(ids[at : at + 1024].tobytes()) and pieces[i, at]["doc_tokens"] == len(ids)
+
+
+def test_special_strings_of_any_form(spark, tmp_path, library):
+    import json
+
+    told = json.loads(open(MODEL, encoding="utf-8").read())
+    told["added_tokens"][0]["content"] = "[PAD]"
+    told["model"]["vocab"] = {("[PAD]" if k == "<|endoftext|>" else k): v for k, v in told["model"]["vocab"].items()}
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    texts = ["a [PAD] b[PAD]", "[PAD", "<|endoftext|>"]
+    other = Tokenizer.from_file(str(tmp_path / "other.json"))
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(frame(spark, texts), str(tmp_path / "other.json"), RANKS).collect()}
+    assert got == {i: len(other.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_whole_tokens_are_single(library):
     proven = tokens.whole_tokens(MODEL)
     assert len(proven) > 45_000
@@ -293,7 +320,7 @@ def test_language_id_on_documents(spark):
 
 def test_queries_match_their_names():
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
