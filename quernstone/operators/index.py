@@ -57,11 +57,15 @@ def lexical_index(texts: DataFrame, id_: str, text: str = "text", tokenize: Toke
     # The number of tokens is the sum over terms, so that no text is cut again for the mean length.
     corpus = texts.agg(F.count("*").alias("n")).crossJoin(F.broadcast(df.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))))  # two rows of one number
     corpus = corpus.select("n", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n")))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return LexicalIndex(postings, term_weights(df, texts.agg(F.count("*").alias("n"))), corpus)
+
+
+def term_weights(df: DataFrame, n: DataFrame) -> DataFrame:
+    """(term, df, idf) from (term, df) and the number of texts ``n``, one row. Weights below 0 are replaced by EPSILON times the mean of all."""
+    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
-    return LexicalIndex(postings, terms, corpus)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
 @dataclass
