@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import importlib.util
 import os
-import re
 import shutil
 import subprocess
-import zlib
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, fields
 
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.enrich import tasks_from_images
 from ..operators.parse import extract_tables, split_pages
+from . import pdf
 from .tables import exists
 
 PAGE = "filename string, page int, text string, tables array<string>"
@@ -128,18 +127,31 @@ def _each_pdf(batches: Iterator[pd.DataFrame], one: Callable[[str, bytes], pd.Da
         for path, content in zip(batch["path"], batch["content"], strict=True):
             stem = path.rsplit("/", 1)[-1].removesuffix(".pdf")
             try:
-                yield one(stem, content).assign(error=None)
+                yield one(stem, content)
             except Exception as e:
                 yield pd.DataFrame([{**dict.fromkeys(columns), columns[0]: stem, "error": str(e)}])
 
 
 def parsed_pdfs(spark: SparkSession, folder: str, parse: PdfParser | None = None) -> DataFrame:
-    """(filename, page, text, error): each PDF's pages by a parser, plain text extraction by default; a file that fails is a row with its error."""
-    parse = parse or plain_pages
+    """(filename, page, text, error): each PDF's pages by a parser; a file that fails is a row with its error.
+
+    Without a parser the data source of ``pdf`` reads them: large files by
+    several tasks, and of a file with a page that cannot be decoded all others.
+    Stores that only Spark opens are read whole, a file a task.
+    """
+    if parse is None or parse is plain_pages:
+        if "://" not in folder or folder.startswith("file:"):
+            pdf.register(spark)
+            return spark.read.format("pdf_pages").load(folder).select("filename", F.col("page").cast("long").alias("page"), "text", "error")
+
+        def plain(stem: str, content: bytes) -> pd.DataFrame:
+            return pd.DataFrame(list(pdf.read_pages(content)), columns=["page", "text", "error"]).assign(filename=stem)
+
+        return _pdfs(spark, folder).mapInPandas(lambda b: _each_pdf(b, plain, ["filename", "page", "text"]), "filename string, page long, text string, error string")
 
     def one(stem: str, content: bytes) -> pd.DataFrame:
         found = parse(content)
-        return pd.DataFrame({"filename": stem, "page": range(1, len(found) + 1), "text": found})
+        return pd.DataFrame({"filename": stem, "page": range(1, len(found) + 1), "text": found, "error": None})
 
     return _pdfs(spark, folder).mapInPandas(lambda b: _each_pdf(b, one, ["filename", "page", "text"]), "filename string, page long, text string, error string")
 
@@ -159,47 +171,17 @@ def rendered_pdfs(spark: SparkSession, folder: str, render: Callable[[bytes], li
     def one(stem: str, content: bytes) -> pd.DataFrame:
         shots = render(content)
         pages_ = range(1, len(shots) + 1)
-        return pd.DataFrame({"filename": stem, "page": pages_, "name": [f"{stem}_page_{i}.png" for i in pages_], "content": shots})
+        return pd.DataFrame({"filename": stem, "page": pages_, "name": [f"{stem}_page_{i}.png" for i in pages_], "content": shots, "error": None})
 
     return _pdfs(spark, folder).mapInPandas(lambda b: _each_pdf(b, one, ["filename", "page", "name", "content"]), "filename string, page long, name string, content binary, error string")
 
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj(.*?)endobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|T\*|'|TD|Td|ET")
-
-
-def _string(raw: bytes) -> str:
-    """A PDF string: literal with escapes, or hexadecimal; UTF-16 by its mark, else Latin-1."""
-    if raw[:1] == b"<":
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        out = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
-        out = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else plain.get(m[1], m[1]), raw[1:-1], flags=re.S)
-    return out.decode("utf-16") if out[:2] in (b"\xfe\xff", b"\xff\xfe") else out.decode("latin-1")
-
-
 def plain_pages(content: bytes) -> list[str]:
-    """Text of each page of a simple PDF: strings that its content streams show, plain or deflated; fonts are not decoded."""
-    if not content.startswith(b"%PDF"):
-        raise ValueError("not a PDF")
-    objects = {int(n): body for n, body in _OBJECT.findall(content)}
-    out = []
-    for body in objects.values():
-        if not re.search(rb"/Type\s*/Page(?![a-zA-Z])", body):
-            continue
-        held = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        lines = ""
-        for number in re.findall(rb"(\d+)\s+\d+\s+R", held[1]) if held else []:
-            part = objects.get(int(number), b"")
-            stream = _STREAM.search(part)
-            raw = stream[1] if stream else b""
-            raw = zlib.decompress(raw) if b"FlateDecode" in part else raw
-            for shown in _SHOWN.findall(raw):
-                lines += _string(shown) if shown[:1] in b"(<" else "\n"
-        out.append(re.sub(r"\n+", "\n", lines).strip("\n"))
-    return out
+    """Text of each page by the reader of ``pdf``; a page that cannot be decoded is an error."""
+    found = list(pdf.read_pages(content))
+    if wrong := [f"page {page}: {error}" for page, _, error in found if error]:
+        raise ValueError("; ".join(wrong))
+    return [text or "" for _, text, _ in found]
 
 
 def page_index(files: DataFrame, pdfs: DataFrame | None = None) -> DataFrame:
