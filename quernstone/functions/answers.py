@@ -148,11 +148,21 @@ def sub_questions(question: Column, reply: Column) -> Column:
     return F.when(F.size(lines) == 0, F.array(question)).otherwise(lines)
 
 
-def json_reply(raw: Column, schema: str) -> Column:
-    """A struct parsed from a model's reply: fences dropped; else from the first { to the last }; else null."""
+def json_text(raw: Column) -> Column:
+    """The JSON object in a model's reply: fences dropped; else from the first { to the last }; else null."""
     bare = strip(raw)
     bare = F.regexp_replace(bare, r"^```[^\n]*\n", "")
     bare = F.regexp_replace(bare, r"\n```\s*$", "")
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    good = lambda x: F.when(x.rlike(r"(?s)^\s*\{.*\}\s*$") & F.get_json_object(x, "$").isNotNull(), x)
-    return F.from_json(F.coalesce(good(bare), good(inner)), schema)
+
+    def good(x: Column) -> Column:
+        """``x`` if it is one object and nothing behind it: a parser alone would stop at the object's end."""
+        alone = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        return F.when(x.rlike(r"(?s)^\s*\{.*\}\s*$") & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull(), x)
+
+    return F.coalesce(good(bare), good(inner))
+
+
+def json_reply(raw: Column, schema: str) -> Column:
+    """A struct parsed from a model's reply, see ``json_text``."""
+    return F.from_json(json_text(raw), schema)

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions import patterns as P
 from ..functions.text import Tokenizer, cosine, jaccard, strip, token_set, tokens
 from ..plugins import Encoder
+from ..session import ship
 
 PAGE = ["filename", "page"]
 
@@ -113,6 +114,41 @@ def group_sentences(marked: DataFrame, chunk_size: int = 500) -> DataFrame:
     return pages.select(*PAGE, F.posexplode(groups).alias("grp", "text"))
 
 
+def stream_groups(marked: DataFrame, chunk_size: int = 500) -> DataFrame:
+    """The rows of ``group_sentences``, for pages of any length.
+
+    A table function sees the sentences of a page one after another, as Spark has
+    sorted them, and holds the open group alone; no row holds a page.
+    """
+    ship(marked.sparkSession)
+    schema = marked.schema
+    kinds = {c: schema[c].dataType.simpleString() for c in PAGE}
+
+    class Fold:
+        def __init__(self):
+            self.page, self.parts, self.n, self.grp = None, [], 0, 0
+
+        def _group(self):
+            self.grp += 1
+            return (*self.page, self.grp - 1, "".join(self.parts))
+
+        def eval(self, row):
+            self.page = tuple(row[c] for c in PAGE)
+            self.parts.append(row["sentence"])
+            self.n += len(row["sentence"])
+            far = self.n >= chunk_size and (self.n >= chunk_size * 1.5 or (row["similarity"] is not None and row["similarity"] < 0.25))
+            if far or (row["is_break"] and self.n >= 50):
+                yield self._group()
+                self.parts, self.n = [], 0
+
+        def terminate(self):
+            if self.n:
+                yield self._group()
+
+    fold = F.udtf(Fold, returnType=", ".join(f"{c} {kinds[c]}" for c in PAGE) + ", grp int, text string")
+    return fold(marked.select(*PAGE, "idx", "sentence", "similarity", "is_break").asTable().partitionBy(*PAGE).orderBy("idx"))
+
+
 def overlapped(groups: DataFrame, overlap: int = 100) -> DataFrame:
     """(filename, page, grp, content): each group behind the end of the one before, if that is longer than ``overlap``."""
     before = F.lag("text").over(Window.partitionBy(*PAGE).orderBy("grp"))
@@ -122,14 +158,16 @@ def overlapped(groups: DataFrame, overlap: int = 100) -> DataFrame:
     return groups.select(*PAGE, "grp", strip(content).alias("content")).where(F.length("content") > 10)
 
 
-def semantic_chunks(pages: DataFrame, chunk_size: int = 500, overlap: int = 100, encoder: Encoder | None = None, tokenize: Tokenizer = tokens) -> DataFrame:
+def semantic_chunks(pages: DataFrame, chunk_size: int = 500, overlap: int = 100, encoder: Encoder | None = None, tokenize: Tokenizer = tokens, streamed: bool = False) -> DataFrame:
     """(chunk_id, filename, page, type, content): groups of sentences, compared by tokens or by an encoder, and tables.
 
     Chunks count within their page. Pages under 10 characters give tables alone;
-    longer pages without a sentence give nothing.
+    longer pages without a sentence give nothing. ``streamed`` folds very long
+    pages a sentence at a time, with the same chunks.
     """
     long_ = F.length(strip(F.coalesce("text", F.lit("")))) >= 10
-    groups = overlapped(group_sentences(breakpoints(sentences(pages.where(long_)), encoder, tokenize), chunk_size), overlap)
+    fold = stream_groups if streamed else group_sentences
+    groups = overlapped(fold(breakpoints(sentences(pages.where(long_)), encoder, tokenize), chunk_size), overlap)
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("grp")) - 1
     text = groups.withColumn("n", number).select(F.concat_ws("", "filename", F.lit("_p"), "page", F.lit("_chunk"), "n").alias("chunk_id"), *PAGE, F.lit("text").alias("type"), "content")
     told = pages.where(~long_ | (F.size(sentences_of(F.col("text"))) > 0))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.answers import json_reply
+from ..functions.answers import json_reply, json_text
 from ..plugins import ModelError, with_retries
 from ..sources.tables import added, earlier_parquet
 
@@ -45,6 +45,7 @@ def pending(tasks: DataFrame, done: DataFrame, start_page: int = 0, redo: bool =
 #: What a page's reply holds; further keys are dropped.
 CHART = "page_summary string, has_charts boolean, has_tables boolean, charts array<string>, tables array<string>"
 RESULT = f"filename string, page long, {CHART}, raw_response string, error string"
+#: What a failed page's summary says: fixed values.
 UNPARSED = "JSONDecodeError: 无法解析 VLM 响应"
 FAILED = "提取失败: "
 
@@ -55,18 +56,34 @@ def read_chart(raw: Column) -> Column:
     return F.when(found.isNotNull(), F.struct(*(F.coalesce(found[k], v).alias(k) for k, v in _nothing().items())))
 
 
+def read_variant(raw: Column) -> Column:
+    """A reply as VARIANT, objects in it as they are; null where no JSON object can be read."""
+    return F.try_parse_json(json_text(raw))
+
+
+def chart_items(results: DataFrame, kind: str = "charts", reply: str = "reply", fields: dict[str, str] | None = None) -> DataFrame:
+    """(filename, page, pos, item, and ``fields`` of it by name and type): each object of an array of a reply, without a Python worker.
+
+    Fields are paths below the object, like ``title`` or ``values[0]``; what is
+    absent or of another type is null. Replies that are no JSON, and those without the array, give no rows.
+    """
+    items = F.try_variant_get(read_variant(F.col(reply)), f"$.{kind}", "array<variant>")
+    rows = results.select(*KEY, F.posexplode(items).alias("pos", "item"))
+    return rows.withColumns({name.split("[")[0].replace(".", "_"): F.try_variant_get("item", f"$.{name}", type_) for name, type_ in (fields or {"title": "string"}).items()})
+
+
 def _nothing() -> dict[str, Column]:
     none = F.array().cast("array<string>")
     return {"page_summary": F.lit(""), "has_charts": F.lit(False), "has_tables": F.lit(False), "charts": none, "tables": none}
 
 
-def extract(tasks: DataFrame, call: Callable[[str], str], attempts: int = 3, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep, exists: Callable[[str], bool] | None = None) -> DataFrame:
+def extract(tasks: DataFrame, call: Callable[[str], str], attempts: int = 3, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep, exists: Callable[[str], bool] | None = None, delay: float = 0.0) -> DataFrame:
     """RESULT rows: each task's image (``path``) through a model.
 
     A call that fails or says nothing is repeated after ``pause``, twice that and
     so on; after the last attempt the row holds the error. A reply that is no
     JSON becomes a placeholder with the raw text. Tasks whose image is not there
-    give no row.
+    give no row. A task waits ``delay`` seconds between its calls.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,10 +93,14 @@ def extract(tasks: DataFrame, call: Callable[[str], str], attempts: int = 3, pau
                 raise ValueError("empty reply")
             return text
 
+        calls = 0
         for batch in batches:
             out = []
             for filename, page, path in zip(batch["filename"], batch["page"], batch["path"], strict=True):
                 if exists is None or exists(path):
+                    if delay and calls:
+                        sleep(delay)
+                    calls += 1
                     try:
                         out.append((filename, page, with_retries(lambda path=path: answer(path), attempts, pause, sleep), None))
                     except ModelError as e:
@@ -95,34 +116,68 @@ def extract(tasks: DataFrame, call: Callable[[str], str], attempts: int = 3, pau
     return read.select(*KEY, summary.alias("page_summary"), *rest, raw.alias("raw_response"), "error")
 
 
-def run(tasks: DataFrame, path: str, call: Callable[[str], str], images: DataFrame | None = None, per_file: int | None = None, start_page: int = 0, max_pages: int | None = None, redo: bool = False, wave: int = 10_000, **options) -> DataFrame:
+def plan(tasks: DataFrame, done: DataFrame, images: DataFrame | None = None, per_file: int | None = None, start_page: int = 0) -> DataFrame:
+    """What a job has left to do: tasks capped by file, with an image among ``images``, from ``start_page`` on and without a result."""
+    tasks = capped(tasks, per_file) if per_file is not None else tasks
+    tasks = tasks if images is None else tasks.join(images.select(*KEY).distinct(), KEY, "left_semi")
+    return pending(tasks, done, start_page)
+
+
+def run(tasks: DataFrame, path: str, call: Callable[[str], str], images: DataFrame | None = None, per_file: int | None = None, start_page: int = 0, max_pages: int | None = None, redo: bool = False, wave: int = 10_000, tasks_at_once: int | None = None, delay: float = 0.0, **options) -> DataFrame:
     """Enrich what is pending, and return all results of the folder ``path``, with the time of their wave as ``done_at``.
 
     Tasks (filename, page, path) are capped by file first; then those without an
     image among ``images``, before ``start_page`` or with a result go (``redo``
     keeps the last). They run in waves of ``wave``, in order; each is added to
-    the folder, so a job that is stopped goes on where it was. No wave begins
+    the folder, so a job that is stopped goes on where it was. What is pending is
+    numbered and written once; a wave reads its own numbers. Its calls are spread
+    over ``tasks_at_once`` tasks (as many as there are cores unless given), each
+    of which waits ``delay`` seconds between calls: together they set the rate that a service sees. No wave begins
     once ``max_pages`` pages have succeeded; failed ones don't count, and later
     runs don't try them again.
     """
     spark = tasks.sparkSession
-    tasks = capped(tasks, per_file) if per_file is not None else tasks
-    tasks = tasks if images is None else tasks.join(images.select(*KEY).distinct(), KEY, "left_semi")
     form = RESULT + ", done_at timestamp"
     began = spark.sql("SELECT current_timestamp()").first()[0]
     mine = F.col("done_at") >= F.lit(began)
-    good = 0
-    while max_pages is None or good < max_pages:
-        done = earlier_parquet(spark, path, form)
-        left = pending(tasks, done.where(mine) if redo else done, start_page)
-        part = left.orderBy(*KEY).limit(wave if max_pages is None else min(wave, max_pages - good))
-        if part.isEmpty():
-            break
-        added(extract(part, call, **options).withColumn("done_at", F.current_timestamp()), path)
-        good = earlier_parquet(spark, path, form).where(mine & F.col("error").isNull()).count()
+    done = earlier_parquet(spark, path, form)
+    left, total = numbered(plan(tasks, done.where(mine) if redo else done, images, per_file, start_page).select(*KEY, "path"), f"{path}-pending")
+    spread = tasks_at_once or spark.sparkContext.defaultParallelism
+    good = at = 0
+    while at < total and (max_pages is None or good < max_pages):
+        size = wave if max_pages is None else min(wave, max_pages - good)
+        part = left(at, size).repartition(spread, *KEY)
+        added(extract(part, call, delay=delay, **options).withColumn("done_at", F.current_timestamp()), path)
+        at += size
+        if max_pages is not None:
+            good = earlier_parquet(spark, path, form).where(mine & F.col("error").isNull()).count()
     return earlier_parquet(spark, path, form)
 
 
+def numbered(rows: DataFrame, path: str) -> tuple[Callable[[int, int], DataFrame], int]:
+    """``rows`` in the order of their keys, written to ``path``: a function that gives rows first .. first + n - 1, and how many there are.
+
+    Rows are sorted by range; numbers follow from the sizes of the ranges, so no
+    task sees them all, and reading some numbers reads the files of their ranges alone.
+    """
+    spark = rows.sparkSession
+    marks = [F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")]
+    rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY).select("*", *marks).write.mode("overwrite").parquet(path)
+    table = spark.read.schema(rows.select("*", *marks).schema).parquet(path)
+    sizes = {r["_part"]: r["n"] for r in table.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    begin, total = {}, 0
+    for p in sorted(sizes):
+        begin[p], total = total, total + sizes[p]
+
+    def part(first: int, n: int) -> DataFrame:
+        inside = {p: a for p, a in begin.items() if a < first + n and first < a + sizes[p]}
+        number = F.element_at(F.create_map(*(F.lit(x) for kv in inside.items() for x in kv)), F.col("_part")) + F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
+        chosen = table.where(F.col("_part").isin(list(inside)))
+        return chosen.where((number >= first) & (number < first + n)).drop("_part", "_at")
+
+    return part, total
+
+
 def merge_charts(pages: DataFrame, results: DataFrame, order: str) -> DataFrame:
     """Pages with ``chart_descriptions``: the five keys of their last result by ``order``; without one, empty values."""
     five = F.struct(*(F.coalesce(F.col(k), v).alias(k) for k, v in _nothing().items()))

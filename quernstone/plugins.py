@@ -45,8 +45,8 @@ class HashedEncoder:
         for text in texts:
             v = [0.0] * self.dim
             for w in words(text):
-                d = hashlib.blake2b(w.encode(), digest_size=8).digest()
-                v[int.from_bytes(d[:4], "little") % self.dim] += 1.0 if d[4] & 1 else -1.0
+                d = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+                v[int.from_bytes(d[:4], "big") % self.dim] += 1.0 if d[4] & 1 else -1.0
             norm = sum(x * x for x in v) ** 0.5
             out.append([x / norm for x in v] if norm else v)
         return out
