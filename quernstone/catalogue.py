@@ -12,11 +12,12 @@ from . import bases
 from .functions import answers as A
 from .functions import patterns as P
 from .functions import text as T
-from .operators import chunk, enrich, evaluate, generate, index, parse, rerank, retrieve
+from .operators import block_index, chunk, enrich, evaluate, generate, index, parse, rerank, retrieve, segments, vector_index, wordlist
 from .oracles import SQL
 from .plans import pipeline
 from .plugins import EchoModel
 from .session import shared_dir, ship, spread
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +135,81 @@ def dense_topk(spark, d):
     return rounded(_dense(spark, d).select("query_id", "rank", F.col("id").alias("vec_id"), "score"), "score")
 
 
+def _folder(spark, name):
+    """A new folder among those that driver and executors share, for an index that the returned rows read."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _some_vectors(spark, d):
+    """Every twentieth vector asks."""
+    return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+@query
+def vector_index_topk(spark, d):
+    """All vectors in cells; every twentieth asks, and the cells that may hold something better are read after the probed ones."""
+    found = vector_index.VectorIndex.build(vectors(spark, d), _folder(spark, "vector-index"))
+    return rounded(found.search(_some_vectors(spark, d), 10, exact=True).select("query_id", "rank", F.col("id").alias("vec_id"), "score"), "score")
+
+
+@query
+def vector_index_recall(spark, d):
+    """Of the exact ten of every twentieth vector, how many the probed cells alone give."""
+    asked = _some_vectors(spark, d)
+    found = vector_index.VectorIndex.build(vectors(spark, d), _folder(spark, "vector-index")).search(asked, 10)
+    exact = retrieve.dense_search(vectors(spark, d), asked, 10)
+    both = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+
+
+@query
+def bm25_block_topk(spark, d):
+    """BM25 over postings in blocks, most of which are passed over."""
+    found = block_index.BlockIndex.build(_bm25(spark, d), _folder(spark, "block-index"))
+    return rounded(found.search(benchmark(spark, d), 10).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"), "score")
+
+
+@query
+def bm25_block_report(spark, d):
+    """The blocks of each question's terms, and how many of them a search scores."""
+    return block_index.BlockIndex.build(_bm25(spark, d), _folder(spark, "block-index")).report(benchmark(spark, d), 10).withColumnRenamed("query_id", "item_id")
+
+
+@query
+def bm25_segments_topk(spark, d):
+    """An index that grew: at first all documents, French ones by their source alone; then the texts of these; then toxic documents go."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    ix = segments.SegmentedIndex(spark, _folder(spark, "segments"))
+    ix.add(docs.select("id", F.when(F.col("lang") == "fr", F.col("source")).otherwise(F.col("text")).alias("text")))
+    ix.add(docs.where("lang = 'fr'").select("id", "text"))
+    ix.delete(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")))
+    hits = retrieve.bm25_search(ix.index(), benchmark(spark, d), 10)
+    return rounded(hits.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"), "score")
+
+
+@query
+def word_candidates(spark, d):
+    """Stretches of Chinese characters over all pages, with what decides whether they are words."""
+    return rounded(wordlist.candidates(pages(spark, d)), "cohesion", "freedom")
+
+
+@query
+def segmented_tokens(spark, d):
+    """Words of Chinese pages along the likeliest path, by the words of the same pages."""
+    rows = pages(spark, d).select("filename", "page", "text")
+    cut = wordlist.tokenizer(wordlist.words(wordlist.candidates(rows)))
+    return rows.select("filename", "page", listed(cut(F.col("text"))).alias("tokens"))
+
+
+@query
+def segmented_topk(spark, d):
+    """BM25 over Chinese pages, cut into learned words."""
+    rows = pages(spark, d).select(F.concat_ws("_p", "filename", "page").alias("id"), "text")
+    cut = wordlist.tokenizer(wordlist.words(wordlist.candidates(rows)))
+    hits = retrieve.bm25_search(index.lexical_index(rows, "id", tokenize=cut), bases.spark_rows(spark, d, bases.TITLE_QUESTIONS), 10, cut)
+    return rounded(hits.select("query_id", "rank", "id", "score"), "score")
+
+
 @query
 def tfidf_topk(spark, d):
     hits = retrieve.keyword_search(index.tfidf_index(corpus(spark, d), "id"), benchmark(spark, d), 5)
@@ -515,10 +591,35 @@ def enrich_merge_charts(spark, d):
     return found.select("filename", "page", "chart_descriptions.*").withColumns({"charts": listed("charts"), "tables": listed("tables")})
 
 
+@query
+def chart_items(spark, d):
+    """The charts of model replies, as objects: fenced, in running text, broken, and with fields that are absent or of another type."""
+    title, props, n = F.concat(F.lit('"title": "'), "event_type", F.lit('"')), F.col("props"), F.col("event_id")
+    chart = F.concat(F.lit("{"), title, F.lit(', "values": ['), n.cast("string"), F.lit(', "x"], "source": '), props, F.lit("}"))
+    other = F.when(n % 3 == 0, F.lit('{"title": 7}')).when(n % 3 == 1, F.lit('{"values": [1.5]}')).otherwise(F.lit("null"))
+    body = F.concat(F.lit('{"page_summary": "s", "charts": ['), chart, F.lit(", "), other, F.lit("]}"))
+    reply = F.when(n % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 5 == 1, F.concat(F.lit("结果如下 "), body)).when(n % 5 == 2, F.concat(body, F.lit("}"))).when(n % 5 == 3, F.lit('{"charts": "none"}')).otherwise(body)
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("filename"), n.alias("page"), reply.alias("reply"))
+    found = enrich.chart_items(rows, fields={"title": "string", "values[0]": "double", "source.k": "bigint"})
+    return found.select("filename", "page", F.col("pos").cast("long").alias("pos"), "title", "values", "source_k")
+
+
+@query
+def semantic_chunks_streamed(spark, d):
+    """The chunks of semantic_chunks, folded a sentence at a time."""
+    return chunk.semantic_chunks(pages(spark, d), 500, 100, streamed=True).select("chunk_id", "type", F.length("content").cast("long").alias("length"), F.md5("content").alias("md5"))
+
+
 @query
 def enrich_max_pages(spark, d):
-    """The first tasks in order that are still pending, as many as a job may begin."""
-    return enrich.pending(_tasks(spark, d), _done(spark, d), 100).orderBy(*enrich.KEY).limit(500).select(*enrich.KEY)
+    """A job that may do 500 pages, with a stand-in model, over the results of an earlier one."""
+    path = _folder(spark, "enriched")
+    former = _done(spark, d).select(*enrich.KEY, F.lit("earlier").alias("page_summary"))
+    empty = spark.createDataFrame([], enrich.RESULT + ", done_at timestamp")
+    tables.added(empty.unionByName(former.withColumn("done_at", F.lit("2000-01-01").cast("timestamp")), allowMissingColumns=True), path)
+    todo = _tasks(spark, d).withColumn("path", F.concat_ws("_page_", *enrich.KEY))
+    done = enrich.run(todo, path, lambda image: '{"page_summary": "' + image + '"}', start_page=100, max_pages=500, wave=200)
+    return done.where("page_summary <> 'earlier'").select(*enrich.KEY, "page_summary")
 
 
 @query
@@ -553,7 +654,7 @@ def pipeline_stub(spark, d):
 def answer_chain(spark, d):
     """The whole chain over short Chinese pages with stand-in models: index, search in all channels, staged reranking, prompt, answer, citations, checks."""
     shown = gold(spark, d).select(F.concat(F.lit("客户"), F.col("ord").cast("string")).alias("filename"), F.lit(1).cast("long").alias("page"), F.col("answer").alias("text"), F.array().cast("array<string>").alias("tables"))
-    path = f"{shared_dir(spark)}/answer-chain-{uuid.uuid4().hex}"
+    path = _folder(spark, "answer-chain")
     pipeline.build_indexes(shown).save(path)
     rows = pipeline.answer(pipeline.Indexes.load(spark, path), bases.spark_rows(spark, d, bases.SEGMENT_QUESTIONS), EchoModel(), multi=True, staged=True)
     return rows.select("query_id", "filename", "page", "question_type", F.md5("answer").alias("answer_md5"), "has_citations", "self_check.verdict", "self_check.feedback.action")

@@ -103,6 +103,25 @@ pages AS (SELECT filename, CASE WHEN i = 1 THEN 1 ELSE parts[i - 1]::BIGINT END
   list_filter(list_transform(regexp_extract_all(parts[i], {q(P.TABLE_BLOCK)}, 1), lambda t: {strip('t')}), lambda t: t <> '') AS tables
   FROM parts WHERE {strip('parts[i]')} <> '')"""
 
+#: A text counts once for each of its terms, so no postings are needed.
+TERM_STATS = f"""
+WITH df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tok('text')})) AS term FROM documents) GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, (SELECT count(*) AS n FROM documents))
+SELECT term, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raw"""
+
+CANDIDATES = """
+runs AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([㐀-鿿]+)', 1)) AS run FROM pages) GROUP BY run),
+placed AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS i FROM runs),
+sized AS (SELECT run, n, i, unnest(range(1, least(4, length(run) - i + 1) + 1)) AS s FROM placed),
+g AS (SELECT substr(run, i, s) AS word, CASE WHEN i > 1 THEN substr(run, i - 1, 1) ELSE '' END AS l, substr(run, i + s, 1) AS r, sum(n)::DOUBLE AS n FROM sized GROUP BY ALL),
+c AS (SELECT word, sum(n) AS n FROM g GROUP BY word HAVING sum(n) >= 5 OR length(word) = 1),
+total AS (SELECT sum(n) AS total FROM c WHERE length(word) = 1),
+halves AS (SELECT word, n, unnest(range(1, length(word))) AS k FROM c WHERE length(word) > 1),
+apart AS (SELECT halves.word, min(ln(halves.n * total / (a.n * b.n))) AS cohesion FROM halves JOIN c a ON a.word = substr(halves.word, 1, k) JOIN c b ON b.word = substr(halves.word, k + 1), total GROUP BY halves.word),
+hl AS (SELECT word, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT word, l, sum(n) AS n FROM g GROUP BY word, l) GROUP BY word),
+hr AS (SELECT word, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT word, r, sum(n) AS n FROM g GROUP BY word, r) GROUP BY word)
+SELECT word, n::BIGINT AS n, round(cohesion, 6) AS cohesion, CASE WHEN length(word) > 1 THEN round(least(hl.h, hr.h), 6) END AS freedom FROM c LEFT JOIN apart USING (word) JOIN hl USING (word) JOIN hr USING (word)"""
+
 SENTS = rf"""{PAGES},
 sents AS (SELECT filename, page, i - 1 AS idx, s[i] AS sentence FROM (SELECT filename, page, s, unnest(range(1, len(s) + 1)) AS i FROM (
   SELECT filename, page, list_filter(list_transform(string_split(regexp_replace(text, '([。！？；])\s*', '\1' || chr(10), 'g'), chr(10)), lambda s: {strip('s')}), lambda s: length(s) > 2) AS s FROM pages))),
@@ -225,6 +244,36 @@ def by_type(source: str) -> str:
     return f"SELECT query_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY ({first})::INT DESC, rank) AS rank, id AS doc_id FROM {source}"
 
 
+#: The whole chain over gold answers as pages: five channels, fusion, staged reranking, context, prompt, answer, check. The stand-in model repeats the prompt's last line, which is the question.
+CHAIN = f"""WITH RECURSIVE g0 AS {GOLD}, shown AS (SELECT '客户' || ord AS filename, 1 AS page, answer AS text FROM g0),
+asked AS {bases.duck(bases.SEGMENT_QUESTIONS)},
+chunks AS (SELECT filename || '_p1_text' AS id, {strip('text')} AS text, filename, page FROM shown WHERE length({strip('text')}) > 10),
+lines AS (SELECT filename, {strip('l[i]')} AS x FROM (SELECT filename, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM shown)),
+heads AS (SELECT filename || '_p1_title' AS id, title AS text, filename FROM (SELECT filename, {TITLE_TEXT} AS title FROM lines WHERE x <> '') WHERE length(title) > 2),
+sums AS (SELECT filename || '_p1_summary' AS id, s AS text, filename FROM (SELECT filename, {SUMMARY} AS s FROM shown) WHERE s <> ''),
+keys AS (SELECT filename || '_p1_keyword' AS id, text, filename FROM shown),
+{bm25('b', 'chunks', 'asked', 10)}, {bm25('t', 'heads', 'asked', 5)}, {bm25('s', 'sums', 'asked', 5)}, {tfidf('k', 'keys', 'asked', 5)},
+told AS (SELECT 'q' || query_id AS name, unnest({tok('question')}) AS w FROM asked UNION ALL SELECT 'd' || id, unnest({tok('text')}) FROM chunks),
+hashed AS (SELECT name, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS dim, sum(CASE WHEN ('0x' || substr(md5(w), 9, 2))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM told GROUP BY 1, 2),
+unit AS (SELECT name, dim, v / sqrt(sum(v * v) OVER (PARTITION BY name)) AS v FROM hashed WHERE v <> 0),
+near AS (SELECT a.name AS qname, b.name AS dname, sum(a.v * b.v) AS s FROM unit a JOIN unit b USING (dim) WHERE a.name LIKE 'q%' AND b.name LIKE 'd%' GROUP BY 1, 2),
+dense AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT a.query_id, c.id, round(coalesce(n.s, 0.0), 9) AS score FROM asked a CROSS JOIN chunks c LEFT JOIN near n ON n.qname = 'q' || a.query_id AND n.dname = 'd' || c.id)) WHERE rank <= 10),
+body AS (SELECT id, text AS content, filename, 'text' AS type FROM chunks UNION ALL SELECT id, any_value(text), any_value(filename), NULL FROM heads GROUP BY id
+  UNION ALL SELECT s.id, p.text, p.filename, NULL FROM sums s JOIN shown p USING (filename) UNION ALL SELECT id, text, filename, NULL FROM keys),
+ranked AS (SELECT query_id, id, rank, 0 AS channel FROM dense UNION ALL SELECT query_id, id, rank, 1 FROM b_hits UNION ALL SELECT query_id, id, rank, 2 FROM t_hits UNION ALL SELECT query_id, id, rank, 3 FROM k_hits UNION ALL SELECT query_id, id, rank, 4 FROM s_hits),
+grouped AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(channel * 1000 + rank) AS first FROM ranked GROUP BY query_id, id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM grouped),
+kinds AS (SELECT query_id, {PICK} AS kind FROM (SELECT query_id, {typed('question')} FROM asked)),
+hits AS (SELECT f.query_id, f.id, f.rank, b.content, b.filename, b.type, k.kind AS question_type, list_distinct({tok('b.content')}) AS words, list_distinct({tok('a.question')}) AS asks FROM fused f JOIN body b USING (id) JOIN asked a USING (query_id) JOIN kinds k USING (query_id)),
+one AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY {LEXICAL} DESC, rank) AS rank), {LEXICAL} AS rerank_score FROM hits WHERE rank <= 50),
+two AS (SELECT * FROM one WHERE rank <= 20), {mmr('two', 'rerank_score', 3)},
+last AS (SELECT h.query_id, h.content, h.filename, row_number() OVER (PARTITION BY h.query_id ORDER BY (CASE question_type WHEN 'fact_extraction' THEN type = 'table' WHEN 'chart_understanding' THEN regexp_matches(content, {q(P.CHART_REFERENCE)}) ELSE false END)::INT DESC NULLS LAST, m.rank) AS rank FROM mmr m JOIN hits h ON h.query_id = m.query_id AND h.id = m.id),
+shown_to AS (SELECT query_id, arg_min(filename, rank) AS filename, string_agg('[来源: ' || filename || ' 第1页]' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM last WHERE rank <= 3 GROUP BY query_id),
+a AS (SELECT q.query_id AS qid, left('问题：' || q.question, 200) AS answer, coalesce(s.context, '') AS context FROM asked q LEFT JOIN shown_to s USING (query_id)), {CHECK}
+SELECT v.qid AS query_id, coalesce(s.filename, '') AS filename, CASE WHEN s.filename IS NULL THEN 0 ELSE 1 END::BIGINT AS page, k.kind AS question_type, md5(v.answer) AS answer_md5, false AS has_citations, verdict, CASE verdict WHEN 'Support' THEN 'keep' WHEN 'Contradict' THEN 'expand_retrieval' ELSE 'review' END AS action
+FROM v JOIN kinds k ON k.query_id = v.qid LEFT JOIN shown_to s ON s.query_id = v.qid"""
+
 TASKS = "tasks AS (SELECT user_id::VARCHAR AS filename, event_id AS page, event_type FROM events)"
 GOLD_PAGES = f"""WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)},
 shown AS (SELECT h.query_id, d.source AS filename, d.doc_id AS page, h.rank FROM b_hits h JOIN documents d ON d.doc_id = h.id),
@@ -258,8 +307,13 @@ SQL = {
     "token_counts": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {tok('text')} AS t FROM documents)",
     "page_tokens": f"WITH {PAGES} SELECT filename || '_p' || page AS id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT filename, page, {tok('text')} AS t FROM pages)",
     "page_topk": f"WITH {PAGES}, rows_ AS (SELECT filename || '_p' || page AS id, text FROM pages), asked AS {bases.TITLE_QUESTIONS_DUCK}, {bm25('b', 'rows_', 'asked', 10)} SELECT query_id, rank, id, round(score, 6) AS score FROM b_hits",
-    "bm25_term_stats": f"WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM b_idf",
+    "bm25_term_stats": TERM_STATS,
     "bm25_topk": f"WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)} SELECT query_id AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM b_hits",
+    "bm25_block_topk": f"WITH {DOCS}, {ASKED}, {bm25('b', 'docs', 'asked', 10)} SELECT query_id AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM b_hits",
+    "bm25_segments_topk": f"WITH docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {ASKED}, {bm25('b', 'docs', 'asked', 10)} SELECT query_id AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM b_hits",
+    "vector_index_topk": """SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT e.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings v WHERE e.vec_id % 20 = 0)) WHERE rank <= 10""",
+    "word_candidates": f"WITH {PAGES}, {CANDIDATES}",
     "dense_topk": f"WITH {DENSE} SELECT query_id, rank, id AS vec_id, round(score, 6) AS score FROM dense_hits",
     "tfidf_topk": f"WITH {DOCS}, {ASKED}, {tfidf('k', 'docs', 'asked', 5)} SELECT query_id AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM k_hits",
     "title_rows": f"WITH {TITLES} SELECT filename, page, line, title FROM titles",
@@ -285,6 +339,10 @@ SELECT chunk_id, type, length(content)::BIGINT AS length, md5(content) AS md5 FR
     "breakpoints": f"WITH {BREAKS} SELECT filename, page, idx, is_break FROM marks",
     "semantic_chunks": semantic(500, 100),
     "semantic_chunks_small": semantic(120, 30),
+    "semantic_chunks_streamed": semantic(500, 100),
+    "chart_items": """WITH r AS (SELECT user_id::VARCHAR AS filename, event_id AS page, event_type, json_extract(props, '$.k') AS k FROM events WHERE event_id % 5 IN (0, 1, 4)),
+two AS (SELECT *, unnest([0, 1]) AS pos FROM r)
+SELECT filename, page, pos::BIGINT AS pos, CASE WHEN pos = 0 THEN event_type WHEN page % 3 = 0 THEN '7' END AS title, CASE WHEN pos = 0 THEN page::DOUBLE WHEN page % 3 = 1 THEN 1.5::DOUBLE END AS "values", CASE WHEN pos = 0 THEN k::BIGINT END AS source_k FROM two""",
     "classify_question": f"SELECT qid, {PICK} AS question_type FROM (SELECT qid, {typed('question')} FROM {QUESTIONS})",
     "classify_scores": f"SELECT qid, {typed('question')} FROM {QUESTIONS}",
     "rewrite_dedup": f"SELECT qid, array_to_string({ORDERED}, '|') AS variants FROM (SELECT qid, list_concat([question], {LINES}) AS l FROM {REPLIES})",
@@ -325,10 +383,11 @@ SELECT t.conv_id, min(CASE WHEN score = top THEN idx END) AS best_idx, count(*)
     "enrich_merge": f"WITH {TASKS}, r AS (SELECT filename, page % 50 AS page, arg_max(event_type, page) AS description FROM tasks GROUP BY 1, 2) SELECT p.filename, p.page, coalesce(r.description, '') AS description FROM (SELECT DISTINCT filename, page % 97 AS page FROM tasks) p LEFT JOIN r USING (filename, page)",
     "enrich_merge_charts": f"""WITH {TASKS}, r AS (SELECT user_id::VARCHAR AS filename, event_id % 50 AS page, arg_max({{'s': CASE WHEN event_id % 3 > 0 THEN event_type END, 'e': event_id, 't': event_type}}, event_id) AS l FROM events GROUP BY 1, 2)
 SELECT p.filename, p.page, coalesce(l.s, '') AS page_summary, coalesce(l.e % 2 = 0, false) AS has_charts, coalesce(l.e % 5 > 0, false) AS has_tables, CASE WHEN l.e % 4 > 0 THEN l.t || '|c' ELSE '' END AS charts, '' AS tables FROM (SELECT DISTINCT filename, page % 97 AS page FROM tasks) p LEFT JOIN r USING (filename, page)""",
-    "enrich_max_pages": f"WITH {TASKS} SELECT filename, page FROM tasks t WHERE page >= 100 AND NOT EXISTS (SELECT 1 FROM tasks d WHERE d.event_type = 'purchase' AND d.filename = t.filename AND d.page = t.page) ORDER BY filename, page LIMIT 500",
+    "enrich_max_pages": f"WITH {TASKS} SELECT filename, page, filename || '_page_' || page AS page_summary FROM tasks t WHERE page >= 100 AND NOT EXISTS (SELECT 1 FROM tasks d WHERE d.event_type = 'purchase' AND d.filename = t.filename AND d.page = t.page) ORDER BY filename, page LIMIT 500",
     "tasks_from_images": "SELECT 'u_page_' || user_id AS filename, event_id AS page, '/img/u_page_' || user_id || '_page_' || event_id || '.png' AS path FROM events WHERE event_id % 7 <> 0",
     "parse_json_reply": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k')::BIGINT ELSE -1 END AS k FROM events",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
+    "answer_chain": CHAIN,
     "pipeline_stub": f"""WITH a AS {ANSWERS}, {CITE_ROWS}, {CHECK}, k AS (SELECT qid, {PICK} AS kind FROM (SELECT qid, {typed('question')} FROM {QUESTIONS})), n AS (SELECT qid, count(*) AS n FROM cites GROUP BY qid)
 SELECT v.qid, k.kind AS question_type, coalesce(n.n, 0) > 0 AS has_citations, coalesce(n.n, 0)::BIGINT AS n_citations, verdict, CASE verdict WHEN 'Support' THEN 'keep' WHEN 'Contradict' THEN 'expand_retrieval' ELSE 'review' END AS action FROM v JOIN k USING (qid) LEFT JOIN n USING (qid)""",
 }
