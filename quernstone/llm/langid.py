@@ -33,7 +33,7 @@ PLAIN[123:128] = 32
 BUCKETS = 1 << 15
 #: Bytes under which a text is short, and counts as a stretch does.
 SHORT = 400
-#: Stretches that a text sends for training if its subwords travel instead of it.
+#: Places in a text, by a hash of it, from which short stretches for training are taken.
 PIECES = 8
 BLOCK = 1 << 20
 
@@ -74,14 +74,26 @@ def counted(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+def pieces_of(text: bytes) -> list[bytes]:
+    """PIECES stretches of SHORT bytes from hashed places of a text of any length; all of it if it is no longer."""
+    if len(text) <= SHORT:
+        return [text]
+    places = np.random.default_rng(zlib.crc32(text)).integers(0, len(text) - SHORT + 1, PIECES)
+    return [text[p : p + SHORT] for p in places.tolist()]
+
+
 @dataclass
 class Example:
-    """A whole text to learn from: itself or, where that is smaller, its counted subwords and stretches from anywhere in it."""
+    """A whole text to learn from, as itself or, where that is smaller, as its counted subwords; and its pieces. Either way it teaches the same."""
 
     text: bytes | None
     counts: tuple[np.ndarray, np.ndarray] | None = None
     pieces: list[bytes] = field(default_factory=list)
 
+    def __post_init__(self):
+        if not self.pieces:
+            self.pieces = pieces_of(self.text)
+
     def whole(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         return counted(self.text, buckets) if self.counts is None else self.counts
 
@@ -89,7 +101,7 @@ class Example:
         return self.counts is None and len(self.text) < SHORT
 
     def stretch(self, rng: np.random.Generator) -> bytes:
-        text = self.text if self.counts is None else self.pieces[int(rng.integers(len(self.pieces)))]
+        text = self.pieces[int(rng.integers(len(self.pieces)))]
         if len(text) <= 40:
             return text
         size = int(rng.integers(20, min(len(text), SHORT)))
@@ -176,8 +188,7 @@ def condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(text) > 6 * BUCKETS:
                 at, n = counted(text, BUCKETS)
                 at, n = at.astype("<u2").tobytes(), n.astype("<u4").tobytes()
-                places = np.random.default_rng(zlib.crc32(text)).integers(0, len(text) - SHORT + 1, PIECES)
-                text, pieces = None, [text[p : p + SHORT] for p in places.tolist()]
+                text, pieces = None, pieces_of(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([text], pa.binary()), pa.array([at], pa.binary()), pa.array([n], pa.binary()), pa.array([pieces], pa.list_(pa.binary()))],
                 ["doc_id", "lang", "text", "at", "n", "pieces"],
