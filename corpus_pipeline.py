@@ -16,7 +16,13 @@ from quernstone.llm.queries import MODEL, RANKS, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the language model rejects."""
+    """Drop the documents that the language model rejects: null texts, texts without a letter, and scores under the calibrated threshold.
+
+    The threshold is what one right answer in a thousand falls below, so some
+    documents go whose language was right. Rows with a null or repeated id are
+    judged like others, repeated rows alike; rows without a label teach nothing. An
+    empty table, or one without labels, gives no rows.
+    """
     return langid.predict(docs, langid.fit(docs)).where(~F.col("rejected")).select(docs.columns)
 
 
@@ -62,12 +68,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as its source's target asks, or drop it; rows with a null id are dealt like others."""
+    """Repeat each document as often as its source's target asks, or drop it.
+
+    Rows with a null id are dealt like others, a null source is a source, rows of one id and one text are
+    taken together, and null and empty texts have no words to take. An empty table gives no rows.
+    """
     return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences."""
+    """Pack what is left into training sequences, one row a piece.
+
+    Null and empty texts are the end id alone; rows with null ids and repeated
+    rows are packed like others; very long texts fill windows of their own. An empty table gives none.
+    """
     return packing.pack(docs, tokens.public_path(MODEL), tokens.public_path(RANKS))
 
 

@@ -208,12 +208,14 @@ def _blocks(docs: DataFrame, learn: str) -> DataFrame:
             token = np.concatenate(local)
             kinds = np.fromiter((class_of(w) if w else 0 for w in numbers), np.uint16, len(numbers))
             counts = np.bincount(token, np.repeat(np.array(learns, float), sizes), len(numbers)).astype(np.int64)
-            whole = np.array([0, len(token)])
+            whole, narrow = np.array([0, len(token)]), token
+            if len(numbers) < 1 << 24:  # three bytes a token, where they do
+                narrow = token.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].ravel()
             lists = [pa.array([x], pa.list_(kind)) for x, kind in ((ids, pa.int64()), (learns, pa.bool_()), (slices, pa.int32()))]
             words = pa.array([list(numbers)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
             block = (TaskContext.get().partitionId() << 32) + n_blocks
             out = pa.RecordBatch.from_arrays(
-                [pa.array([block]), *lists, binary_column(firsts, np.array([0, len(firsts)])), binary_column(kinds[token], whole), binary_column(token, whole), words, pa.array([kinds.astype(np.int32).tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
+                [pa.array([block]), *lists, binary_column(firsts, np.array([0, len(firsts)])), binary_column(kinds[token], whole), binary_column(narrow, np.array([0, len(narrow)])), words, pa.array([kinds.astype(np.int32).tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
                 ["block", "ids", "learns", "slices", "firsts", "classes", "local", "words", "kinds", "counts"],
             )
             n_blocks += 1
@@ -243,6 +245,14 @@ def _blocks(docs: DataFrame, learn: str) -> DataFrame:
     return rows.mapInArrow(run, form)
 
 
+def _numbers(raw: pa.Buffer, n: int) -> np.ndarray:
+    """``n`` numbers of three or four bytes each."""
+    data = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, : data.shape[1]] = data
+    return wide.view("<i4").ravel()
+
+
 def _texts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(firsts, classes, learns, slices) of a block."""
     firsts = np.frombuffer(batch.column("firsts")[row].as_buffer(), np.int64)
@@ -351,7 +361,7 @@ def _score(docs, learn, states, warm, rounds, discount, seed, keep) -> DataFrame
             for row in range(batch.num_rows):
                 firsts = np.frombuffer(batch.column("firsts")[row].as_buffer(), np.int64)
                 learns = np.array(batch.column("learns")[row].as_py(), bool)
-                token = np.frombuffer(batch.column("local")[row].as_buffer(), np.int32)
+                token = _numbers(batch.column("local")[row].as_buffer(), int(firsts[-1]))
                 kinds = batch.column("kinds")[row].values.to_numpy(zero_copy_only=False)
                 classes, c = kinds[token].astype(np.uint16), np.zeros(len(kinds), np.int64)
                 c[: len(counts)] = counts

@@ -440,3 +440,22 @@ def test_language_id_learns_from_whole_texts(spark):
     assert 20 <= len(found[0].stretch(np.random.default_rng(1))) < langid.SHORT
     model = langid.train(found * 20, langs * 20)
     assert model.labels == ["xx", "yy"]
+
+
+def test_language_scores_are_plain_sums(spark):
+    """Each text's score against the sum over its own subwords, texts at the edges of batches and slices included."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 1, (langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 1.3, 0.5, 0.6)
+    r = random.Random(2)
+    texts = ["x", "é", "Ab", "ab cd", " lead", "trail ", "日本語", "1 a 2"] + ["".join(r.choice("abcdé 1.") for _ in range(r.randrange(1, 700))) + "z" for _ in range(200)] + ["z" * 3_000_000, "last"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {x["doc_id"]: x for x in langid.predict(frame(spark, texts), model).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for i, t in enumerate(texts):
+        at = langid.features(t.encode(), langid.BUCKETS)
+        p = langid.softmax((model.table[at].sum(axis=0, dtype=np.float64) / len(at) + model.bias) / model.temperature)
+        assert got[i]["lang_pred"] == model.labels[int(p.argmax())] and got[i]["score"] == pytest.approx(p.max(), rel=1e-5)
+        assert got[i]["rejected"] == (got[i]["score"] < (model.short_threshold if len(t.encode()) < langid.SHORT else model.threshold))
