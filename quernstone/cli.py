@@ -60,7 +60,7 @@ def do_parse(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def do_index(spark: SparkSession, args: argparse.Namespace) -> None:
     pages = readers.pages(spark, args.pages)
-    pipeline.build_indexes(pages, plugin(args.encoder, None), args.semantic, _settings(spark, args)).save(args.index)
+    pipeline.build_indexes(pages, plugin(args.encoder, None), args.semantic, _settings(spark, args)).save(args.index, args.cells, args.blocks)
 
 
 def do_search(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -93,7 +93,7 @@ def do_evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
 def do_enrich(spark: SparkSession, args: argparse.Namespace) -> None:
     images = readers.images(spark, args.images)
     tasks = images.withColumnRenamed("image_path", "path")
-    results = enrich.run(tasks, args.output, plugin(args.model, None), None, args.per_file, args.start_page, args.max_pages, args.redo)
+    results = enrich.run(tasks, args.output, plugin(args.model, None), None, args.per_file, args.start_page, args.max_pages, args.redo, tasks_at_once=args.tasks_at_once, delay=args.delay or 0.0)
     enrich.progress(tasks, results.select("filename", "page").distinct()).orderBy("filename").show(1000, truncate=False)
     if args.pages:
         enrich.merge_charts(readers.pages(spark, args.pages), results, "done_at").write.mode("overwrite").json(args.merged)
@@ -115,12 +115,12 @@ def parser() -> argparse.ArgumentParser:
     models = {"encoder": str, "scorer": str, "multi": bool, "staged": bool}
     cuts = {f.name: type(f.default) for f in fields(Settings)}
     command("parse", do_parse, "output", pdfs=str, markdown=str, parser=str, command_name=str)
-    command("index", do_index, "pages", "index", encoder=str, semantic=bool, **cuts)
+    command("index", do_index, "pages", "index", encoder=str, semantic=bool, cells=bool, blocks=bool, **cuts)
     command("search", do_search, "index", "query", **models, **cuts)
     command("generate", do_generate, "question", "context", model=str, **cuts)
     command("answer", do_answer, "questions", "index", "output", model=str, images=str, **models, **cuts)
     command("evaluate", do_evaluate, "pred", "gold", "output")
-    enriched = command("enrich", do_enrich, "images", "output", "model", per_file=int, max_pages=int, redo=bool, pages=str, merged=str)
+    enriched = command("enrich", do_enrich, "images", "output", "model", per_file=int, max_pages=int, redo=bool, pages=str, merged=str, tasks_at_once=int, delay=float)
     enriched.add_argument("--start_page", type=int, default=1)
     return top
 

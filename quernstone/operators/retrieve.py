@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, tokens
-from ..session import beside
+from ..session import beside, small
 from .index import B, K1, LexicalIndex, TfidfIndex, word_terms
 
 #: Fixed order of channels in fused results.
@@ -115,7 +115,9 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
                 one, other = np.nonzero(scores >= limit)  # ties at the limit stay until the final ranking
                 yield pa.RecordBatch.from_arrays([batch.column(3)[i].values.take(pa.array(one)), batch.column(0)[i].values.take(pa.array(other)), pa.array(scores[one, other])], ["query_id", "id", "score"])
 
-    blocks = _blocks(vectors, "id", "ids", "dim", "unit").crossJoin(_blocks(queries, "query_id", "qids", "qdim", "qunit"))
+    asked = _blocks(queries, "query_id", "qids", "qdim", "qunit")
+    asked = F.broadcast(asked) if small(queries) else asked.hint("shuffle_replicate_nl")  # many queries: blocks are dealt out, none goes to all tasks
+    blocks = _blocks(vectors, "id", "ids", "dim", "unit").crossJoin(asked)
     return top_k(blocks.mapInArrow(run, f"query_id {qkind}, id {kind}, score double"), k)
 
 

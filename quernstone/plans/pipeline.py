@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions.text import Tokenizer, tokens
 from ..operators import chunk, index, parse, rerank, retrieve
+from ..operators.block_index import BlockIndex
 from ..operators.generate import generate
+from ..operators.vector_index import VectorIndex
 from ..plugins import Encoder, HashedEncoder, LanguageModel, Scorer
 from ..sources.readers import Settings
+from ..sources.tables import exists
 
 
 @dataclass
@@ -24,9 +27,15 @@ class Indexes:
     summaries: index.LexicalIndex
     keywords: index.TfidfIndex
     extra: DataFrame  # payload of title, keyword and summary ids
+    cells: VectorIndex | None = None  # of the vectors; searched instead of all of them
+    blocks: BlockIndex | None = None  # of bm25; searched with the same hits
 
-    def save(self, path: str) -> None:
-        """Each index as tables in a folder of its own."""
+    def save(self, path: str, cells: bool = False, blocks: bool = False) -> None:
+        """Each index as tables in a folder of its own; with the vectors in ``cells`` and the postings in ``blocks`` besides, if asked for."""
+        if cells:
+            VectorIndex.build(self.vectors, f"{path}/cells")
+        if blocks:
+            BlockIndex.build(self.bm25, f"{path}/blocks")
         for name in ("chunks", "vectors", "extra"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         for name in ("bm25", "titles", "summaries", "keywords"):
@@ -36,7 +45,9 @@ class Indexes:
     def load(spark: SparkSession, path: str) -> Indexes:
         plain = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "extra")}
         lexical = {name: index.LexicalIndex.load(spark, f"{path}/{name}") for name in ("bm25", "titles", "summaries")}
-        return Indexes(**plain, **lexical, keywords=index.TfidfIndex.load(spark, f"{path}/keywords"))
+        cells = VectorIndex.load(spark, f"{path}/cells") if exists(spark, f"{path}/cells") else None
+        blocks = BlockIndex.load(spark, f"{path}/blocks") if exists(spark, f"{path}/blocks") else None
+        return Indexes(**plain, **lexical, keywords=index.TfidfIndex.load(spark, f"{path}/keywords"), cells=cells, blocks=blocks)
 
 
 def build_indexes(pages: DataFrame, encoder: Encoder | None = None, semantic: bool = False, settings: Settings = Settings(), tokenize: Tokenizer = tokens) -> Indexes:
@@ -57,7 +68,9 @@ def search(ix: Indexes, queries: DataFrame, encoder: Encoder | None = None, sett
     asked = index.dense_index(queries, encoder or HashedEncoder(), "query_id", "question")
     body = ix.chunks.select(F.col("chunk_id").alias("id"), "content", "filename", "page")
     k = settings.channel_top_k
-    channels = {"dense": retrieve.dense_search(ix.vectors, asked, settings.dense_top_k).join(body, "id"), "bm25": retrieve.bm25_search(ix.bm25, queries, settings.bm25_top_k, tokenize).join(body, "id")}
+    dense = ix.cells.search(asked, settings.dense_top_k) if ix.cells else retrieve.dense_search(ix.vectors, asked, settings.dense_top_k)
+    lexical = ix.blocks.search(queries, settings.bm25_top_k, tokenize=tokenize) if ix.blocks else retrieve.bm25_search(ix.bm25, queries, settings.bm25_top_k, tokenize)
+    channels = {"dense": dense.join(body, "id"), "bm25": lexical.join(body, "id")}
     if multi:
         found = {"title": retrieve.scaled_search(ix.titles, queries, k, tokenize), "keyword": retrieve.keyword_search(ix.keywords, queries, k, tokenize), "summary": retrieve.scaled_search(ix.summaries, queries, k, tokenize)}
         channels |= {name: hits.join(ix.extra, "id") for name, hits in found.items()}

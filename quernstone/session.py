@@ -53,5 +53,8 @@ def small(df: DataFrame, limit: int = 8 << 20) -> bool:
 
 
 def beside(df: DataFrame, source: DataFrame) -> DataFrame:
-    """``df``, which is made of ``source``, marked for a join: broadcast if the source is small, else hashed after a shuffle."""
-    return F.broadcast(df) if small(source) else df.hint("shuffle_hash")
+    """``df``, which is made of ``source``, marked for a join: broadcast if the source is small, else hashed after a shuffle.
+
+    The terms of a text are some ten times its size as rows, hence the low limit.
+    """
+    return F.broadcast(df) if small(source, 2 << 20) else df.hint("shuffle_hash")

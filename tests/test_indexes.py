@@ -407,3 +407,22 @@ def test_enrichment_stream_survives_a_lost_wave(spark, tmp_path):
     assert pages() == list(range(40))
     rows = enrichment.results(spark, out).collect()
     assert all(r["page_summary"] == f"doc_page_{r['page']}.png" and r["error"] is None for r in rows) and len({r["wave"] for r in rows}) >= 5
+
+
+def test_the_whole_chain_over_saved_cells_and_blocks(spark, tmp_path):
+    from quernstone import plugins
+    from quernstone.plans import pipeline
+
+    r = random.Random(6)
+    topics = ["营收增长很快，利润上升", "银行业净资产下降", "管理层看好海外市场", "研发投入继续增加"]
+    pages = spark.createDataFrame([(f"f{i % 4}", i, f"{r.choice(topics)}，第{i}页的说明文字。", []) for i in range(60)], "filename string, page long, text string, tables array<string>")
+    asked = spark.createDataFrame([(1, "营收增长"), (2, "净资产"), (3, "海外市场研发")], "query_id long, question string")
+    ix = pipeline.build_indexes(pages)
+    ix.save(str(tmp_path / "plain"))
+    ix.save(str(tmp_path / "fast"), cells=True, blocks=True)
+    plain, fast = (pipeline.Indexes.load(spark, str(tmp_path / x)) for x in ("plain", "fast"))
+    assert plain.cells is None and plain.blocks is None and fast.cells and fast.blocks
+    fast.cells.quantizer = vector_index.Quantizer(fast.cells.quantizer.centroids, fast.cells.quantizer.codebooks, len(fast.cells.quantizer.centroids), 100)  # every cell
+    rows = lambda ix: sorted(tuple(x) for x in pipeline.search(ix, asked, multi=True).select("query_id", "rank", "id", "score").collect())
+    assert rows(fast) == rows(plain)
+    assert pipeline.answer(fast, asked, plugins.EchoModel(), staged=True).count() == 3
