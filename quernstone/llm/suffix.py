@@ -18,6 +18,7 @@ back after each chunk. The files have no names and go with the process.
 
 from __future__ import annotations
 
+import itertools
 import mmap
 import tempfile
 from collections.abc import Callable, Iterator
@@ -722,7 +723,9 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "doc_id", "start", "n"]
-        shard, kept, held, size = Shard(budget, span), [], [], 0
+        shard, held, size = Shard(budget, span), [], 0
+        kept: list[Log] = []  # a column each, for all stretches of the shard
+        ends = [0]
 
         def settle() -> pa.RecordBatch | None:
             """Move what is held into the shard; what needs no sorting goes on."""
@@ -732,16 +735,16 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
             if open_.num_rows:
                 first = shard.add(open_["stretch"].to_pylist(), longs(open_, "weight"))
                 doc, nul = nullable(open_["doc_id"])
-                columns = []
-                for values in (longs(open_, "row"), doc, nul, longs(open_, "start"), longs(open_, "n"), first):
-                    log = Log(shard.scratch, values.dtype)
+                columns = (longs(open_, "row"), doc, nul, longs(open_, "start"), longs(open_, "n"), first)
+                if not kept:
+                    kept.extend(Log(shard.scratch, values.dtype) for values in columns)
+                for log, values in zip(kept, columns, strict=True):
                     log.add(values)
-                    columns.append(log)
-                kept.append(columns)
+                ends.append(ends[-1] + open_.num_rows)
             return found.filter(pa.array(~real)).select(names).combine_chunks()
 
-        def rest(columns: list[Log]) -> pa.RecordBatch:
-            key, doc, nul, start, n, first = (np.array(log.array()) for log in columns)
+        def rest(a: int, b: int) -> pa.RecordBatch:
+            key, doc, nul, start, n, first = (np.array(column[a:b]) for column in columns)
             rows = np.repeat(np.arange(len(key)), n)
             hit = np.flatnonzero(mark[ranges(first, n)])
             found = place_runs(key, doc, nul, start, rows[hit], ranges(start, n)[hit])
@@ -758,8 +761,9 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
             yield from settle().to_batches()
         held = []
         mark = shard.repeated()
-        for columns in kept:
-            yield rest(columns)
+        columns = [log.array() for log in kept]
+        for a, b in itertools.pairwise(ends):
+            yield rest(a, b)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
