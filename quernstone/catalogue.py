@@ -604,6 +604,20 @@ def chart_items(spark, d):
     return found.select("filename", "page", F.col("pos").cast("long").alias("pos"), "title", "values", "source_k")
 
 
+@query
+def enrich_merge_typed(spark, d):
+    """The last reply of each page: its summary, how many charts it has, and their titles by path."""
+    n = F.col("event_id")
+    chart = lambda i: F.concat(F.lit('{"title": "'), "event_type", F.lit(f"{i}\", \"source\": "), "props", F.lit("}"))
+    many = F.when(n % 3 == 0, F.concat(chart(0), F.lit(", "), chart(1))).when(n % 3 == 1, chart(0)).otherwise("")
+    reply = F.when(n % 7 == 0, F.lit("no JSON")).otherwise(F.concat(F.lit('{"page_summary": "p'), n.cast("string"), F.lit('", "has_charts": '), (n % 3 < 2).cast("string"), F.lit(', "charts": ['), many, F.lit("]}")))
+    replies = table(spark, d, "events").select(F.col("user_id").cast("string").alias("filename"), (n % 50).alias("page"), n.alias("ord"), reply.alias("reply"))
+    found = enrich.merge_typed(_tasks(spark, d).select("filename", (F.col("page") % 97).alias("page")).distinct(), replies, "ord")
+    title = F.transform("chart_descriptions.charts", lambda c: F.try_variant_get(c, "$.title", "string"))
+    sources = F.transform("chart_descriptions.charts", lambda c: F.try_variant_get(c, "$.source.k", "bigint"))
+    return found.select("filename", "page", "chart_descriptions.page_summary", "chart_descriptions.has_charts", listed(title).alias("titles"), F.coalesce(F.aggregate(sources, F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x, F.lit(0))), F.lit(0)).alias("sources"))
+
+
 @query
 def semantic_chunks_streamed(spark, d):
     """The chunks of semantic_chunks, folded a sentence at a time."""

@@ -186,6 +186,24 @@ def merge_charts(pages: DataFrame, results: DataFrame, order: str) -> DataFrame:
     return pages.join(last, KEY, "left").withColumn("chart_descriptions", F.coalesce("chart_descriptions", nothing))
 
 
+def read_typed(raw: Column) -> Column:
+    """struct of the five keys from a reply, charts and tables as arrays of VARIANT; absent keys and values of other types get empty values; null where no JSON can be read."""
+    said, none = read_variant(raw), F.array().cast("array<variant>")
+    kinds = {"page_summary": ("string", F.lit("")), "has_charts": ("boolean", F.lit(False)), "has_tables": ("boolean", F.lit(False)), "charts": ("array<variant>", none), "tables": ("array<variant>", none)}
+    return F.when(said.isNotNull(), F.struct(*(F.coalesce(F.try_variant_get(said, f"$.{k}", kind), empty).alias(k) for k, (kind, empty) in kinds.items())))
+
+
+def merge_typed(pages: DataFrame, replies: DataFrame, order: str, reply: str = "reply") -> DataFrame:
+    """Pages with ``chart_descriptions`` as ``read_typed`` reads their last reply by ``order``; empty values without one, or where it is no JSON.
+
+    Paths reach into its charts and tables without parsing again:
+    ``try_variant_get(chart_descriptions.charts[0], '$.title', 'string')``.
+    """
+    last = replies.groupBy(*KEY).agg(F.max_by(reply, order).alias("_reply"))
+    empty = read_typed(F.lit("{}"))
+    return pages.join(last, KEY, "left").withColumn("chart_descriptions", F.coalesce(read_typed(F.col("_reply")), empty)).drop("_reply")
+
+
 def merge(pages: DataFrame, results: DataFrame, order: str, value: str = "description") -> DataFrame:
     """Pages with their last result by ``order``, or an empty string."""
     last = results.groupBy(*KEY).agg(F.max_by(value, order).alias(value))

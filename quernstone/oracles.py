@@ -340,6 +340,11 @@ SELECT chunk_id, type, length(content)::BIGINT AS length, md5(content) AS md5 FR
     "semantic_chunks": semantic(500, 100),
     "semantic_chunks_small": semantic(120, 30),
     "semantic_chunks_streamed": semantic(500, 100),
+    "enrich_merge_typed": """WITH last AS (SELECT user_id::VARCHAR AS filename, event_id % 50 AS page, max(event_id) AS n, arg_max(event_type, event_id) AS kind, arg_max(json_extract(props, '$.k')::BIGINT, event_id) AS k FROM events GROUP BY 1, 2),
+p AS (SELECT DISTINCT user_id::VARCHAR AS filename, event_id % 97 AS page FROM events)
+SELECT p.filename, p.page, CASE WHEN n % 7 <> 0 THEN 'p' || n ELSE '' END AS page_summary, coalesce(n % 7 <> 0 AND n % 3 < 2, false) AS has_charts,
+  CASE WHEN n % 7 = 0 THEN '' WHEN n % 3 = 0 THEN kind || '0|' || kind || '1' WHEN n % 3 = 1 THEN kind || '0' ELSE '' END AS titles,
+  CASE WHEN n % 7 = 0 THEN 0 WHEN n % 3 = 0 THEN 2 * k WHEN n % 3 = 1 THEN k ELSE 0 END::BIGINT AS sources FROM p LEFT JOIN last USING (filename, page)""",
     "chart_items": """WITH r AS (SELECT user_id::VARCHAR AS filename, event_id AS page, event_type, json_extract(props, '$.k') AS k FROM events WHERE event_id % 5 IN (0, 1, 4)),
 two AS (SELECT *, unnest([0, 1]) AS pos FROM r)
 SELECT filename, page, pos::BIGINT AS pos, CASE WHEN pos = 0 THEN event_type WHEN page % 3 = 0 THEN '7' END AS title, CASE WHEN pos = 0 THEN page::DOUBLE WHEN page % 3 = 1 THEN 1.5::DOUBLE END AS "values", CASE WHEN pos = 0 THEN k::BIGINT END AS source_k FROM two""",

@@ -426,3 +426,14 @@ def test_the_whole_chain_over_saved_cells_and_blocks(spark, tmp_path):
     rows = lambda ix: sorted(tuple(x) for x in pipeline.search(ix, asked, multi=True).select("query_id", "rank", "id", "score").collect())
     assert rows(fast) == rows(plain)
     assert pipeline.answer(fast, asked, plugins.EchoModel(), staged=True).count() == 3
+
+
+def test_merge_typed(spark):
+    pages = spark.createDataFrame([("f", 1), ("f", 2), ("f", 3), ("g", 1)], "filename string, page long")
+    replies = [("f", 1, 1, '{"page_summary": "old"}'), ("f", 1, 2, '```json\n{"page_summary": "new", "has_charts": true, "charts": [{"title": "t", "rows": [[1, 2], [3, 4]]}, 5], "tables": "none"}\n```'), ("f", 2, 1, "no JSON"), ("f", 3, 1, None)]
+    got = {(r["filename"], r["page"]): r for r in enrich.merge_typed(pages, spark.createDataFrame(replies, "filename string, page long, ord long, reply string"), "ord").select(
+        "filename", "page", "chart_descriptions.page_summary", "chart_descriptions.has_charts", F.size("chart_descriptions.charts").alias("n"), F.size("chart_descriptions.tables").alias("m"),
+        F.expr("try_variant_get(get(chart_descriptions.charts, 0), '$.rows[1][0]', 'int')").alias("x"),
+    ).collect()}
+    assert tuple(got["f", 1])[2:] == ("new", True, 2, 0, 3)
+    assert all(tuple(got[k])[2:] == ("", False, 0, 0, None) for k in (("f", 2), ("f", 3), ("g", 1)))
