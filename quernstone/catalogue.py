@@ -601,7 +601,7 @@ def chart_items(spark, d):
     reply = F.when(n % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 5 == 1, F.concat(F.lit("结果如下 "), body)).when(n % 5 == 2, F.concat(body, F.lit("}"))).when(n % 5 == 3, F.lit('{"charts": "none"}')).otherwise(body)
     rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("filename"), n.alias("page"), reply.alias("reply"))
     found = enrich.chart_items(rows, fields={"title": "string", "values[0]": "double", "source.k": "bigint"})
-    return found.select("filename", "page", F.col("pos").cast("long").alias("pos"), "title", "values", "source_k")
+    return found.select("filename", "page", F.col("pos").cast("long").alias("pos"), "title", "values", F.coalesce("source_k", F.lit(-1)).cast("long").alias("source_k"))
 
 
 @query

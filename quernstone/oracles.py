@@ -347,7 +347,7 @@ SELECT p.filename, p.page, CASE WHEN n % 7 <> 0 THEN 'p' || n ELSE '' END AS pag
   CASE WHEN n % 7 = 0 THEN 0 WHEN n % 3 = 0 THEN 2 * k WHEN n % 3 = 1 THEN k ELSE 0 END::BIGINT AS sources FROM p LEFT JOIN last USING (filename, page)""",
     "chart_items": """WITH r AS (SELECT user_id::VARCHAR AS filename, event_id AS page, event_type, json_extract(props, '$.k') AS k FROM events WHERE event_id % 5 IN (0, 1, 4)),
 two AS (SELECT *, unnest([0, 1]) AS pos FROM r)
-SELECT filename, page, pos::BIGINT AS pos, CASE WHEN pos = 0 THEN event_type WHEN page % 3 = 0 THEN '7' END AS title, CASE WHEN pos = 0 THEN page::DOUBLE WHEN page % 3 = 1 THEN 1.5::DOUBLE END AS "values", CASE WHEN pos = 0 THEN k::BIGINT END AS source_k FROM two""",
+SELECT filename, page, pos::BIGINT AS pos, CASE WHEN pos = 0 THEN event_type WHEN page % 3 = 0 THEN '7' END AS title, CASE WHEN pos = 0 THEN page::DOUBLE WHEN page % 3 = 1 THEN 1.5::DOUBLE END AS "values", CASE WHEN pos = 0 THEN k::BIGINT ELSE -1 END AS source_k FROM two""",
     "classify_question": f"SELECT qid, {PICK} AS question_type FROM (SELECT qid, {typed('question')} FROM {QUESTIONS})",
     "classify_scores": f"SELECT qid, {typed('question')} FROM {QUESTIONS}",
     "rewrite_dedup": f"SELECT qid, array_to_string({ORDERED}, '|') AS variants FROM (SELECT qid, list_concat([question], {LINES}) AS l FROM {REPLIES})",
