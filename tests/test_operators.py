@@ -330,3 +330,13 @@ def test_stream_of_pages(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps({"filename": "f", "page": 1, "text": "a text of some length", "tables": ["T"]}))
     chunk_stream(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_texts_are_dealt_by_their_size(spark, tmp_path):
+    """The words of one task's texts are a bounded part of the table, whatever the number of cores."""
+    path = str(tmp_path / "texts")
+    spark.range(24000).selectExpr("id", "concat_ws(' ', sha2(cast(id AS string), 512), sha2(cast(id + 9 AS string), 512)) AS text").write.parquet(path)
+    ix = index.lexical_index(spark.read.parquet(path), "id")
+    found = ix.postings.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(found) > 2 * spark.sparkContext.defaultParallelism and max(r["count"] for r in found) < 48000 / 8
+    assert tuple(ix.corpus.first()) == (24000, 2.0)
