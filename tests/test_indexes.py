@@ -6,6 +6,7 @@ import random
 import threading
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,41 @@ def test_cut_takes_the_likeliest_path():
         assert "".join(got) == run and sum(map(price, got)) == pytest.approx(min(ways)[0])
 
 
+def test_recurring_runs_are_cut_once(monkeypatch):
+    """Runs that recur are cut once, also after others pushed them out; long ones are not kept."""
+    lattice = wordlist.Lattice(10)
+    for w, n in (("甲", 3), ("乙", 3), ("甲乙", 2)):
+        lattice.put(w, n)
+    cuts, cut = [], wordlist.Lattice.cut
+    monkeypatch.setattr(wordlist.Lattice, "cut", lambda self, run: cuts.append(run) or cut(self, run))
+    assert [lattice.tokens("甲乙 A1 乙甲") for _ in range(50)] == [["甲乙", "a1", "乙", "甲"]] * 50 and cuts == ["甲乙", "乙甲"]
+    monkeypatch.setattr(wordlist, "KEPT", 1)
+    assert lattice.tokens("乙 甲乙") == ["乙", "甲乙"] and len(lattice.known) <= 2
+    assert lattice.tokens("甲" * 65) == ["甲"] * 65 and "甲" * 65 not in lattice.known
+    lattice.put("乙甲", 9)
+    assert lattice.tokens("乙甲") == ["乙甲"]
+
+
+def test_a_python_tokenizer_cuts_each_text_once(spark):
+    """Postings, counts and the number of texts come from one exchange of tokens; nulls, empty and repeated texts count as with any tokenizer."""
+    cut = wordlist.tokenizer(spark.createDataFrame([("甲", 3), ("乙", 3)], "word string, n long"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def counting(texts: pd.Series) -> pd.Series:
+        calls.add(len(texts))
+        return texts.map(lambda t: None if t is None else list(t.replace(" ", "")))
+
+    rows = spark.createDataFrame([(1, "甲 乙"), (2, "甲"), (2, "甲"), (3, ""), (4, None), (5, "乙 乙 甲")], "id long, text string")
+    asked = spark.createDataFrame([(1, "乙 甲")], "query_id long, question string")
+    want = hits(retrieve.bm25_search(index.lexical_index(rows, "id"), asked))
+    assert hits(retrieve.bm25_search(index.lexical_index(rows, "id", tokenize=cut), asked, 10, cut)) == want
+    ix = index.lexical_index(rows, "id", tokenize=counting)
+    assert hits(retrieve.bm25_search(ix, asked)) == want and tuple(ix.corpus.first())[0] == 6
+    calls.value = 0
+    assert hits(retrieve.bm25_search(ix, asked)) == want and calls.value == 6
+
+
 def test_words_are_learned(spark):
     r = random.Random(5)
     lexicon = ["营收", "增长", "银行业", "利润", "净资产", "下降"]
