@@ -36,6 +36,8 @@ SHORT = 400
 #: Places in a text, by a hash of it, from which short stretches for training are taken.
 PIECES = 8
 BLOCK = 1 << 20
+#: Bytes of texts that are predicted at once: their subwords take about a hundred bytes each.
+SLICE = 1 << 18
 
 
 @dataclass
@@ -249,7 +251,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             data, offsets = text_bytes(column)
             found, score = np.full(len(column), -1), np.zeros(len(column))
             ascii_letter = (PLAIN != 32) & (np.arange(256) < 128)
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, SLICE):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 letters = np.diff(np.concatenate([[0], np.cumsum(ascii_letter[part])])[cuts]) > 0
                 for i in np.flatnonzero(~letters):

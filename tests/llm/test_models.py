@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quernstone.llm import hidden_markov, periodic, queries, vector_codes
+from quernstone.llm import hidden_markov, langid, periodic, queries, vector_codes
 
 TABLE = "doc_id long, text string, start long, runs string"
 
@@ -296,3 +296,25 @@ def test_new_queries_over_whole_tables(spark):
     scored = found["op12_lm_scores"](spark, d)
     assert scored.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and scored.count() == n
     assert found["op13_periodic_runs"](spark, d).count() == n
+
+
+def test_prediction_takes_little_memory(spark, monkeypatch):
+    """A batch of 8 MB of texts is predicted slice by slice, alike whatever the slice."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    examples = [langid.Example(x) for x in (b"der hund und die katze ", b"the dog and the cat ") for _ in range(10)]
+    model = langid.train(examples, ["de"] * 10 + ["en"] * 10)
+    found, empty = [], spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda self, f, schema: found.append(f) or self)
+    langid.predict(empty, model)
+    texts = [("the dog and the cat " if i % 2 else "der hund und die katze ") * (1 + i % 200) for i in range(4000)] + ["", "7", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    tracemalloc.start()
+    out = next(found[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    monkeypatch.setattr(langid, "SLICE", 1 << 30)
+    assert next(found[0](iter([batch]))).equals(out)
