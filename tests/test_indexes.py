@@ -124,6 +124,30 @@ def test_no_blocks(spark, tmp_path):
         assert block_index.BlockIndex.build(ix, str(tmp_path / f"b{i}")).search(asked).count() == 0
 
 
+def test_blocks_of_an_index_that_cuts_texts_once(spark, tmp_path):
+    """Statistics, blocks and searches read the words that were written; rows without an id or without words count as before."""
+    r = random.Random(4)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        seen.add(1)
+        return (text or "").split()
+
+    rows = corpus(r, 300) + [(None, "w3 w9 tie"), (9000, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "w3 w3 w9"), (2, "tie"), (3, "unheard")], "query_id long, question string")
+    ix = index.lexical_index(docs, "id", tokenize=cut, path=str(tmp_path / "ix"))
+    blocks = block_index.BlockIndex.build(ix, str(tmp_path / "ix"), 8)
+    blocks.report(asked).collect()
+    assert seen.value == len(rows)
+    plain = index.lexical_index(docs, "id")
+    weights = lambda i: sorted((t["term"], t["df"], round(t["idf"], 9)) for t in i.terms.collect())
+    assert weights(ix) == weights(plain) and ix.corpus.first() == plain.corpus.first()
+    key = lambda df: sorted((h["query_id"], h["rank"], h["id"] or -1, round(h["score"], 7)) for h in df.collect())
+    assert key(blocks.search(asked, 50)) == key(retrieve.bm25_search(plain, asked, 50))
+
+
 # --- segments
 
 
