@@ -16,15 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import beside, ship
+from ..session import ship
 from .retrieve import top_k
 
 #: Numbers that a block of vectors or codes may hold, and the most numbers that all centroids together may: both travel to tasks.
 BLOCK, CENTROIDS = 1 << 19, 1 << 22
+#: Bins that cells are dealt into, and the rows that a bin may hold at most; a query travels once to each bin that it probes, so their number does not grow with the table until bins are full.
+BINS, ROWS = 64, 1 << 18
 #: The cell of vectors of length zero, whose cosine is 0 with everything.
 ZERO = -1
 
@@ -154,6 +157,10 @@ class VectorIndex:
     quantizer: Quantizer
     low: np.ndarray
     schema: StructType
+    sizes: np.ndarray  # rows of each cell, the zero vectors' last
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"spark": None}  # the session stays on the driver
 
     @staticmethod
     def build(vectors: DataFrame, path: str, quantizer: Quantizer | None = None, **options) -> VectorIndex:
@@ -195,11 +202,12 @@ class VectorIndex:
         books = np.array([r["numbers"] for r in saved if r["part"] == "codebooks"])
         width = centroids.shape[1] // len(books)
         low = np.full(len(centroids) + 1, np.inf)  # the last is the zero vectors'; a cell without rows needs no reading
+        sizes = np.zeros(len(low), np.int64)
         for r in spark.read.parquet(f"{path}/cells").collect():  # one row a cell
-            low[r["cell"]] = r["low"]
+            low[r["cell"]], sizes[r["cell"]] = r["low"], r["n"]
         probes, refine = next(r["numbers"] for r in saved if r["part"] == "plan")
         schema = spark.read.parquet(f"{path}/schema").schema
-        return VectorIndex(spark, path, Quantizer(centroids, books.reshape(len(books), -1, width), int(probes), int(refine)), low, schema)
+        return VectorIndex(spark, path, Quantizer(centroids, books.reshape(len(books), -1, width), int(probes), int(refine)), low, schema, sizes)
 
     def rows(self, cells: list[int] | None = None) -> DataFrame:
         """The rows of some cells; no file of another cell is read."""
@@ -215,136 +223,196 @@ class VectorIndex:
         compared in full as well, so that nothing is missed. Queries that are
         null, not finite or of another length find nothing.
         """
-        q, kind = self.quantizer, queries.schema["query_id"].dataType.simpleString()
+        q = self.quantizer
         ship(self.spark)
         probes, refine = probes or q.probes, refine or q.refine
-        asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        first = asked.mapInArrow(self._nearest_cells(probes), f"query_id {kind}, cell int, unit binary")
-        wanted = [r["cell"] for r in first.select("cell").distinct().collect()]  # as many as there are cells at most
-        found = self._refined(self._shortlist(first, self.rows(wanted), k * refine, kind), first, self.rows(wanted), k)
+        asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(-2.0).alias("least"))
+        near = self._near(probes)
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, probed, _ in self._probed(batch, near):
+                    found = np.flatnonzero(probed.any(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(found == len(q.centroids), ZERO, found).astype(np.int32))], ["cell"])
+
+        wanted = [r["cell"] for r in asked.mapInArrow(cells, "cell int").distinct().collect()]  # as many as there are cells at most
+        found = self._best(asked, near, self.rows(wanted), k, k * refine)
         if not exact:
             return found
         least = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-2.0).alias("least"))
-        open_ = asked.join(least, "query_id", "left").select("query_id", "embedding", F.coalesce("least", F.lit(-2.0)).alias("least"))
-        rest = open_.mapInArrow(self._cells_that_may(), f"query_id {kind}, cell int, unit binary")
-        return self._compared(rest, self.rows(), k, kind)
+        open_ = asked.drop("least").join(least, "query_id", "left").select("query_id", "embedding", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        return self._best(open_, self._may, self.rows(), k)
 
-    def _nearest_cells(self, probes: int):
-        q, low = self.quantizer, self.low
+    def _near(self, probes: int):
+        """Of unit vectors, which cells are among the ``probes`` nearest that have rows; the zero vectors' is probed always."""
+        centroids, low = self.quantizer.centroids, self.low
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, x = unit_rows(batch.column(1), q.dim)
-                some = np.flatnonzero(np.isfinite(low[:-1]))
-                if not len(at) or not len(some) and not np.isfinite(low[-1]):
-                    continue
-                near = some[np.argsort(-(x @ q.centroids[some].T), axis=1, kind="stable")[:, :probes]]
-                if np.isfinite(low[-1]):
-                    near = np.column_stack([near, np.full(len(near), ZERO)])
-                yield _probes(batch.column(0), at, x, np.repeat(np.arange(len(at)), near.shape[1]), near.ravel())
+        def near(x: np.ndarray, least: np.ndarray) -> np.ndarray:
+            some = np.flatnonzero(np.isfinite(low[:-1]))
+            probed = np.zeros((len(x), len(low)), bool)
+            np.put_along_axis(probed, some[np.argsort(-(x @ centroids[some].T), axis=1, kind="stable")[:, :probes]], True, axis=1)
+            probed[:, -1] = np.isfinite(low[-1])
+            return probed
 
-        return run
+        return near
 
-    def _cells_that_may(self):
+    def _may(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Cells in which some vector may score ``least`` or more: by the angles of query and farthest row to the centroid."""
-        q, low = self.quantizer, self.low
+        low = self.low
+        to = np.arccos(np.clip(x @ self.quantizer.centroids.T, -1, 1)) - np.arccos(np.clip(low[:-1], -1, 1))[None, :]
+        bound = np.where(np.isfinite(low[:-1])[None, :], np.cos(np.maximum(to, 0)), -np.inf)
+        bound = np.column_stack([bound, np.full(len(x), 0.0 if np.isfinite(low[-1]) else -np.inf)])
+        bound[~x.any(1)] = np.where(np.isfinite(low), 0.0, -np.inf)  # a zero query scores 0 everywhere
+        return bound >= least[:, None] - 1e-7
+
+    def _probed(self, batch: pa.RecordBatch, which) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of (query_id, embedding, least), some at a time: row numbers, unit vectors, the cells each probes, and ``least``."""
+        at, x = unit_rows(batch.column(1), self.quantizer.dim)
+        least = batch.column(2).to_numpy(zero_copy_only=False)[at]
+        step = max(1, min(BLOCK // self.quantizer.dim, 8 * BLOCK // len(self.low)))
+        for i in range(0, len(at), step):
+            yield at[i : i + step], x[i : i + step], which(x[i : i + step], least[i : i + step]), least[i : i + step]
+
+    def _nearest_cells(self, probes: int):
+        """(query_id, cell, unit): a row for each cell that a query probes."""
+        near = self._near(probes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, x = unit_rows(batch.column(1), q.dim)
-                if not len(at):
-                    continue
-                least = batch.column(2).to_numpy(zero_copy_only=False)[at]
-                to = np.arccos(np.clip(x @ q.centroids.T, -1, 1)) - np.arccos(np.clip(low[:-1], -1, 1))[None, :]
-                bound = np.where(np.isfinite(low[:-1])[None, :], np.cos(np.maximum(to, 0)), -np.inf)
-                bound = np.column_stack([bound, np.full(len(x), 0.0 if np.isfinite(low[-1]) else -np.inf)])
-                bound[~x.any(1)] = np.where(np.isfinite(low), 0.0, -np.inf)  # a zero query scores 0 everywhere
-                row, cell = np.nonzero(bound >= least[:, None] - 1e-7)
-                yield _probes(batch.column(0), at, x, row, np.where(cell == len(low) - 1, ZERO, cell))
+                at, x = unit_rows(batch.column(1), self.quantizer.dim)
+                row, cell = np.nonzero(near(x, np.full(len(x), -2.0)))
+                yield _probes(batch.column(0), at, x, row, np.where(cell == len(self.low) - 1, ZERO, cell))
 
         return run
 
-    def _met(self, probed: DataFrame, rows: DataFrame, column: str, kind: str) -> DataFrame:
-        """Blocks of a cell's rows beside blocks of its queries: equal cells meet, nothing else."""
-        id_kind = rows.schema["id"].dataType.simpleString()
-        dim, parts = self.quantizer.dim, len(self.quantizer.codebooks)
-        wide = rows.select("id", F.col(column), "cell").mapInArrow(_packed("id", dim if column == "embedding" else parts, column), f"cell int, ids array<{id_kind}>, body binary")
-        # Queries of a cell lie together within a task; no task gets all of a hot cell's.
-        few = probed.select("query_id", "unit", "cell").sortWithinPartitions("cell").mapInArrow(_packed("query_id", dim, "unit"), f"cell int, ids array<{kind}>, body binary")
-        return wide.join(few.select("cell", F.col("ids").alias("qids"), F.col("body").alias("qbody")), "cell").select("cell", "ids", "body", "qids", "qbody")
-
-    def _shortlist(self, probed: DataFrame, rows: DataFrame, keep: int, kind: str) -> DataFrame:
-        """The best ``keep`` rows of each query by their codes."""
-        q, id_kind = self.quantizer, rows.schema["id"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    cell = batch.column(0)[i].as_py()
-                    x = q.decode(cell, np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8).reshape(-1, len(q.codebooks)))
-                    yield _best(batch, i, x, np.frombuffer(batch.column(4)[i].as_buffer(), np.float64).reshape(-1, q.dim), keep, cell)
+    def _bins(self) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """(rows before each cell, number of bins, first and last bin of each cell): cells in order, cut where a bin has its share, so that a hot cell is split."""
+        ends = np.cumsum(self.sizes)
+        total = max(int(ends[-1]), 1)
+        bins = max(min(BINS, -(-total // 1024)), -(-total // ROWS))
+        return ends - self.sizes, bins, (ends - self.sizes) * bins // total, (ends - 1) * bins // total
 
-        met = self._met(probed, rows, "code", kind).mapInArrow(run, f"query_id {kind}, id {id_kind}, score double, cell int")
-        return top_k(met, keep).select("query_id", "id", "cell").distinct()  # rows of one id count once
+    def _best(self, asked: DataFrame, which, rows: DataFrame, k: int, keep: int | None = None) -> DataFrame:
+        """The k best rows of the cells that queries probe: by all vectors, or by those of the ``keep`` best codes of each bin.
 
-    def _refined(self, candidates: DataFrame, probed: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-        """Candidates by the cosines of their vectors."""
-        q = self.quantizer
-        kind, id_kind = (candidates.schema[c].dataType.simpleString() for c in ("query_id", "id"))
+        Rows lie in bins of neighbouring cells. A query goes once to each bin that
+        it probes, with the cells it probes there. A task reads the rows of a bin
+        and then its queries, block by block, and gives k rows a query.
+        """
+        q, total = self.quantizer, max(int(self.sizes.sum()), 1)
+        start, bins, first, last = self._bins()
+        kind, id_kind = asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, x = unit_rows(batch.column(2), q.dim)
-                asked = np.frombuffer(b"".join(batch.column(3).take(pa.array(at)).to_pylist()), np.float64).reshape(-1, q.dim)
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((x * asked).sum(1))], ["query_id", "id", "score"])
-
-        held = rows.select("cell", "id", "embedding").join(beside(candidates, probed), ["cell", "id"])
-        units = probed.groupBy("query_id").agg(F.first("unit").alias("unit"))
-        return top_k(held.join(units, "query_id").select("query_id", "id", "embedding", "unit").mapInArrow(run, f"query_id {kind}, id {id_kind}, score double"), k)
-
-    def _compared(self, probed: DataFrame, rows: DataFrame, k: int, kind: str) -> DataFrame:
-        """The k best of all rows of the probed cells, by the vectors themselves."""
-        q, id_kind = self.quantizer, rows.schema["id"].dataType.simpleString()
+                cell = batch.column(3).to_numpy(zero_copy_only=False)
+                own = (start[cell] + batch.column(4).to_numpy(zero_copy_only=False) % np.maximum(self.sizes[cell], 1)) * bins // total
+                for b in np.unique(own).tolist():
+                    at = np.flatnonzero(own == b)
+                    for part in np.array_split(at, -(-len(at) * q.dim // BLOCK)):
+                        some = pa.array(part)
+                        body = [cell[part].astype(np.int32).tobytes(), b"".join(batch.column(2).take(some).to_pylist()), unit_rows(batch.column(1).take(some), q.dim)[1].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), _listed(batch.column(0).take(some)), *(pa.array([x], pa.binary()) for x in body)], ["bin", "ids", "cells", "codes", "body"])
+
+        def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, x, probed, least in self._probed(batch, which):
+                    for b in range(bins):
+                        there = probed[:, (first <= b) & (b <= last) & (self.sizes > 0)]
+                        own = np.flatnonzero(there.any(1))
+                        if len(own):
+                            body = [np.packbits(there[own], axis=1).tobytes(), least[own].tobytes(), x[own].tobytes()]
+                            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), _listed(batch.column(0).take(pa.array(at[own]))), *(pa.array([x], pa.binary()) for x in body)], ["bin", "qids", "cells", "least", "body"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bin_, blocks, held = None, [], None
             for batch in batches:
                 for i in range(batch.num_rows):
-                    x, asked = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, q.dim) for c in (2, 4))
-                    yield _best(batch, i, x, asked, k, batch.column(0)[i].as_py())
+                    b, ids, qids, cells, codes, least, body = (batch.column(c)[i] for c in (0, 2, 3, 4, 5, 6, 7))
+                    if b.as_py() != bin_:
+                        bin_, blocks, held = b.as_py(), [], None
+                    if ids.is_valid:
+                        width = len(q.codebooks)
+                        blocks.append((ids.values, *(np.frombuffer(x.as_buffer(), t).reshape(shape) for x, t, shape in ((cells, np.int32, -1), (codes, np.uint8, (-1, width)), (body, np.float64, (-1, q.dim))))))
+                    elif blocks:
+                        held = held or _Bin(q, np.flatnonzero((first <= bin_) & (bin_ <= last) & (self.sizes > 0)), blocks, keep)
+                        n = len(qids.values)
+                        probed = np.unpackbits(np.frombuffer(cells.as_buffer(), np.uint8).reshape(n, -1), axis=1)[:, : len(held.cells)].astype(bool)
+                        one, row, score = held.best(np.frombuffer(body.as_buffer(), np.float64).reshape(n, q.dim), probed, k)
+                        fine = score >= np.frombuffer(least.as_buffer(), np.float64)[one] - 1e-7
+                        yield pa.RecordBatch.from_arrays([qids.values.take(pa.array(one[fine])), held.ids.take(pa.array(row[fine])), pa.array(score[fine])], ["query_id", "id", "score"])
+
+        told = rows.select("id", "embedding", "code", "cell", F.xxhash64("id").alias("h")).mapInArrow(wide, f"bin int, ids array<{id_kind}>, cells binary, codes binary, body binary")
+        met = told.unionByName(asked.mapInArrow(few, f"bin int, qids array<{kind}>, cells binary, least binary, body binary"), allowMissingColumns=True)
+        met = met.select("bin", F.col("ids").isNull().alias("side"), "ids", "qids", "cells", "codes", "least", "body")
+        met = met.repartition(2 * bins, "bin").sortWithinPartitions("bin", "side")
+        return top_k(met.mapInArrow(run, f"query_id {kind}, id {id_kind}, score double"), k)
+
+
+class _Bin:
+    """The rows of a bin, by cell and id, beside what their codes stand for."""
+
+    def __init__(self, q: Quantizer, cells: np.ndarray, blocks: list, keep: int | None):
+        ids, cell, code, x = zip(*blocks, strict=True)
+        ids, cell = pa.concat_arrays(ids), np.concatenate(cell)
+        cell = np.where(cell == ZERO, len(q.centroids), cell)
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(pa.table({"id": ids}), sort_keys=[("id", "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((rank, cell))
+        self.ids, self.rank, self.x, self.cells, self.keep = ids.take(pa.array(order)), rank[order], np.concatenate(x)[order], cells, keep
+        ends = np.searchsorted(cell[order], cells, "right")
+        self.spans = list(zip(np.searchsorted(cell[order], cells).tolist(), ends.tolist(), strict=True))
+        if keep:
+            code = np.concatenate(code)[order]
+            self.about = np.concatenate([q.decode(ZERO if c == len(q.centroids) else c, code[i:j]) for c, (i, j) in zip(cells.tolist(), self.spans, strict=True)])
+
+    def best(self, asked: np.ndarray, probed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the k best rows of each query, ties to the smaller id."""
+        out = []
+        step = max(1, 4 * BLOCK // max(1, *(j - i for i, j in self.spans), (self.keep or k) * (asked.shape[1] if self.keep else 1)))
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            score, row = self._by(some, probed[at : at + step], self.about if self.keep else self.x, self.keep or k)
+            if self.keep:
+                score = np.where(row < 0, -np.inf, np.round(np.einsum("qrd,qd->qr", self.x[row], some), 9))
+            place = np.where(row < 0, len(self.rank), self.rank[row])
+            order = np.lexsort((place, -score), axis=1)[:, :k]
+            score, row = np.take_along_axis(score, order, axis=1), np.take_along_axis(row, order, axis=1)
+            one, other = np.nonzero(row >= 0)
+            out.append((one + at, row[one, other], score[one, other]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _by(self, asked: np.ndarray, probed: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers (-1: none) of the n best rows of each query, a cell at a time."""
+        score, row = np.full((len(asked), n), -np.inf), np.full((len(asked), n), -1)
+        for c, (i, j) in enumerate(self.spans):
+            own = np.flatnonzero(probed[:, c]) if j > i else []
+            if not len(own):
+                continue
+            new = np.round(asked[own] @ x[i:j].T, 9)
+            m = min(n, j - i)
+            some = _first(new, m)
+            new = np.column_stack([score[own], np.take_along_axis(new, some, axis=1)])
+            which = np.column_stack([row[own], some + i])
+            by_id = np.argsort(np.where(which < 0, len(self.rank), self.rank[which]), axis=1, kind="stable")
+            new, which = np.take_along_axis(new, by_id, axis=1), np.take_along_axis(which, by_id, axis=1)
+            some = _first(new, n)
+            score[own], row[own] = np.take_along_axis(new, some, axis=1), np.take_along_axis(which, some, axis=1)
+        return score, row
+
+
+def _first(scores: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n highest of each row, in order; of equal ones the first."""
+    limit = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+    same = scores == limit
+    fine = (scores > limit) | (same & (np.cumsum(same, axis=1) <= n - (scores > limit).sum(1)[:, None]))
+    return np.nonzero(fine)[1].reshape(len(scores), n)
 
-        met = self._met(probed, rows, "embedding", kind).mapInArrow(run, f"query_id {kind}, id {id_kind}, score double, cell int")
-        return top_k(met.select("query_id", "id", "score"), k)
+
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _probes(ids: pa.Array, at: np.ndarray, x: np.ndarray, row: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
     unit = pa.array([v.tobytes() for v in x], pa.binary())
     return pa.RecordBatch.from_arrays([ids.take(pa.array(at[row])), pa.array(cell.astype(np.int32)), unit.take(pa.array(row))], ["query_id", "cell", "unit"])
-
-
-def _packed(ids: str, width: int, column: str):
-    """Packs (id, vector or bytes, cell) into blocks of one cell and of at most BLOCK numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = batch.column(2).to_numpy(zero_copy_only=False)
-            for c in np.unique(cell).tolist():
-                rows = np.flatnonzero(cell == c)
-                for part in np.array_split(rows, -(-len(rows) * width // BLOCK)):
-                    own = batch.column(1).take(pa.array(part))
-                    body = unit_rows(own, width)[1].tobytes() if column == "embedding" else b"".join(own.to_pylist())
-                    named = batch.column(0).take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(named)], pa.int32()), named), pa.array([body], pa.binary())], ["cell", "ids", "body"])
-
-    return run
-
-
-def _best(batch: pa.RecordBatch, i: int, x: np.ndarray, asked: np.ndarray, keep: int, cell: int) -> pa.RecordBatch:
-    """The best ``keep`` of a block for each query of another, ties at the limit included."""
-    scores = np.round(asked @ x.T, 9)
-    n = min(keep, scores.shape[1])
-    limit = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-    one, other = np.nonzero(scores >= limit)
-    return pa.RecordBatch.from_arrays(
-        [batch.column(3)[i].values.take(pa.array(one)), batch.column(1)[i].values.take(pa.array(other)), pa.array(scores[one, other]), pa.array(np.full(len(one), cell, np.int32))], ["query_id", "id", "score", "cell"]
-    )

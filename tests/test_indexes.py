@@ -87,6 +87,25 @@ def test_vector_index_cases(spark, tmp_path):
     assert none.search(asked.where("query_id = 1"), 3).count() == 0 and none.search(asked.where("query_id = 1"), 3, exact=True).count() == 0
 
 
+def test_queries_travel_once_to_a_bin(spark, tmp_path, monkeypatch):
+    """A hot cell is split over bins, ties go to the smaller id across them, and nothing is joined row by row."""
+    monkeypatch.setattr(vector_index, "ROWS", 60)
+    r = random.Random(8)
+    rows = [(f"v{i}", [r.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(f"c{i}", rows[5][1]) for i in range(300)] + [(None, rows[6][1]), ("zero", [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, rows[5][1]), (2, rows[6][1]), (3, [0.0] * 4), (4, [1.0, 2.0, -1.0, 0.5])], "query_id long, embedding array<double>")
+    ix = vector_index.VectorIndex.build(df, str(tmp_path / "ix"), cells=6, parts=2)
+    start, bins, first, last = ix._bins()
+    assert bins == 9 and (last - first).max() >= 4 and sum(ix.sizes) == len(rows)
+    found = ix.search(asked, 12, probes=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    key = lambda hits: sorted((h["query_id"], h["rank"], h["id"] or "", round(h["score"], 7)) for h in hits.collect())
+    assert key(ix.search(asked, 12, probes=1, exact=True)) == key(retrieve.dense_search(df, asked, 12))
+    assert {h["id"] for h in found.where("query_id = 1").collect()} == set(sorted(["v5", *(f"c{i}" for i in range(300))])[:12])
+
+
 # --- BM25 in blocks
 
 
