@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import Tokenizer, cosine, jaccard, strip, token_set, tokens
+from ..functions.text import Tokenizer, cosine, jaccard, let, strip, token_set, tokens
 from ..plugins import Encoder
 from ..session import ship
 
@@ -158,13 +158,68 @@ def overlapped(groups: DataFrame, overlap: int = 100) -> DataFrame:
     return groups.select(*PAGE, "grp", strip(content).alias("content")).where(F.length("content") > 10)
 
 
+def _cuts(s: Column, chunk_size: int) -> Column:
+    """Of a page's struct(sents, sims): after how many sentences each group of ``group_sentences`` ends, by the marks of ``breakpoints``."""
+    known = F.filter(s["sims"], lambda x: x.isNotNull())
+    n = F.nullif(F.size(known), F.lit(0))
+    mean = F.aggregate(known, F.lit(0.0), lambda t, x: t + x) / n
+
+    def limit(m: Column) -> Column:
+        spread = F.when(n == 1, 0.1).otherwise(F.sqrt(F.aggregate(known, F.lit(0.0), lambda t, x: t + (x - m) * (x - m)) / n))
+        return F.greatest(F.round(m - spread, 12), F.lit(0.15))
+
+    def items(least: Column) -> Column:
+        dip = lambda i: F.coalesce(F.round(F.get(s["sims"], i - 1), 12) < least, F.lit(False))
+        return F.transform(s["sents"], lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.get(s["sims"], i).alias("similarity"), (dip(i) | x.rlike("(?U)" + P.MARKDOWN_HEAD)).alias("is_break")))
+
+    def step(state: Column, x: Column) -> Column:
+        n = state["n"] + x["n"]
+        far = (n >= chunk_size) & (F.coalesce(x["similarity"] < 0.25, F.lit(False)) | (n >= chunk_size * 1.5))
+        ends = (x["is_break"] & (n >= 50)) | far
+        return F.struct(F.when(ends, F.concat(state["cuts"], F.array(x["i"] + 1))).otherwise(state["cuts"]).alias("cuts"), F.when(ends, 0).otherwise(n).alias("n"))
+
+    zero = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("n"))
+    rest = lambda t: F.when(t["n"] == 0, t["cuts"]).otherwise(F.concat(t["cuts"], F.array(F.size(s["sents"]))))
+    return F.aggregate(let(let(mean, limit), items), zero, step, rest)
+
+
+def _page_groups(sents: Column, chunk_size: int, overlap: int, tokenize: Tokenizer) -> Column:
+    """The contents of ``overlapped`` of a page's sentences, as one array."""
+    sims = lambda f: F.zip_with(f, F.slice(f, 2, F.size(f)), lambda x, y: F.when(y.isNotNull(), jaccard(x, y)))
+    joined = lambda s: F.transform(s["cuts"], lambda c, i: let(F.coalesce(F.get(s["cuts"], i - 1), F.lit(0)), lambda b: F.array_join(F.slice(s["sents"], b + 1, c - b), "")))
+    tail = lambda t: F.when(F.length(t) > overlap, F.substring(t, -overlap, overlap)).otherwise("")
+    behind = lambda t, x: strip(F.when(x.startswith(t), x).otherwise(F.concat(t, x)))
+    told = lambda g: F.filter(F.transform(g, lambda x, i: let(tail(F.get(g, i - 1)), lambda t: behind(t, x))), lambda x: F.length(x) > 10)
+    compared = lambda x: F.struct(x.alias("sents"), let(F.transform(x, lambda y: token_set(y, None, tokenize)), sims).alias("sims"))
+    cut = lambda s: F.struct(s["sents"].alias("sents"), _cuts(s, chunk_size).alias("cuts"))
+    return let(let(let(let(sents, compared), cut), joined), told)
+
+
+def _chunks_by_page(pages: DataFrame, chunk_size: int, overlap: int, tokenize: Tokenizer) -> DataFrame:
+    """``semantic_chunks`` with all work on a page's sentences in its row: pages move once, and no sentence by itself."""
+    long_ = lambda p: F.length(strip(F.coalesce(p["text"], F.lit("")))) >= 10
+    numbered = lambda p: F.transform(sentences_of(p["text"]), lambda s, i: F.struct(i.alias("idx"), s.alias("sentence")))
+    many = lambda ps: F.transform(F.array_sort(F.flatten(F.transform(ps, numbered))), lambda x: x["sentence"])
+    sents = lambda ps: F.when(F.size(ps) == 1, sentences_of(F.get(ps, F.lit(0))["text"])).otherwise(many(ps))
+    chunk = lambda tail, kind: lambda x, i: F.struct(F.concat(F.lit(tail), i.cast("string")).alias("tail"), F.lit(kind).alias("type"), x.alias("content"))
+    texts = F.transform(_page_groups(let(F.filter("parts", long_), sents), chunk_size, overlap, tokenize), chunk("_chunk", "text"))
+    shown = F.filter("parts", lambda p: (F.size(p["tables"]) > 0) & (~long_(p) | (F.size(sentences_of(p["text"])) > 0)))
+    tables = F.flatten(F.transform(shown, lambda p: F.filter(F.transform(p["tables"], lambda t, i: chunk("_table", "table")(strip(t), i)), lambda t: t["content"] != "")))
+    rows = pages.groupBy(*PAGE).agg(F.collect_list(F.struct("text", "tables")).alias("parts"))
+    rows = rows.select(*PAGE, F.explode(F.concat(texts, tables)).alias("c"))
+    return rows.select(F.concat_ws("", "filename", F.lit("_p"), "page", "c.tail").alias("chunk_id"), *PAGE, "c.type", "c.content")
+
+
 def semantic_chunks(pages: DataFrame, chunk_size: int = 500, overlap: int = 100, encoder: Encoder | None = None, tokenize: Tokenizer = tokens, streamed: bool = False) -> DataFrame:
     """(chunk_id, filename, page, type, content): groups of sentences, compared by tokens or by an encoder, and tables.
 
     Chunks count within their page. Pages under 10 characters give tables alone;
     longer pages without a sentence give nothing. ``streamed`` folds very long
-    pages a sentence at a time, with the same chunks.
+    pages a sentence at a time, with the same chunks; they, and what is compared in
+    Python, take a row a sentence.
     """
+    if not (encoder or streamed or hasattr(tokenize, "evalType")):
+        return _chunks_by_page(pages, chunk_size, overlap, tokenize)
     long_ = F.length(strip(F.coalesce("text", F.lit("")))) >= 10
     fold = stream_groups if streamed else group_sentences
     groups = overlapped(fold(breakpoints(sentences(pages.where(long_)), encoder, tokenize), chunk_size), overlap)

@@ -516,3 +516,19 @@ def test_merge_typed(spark):
     ).collect()}
     assert tuple(got["f", 1])[2:] == ("new", True, 2, 0, 3)
     assert all(tuple(got[k])[2:] == ("", False, 0, 0, None) for k in (("f", 2), ("f", 3), ("g", 1)))
+
+
+def test_chunks_by_page_are_those_by_sentence(spark):
+    """No sentence is a row of its own, whatever a page holds; rows of one page are one page."""
+    from quernstone.operators import chunk
+
+    r = random.Random(6)
+    said = ["# 标题 一", "营收增长。", "成本下降！利润上升；", "The margin held up well", "margin held up again。", "x", "", "长" * 130, "## 标题 二"]
+    rows = [("d", i, "\n".join(r.choices(said, k=r.randrange(0, 30))), r.choice([[], ["| a |", " "], ["", "| b |"]])) for i in range(80)]
+    rows += [("n", 1, None, ["| t |"]), (None, 2, "没有文件名的一页。还有一句话在这里", []), ("n", 3, "short", ["| u |"]), ("n", 4, "..\n..\n..\n..\n..", ["| v |"])]
+    rows += [("two", 1, "第一部分的句子。\n" * 9, ["| w |"]), ("two", 1, "x", ["| y |"])]
+    pages = spark.createDataFrame(rows, "filename string, page long, text string, tables array<string>")
+    found = chunk.semantic_chunks(pages, 120, 20)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda df: sorted(tuple(map(str, c)) for c in df.collect())
+    assert key(found) == key(chunk.semantic_chunks(pages, 120, 20, streamed=True))
