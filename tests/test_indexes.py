@@ -532,3 +532,14 @@ def test_chunks_by_page_are_those_by_sentence(spark):
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     key = lambda df: sorted(tuple(map(str, c)) for c in df.collect())
     assert key(found) == key(chunk.semantic_chunks(pages, 120, 20, streamed=True))
+
+
+def test_a_frequent_term_is_saved_over_many_partitions(spark):
+    """A term that all texts share does not go to one task."""
+    postings = spark.range(0, 20_000, 1, 4).select("id", F.lit("all").alias("term"), F.lit(1).alias("tf"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in index.by_term(postings).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000
