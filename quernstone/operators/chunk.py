@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import itertools
+import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import Tokenizer, cosine, jaccard, let, strip, token_set, tokens
+from ..functions.batches import letters, neighbours
+from ..functions.text import SPACES, Tokenizer, cosine, jaccard, let, strip, token_set, tokens
 from ..plugins import Encoder
 from ..session import ship
 
 PAGE = ["filename", "page"]
+#: Characters of a page whose sentences are not held all at once.
+LONG_PAGE = 1 << 20
 
 
 def _table_chunks(pages: DataFrame) -> DataFrame:
@@ -36,8 +45,9 @@ def page_chunks(pages: DataFrame) -> DataFrame:
 
 def sentences_of(text: Column) -> Column:
     """Sentences, cut after Chinese stops and at newlines, stripped, longer than two characters."""
-    cut = F.regexp_replace(text, r"(?U)([。！？；])\s*", "$1\n")
-    return F.filter(F.transform(F.split(cut, "\n"), strip), lambda s: F.length(s) > 2)
+    for stop in "。！？；":
+        text = F.replace(text, F.lit(stop), F.lit(stop + "\n"))
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda s: F.length(s) > 2)
 
 
 def sentences(pages: DataFrame) -> DataFrame:
@@ -195,6 +205,133 @@ def _page_groups(sents: Column, chunk_size: int, overlap: int, tokenize: Tokeniz
     return let(let(let(let(sents, compared), cut), joined), told)
 
 
+#: A sentence up to its stop, before its ends are stripped; what marks a heading; bytes of pages that are compared at a time.
+SENTENCE, HEADING, SLICE = re.compile("[^\n。！？；]+[。！？；]?"), re.compile(f"#{{1,4}}[{SPACES}]"), 1 << 20
+
+
+def _folded(sents: Iterable[str], sims: Iterable[float], least: float, chunk_size: int) -> Iterator[str]:
+    """The groups of ``group_sentences``; sims: of each sentence and the next, dips are those under ``least``."""
+    parts, n, dip = [], 0, False
+    for s, sim in itertools.zip_longest(sents, sims, fillvalue=1.0):
+        parts.append(s)
+        n += len(s)
+        if (n >= 50 and (dip or HEADING.match(s))) or (n >= chunk_size and (sim < 0.25 or n >= chunk_size * 1.5)):
+            yield "".join(parts)
+            parts, n = [], 0
+        dip = sim < least
+    if parts:
+        yield "".join(parts)
+
+
+def _contents(groups: Iterable[str], overlap: int) -> Iterator[str]:
+    """The contents of ``overlapped`` of a page's groups."""
+    tail = ""
+    for g in groups:
+        content = (g if g.startswith(tail) else tail + g).strip(SPACES)
+        tail = g[len(g) - overlap :] if len(g) > overlap else ""
+        if len(content) > 10:
+            yield content
+
+
+def _sentences(texts: list[str]) -> Iterator[str]:
+    """``sentences_of`` the rows of a page, one after another, those of several rows by number and content."""
+    own = lambda text: (s for x in SENTENCE.finditer(text) if len(s := x[0].strip(SPACES)) > 2)
+    return own(texts[0]) if len(texts) == 1 else (s for _, s in heapq.merge(*(enumerate(own(t)) for t in texts)))
+
+
+def _limit(sims: np.ndarray, page: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each page: under which similarity a sentence is followed by a break, as ``breakpoints`` says."""
+    n = np.maximum(size - 1, 1)
+    mean = np.bincount(page, sims, len(size)) / n
+    spread = np.where(size == 2, 0.1, np.sqrt(np.bincount(page, (sims - mean[page]) ** 2, len(size)) / n))
+    return np.maximum(_rounded(mean - spread), 0.15)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e12 + 0.5) / 1e12
+
+
+def _long_page(texts: list[str], chunk_size: int, overlap: int, bits: bytes) -> Iterator[str]:
+    """The contents of a page whose sentences are held a slice at a time: they are compared first, and folded from the text again."""
+    sims, held, chars = [np.zeros(0)], [], 0
+    for s in _sentences(texts):
+        held.append(s)
+        chars += len(s)
+        if chars >= SLICE:
+            sims.append(neighbours(held, bits))
+            held, chars = held[-1:], 0
+    sims = np.concatenate([*sims, neighbours(held, bits)])
+    least = _limit(sims, np.zeros(len(sims), np.int64), np.array([len(sims) + 1]))[0]
+    return _contents(_folded(_sentences(texts), map(float, _rounded(sims)), least, chunk_size), overlap)
+
+
+def _short_pages(pages: list[list[str]], chunk_size: int, overlap: int, bits: bytes) -> Iterator[Iterator[str]]:
+    """The contents of each page; the sentences of all are compared at once."""
+    sents = [list(_sentences(texts)) if texts else [] for texts in pages]
+    size = np.fromiter(map(len, sents), np.int64, len(sents))
+    ends = np.cumsum(size)
+    sims = neighbours([s for p in sents for s in p], bits)
+    within = np.ones(len(sims), bool)  # not the last sentence of a page and the first of the next
+    within[ends[(ends > 0) & (ends <= len(sims))] - 1] = False
+    sims = sims[within]
+    least, told, at = _limit(sims, np.repeat(np.arange(len(size)), np.maximum(size - 1, 0)), size).tolist(), _rounded(sims).tolist(), 0
+    for p, own in enumerate(sents):
+        until = at + max(len(own) - 1, 0)
+        yield _contents(_folded(own, told[at:until], least[p], chunk_size), overlap)
+        at = until
+
+
+def _chunks_in_batches(pages: DataFrame, chunk_size: int, overlap: int) -> DataFrame:
+    """``semantic_chunks`` of the usual tokens: pages move once, and the sentences of many are compared at once.
+
+    Rows of a page come one after another, as Spark has sorted them. A task holds
+    the text of about a MB of pages, or of a single page over LONG_PAGE, of which
+    it holds the sentences of a MB.
+    """
+    ship(pages.sparkSession)
+    bits = letters(pages.sparkSession)
+    kept = [pages.schema[c] for c in PAGE]
+    form = StructType([*kept, StructField("tail", StringType()), StructField("type", StringType()), StructField("content", StringType())])
+    arrow = to_arrow_schema(form)
+
+    def by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (*PAGE, "text", "tables")), strict=True))
+        return ((key, [r[2:] for r in own]) for key, own in itertools.groupby(rows, lambda r: r[:2]))
+
+    def told(key: tuple, parts: list[tuple], contents: Iterable[str]) -> Iterator[tuple]:
+        yield from ((*key, f"_chunk{i}", "text", x) for i, x in enumerate(contents))
+        for text, tables in parts:
+            if tables and (len((text or "").strip(SPACES)) < 10 or next(_sentences([text]), None)):
+                yield from ((*key, f"_table{i}", "table", t) for i, x in enumerate(tables) if x is not None and (t := x.strip(SPACES)))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, chars = [], 0
+
+        def settle() -> Iterator[tuple]:
+            for (key, parts, _), contents in zip(held, _short_pages([texts for _, _, texts in held], chunk_size, overlap, bits), strict=True):
+                yield from told(key, parts, contents)
+
+        for key, parts in by_page(batches):
+            texts = [text for text, _ in parts if len((text or "").strip(SPACES)) >= 10]
+            n = sum(map(len, texts))
+            if n > LONG_PAGE:
+                yield from told(key, parts, _long_page(texts, chunk_size, overlap, bits))
+                continue
+            held.append((key, parts, texts))
+            chars += n
+            if chars >= SLICE or len(held) >= SLICE >> 6:
+                yield from settle()
+                held, chars = [], 0
+        yield from settle()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in itertools.batched(chunks(batches), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    dealt = pages.select(*PAGE, "text", "tables").repartition(*PAGE).sortWithinPartitions(*PAGE)
+    return dealt.mapInArrow(run, form).select(F.concat_ws("", "filename", F.lit("_p"), "page", "tail").alias("chunk_id"), *PAGE, "type", "content")
+
+
 def _chunks_by_page(pages: DataFrame, chunk_size: int, overlap: int, tokenize: Tokenizer) -> DataFrame:
     """``semantic_chunks`` with all work on a page's sentences in its row: pages move once, and no sentence by itself."""
     long_ = lambda p: F.length(strip(F.coalesce(p["text"], F.lit("")))) >= 10
@@ -202,11 +339,11 @@ def _chunks_by_page(pages: DataFrame, chunk_size: int, overlap: int, tokenize: T
     many = lambda ps: F.transform(F.array_sort(F.flatten(F.transform(ps, numbered))), lambda x: x["sentence"])
     sents = lambda ps: F.when(F.size(ps) == 1, sentences_of(F.get(ps, F.lit(0))["text"])).otherwise(many(ps))
     chunk = lambda tail, kind: lambda x, i: F.struct(F.concat(F.lit(tail), i.cast("string")).alias("tail"), F.lit(kind).alias("type"), x.alias("content"))
-    texts = F.transform(_page_groups(let(F.filter("parts", long_), sents), chunk_size, overlap, tokenize), chunk("_chunk", "text"))
     shown = F.filter("parts", lambda p: (F.size(p["tables"]) > 0) & (~long_(p) | (F.size(sentences_of(p["text"])) > 0)))
     tables = F.flatten(F.transform(shown, lambda p: F.filter(F.transform(p["tables"], lambda t, i: chunk("_table", "table")(strip(t), i)), lambda t: t["content"] != "")))
     rows = pages.groupBy(*PAGE).agg(F.collect_list(F.struct("text", "tables")).alias("parts"))
-    rows = rows.select(*PAGE, F.explode(F.concat(texts, tables)).alias("c"))
+    rows = rows.select(*PAGE, tables.alias("tables"), _page_groups(let(F.filter("parts", long_), sents), chunk_size, overlap, tokenize).alias("texts"))
+    rows = rows.select(*PAGE, F.explode(F.concat(F.transform("texts", chunk("_chunk", "text")), "tables")).alias("c"))
     return rows.select(F.concat_ws("", "filename", F.lit("_p"), "page", "c.tail").alias("chunk_id"), *PAGE, "c.type", "c.content")
 
 
@@ -214,12 +351,20 @@ def semantic_chunks(pages: DataFrame, chunk_size: int = 500, overlap: int = 100,
     """(chunk_id, filename, page, type, content): groups of sentences, compared by tokens or by an encoder, and tables.
 
     Chunks count within their page. Pages under 10 characters give tables alone;
-    longer pages without a sentence give nothing. ``streamed`` folds very long
-    pages a sentence at a time, with the same chunks; they, and what is compared in
-    Python, take a row a sentence.
+    longer pages without a sentence give nothing. Sentences of the usual tokens are
+    folded from their page's text, those of a long one without holding them all.
+    With another tokenizer ``streamed`` folds pages a sentence at a time, with the
+    same chunks; they, and what is compared in Python, take a row a sentence.
     """
+    if tokenize is tokens and not encoder:
+        return _chunks_in_batches(pages, chunk_size, overlap)
     if not (encoder or streamed or hasattr(tokenize, "evalType")):
         return _chunks_by_page(pages, chunk_size, overlap, tokenize)
+    return _chunks_by_sentence(pages, chunk_size, overlap, encoder, tokenize, streamed)
+
+
+def _chunks_by_sentence(pages: DataFrame, chunk_size: int, overlap: int, encoder: Encoder | None, tokenize: Tokenizer, streamed: bool) -> DataFrame:
+    """``semantic_chunks`` with a row a sentence."""
     long_ = F.length(strip(F.coalesce("text", F.lit("")))) >= 10
     fold = stream_groups if streamed else group_sentences
     groups = overlapped(fold(breakpoints(sentences(pages.where(long_)), encoder, tokenize), chunk_size), overlap)

@@ -2,12 +2,11 @@
 
 import random
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quernstone.functions import batches
 from quernstone.functions import text as T
-from quernstone.operators import index, parse, retrieve
+from quernstone.operators import chunk, index, parse, retrieve
 
 SIGNS = ["中", "文", "字", "䷀", "㐀", "鿿", "a", "B", "é", "İ", "ß", "Σ", "1", "٣", " ", "\n", "\t", "　", "\x85", "\x1c", "﻿", "。", "-", "|", "😀", "𠀀", "々", "averylongword"]
 
@@ -19,7 +18,7 @@ def odd(n: int) -> list[str | None]:
 
 def test_tokens_of_a_batch_are_those_of_the_column(spark):
     rows = spark.createDataFrame([(x,) for x in odd(2000)], "x string").select(F.lower("x").alias("x"), T.tokens(F.col("x")).alias("t")).collect()
-    found = batches.cut(*batches.points(pa.array([r.x for r in rows], pa.string())), batches.letters(spark))
+    found = batches.cut(*batches.points([r.x or "" for r in rows]), batches.letters(spark))
     names, told = found.names(), [[] for _ in rows]
     for row, code in zip(found.row.tolist(), found.code.tolist(), strict=True):
         told[row].append(names[code])
@@ -58,3 +57,30 @@ def test_pages_and_tables_of_odd_documents(spark):
     docs = spark.createDataFrame([("a", "x\n<!-- Page 3 -->\n| a |\n|---|\n| b |\nrest\n---\n<!--Page 4-->  "), ("b", " \n<!-- Page 2 --> "), ("c", None), ("d", "| t |\n"), ("e", "")], "filename string, text string")
     got = {(r.filename, r.page): (r.text, r.tables) for r in parse.split_pages(docs).collect()}
     assert got == {("a", 1): ("x", []), ("a", 3): ("| a |\n|---|\n| b |\nrest", ["| a |\n|---|\n| b |"]), ("b", 1): ("<!-- Page 2 -->", []), ("c", 1): (None, None), ("d", 1): ("| t |", ["| t |"]), ("e", 1): ("", [])}
+
+
+def plain(x):
+    """The usual tokens under another name, which go the way of other tokenizers: by columns."""
+    return T.tokens(x)
+
+
+def test_pages_in_batches_give_the_chunks_of_columns(spark, monkeypatch):
+    """Long pages and short ones, pages of several rows, headings, odd white space, tables, null texts and null names."""
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["营收增长", "alpha", "beta", "Gamma", "İx", "12", "成本。", "风险；", "\x1c"]) for _ in range(rng.randint(0, 14)))
+    text = lambda: "\n".join(rng.choice(["", "# ", "##　", "  ", "#x "]) + line() for _ in range(rng.randint(0, 30)))
+    rows = [(f"d{i % 40}" if i % 23 else None, i % 3, text(), [line(), " ", "| t |"][: i % 4]) for i in range(200)] + [("n", 1, None, ["t"]), ("s", 1, "。\n。\n。\n。\n。\n。", ["t"]), ("q", None, "short", ["t", None])]
+    pages = spark.createDataFrame(rows, "filename string, page long, text string, tables array<string>")
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want = key(chunk.semantic_chunks(pages, 120, 20, tokenize=plain))
+    assert key(chunk.semantic_chunks(pages, 120, 20)) == want == key(chunk.semantic_chunks(pages, 120, 20, streamed=True))
+    bits, short = batches.letters(spark), [[r[2]] for r in rows if r[2]]
+    monkeypatch.setattr(chunk, "SLICE", 40)  # a long page holds the sentences of a slice alone
+    for texts, contents in zip(short, chunk._short_pages(short, 120, 20, bits), strict=True):
+        assert list(chunk._long_page(texts, 120, 20, bits)) == list(contents)
+
+
+def test_pages_go_to_tasks_once_and_by_no_sentence(spark):
+    pages = spark.createDataFrame([("a", 1, "x y z。", ["t"])], "filename string, page int, text string, tables array<string>")
+    plan = chunk.semantic_chunks(pages, streamed=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Generate" not in plan
