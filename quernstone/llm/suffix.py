@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -665,6 +666,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
     twice are sent. Copies of a stretch within a task become one with a weight.
     All suffixes of a shard are sorted by induction within ``budget`` bytes of
     memory; suffixes that share ``span`` bytes are a repeat if their weights sum to two.
+    An anchor's stretches arrive together: where all are alike none is sorted.
     """
     ship(docs.sparkSession)
     dealt = keyed(docs)
@@ -726,12 +728,42 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
         shard, held, size = Shard(budget, span), [], 0
         kept: list[Log] = []  # a column each, for all stretches of the shard
         ends = [0]
+        split: int | None = None  # an anchor whose stretches didn't fit into what is held at a time
 
-        def settle() -> pa.RecordBatch | None:
-            """Move what is held into the shard; what needs no sorting goes on."""
+        def settle(last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+            """Move what is held into the shard, but for its last anchor, which may go on: (what needs no sorting, what is left).
+
+            Windows repeat each other within one anchor's stretches only. Where these
+            are all alike, they are repeats or not by their number, and aren't sorted.
+            """
+            nonlocal split
             found = pa.Table.from_batches(held)
             real = longs(found, "weight") > 0
-            open_ = found.filter(pa.array(real)).combine_chunks()
+            out = found.filter(pa.array(~real)).select(names).combine_chunks().to_batches()
+            found = found.filter(pa.array(real)).combine_chunks()
+            route = longs(found, "route")
+            left = found.slice(0, 0)
+            if len(route) and not last:
+                if route[0] == route[-1]:
+                    split = int(route[-1])
+                else:
+                    whole = int(np.flatnonzero(route != route[-1])[-1]) + 1
+                    found, left, route = found.slice(0, whole), found.slice(whole), route[:whole]
+            if not len(route):
+                return out, left
+            code = pc.dictionary_encode(found["stretch"].combine_chunks()).indices.to_numpy()
+            starts = group_starts(route)
+            many = sizes_of(starts, len(route))
+            alike = np.minimum.reduceat(code, starts) == np.maximum.reduceat(code, starts)
+            if split is not None:
+                alike &= route[starts] != split
+            weight = np.add.reduceat(longs(found, "weight"), starts)
+            twins = np.flatnonzero(np.repeat(alike & (weight > 1), many))
+            if len(twins):
+                doc, nul = nullable(found["doc_id"])
+                gone = place_runs(longs(found, "row"), doc, nul, longs(found, "start"), twins, longs(found, "start")[twins], longs(found, "n")[twins])
+                out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in gone], names))
+            open_ = found.filter(pa.array(~np.repeat(alike, many))).combine_chunks()
             if open_.num_rows:
                 first = shard.add(open_["stretch"].to_pylist(), longs(open_, "weight"))
                 doc, nul = nullable(open_["doc_id"])
@@ -741,7 +773,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
                 for log, values in zip(kept, columns, strict=True):
                     log.add(values)
                 ends.append(ends[-1] + open_.num_rows)
-            return found.filter(pa.array(~real)).select(names).combine_chunks()
+            return out, left
 
         def rest(a: int, b: int) -> pa.RecordBatch:
             key, doc, nul, start, n, first = (np.array(column[a:b]) for column in columns)
@@ -755,10 +787,11 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
             held.append(batch)
             size += batch.nbytes
             if size >= budget >> 3:
-                yield from settle().to_batches()
-                held, size = [], 0
+                out, left = settle(False)
+                yield from out
+                held, size = left.to_batches(), left.nbytes
         if held:
-            yield from settle().to_batches()
+            yield from settle(True)[0]
         held = []
         mark = shard.repeated()
         columns = [log.array() for log in kept]
@@ -781,7 +814,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, k: int = 32, budget: int =
 
     places = repeated_anchors(dealt, find, SLICE).hint("shuffle_hash")
     form = "route long, row long, doc_id long, start long, n long, weight long, stretch binary"
-    gone = dealt.join(places, "row", "left").mapInArrow(send, form).repartition("route").mapInArrow(sort, "row long, doc_id long, start long, n long")
+    gone = dealt.join(places, "row", "left").mapInArrow(send, form).repartition("route").sortWithinPartitions("route").mapInArrow(sort, "row long, doc_id long, start long, n long")
     return dealt.join(gathered(gone), "row", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,n:long>>")
 
 

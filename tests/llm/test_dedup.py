@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -226,6 +227,25 @@ def test_suffix_dedup(spark, seed, budget):
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("budget", [1 << 28, 1 << 13])
+def test_suffix_dedup_sorts_no_stretches_that_are_all_alike(spark, budget):
+    """Many exact copies beside copies with another end, where an anchor's stretches don't fit into what a task holds at a time."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(3)]
+    rows = [(i, base[i % 3] if i % 5 else base[i % 3][:450] + str(i) * 200) for i in range(120)] + [(200, "alone " + "".join(rng.choice("xyz") for _ in range(600)))]
+    found = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), span=200, budget=budget)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [route" in plan  # so that an anchor's stretches come one after another
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in found.collect()}
+    seen = Counter(t[a : a + 200] for _, t in rows for a in range(len(t) - 199))
+    for i, t in rows:
+        gone = set()
+        for a in range(len(t) - 199):
+            if seen[t[a : a + 200]] > 1:
+                gone.update(range(a, a + 200))
+        assert got[i] == (len(t), len(gone))
+
+
 def test_suffix_dedup_texts_that_share_an_id(spark):
     r = random.Random(8)
     write = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
